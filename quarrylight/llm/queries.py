@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.llm.langid import op9_langid
 from quarrylight.llm.pii import op10_pii
+from quarrylight.llm.quality import op7_quality
+from quarrylight.llm.sp_codec import op2_sentencepiece
+from quarrylight.llm.warc import OP6_SQL, op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op6_warc": op6_warc,
+    "op7_quality": op7_quality,
+    "op9_langid": op9_langid,
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": OP6_SQL,
+}
