@@ -34,15 +34,17 @@ from quarrylight.llm.textnum import mix, shingle_set, word_hashes
 WORDS = 5
 #: Two sets link when DENOMINATOR * intersection >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 80, 100
-#: The table of counts has 2 ** SKETCH_BITS entries, whatever the input.
-SKETCH_BITS = 20
-SKETCH_CHUNK = 1 << 14
+#: The table of counts has 2 ** bits entries of a byte: about one for each 128 bytes of input, within these bounds.
+SKETCH_BITS = (20, 26)
+SKETCH_CHUNK = 1 << 16
+#: Counts are kept as this times their logarithm to base 2; nothing but an order is read from them.
+LEVELS = 8
 #: Shingles estimated to be in more texts than this (or 8 times the mean estimate) are dealt by a salt too.
 HOT = 200_000
 #: Shingles of all sets of one block, about; larger stars are split.
 BLOCK = 400_000
 #: While more pairs than this times the rows remain, another round of stars comes before all pairs.
-MANY = 4
+MANY = 40
 ROUNDS = 6
 
 
@@ -70,56 +72,72 @@ def _ids_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def sketch_bits(docs: DataFrame) -> int:
+    """Bits of the table of counts, by the size of the input as the optimizer knows it."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 50:  # not known
+        size = 1 << 29
+    return min(max(int(np.ceil(np.log2(size / 128 + 1))), SKETCH_BITS[0]), SKETCH_BITS[1])
+
+
+def signatures(docs: DataFrame, bits: int) -> DataFrame:
     """Rows (doc_id, n, k1, k2) of all documents, and rows (chunk, counts) that sum to the table of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "k1", "k2", "chunk", "counts"]
         kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        # a task's own counts stop at 255: common shingles stay far above rare ones
+        counts = np.zeros(1 << bits, np.uint8)
+
+        def add(held: list[np.ndarray]) -> None:
+            places, more = np.unique(np.concatenate(held), return_counts=True)
+            counts[places] = np.minimum(counts[places] + more, 255)
+
         for part in _parts(batches):
             out, held, size = [], [], 0
             for words in word_hashes(part.column(1)):
                 s = shingle_set(words, WORDS)
                 out.append((len(s), *(_class_key(s) if len(s) else (0, 0))))
-                held.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+                held.append((s >> np.uint64(64 - bits)).astype(np.int32))
                 size += len(s)
                 if size > 1 << 20:
-                    counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
+                    add(held)
                     held, size = [], 0
             if held:
-                counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
+                add(held)
             n = len(out)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([o[i] for o in out], pa.int64()) for i in range(3)), pa.nulls(n, kinds[4]), pa.nulls(n, kinds[5])], names)
-        used = [(i, c) for i, c in enumerate(counts.reshape(-1, SKETCH_CHUNK)) if c.any()]
-        if used:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), k) for k in kinds[:4]] + [pa.array([i for i, _ in used], kinds[4]), pa.array([c.tobytes() for _, c in used], kinds[5])], names)
+        for i, c in enumerate(counts.reshape(-1, SKETCH_CHUNK)):
+            if c.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:4]] + [pa.array([i], kinds[4]), pa.array([c.tobytes()], kinds[5])], names)
 
     return _ids_and_text(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, chunk int, counts binary")
 
 
-def sketch_table(signed: DataFrame) -> np.ndarray:
-    """The summed table of counts; its size is fixed."""
+def sketch_table(signed: DataFrame, bits: int) -> np.ndarray:
+    """The summed counts as levels, a byte each; at most 2 ** 26 bytes reach the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                more = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
+                more = np.frombuffer(counts.as_buffer(), np.uint8).astype(np.int64)
                 sums[chunk] = sums[chunk] + more if chunk in sums else more
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+        for chunk, total in sums.items():
+            level = np.minimum(np.round(LEVELS * np.log2(total + 1.0)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "counts"])
 
     rows = signed.where(F.col("chunk").isNotNull()).select("chunk", "counts").repartition(F.col("chunk")).mapInArrow(add, "chunk int, counts binary")
-    table = np.zeros(1 << SKETCH_BITS, np.int64)
+    table = np.zeros(1 << bits, np.uint8)
     for r in rows.toLocalIterator():
-        table[r["chunk"] * SKETCH_CHUNK : (r["chunk"] + 1) * SKETCH_CHUNK] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return np.minimum(table, 2**31 - 1).astype(np.int32)
+        table[r["chunk"] * SKETCH_CHUNK : (r["chunk"] + 1) * SKETCH_CHUNK] = np.frombuffer(bytes(r["counts"]), np.uint8)
+    return table
 
 
 def prefixes(docs: DataFrame, table: np.ndarray, hot: int = HOT) -> DataFrame:
     """(token, salt, k1, k2, n): the rarest shingles of each class, once a task."""
-    shared, hot = docs.sparkSession.sparkContext.broadcast(table), max(hot, 8 * int(table.mean()))
+    shared, bits = docs.sparkSession.sparkContext.broadcast(table), len(table).bit_length() - 1
+    hot = max(hot, 8 * 2 ** (float(table.mean()) / LEVELS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
@@ -134,12 +152,13 @@ def prefixes(docs: DataFrame, table: np.ndarray, hot: int = HOT) -> DataFrame:
                     continue
                 if len(seen) < 200_000:
                     seen.add(key)
-                often = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                often = counts[(s >> np.uint64(64 - bits)).astype(np.int64)]
                 # s is sorted, so a stable order by count is one order of all shingles for all texts
                 first = np.argsort(often, kind="stable")[: prefix_size(len(s))]
                 tokens.append(s[first].view(np.int64))
                 # 0: one group for all of the token; else one of so many as its count asks for
-                salts.append(np.where(often[first] < hot, 0, np.int64(key[0]) % (often[first].astype(np.int64) // hot + 1) + 1).astype(np.int32))
+                count = 2 ** (often[first] / LEVELS) - 1
+                salts.append(np.where(count < hot, 0, np.int64(key[0]) % (count // hot + 1).astype(np.int64) + 1).astype(np.int32))
                 k1s.append(key[0])
                 k2s.append(key[1])
                 ns.append(len(s))
@@ -288,8 +307,9 @@ def join_components(docs: DataFrame, hot: int = HOT, many: int = MANY) -> DataFr
     spark = docs.sparkSession
     keep = Scratch(spark, "jaccard")
     docs = _ids_and_text(docs)
-    signed = keep.keep(signatures(docs), "signed")
-    table = sketch_table(signed)
+    bits = sketch_bits(docs)
+    signed = keep.keep(signatures(docs, bits), "signed")
+    table = sketch_table(signed, bits)
     signed = signed.where(F.col("chunk").isNull()).select("doc_id", "n", "k1", "k2")
     classes = keep.keep(signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     found = shared_prefixes(prefixes(docs, table, hot))
