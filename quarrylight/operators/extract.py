@@ -50,18 +50,23 @@ def type_names(parsed: DataFrame) -> DataFrame:
 
 
 def resolved_types(parsed: DataFrame, kinds: tuple[str, ...] = ("EXTENDS", "IMPLEMENTS", "CONSTRUCT")) -> DataFrame:
-    """Written types against the source catalogue: as written, by direct import, in the own package, by wildcard import.
+    """Written types against the source catalogue: as written, in the enclosing types from the innermost, by direct
+    import, in the own package, by wildcard import.
 
     The first of these that names a source type decides; a name declared twice or in two wildcards stays unresolved.
     """
     own = parsed.select("path", "package", "imports", F.explode("relations").alias("r")).where(F.col("r.kind").isin(*kinds))
+    scope = facts(parsed, "declarations").select(F.col("symbol_id").alias("__container"), F.substring_index("owner", "#", 1).alias("scope"))
+    own = own.join(scope, F.col("r.container_symbol_id") == F.col("__container"), "left")
     w = F.col("r.written_target")
     package = F.when(F.col("package") == "", w).otherwise(F.concat_ws(".", "package", w))
+    parts = F.split(F.coalesce("scope", F.lit("")), r"\\.")
+    around = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct((100 - k).alias("rank"), F.concat_ws(".", F.array_join(F.slice(parts, F.lit(1), k), "."), w).alias("qualified")))
     direct = F.filter("imports", lambda i: F.endswith(i, F.concat(F.lit("."), w)))
     wild = F.transform(F.filter("imports", lambda i: F.endswith(i, F.lit(".*"))), lambda i: F.concat(F.replace(i, F.lit("*"), F.lit("")), w))
     choice = lambda rank, names: F.transform(names, lambda n: F.struct(F.lit(rank).alias("rank"), n.alias("qualified")))
-    options = F.concat(choice(0, F.array(w)), choice(1, direct), choice(2, F.array(package)), choice(3, wild))
-    tried = own.select("r", F.explode(options).alias("o")).select("r", "o.*").distinct()
+    options = F.concat(choice(0, F.array(w)), around, choice(101, direct), choice(102, F.array(package)), choice(103, wild))
+    tried = own.select("r", F.explode(options).alias("o")).select("r", "o.*").groupBy("r", "qualified").agg(F.min("rank").alias("rank"))
     found = tried.join(type_names(parsed), "qualified", "left")
     best = found.groupBy("r.relation_id").agg(F.min(F.when(F.col("target").isNotNull(), F.col("rank"))).alias("best"))
     chosen = found.join(best, F.col("r.relation_id") == best["relation_id"]).where(F.col("rank") == F.col("best")).groupBy(F.col("r.relation_id").alias("relation_id")).agg(F.min("target").alias("target"), F.countDistinct("target").alias("names"), F.max("copies").alias("copies"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import paths
 from quarrylight.functions.glob import compile_glob
-from quarrylight.functions.text import lines, literal_pattern, utf16_length
+from quarrylight.functions.text import displayed, lines, literal_pattern, utf16_length
 from quarrylight.model import PREVIEW_CHILDREN, RANGES_MOST, QueryError, checked_limit, checked_query, invalid
 from quarrylight.plans.paging import page
 
@@ -146,3 +146,9 @@ def budget_page(lines_: DataFrame, max_lines: int = 200, max_bytes: int = 65_536
     over = F.when(F.col("n") > max_lines, "LINE_BUDGET").when(F.col("bytes") > max_bytes, "CONTENT_BUDGET")
     rows = rows.withColumn("stop", F.min(over).over(Window.partitionBy("path"))).where(over.isNull())
     return rows.select("path", "line", "text", F.coalesce("stop", F.lit("COMPLETE")).alias("stop_reason"))
+
+
+def numbered_text(files: DataFrame) -> DataFrame:
+    """Each file as one text of numbered lines, control characters shown as escapes."""
+    shown = F.transform(lines(F.col("text")), lambda t, i: F.concat((i + 1).cast("string"), F.lit("\t"), displayed(t)))
+    return files.where(F.col("text") != "").select("path", F.array_join(shown, "\n").alias("rendered"))

@@ -103,7 +103,8 @@ def call_occurrences(relations: DataFrame, call_kinds: list[str]) -> DataFrame:
 
 def file_coverage(files: DataFrame, relation_files: DataFrame) -> DataFrame:
     """Files against analysed files, both sides kept: counts by status, missing and orphaned ones included."""
-    both = files.select(F.col("path").alias("file_path")).join(relation_files, files["path"] == relation_files["path"], "full_outer")
+    own = files.select(F.col("path").alias("file_path"))
+    both = own.join(relation_files, own["file_path"] == relation_files["path"], "full_outer")
     state = F.when(F.col("file_path").isNull(), "ORPHAN").when(F.col("path").isNull(), "MISSING").otherwise(F.col("status"))
     return both.groupBy(state.alias("status")).agg(F.count("*").alias("n"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import paths
 from quarrylight.functions.identity import framed_sha256
 from quarrylight.functions.text import utf16_length
-from quarrylight.operators import checks, documents, files, index, lifecycle
+from quarrylight.operators import checks, documents, extract, files, index, lifecycle
 from quarrylight.plans.paging import after, byte_budget, page
 from quarrylight.sources import logical as L
 
@@ -251,13 +251,13 @@ def _(s, d):
 
 
 @query("q_nearest_enclosing", f"""WITH b AS ({_RANGES}), sp AS (SELECT path, path || ':' || start_line || ':' || end_line AS symbol_id, start_line AS s, end_line AS e FROM b),
-    pt AS (SELECT path, path || '@' || start_line AS point_id, start_line + 1 AS at FROM b)
-    SELECT pt.path, point_id, at, arg_min(symbol_id, {{'w': e - s, 'i': symbol_id}}) AS container_symbol_id FROM (SELECT DISTINCT * FROM pt) pt LEFT JOIN sp ON sp.path = pt.path AND s <= at AND at < e GROUP BY pt.path, point_id, at""")
+    pt AS (SELECT path, path || '@' || start_line AS point_id, start_line + 1 AS pos FROM b)
+    SELECT pt.path, point_id, pos, arg_min(symbol_id, {{'w': e - s, 'i': symbol_id}}) AS container_symbol_id FROM (SELECT DISTINCT * FROM pt) pt LEFT JOIN sp ON sp.path = pt.path AND s <= pos AND pos < e GROUP BY pt.path, point_id, pos""")
 def _(s, d):
     b = _ranges(s, d)
     spans = b.select("path", F.concat_ws(":", "path", "start_line", "end_line").alias("symbol_id"), F.col("start_line").alias("start_byte"), F.col("end_line").alias("end_byte"))
     points = b.select("path", F.concat_ws("@", "path", "start_line").alias("point_id"), (F.col("start_line") + 1).alias("at")).distinct()
-    return index.nearest_enclosing(spans, points)
+    return index.nearest_enclosing(spans, points).withColumnRenamed("at", "pos")
 
 
 # --- coverage ---------------------------------------------------------------------------------------
@@ -317,10 +317,10 @@ def _(s, d):
 # --- documents --------------------------------------------------------------------------------------
 
 _SECT = """WITH RECURSIVE dl AS (SELECT path, owner, content, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS no FROM document_files),
-    pos AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY path ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at, max(no) OVER (PARTITION BY path) AS nmax FROM dl),
-    hd AS (SELECT path, owner, content, nmax, no, at, regexp_replace(trim(regexp_replace(line, '^ {0,3}#{1,6}', ''), ' ' || chr(9)), '(^|[ ' || chr(9) || ']+)#+$', '') AS title FROM pos WHERE regexp_matches(line, '^ {0,3}#{1,6}([ \\t]|$)')),
+    pos AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY path ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place, max(no) OVER (PARTITION BY path) AS nmax FROM dl),
+    hd AS (SELECT path, owner, content, nmax, no, place, regexp_replace(trim(regexp_replace(line, '^ {0,3}#{1,6}', ''), ' ' || chr(9)), '(^|[ ' || chr(9) || ']+)#+$', '') AS title FROM pos WHERE regexp_matches(line, '^ {0,3}#{1,6}([ \\t]|$)')),
     h2 AS (SELECT * FROM hd UNION ALL SELECT path, owner, content, max(nmax), 1, 0, '' FROM pos p WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.path = p.path AND hd.no = 1) GROUP BY path, owner, content),
-    sec AS (SELECT path, owner, content, title, CAST(no AS INTEGER) AS start_line, CAST(coalesce(lead(no) OVER w - 1, CASE WHEN content LIKE '%' || chr(10) THEN nmax - 1 ELSE nmax END) AS INTEGER) AS end_line, CAST(at AS INTEGER) AS start_char, CAST(coalesce(lead(at) OVER w, length(content)) AS INTEGER) AS end_char FROM h2 WINDOW w AS (PARTITION BY path ORDER BY no))
+    sec AS (SELECT path, owner, content, title, CAST(no AS INTEGER) AS start_line, CAST(coalesce(lead(no) OVER w - 1, CASE WHEN content LIKE '%' || chr(10) THEN nmax - 1 ELSE nmax END) AS INTEGER) AS end_line, CAST(place AS INTEGER) AS start_char, CAST(coalesce(lead(place) OVER w, length(content)) AS INTEGER) AS end_char FROM h2 WINDOW w AS (PARTITION BY path ORDER BY no))
     """
 
 
@@ -512,3 +512,76 @@ def _(s, d):
     r = L.relations(s, d).where(F.col("external_target_id").isNotNull())
     return checks.target_conflicts(r.select(F.col("external_target_id").alias("target_id"), "kind"))
 
+
+
+# --- rendering and extraction -----------------------------------------------------------------------
+
+
+@query("q_render_numbered", """SELECT path, string_agg(CAST(line AS VARCHAR) || chr(9) || replace(text, chr(92), chr(92) || chr(92)), chr(10) ORDER BY line) AS rendered FROM all_lines WHERE starts_with(path, 'fr/') GROUP BY path""", "all_lines")
+def _(s, d):
+    return files.numbered_text(L.file_rows(s, d, text=True).where(F.col("path").startswith("fr/")))
+
+
+# A small source tree of our own, whose facts are known.
+JAVA = {
+    "shop/Base.java": "package shop;\n\npublic abstract class Base {\n    protected int stock;\n    public void sell(int n) { stock -= n; }\n    abstract String label();\n}\n",
+    "shop/web/Shelf.java": "package shop.web;\n\nimport org.springframework.web.bind.annotation.GetMapping;\nimport shop.Base;\n\npublic class Shelf extends Base {\n    @GetMapping({\"/shelf\", \"/rack\"})\n    String label() { return name(2); }\n"
+    "    String name(int n) { return new Tag(n).text(); }\n    public void sell(int n) { audit(); }\n    record Tag(int n) { String text() { return \"t\" + n; } }\n    enum Size { SMALL, LARGE }\n}\n",
+    "shop/Main.java": "package shop;\n\nclass Main {\n    public static void main(String[] args) { new Missing(); }\n}\n",
+    "shop/Broken.java": "package shop;\nclass Broken {\n",
+}
+
+
+def _parsed(s):
+    return extract.parse_files(s.createDataFrame(sorted(JAVA.items()), "path string, text string").repartition("path"), "g1")
+
+
+@query("q_extract_files", "SELECT * FROM (VALUES ('shop/Base.java', 'PARSED'), ('shop/web/Shelf.java', 'PARSED'), ('shop/Main.java', 'PARSED'), ('shop/Broken.java', 'PARSE_FAILED')) t(path, status)")
+def _(s, d):
+    return _parsed(s).select("path", "status")
+
+
+@query("q_extract_declarations", """SELECT * FROM (VALUES ('shop', 'CLASS', 'Base', 3), ('shop.Base', 'FIELD', 'stock', 4), ('shop.Base', 'METHOD', 'sell', 5), ('shop.Base', 'METHOD', 'label', 6), ('shop', 'CLASS', 'Main', 3), ('shop.Main', 'METHOD', 'main', 4),
+    ('shop.web', 'CLASS', 'Shelf', 6), ('shop.web.Shelf', 'METHOD', 'label', 8), ('shop.web.Shelf', 'METHOD', 'name', 9), ('shop.web.Shelf', 'METHOD', 'sell', 10), ('shop.web.Shelf', 'RECORD', 'Tag', 11), ('shop.web.Shelf.Tag', 'RECORD_COMPONENT', 'n', 11),
+    ('shop.web.Shelf.Tag', 'METHOD', 'text', 11), ('shop.web.Shelf', 'ENUM', 'Size', 12), ('shop.web.Shelf.Size', 'ENUM_CONSTANT', 'SMALL', 12), ('shop.web.Shelf.Size', 'ENUM_CONSTANT', 'LARGE', 12)) t(owner, kind, name, line)""")
+def _(s, d):
+    return extract.facts(_parsed(s), "declarations").select("owner", "kind", "name", F.col("name_range.start_line").alias("line"))
+
+
+@query("q_extract_candidates", "SELECT * FROM (VALUES ('HTTP_MAPPING', 'DIRECT_IMPORT', 'label', '/shelf,/rack'), ('MAIN', 'MAIN_SIGNATURE', 'main', '')) t(kind, evidence, name, literals)")
+def _(s, d):
+    p = _parsed(s)
+    names = extract.facts(p, "declarations").select("symbol_id", "name")
+    c = extract.facts(p, "candidates").join(names, "symbol_id")
+    return c.select("kind", F.col("evidence.kind").alias("evidence"), "name", F.coalesce(F.array_join(F.try_element_at("evidence.literal_values", F.lit("value")), ","), F.lit("")).alias("literals"))
+
+
+@query("q_extract_folds", "SELECT * FROM (VALUES ('sell', 2), ('label', 1), ('name', 1), ('text', 1), ('main', 1)) t(name, n)")
+def _(s, d):
+    p = _parsed(s)
+    return extract.facts(p, "folds").join(extract.facts(p, "declarations").select("symbol_id", "name"), "symbol_id").groupBy("name").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("q_extract_types", "SELECT * FROM (VALUES ('EXTENDS', 'Base', 'Base', NULL), ('CONSTRUCT', 'Tag', 'Tag', NULL), ('CONSTRUCT', 'Missing', NULL, 'MISSING_TYPE')) t(kind, written_target, target, unresolved_reason)")
+def _(s, d):
+    p = _parsed(s)
+    names = extract.facts(p, "declarations").select(F.col("symbol_id").alias("target_symbol_id"), F.col("name").alias("target"))
+    return extract.resolved_types(p).join(names, "target_symbol_id", "left").select("kind", "written_target", "target", "unresolved_reason")
+
+
+@query("q_extract_calls", "SELECT * FROM (VALUES ('name', 'STATIC_RESOLVED'), ('text', 'UNRESOLVED'), ('audit', 'UNRESOLVED')) t(written_target, resolution_state)")
+def _(s, d):
+    return extract.resolved_calls(_parsed(s)).select("written_target", "resolution_state")
+
+
+@query("q_extract_overrides", "SELECT * FROM (VALUES ('label'), ('sell')) t(name)")
+def _(s, d):
+    p = _parsed(s)
+    return extract.overrides(p).join(extract.facts(p, "declarations"), "symbol_id").select("name")
+
+
+@query("q_extract_evidence", "SELECT * FROM (VALUES ('HTTP_EVIDENCE', 'spring.get-mapping', 'label')) t(kind, rule, name)")
+def _(s, d):
+    p = _parsed(s)
+    names = extract.facts(p, "declarations").select(F.col("symbol_id").alias("container_symbol_id"), "name")
+    return extract.facts(p, "relations").where(F.col("rule").isNotNull()).join(names, "container_symbol_id").select("kind", "rule", "name")
