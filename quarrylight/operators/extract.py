@@ -60,7 +60,7 @@ def resolved_types(parsed: DataFrame, kinds: tuple[str, ...] = ("EXTENDS", "IMPL
     own = own.join(scope, F.col("r.container_symbol_id") == F.col("__container"), "left")
     w = F.col("r.written_target")
     package = F.when(F.col("package") == "", w).otherwise(F.concat_ws(".", "package", w))
-    parts = F.split(F.coalesce("scope", F.lit("")), r"\\.")
+    parts = F.split(F.coalesce("scope", F.lit("")), r"\.")
     around = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct((100 - k).alias("rank"), F.concat_ws(".", F.array_join(F.slice(parts, F.lit(1), k), "."), w).alias("qualified")))
     direct = F.filter("imports", lambda i: F.endswith(i, F.concat(F.lit("."), w)))
     wild = F.transform(F.filter("imports", lambda i: F.endswith(i, F.lit(".*"))), lambda i: F.concat(F.replace(i, F.lit("*"), F.lit("")), w))
