@@ -91,10 +91,13 @@ def _order(position: str) -> F.Column:
 
 def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, cuts): the line ranges to delete, each packed as first * 2^32 + last."""
-    found = _positions(rows, min_words)
+    keep = Scratch(rows.sparkSession, "runs")
+    # both are read twice: written, so that texts are read once
+    found = keep.keep(_positions(rows, min_words), "windows")
     # fingerprints at two positions or more
     shared = found.groupBy("fp").agg(F.min(_order("fp_at")).alias("a"), F.max(_order("fp_at")).alias("b")).where(F.col("a") != F.col("b")).select("fp")
-    near = found.join(shared, "fp", "left_semi")
+    near = keep.keep(found.join(shared, "fp", "left_semi"), "near")
+    keep.drop("windows")
     firsts = near.groupBy("h1", "h2").agg(F.min(_order("first")).alias("a"), F.max(_order("first")).alias("b")).where(F.col("a") != F.col("b")).drop("b")
     later = near.withColumn("own", _order("first")).join(firsts, ["h1", "h2"])
     same = (F.col("own.none") == F.col("a.none")) & (F.col("own.doc_id") == F.col("a.doc_id")) & (F.col("own.text_hash") == F.col("a.text_hash"))
@@ -140,9 +143,7 @@ def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = Scratch(spark, "lines")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return keep.keep(dedup_documents(docs), "result")
+    return dedup_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 OP1_SQL = f"""
