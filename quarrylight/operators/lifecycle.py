@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.model import JOB_PHASES, RETENTION_DAYS, QueryError
+from quarrylight.model import JOB_PHASES, KEYWORDS_MOST, RETENTION_DAYS, QueryError
 from quarrylight.plans.paging import byte_budget, json_size, page
 
 
@@ -103,3 +103,9 @@ def origin_conflicts(bindings: DataFrame) -> DataFrame:
     """Repositories bound to more than one origin fingerprint."""
     fp = F.sha2(F.concat(F.lit("source-origin-v1"), F.lit("\0"), F.col("origin")), 256)
     return bindings.withColumn("origin_fingerprint", fp).groupBy("repository_id").agg(F.countDistinct("origin_fingerprint").alias("n")).where(F.col("n") > 1)
+
+
+def published_registry(descriptors: DataFrame) -> DataFrame:
+    """Descriptors in id order; only approved hints stay, with at most twelve distinct keywords in their order."""
+    hint = F.when(F.col("review_status") == "APPROVED", F.slice(F.array_distinct("keywords"), 1, KEYWORDS_MOST))
+    return descriptors.select("repository_id", "display_name", hint.alias("keywords")).orderBy("repository_id")

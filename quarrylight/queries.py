@@ -514,6 +514,27 @@ def _(s, d):
 
 
 
+@query("q_registry_publication", "SELECT 'r' || c_custkey AS repository_id, c_name AS display_name, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN string_split(c_name, '#') END AS keywords FROM customer")
+def _(s, d):
+    r = L.registry(s, d)
+    status = F.when(F.col("review_status").isin("BUILDING", "MACHINERY"), "APPROVED").otherwise("DRAFT")
+    return lifecycle.published_registry(r.select("repository_id", "display_name", status.alias("review_status"), F.split("display_name", "#").alias("keywords")))
+
+
+@query("q_check_identity", "SELECT p_partkey, p_name, sha256(p_name) AS stored FROM part WHERE p_partkey % 50 = 0")
+def _(s, d):
+    p = L.table(s, d, "part").select("p_partkey", "p_name")
+    stored = p.withColumn("stored", F.when(F.col("p_partkey") % 50 == 0, F.sha2("p_name", 256)).otherwise(framed_sha256(F.col("p_name"), F.col("p_partkey"))))
+    return checks.identity_faults(stored, "stored", "p_name", "p_partkey")
+
+
+@query("q_check_digest", "SELECT path FROM file_rows WHERE byte_length % 17 = 3", "file_rows")
+def _(s, d):
+    f = L.file_rows(s, d, text=True)
+    digest = F.sha2(F.when(F.col("byte_length") % 17 == 3, F.concat("text", F.lit("?"))).otherwise(F.col("text")), 256)
+    return checks.digest_faults(f.withColumn("content_digest", digest))
+
+
 # --- rendering and extraction -----------------------------------------------------------------------
 
 
