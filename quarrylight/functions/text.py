@@ -33,3 +33,15 @@ def displayed(s: Column) -> Column:
     for code in [*range(0, 9), 11, 12, *range(14, 32), 127]:
         out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
     return out
+
+
+def utf8_prefix(s: Column, most: int) -> Column:
+    """The longest prefix of at most ``most`` bytes that splits no character."""
+    data = F.encode(s, "UTF-8")
+    # a byte of the form 10xxxxxx goes on with a character that began before
+    goes_on = lambda n: F.hex(F.substring(data, n + 1, 1)).rlike("^[89AB]")
+    n = F.when(~goes_on(most), most)
+    for back in range(1, 4):
+        if most - back >= 0:
+            n = n.when(~goes_on(most - back), most - back)
+    return F.when(F.octet_length(s) <= most, s).otherwise(F.decode(F.substring(data, F.lit(1), n.otherwise(0)), "UTF-8"))

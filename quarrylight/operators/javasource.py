@@ -47,6 +47,19 @@ FRAMEWORK_ANNOTATIONS = {
     "org.apache.ibatis.annotations.Delete": ("DB_EVIDENCE", "mybatis-delete"),
 }
 
+# Framework calls by type and method: kind of evidence, rule, roles of leading arguments.
+FRAMEWORK_CALLS = {
+    ("java.sql.Connection", "prepareStatement"): ("DB_EVIDENCE", "jdbc-connection-sql", ("sql",)),
+    ("java.sql.Connection", "prepareCall"): ("DB_EVIDENCE", "jdbc-connection-sql", ("sql",)),
+    ("java.sql.Statement", "executeQuery"): ("DB_EVIDENCE", "jdbc-statement-sql", ("sql",)),
+    ("java.sql.Statement", "executeUpdate"): ("DB_EVIDENCE", "jdbc-statement-sql", ("sql",)),
+    ("java.sql.Statement", "executeLargeUpdate"): ("DB_EVIDENCE", "jdbc-statement-sql", ("sql",)),
+    ("java.sql.Statement", "execute"): ("DB_EVIDENCE", "jdbc-statement-sql", ("sql",)),
+    ("java.sql.Statement", "addBatch"): ("DB_EVIDENCE", "jdbc-statement-sql", ("sql",)),
+    ("org.springframework.kafka.core.KafkaTemplate", "send"): ("EVENT_EVIDENCE", "spring-kafka-send", ("topic",)),
+    ("org.springframework.amqp.rabbit.core.RabbitTemplate", "convertAndSend"): ("EVENT_EVIDENCE", "spring-rabbit-convert-and-send", ("exchange", "routingKey")),
+}
+
 _LEX = re.compile(
     r'(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<text>"""(?:\\.|[^\\])*?"""|"(?:\\.|[^"\\\n])*")|(?P<char>\'(?:\\.[^\']*|[^\'\\\n])\')'
     r"|(?P<num>\.?[0-9](?:[eEpP][+-]|[\w.])*)|(?P<id>[^\W\d][\w$]*|\$[\w$]*)|(?P<op>->|::|\.\.\.|@|[-+*/%&|^!~<>=?:;,.(){}\[\]])", re.S)
@@ -101,6 +114,7 @@ class Extractor:
         self.generation, self.path, self.source = generation, path, source
         self.out = Parsed()
         self.package, self.imports, self.local_types = "", [], set()
+        self.variables: dict[str, set[str]] = {}
         self._bytes: list[int] | None = None
         if not source.isascii():
             self._bytes = [0]
@@ -232,8 +246,20 @@ class Extractor:
         for k in range(len(self.t) - 1):
             if (self.at(k) in _TYPES or self.at(k) == "interface") and self.t[k + 1].kind == "id" and (k == 0 or self.at(k - 1) != "."):
                 self.local_types.add(self.at(k + 1))
+        self._variables()
         self._members(i, len(self.t), self.package, None, None, top=True)
 
+    def _variables(self) -> None:
+        """Written types by the names of fields, parameters and locals: a name with two types proves nothing."""
+        for k in range(len(self.t) - 1):
+            if self.t[k].kind == "id" and self.t[k].text[:1].isupper() and (k == 0 or self.at(k - 1) != "new"):
+                try:
+                    j = self._type(k)
+                except SyntaxFailure:
+                    continue
+                if j is not None and j < len(self.t) and self.t[j].kind == "id" and self.at(j + 1) in ("=", ";", ",", ")", ":"):
+                    self.variables.setdefault(self.at(j), set()).add(self._name(k)[0])
+
     def _is_type(self, i: int) -> bool:
         word = self.at(i)
         if word == "@" and self.at(i + 1) == "interface":
@@ -428,6 +454,7 @@ class Extractor:
             elif t.kind == "id" and self.at(i + 1) == "(" and t.text not in _NO_CALL:
                 receiver = self.at(i - 2) if self.at(i - 1) == "." else None
                 self._relate("CALL", i, i + 1, parent, t.text, len(self._split(i + 2, self.match[i + 1])), receiver)
+                self._framework_call(i, parent, receiver)
             elif t.text == "::" and i + 1 < end and (self.t[i + 1].kind == "id"):
                 self._relate("METHOD_REFERENCE", i - 1, i + 2, parent, self.at(i + 1), None, self.at(i - 1))
             i += 1
@@ -437,6 +464,23 @@ class Extractor:
         self.out.relations.append({"relation_id": framed_digest(self.generation, self.path, str(s["start_byte"]), str(s["end_byte"]), kind, written), "path": self.path, "kind": kind, "start_byte": s["start_byte"], "end_byte": s["end_byte"],
                                    "container_symbol_id": container, "written_target": written, "receiver": receiver, "arity": arity, "rule": None})
 
+    def _framework_call(self, i: int, parent: str | None, receiver: str | None) -> None:
+        types = self.variables.get(receiver or "", set())
+        if len(types) != 1:
+            return
+        (written,) = types
+        known = self._evidence(written, sorted({q for q, m in FRAMEWORK_CALLS if m == self.at(i)}))
+        if known is None or known[1] == "AMBIGUOUS_SIMPLE":
+            return
+        kind, rule, roles = FRAMEWORK_CALLS[known[0], self.at(i)]
+        parts = self._split(i + 2, self.match[i + 1])
+        if rule == "spring-rabbit-convert-and-send" and len(parts) == 2:
+            roles = roles[1:]  # the default exchange
+        values = [f"{role}={v[0]}" for role, (a, b) in zip(roles, parts) if (v := self._literals(a, b)) and len(v) == 1 and not re.search(r"[$#]\{", v[0])]
+        s = self.span(self.t[i].start, self.t[i].end)
+        self.out.relations.append({"relation_id": framed_digest(self.generation, self.path, str(s["start_byte"]), str(s["end_byte"]), kind, known[0]), "path": self.path, "kind": kind, "start_byte": s["start_byte"], "end_byte": s["end_byte"],
+                                   "container_symbol_id": parent, "written_target": ".".join((known[0], self.at(i))), "receiver": ",".join(values) or None, "arity": len(parts), "rule": rule})
+
     # annotations
 
     def _evidence(self, written: str, names: list[str]) -> tuple[str, str] | None:

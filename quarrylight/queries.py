@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import paths
 from quarrylight.functions.identity import framed_sha256
-from quarrylight.functions.text import utf16_length
+from quarrylight.functions.text import utf8_prefix, utf16_length
 from quarrylight.operators import checks, documents, extract, files, index, lifecycle
 from quarrylight.plans.paging import after, byte_budget, page
 from quarrylight.sources import logical as L
@@ -138,6 +138,12 @@ def _(s, d):
     return files.budget_page(rows, max_lines=6, max_bytes=900)
 
 
+@query("q_read_clipped_lines", """SELECT path, CAST(line AS INTEGER) AS line, substr(text, 1, (SELECT max(k) FROM range(0, 91) r(k) WHERE octet_length(encode(substr(text, 1, CAST(k AS BIGINT)))) <= 90)) AS clipped FROM all_lines WHERE starts_with(path, 'es/src1')""", "all_lines")
+def _(s, d):
+    rows = files.line_table(L.file_rows(s, d, text=True).where(F.col("path").startswith("es/src1")))
+    return rows.select("path", "line", utf8_prefix(F.col("text"), 90).alias("clipped"))
+
+
 _RANGES = "SELECT CAST(l_orderkey AS VARCHAR) AS path, CAST(l_linenumber * 4 AS INTEGER) AS start_line, CAST(l_linenumber * 4 + floor(l_quantity / 8) AS INTEGER) AS end_line FROM lineitem"
 
 

@@ -59,3 +59,11 @@ def test_failures_have_no_facts():
     assert extract("g", "a.txt", "class A {}").status == "UNSUPPORTED"
     assert extract("g", "A.java", "x" * (1 << 20) + "x").status == "TOO_LARGE"
     assert extract("g", "A.java", "").status == "PARSED"
+
+
+def test_framework_calls():
+    source = """package q; import org.springframework.kafka.core.KafkaTemplate; import java.sql.Connection;
+class Out { private final KafkaTemplate<String, String> bus; void go(Connection c, String t) { bus.send("orders", t); bus.send(t, "x"); c.prepareStatement("select 1"); other.send("a"); } }"""
+    p = extract("g", "Out.java", source)
+    found = [(r["rule"], r["written_target"].rpartition(".")[2], r["receiver"]) for r in p.relations if r["rule"]]
+    assert found == [("spring-kafka-send", "send", "topic=orders"), ("spring-kafka-send", "send", None), ("jdbc-connection-sql", "prepareStatement", "sql=select 1")]
