@@ -170,7 +170,8 @@ def normalise(paths: DataFrame, base: str) -> DataFrame:
                 index.close()
                 yield pa.RecordBatch.from_arrays([pa.array([out.uri] * len(offsets), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["path", "offset", "length"])
 
-    return paths.repartition(F.col("path")).mapInArrow(rewrite, "path string, offset long, length long")
+    # a task for each file: by bytes of their addresses they would all go to one
+    return paths.repartition(max(1, paths.count()), "path").mapInArrow(rewrite, "path string, offset long, length long")
 
 
 def parsed(data: bytes) -> tuple[int | None, int, str, str, int | None]:
