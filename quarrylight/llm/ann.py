@@ -32,7 +32,7 @@ SHARD = 8192
 QUERY_BLOCK = 4096
 CENTROIDS = 64
 #: Entries to visit: FACTOR * N ** POWER, LEAST at least.  Measured to give a recall over 0.9.
-FACTOR, POWER, LEAST = 1.6, 0.88, 1024
+FACTOR, POWER, LEAST = 1.75, 0.88, 1024
 
 
 def kmeans(x: np.ndarray, k: int, steps: int = 15, seed: int = 5) -> np.ndarray:
@@ -133,7 +133,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, centroids: int = C
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < FIT_ROWS / n * 1_000_000).select("v").toArrow()
     x = _matrix(sample.column("v")) if sample.num_rows else _matrix(rows.orderBy("vec_id").limit(FIT_ROWS).select("v").toArrow().column("v"))
     half = max(1, dim // 2)
-    size = int(max(1, min(centroids, math.sqrt(n / 10))))
+    size = int(max(1, min(centroids, math.sqrt(n / 4))))
     index = Index(kmeans(x[:, :half], size), kmeans(x[:, half:], size) if dim > 1 else np.zeros((1, 0)))
     plain = spark.sparkContext.broadcast(index)
 
@@ -151,7 +151,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, centroids: int = C
     shared = spark.sparkContext.broadcast(index)
     wanted = max(LEAST, math.ceil(FACTOR * n**POWER))
     queries = entries.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked_n = queries.count()
+    blocks = max(1, -(-asked_n // QUERY_BLOCK))
 
     def route(batches):
         own = shared.value
@@ -180,7 +181,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, centroids: int = C
             for b in range(blocks):
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(np.full(len(ids), b, np.int32)), *batch.columns], ["shard", "block", "vec_id", "v", "cell"])
 
-    asked = queries.mapInArrow(route, "shard int, block int, query_id long, q array<double>, cells array<int>")
+    # by work, not by bytes: a visit takes longer than its row is long
+    asked = queries.repartition(max(1, -(-asked_n // 128)), "vec_id").mapInArrow(route, "shard int, block int, query_id long, q array<double>, cells array<int>")
     dealt = entries.mapInArrow(deal, "shard int, block int, vec_id long, v array<double>, cell int")
 
     def rerank(entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
