@@ -26,7 +26,7 @@ from quarrylight.llm.pieces import MODEL, Pieces, by_length, load
 #: Longer cuts advance alone.
 MATRIX_LENGTH = 64
 #: Encoded cuts that a worker remembers.
-MEMORY = 300_000
+MEMORY = 500_000
 _CUTS = re.compile(r"\n| *[^ \n]+| +")
 _LOW = np.int64(-(10**15))
 
@@ -74,7 +74,11 @@ def _together(pieces: Pieces, points: np.ndarray) -> list[bytes]:
         start[rows, length - count[rows]] = begin
         here[rows] = begin
         rows = rows[begin > 0]
-    return [_tokens(pieces, points[i], start[i], ids[i], int(count[i])) for i in range(n)]
+    data, width = ids.tobytes(), 4 * length
+    out = [data[width * (i + 1) - 4 * c : width * (i + 1)] for i, c in enumerate(count.tolist())]
+    for i in np.flatnonzero((ids == -1).any(axis=1)):
+        out[i] = _tokens(pieces, points[i], start[i], ids[i], int(count[i]))
+    return out
 
 
 def _alone(pieces: Pieces, word: str) -> bytes:
