@@ -5,12 +5,14 @@ many texts hold them (a table of counts by hash, of fixed size), rarest first; t
 enough share one among the first few, their prefix.  Candidates that share a prefix shingle are dealt
 into blocks; in a block the overlaps of all its sets are accumulated as a product of the document by
 shingle incidence with its transpose, column by column block, and pairs below the bound that follows
-from their sizes are discarded.
+from their sizes are discarded.  Before sets are moved, a bitmap of the parities of hashed shingles
+bounds the overlap of a pair from above: where two bitmaps differ, the sets do.
 
 No group is ever paired with itself as a whole.  First every class meets only the smallest one of each
-prefix shingle.  Then, once what is linked forms components, only classes of different components that
-still share a prefix shingle meet: again in stars, each round about other classes, while there are
-many, and in the end all of them.  Links within a component add nothing to it, so none is lost.
+prefix shingle: stars.  Then, once what is linked forms components, only classes of different components
+that still share a prefix shingle meet.  A shingle that few classes share gives its pairs; one that many
+share becomes blocks of its own, in which the classes of its largest component meet the others but not
+each other.  Links within a component add nothing to it, so none is lost.
 
 Defined results: texts without words have an empty set and link with nothing; rows with a null doc_id
 link with nothing and have a null component; rows that share a doc_id are joined each by its own text;
@@ -22,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +44,14 @@ LEVELS = 8
 HOT = 200_000
 #: Shingles of all sets of one block, about; larger stars are split.
 BLOCK = 400_000
-#: While more pairs than this times the rows remain, another round of stars comes before all pairs.
-MANY = 40
-ROUNDS = 6
+#: Ids that are sent to all tasks at most (8 bytes each, 16 to 32 with their keys); more are joined by a shuffle.
+BROADCAST = 500_000
+#: Longs of a parity bitmap.
+BITMAP = 16
+#: A shingle that more open classes share than this gives blocks instead of pairs.
+FEW = 16
+#: Classes of one part of such a block, at most about; a block joins two parts.
+PART = 512
 
 
 def required(a, b):
@@ -219,21 +225,46 @@ def _fits(a: str | Column, b: str | Column) -> Column:
     return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each bit; bits in which two sets differ are at most their differing shingles."""
+    odd = np.bincount((shingles & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rep, shingles) of the classes ``nodes(rep, k1, k2)``, from the text of the class's first document."""
-    own = docs.join(nodes, docs["doc_id"] == nodes["rep"]).select("rep", "text", "k1", "k2")
+    """(rep, n, bits, shingles) of the classes ``nodes(rep, k1, k2)``, from the text of the class's first document."""
+    own = _with_few(docs.withColumnRenamed("doc_id", "rep"), nodes).select("rep", "text", "k1", "k2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, 500):
-            reps, sets = [], []
+            reps, ns, bits, sets = [], [], [], []
             for rep, k1, k2, words in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), word_hashes(part.column(1))):
                 s = shingle_set(words, WORDS)
                 if len(s) and _class_key(s) == (k1, k2):  # rows may share a doc_id
                     reps.append(rep)
+                    ns.append(len(s))
+                    bits.append(parities(s))
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.binary())], ["rep", "shingles"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(ns, pa.int32()), lists, pa.array(sets, pa.binary())], ["rep", "n", "bits", "shingles"])
+
+    # a repeated row gives its set twice, which adds no link
+    return own.mapInArrow(run, "rep long, n int, bits array<long>, shingles binary")
+
+
+def _with_few(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` joined with ``ids`` on rep: without a shuffle of the rows while the ids are at most BROADCAST."""
+    return rows.join(F.broadcast(ids) if ids.limit(BROADCAST + 1).count() <= BROADCAST else ids, "rep")
 
-    return own.mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the candidates ``pairs(hub, rep)`` those that their bitmaps do not rule out, with the size n of rep."""
+    side = lambda name, p: sets.select(F.col("rep").alias(name), F.col("n").alias(f"{p}n"), F.col("bits").alias(f"{p}bits"))
+    both = pairs.join(side("hub", "h"), "hub").join(side("rep", "r"), "rep")
+    apart = F.aggregate(F.zip_with("hbits", "rbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    total = (F.col("hn") + F.col("rn")).cast("long")
+    least = F.floor((NUMERATOR * total + (NUMERATOR + DENOMINATOR - 1)) / (NUMERATOR + DENOMINATOR))
+    return both.where(apart <= total - 2 * least).select("hub", "rep", F.col("rn").alias("n"))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -278,34 +309,103 @@ def _spanning(ids: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, keep: Scratch, name: str) -> DataFrame:
-    """Links (u, v) among the candidates ``pairs(hub, rep, n)``: each hub's star is a block, or several.
+def star_blocks(pairs: DataFrame) -> DataFrame:
+    """(block, part, rep) of the stars ``pairs(hub, rep, n)``: each hub with its members, or with some of them at a time."""
+    load = pairs.groupBy("hub").agg(F.sum("n").alias("load")).select("hub", (F.floor(F.col("load") / BLOCK) + 1).cast("int").alias("salts"))
+    members = pairs.join(load, "hub").select(F.col("hub").alias("block"), F.pmod(F.xxhash64("rep"), F.col("salts")).alias("part"), "rep")
+    hubs = load.select(F.col("hub").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("salts") - 1).cast("long"))).alias("part"), F.col("hub").alias("rep"))
+    return members.union(hubs)
+
 
-    Every true link of a hub with a member of its star is found or lies within a component found.
+def token_blocks(rows: DataFrame) -> DataFrame:
+    """(block, part, rep) of the open shingles in ``rows(token, rep, n, component)``.
+
+    The classes of a shingle's largest component and the others are dealt into parts; every two parts of
+    the others are a block, and every part of the largest with every part of the others.
     """
-    nodes = pairs.select("rep").union(pairs.select("hub")).distinct()
-    sets = keep.keep(_sets(docs, classes.join(nodes, "rep").select("rep", "k1", "k2")), f"{name}sets")
-    load = pairs.groupBy("hub").agg(F.sum("n").alias("load")).select("hub", (F.floor(F.col("load") / BLOCK) + 1).cast("int").alias("salts"))
-    members = pairs.join(load, "hub").select("hub", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), "rep")
-    hubs = load.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("rep"))
-    rows = members.union(hubs).join(sets, "rep").select("hub", "salt", "rep", "shingles")
-
-    def block(group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["rep"].tolist()
-        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        n = np.array([len(s) for s in sets])
-        found = overlaps(sets) >= required(n[:, None], n[None, :])
-        return pd.DataFrame(_spanning(ids, found), columns=["u", "v"], dtype="int64")
-
-    out = keep.keep(rows.groupBy("hub", "salt").applyInPandas(block, "u long, v long"), f"{name}links")
-    keep.drop(f"{name}sets")
-    return out
+    by = rows.groupBy("token", "component").agg(F.count("*").alias("m"), F.sum("n").alias("load"))
+    size = lambda m, load: F.greatest(F.ceil(m / PART), F.ceil(load / BLOCK)).cast("int")
+    per = by.groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("major"), F.max(F.struct("m", "component", "load")).alias("top"), F.sum("m").alias("m"), F.sum("load").alias("load"))
+    per = per.select("token", "major", size(F.col("top.m"), F.col("top.load")).alias("l"), size(F.col("m") - F.col("top.m"), F.col("load") - F.col("top.load")).alias("k"))
+    placed = rows.join(per, "token").withColumn("h", F.xxhash64("rep"))
+    key = lambda kind, a, b: (F.lit(kind << 40) + a.cast("long") * (1 << 20) + b.cast("long"))
+    s, a = F.pmod(F.col("h"), F.col("k")), F.pmod(F.col("h"), F.col("l"))
+    others = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda t: key(1, F.least(s, t.cast("long")), F.greatest(s, t.cast("long")))), F.transform(F.sequence(F.lit(0), F.col("l") - 1), lambda t: key(2, t, s))
+    )
+    largest = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda t: key(2, a, t))
+    return placed.select(F.col("token").alias("block"), F.explode(F.when(F.col("component") == F.col("major"), largest).otherwise(others)).alias("part"), "rep")
+
+
+def open_members(members: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of ``members(block, part, rep)`` those whom their bitmaps allow a link with one of another component in the block."""
+    component = rows.select("rep", "component").distinct()
+    full = members.join(sets.select("rep", "n", "bits"), "rep").join(component, "rep").select("block", "part", "rep", "n", "component", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> pa.RecordBatch:
+            rep, n, comp = (np.array([h[i] for h in held], np.int64) for i in range(3))
+            # signed counts would be of absolute values
+            bits = np.array([h[3] for h in held], np.int64).reshape(len(held), BITMAP).view(np.uint64)
+            near = np.zeros(len(held), bool)
+            for i in range(len(held) - 1):
+                others = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+                allowed = n[i] + n[others] - 2 * required(n[i], n[others])
+                others = others[np.bitwise_count(bits[i] ^ bits[others]).sum(1) <= allowed]
+                near[others] = True
+                near[i] |= len(others) > 0
+            kept = pa.array(rep[near])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), key[0], np.int64)), pa.array(np.full(len(kept), key[1], np.int64)), kept], ["block", "part", "rep"])
+
+        for batch in batches:
+            for block, part, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if (block, part) != key:
+                    if len(held) > 1:
+                        yield close()
+                    key, held = (block, part), []
+                held.append(rest)
+        if len(held) > 1:
+            yield close()
 
+    dealt = full.repartition("block", "part").sortWithinPartitions("block", "part")
+    return dealt.mapInArrow(run, "block long, part long, rep long")
 
-def join_components(docs: DataFrame, hot: int = HOT, many: int = MANY) -> DataFrame:
+
+def linked(members: DataFrame, sets: DataFrame, keep: Scratch, name: str) -> DataFrame:
+    """Links (u, v) within the blocks ``members(block, part, rep)``, as many as tell each block's components."""
+    members = keep.keep(members, f"{name}members")
+    rows = members.join(_with_few(sets, members.select("rep").distinct()), "rep").select("block", "part", "rep", "shingles")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the rows of a block follow each other; most blocks are pairs, so they are not made into frames
+        key, ids, own, out = None, [], [], []
+
+        def close() -> None:
+            n = np.array([len(s) for s in own])
+            if len(own) > 1:
+                out.extend(_spanning(ids, overlaps(own) >= required(n[:, None], n[None, :])))
+
+        for batch in batches:
+            for block, part, rep, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if (block, part) != key:
+                    close()
+                    key, ids, own = (block, part), [], []
+                ids.append(rep)
+                own.append(np.frombuffer(data.as_buffer(), np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
+            out = []
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
+
+    dealt = rows.repartition("block", "part").sortWithinPartitions("block", "part")
+    return keep.keep(dealt.mapInArrow(blocks, "u long, v long"), f"{name}links")
+
+
+def join_components(docs: DataFrame, hot: int = HOT, few: int = FEW) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    keep = Scratch(spark, "jaccard")
+    keep = Scratch(docs.sparkSession, "jaccard")
     docs = _ids_and_text(docs)
     bits = sketch_bits(docs)
     signed = keep.keep(signatures(docs, bits), "signed")
@@ -317,33 +417,25 @@ def join_components(docs: DataFrame, hot: int = HOT, many: int = MANY) -> DataFr
     found = found.join(rep("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).join(rep("p1", "p2", "pn", "hub"), ["p1", "p2", "pn"])
     found = keep.keep(found.select("token", "rep", "n", "hub", "pn"), "found")
     tried = found.where((F.col("rep") != F.col("hub")) & _fits("n", "pn")).select("hub", "rep", "n").distinct()
-    links = linked(keep.keep(tried, "pairs0"), docs, classes, keep, "round0")
-    step = 0
-    while True:
-        step += 1
-        groups = components(links, keep, f"groups{step}-")
-        placed = found.select("token", "rep", "n").distinct().join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        placed = placed.withColumn("component", F.coalesce("component", "rep"))
-        # tokens that classes of two components share
-        open_ = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m")).where("a <> b")
-        rows = keep.keep(placed.join(open_.select("token", "m"), "token"), f"open{step}")
-        size, pairs = rows.agg(F.count("*"), F.sum((F.col("m") - 1) / 2)).first()
-        if not size:
-            break
-        if step < ROUNDS and pairs > many * size:
-            # stars about another class of each token, of which those near in size are tried
-            hub = rows.groupBy("token").agg(F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(step))).alias("h"))
-            tried = rows.join(hub, "token").where((F.col("component") != F.col("h.component")) & _fits("n", "h.n")).select(F.col("h.rep").alias("hub"), "rep", "n").distinct()
-            last = False
-        else:
-            a, b = rows.select("token", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("component").alias("hc")), rows.select("token", "rep", "n", "component")
-            tried = a.join(b, "token").where((F.col("hub") < F.col("rep")) & (F.col("hc") != F.col("component")) & _fits("hn", "n")).select("hub", "rep", "n").distinct()
-            last = True
-        more = linked(keep.keep(tried, f"pairs{step}"), docs, classes, keep, f"round{step}")
-        links = links.union(more)
-        if last:
-            groups = components(links, keep, "groups-last-")
-            break
+    # the sets of all classes that share a prefix shingle, for all rounds
+    sets = keep.keep(_sets(docs, classes.join(found.select("rep").distinct(), "rep").select("rep", "k1", "k2")), "sets")
+    links = linked(star_blocks(keep.keep(alike(tried.select("hub", "rep"), sets), "stars")), sets, keep, "star-")
+    groups = components(links, keep, "groups-")
+    placed = found.select("token", "rep", "n").distinct().join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "rep"))
+    # shingles that classes of two components share
+    open_ = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m")).where("a <> b")
+    rows = keep.keep(placed.join(open_.select("token", "m"), "token"), "open")
+    small = rows.where(F.col("m") <= few)
+    a, b = small.select("token", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("component").alias("hc")), small.select("token", "rep", "n", "component")
+    pairs = a.join(b, "token").where((F.col("hub") < F.col("rep")) & (F.col("hc") != F.col("component")) & _fits("hn", "n")).select("hub", "rep").distinct()
+    large = rows.where(F.col("m") > few)
+    blocks = star_blocks(keep.keep(alike(pairs, sets), "pairs")).union(open_members(token_blocks(large), large, sets))
+    more = linked(blocks, sets, keep, "open-")
+    if more.limit(1).count():
+        groups = components(links.union(more), keep, "all-groups-")
+    for name in ("found", "sets", "stars", "open", "pairs", "star-members", "open-members"):
+        keep.drop(name)
     of = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(of, ["k1", "k2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

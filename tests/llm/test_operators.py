@@ -250,8 +250,8 @@ def brute_groups(rows):
     return [(d, len(s), None if d is None else min(ids[k] for k in group if group[k] == group[i])) for i, (d, s) in enumerate(sets)]
 
 
-@pytest.mark.parametrize("hot, many", [(jaccard.HOT, jaccard.MANY), (1, 0)])
-def test_jaccard_brute_force(spark, monkeypatch, hot, many):
+@pytest.mark.parametrize("hot, few", [(jaccard.HOT, jaccard.FEW), (1, 1)])
+def test_jaccard_brute_force(spark, monkeypatch, hot, few):
     base = [f"t{i}" for i in range(120)]
     data = corpus(50)
     r = random.Random(9)
@@ -260,7 +260,8 @@ def test_jaccard_brute_force(spark, monkeypatch, hot, many):
         data.append((1000 + i, " ".join(base), "en", "a"))
     data += [(2000, "Short Text", "en", "a"), (2001, "short  text", "en", "a"), (2002, "short text x", "en", "a")]
     monkeypatch.setattr(jaccard, "SKETCH_BITS", (16, 16))
-    got = jaccard.join_components(docs_of(spark, data), hot=hot, many=many)
+    monkeypatch.setattr(jaccard, "PART", 4 if few == 1 else jaccard.PART)
+    got = jaccard.join_components(docs_of(spark, data), hot=hot, few=few)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, brute_groups(data)))
 
 
@@ -481,3 +482,12 @@ def test_private_rows(spark):
     assert got[3]["base_sha256"] == got[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert got[None]["n_email"] == 1 and got[None]["base_sha256"] == hashlib.sha256(b"email:0:5").hexdigest()
     assert pii.find_private(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_parities_bound_the_difference():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = (np.unique(r.integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2)) for _ in range(2))
+        b = np.unique(np.r_[a[: r.integers(0, 300)], b])
+        apart = np.bitwise_count(jaccard.parities(a).view(np.uint64) ^ jaccard.parities(b).view(np.uint64)).sum()
+        assert apart <= len(np.setxor1d(a, b))
