@@ -30,10 +30,10 @@ class Gate:
 
         def stop() -> None:
             late.set()
-            self.spark.interruptTag(tag)
+            self.spark.sparkContext.cancelJobsWithTag(tag)
 
         timer = threading.Timer(DEADLINES[kind] if seconds is None else seconds, stop)
-        self.spark.addTag(tag)
+        self.spark.sparkContext.addJobTag(tag)
         timer.start()
         try:
             out = action()
@@ -43,7 +43,7 @@ class Gate:
             raise
         finally:
             timer.cancel()
-            self.spark.removeTag(tag)
+            self.spark.sparkContext.removeJobTag(tag)
             self._permits.release()
         if late.is_set():
             raise QueryError("DEADLINE_EXCEEDED")

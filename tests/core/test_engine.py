@@ -148,7 +148,7 @@ def test_extraction_joins(spark):
     assert sorted(calls) == [("helper", "STATIC_RESOLVED"), ("helper", "STATIC_RESOLVED"), ("once", "UNRESOLVED")]
     assert rows(extract.overrides(parsed)) == [(ids[("b.Child", "go")], ids[("a.Base", "go")])]
     assert checks.dangling(decl.select("parent_id"), "parent_id", decl, "symbol_id").count() == 0
-    assert index.folds_of(extract.facts(parsed, "folds"), decl.drop("kind").withColumn("kind", F.lit("x")), F.lit(True)).count() == 4
+    assert index.folds_of(extract.facts(parsed, "folds"), decl.drop("kind").withColumn("kind", F.lit("x")), F.lit(True)).count() == 5
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
