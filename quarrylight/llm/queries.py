@@ -32,7 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
-    "op4_html": op4_html,
     "op5_ngram_jaccard": OP5_SQL,
     "op6_warc": OP6_SQL,
 }
