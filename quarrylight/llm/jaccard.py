@@ -337,8 +337,8 @@ def token_blocks(rows: DataFrame) -> DataFrame:
     return placed.select(F.col("token").alias("block"), F.explode(F.when(F.col("component") == F.col("major"), largest).otherwise(others)).alias("part"), "rep")
 
 
-def open_members(members: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of ``members(block, part, rep)`` those whom their bitmaps allow a link with one of another component in the block."""
+def block_pairs(members: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, rep, n) of the pairs of different components in ``members(block, part, rep)`` that their bitmaps do not rule out."""
     component = rows.select("rep", "component").distinct()
     full = members.join(sets.select("rep", "n", "bits"), "rep").join(component, "rep").select("block", "part", "rep", "n", "component", "bits")
 
@@ -349,15 +349,17 @@ def open_members(members: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFr
             rep, n, comp = (np.array([h[i] for h in held], np.int64) for i in range(3))
             # signed counts would be of absolute values
             bits = np.array([h[3] for h in held], np.int64).reshape(len(held), BITMAP).view(np.uint64)
-            near = np.zeros(len(held), bool)
+            first, second = [], []
             for i in range(len(held) - 1):
                 others = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
                 allowed = n[i] + n[others] - 2 * required(n[i], n[others])
                 others = others[np.bitwise_count(bits[i] ^ bits[others]).sum(1) <= allowed]
-                near[others] = True
-                near[i] |= len(others) > 0
-            kept = pa.array(rep[near])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), key[0], np.int64)), pa.array(np.full(len(kept), key[1], np.int64)), kept], ["block", "part", "rep"])
+                first.append(np.full(len(others), i))
+                second.append(others)
+            a, b = np.concatenate(first).astype(np.int64), np.concatenate(second).astype(np.int64)
+            swap = rep[a] > rep[b]
+            hub, other = np.where(swap, b, a), np.where(swap, a, b)
+            return pa.RecordBatch.from_arrays([pa.array(rep[hub]), pa.array(rep[other]), pa.array(n[other].astype(np.int32))], ["hub", "rep", "n"])
 
         for batch in batches:
             for block, part, *rest in zip(*(c.to_pylist() for c in batch.columns)):
@@ -370,7 +372,7 @@ def open_members(members: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFr
             yield close()
 
     dealt = full.repartition("block", "part").sortWithinPartitions("block", "part")
-    return dealt.mapInArrow(run, "block long, part long, rep long")
+    return dealt.mapInArrow(run, "hub long, rep long, n int").distinct()
 
 
 def linked(members: DataFrame, sets: DataFrame, keep: Scratch, name: str) -> DataFrame:
@@ -430,8 +432,8 @@ def join_components(docs: DataFrame, hot: int = HOT, few: int = FEW) -> DataFram
     a, b = small.select("token", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("component").alias("hc")), small.select("token", "rep", "n", "component")
     pairs = a.join(b, "token").where((F.col("hub") < F.col("rep")) & (F.col("hc") != F.col("component")) & _fits("hn", "n")).select("hub", "rep").distinct()
     large = rows.where(F.col("m") > few)
-    blocks = star_blocks(keep.keep(alike(pairs, sets), "pairs")).union(open_members(token_blocks(large), large, sets))
-    more = linked(blocks, sets, keep, "open-")
+    pairs = alike(pairs, sets).union(block_pairs(token_blocks(large), large, sets)).distinct()
+    more = linked(star_blocks(keep.keep(pairs, "pairs")), sets, keep, "open-")
     if more.limit(1).count():
         groups = components(links.union(more), keep, "all-groups-")
     for name in ("found", "sets", "stars", "open", "pairs", "star-members", "open-members"):
