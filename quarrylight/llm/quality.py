@@ -8,8 +8,10 @@ estimate before.  Groups under ``MIN_GROUP`` documents use the estimate of their
 small languages the one of all documents; where that is small too, the base rules alone decide.
 Documents whose robust squared distance exceeds ``CUTOFF`` are rejected.
 
-Each estimate's covariance gets the variances ``FLOOR`` squared on its diagonal: a statistic that is
-the same in nearly all documents of a group must not make slight deviations outliers.
+Each estimate's covariance gets a variance on its diagonal: a statistic that is the same in nearly all
+documents of a group must not make slight deviations outliers.  It is the mean, over the group, of what
+a single symbol, repeated line or repeated window (``resolution``) changes in the square of the
+statistic, and of the squared standard error of the mean length of words; never more than ``FLOOR`` squared.
 
 Defined results: a null text has no words and fails the base rules; null languages or sources form
 groups of their own; repeated rows give repeated results; other columns of the input play no part.
@@ -17,12 +19,15 @@ groups of their own; repeated rows give repeated results; other columns of the i
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import SPACE, Scratch, read, text_or_empty
 
 STATS = ("x0", "x1", "x2", "x3")
+#: The most that is added to the standard deviation of each statistic.
 FLOOR = (0.08, 0.08, 0.12, 0.12)
 SUPPORT = 0.75
 #: The covariance of the nearest 75 % of a normal sample of 4 dimensions, times this, is consistent.
@@ -77,6 +82,12 @@ def transformed(counts: DataFrame) -> DataFrame:
     )
 
 
+def resolution() -> list[Column]:
+    """Squares of the least changes of the statistics of a row of counts; words vary by about half their mean length."""
+    n, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
+    return [0.25 / n, 1 / chars, 1 / lines, 6 / n]
+
+
 def _grid(x: Column) -> Column:
     # exact quantiles keep a count for each distinct value: on this grid those are a few thousand
     return F.round(x * 1000) / 1000
@@ -94,13 +105,13 @@ def _distance(rows: DataFrame) -> Column:
 
 
 def _factor(fits: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor of the covariance columns c00..c33, with FLOOR on the diagonal."""
+    """Adds the Cholesky factor of the covariance columns c00..c33, with the variances f0..f3 on the diagonal."""
     p = len(STATS)
     for j in range(p):
-        diag = F.col(f"c{j}{j}") + FLOOR[j] ** 2
+        diag = F.col(f"c{j}{j}") + F.col(f"f{j}")
         for k in range(j):
             diag = diag - F.col(f"l{j}{k}") * F.col(f"l{j}{k}")
-        fits = fits.withColumn(f"l{j}{j}", F.sqrt(F.greatest(diag, F.lit(FLOOR[j] ** 2 / 100))))
+        fits = fits.withColumn(f"l{j}{j}", F.sqrt(F.greatest(diag, F.col(f"f{j}") / 100)))
         for i in range(j + 1, p):
             off = F.col(f"c{i}{j}")
             for k in range(j):
@@ -115,21 +126,27 @@ def _levels() -> Column:
     return F.array(F.to_json(F.struct(F.lit(1).alias("level"), lang, source)), F.to_json(F.struct(F.lit(2).alias("level"), lang)), F.to_json(F.struct(F.lit(3).alias("level"))))
 
 
-def fit_groups(rows: DataFrame, keep: Scratch, steps: int = C_STEPS, min_group: int = MIN_GROUP) -> DataFrame:
-    """Estimates of all groups of ``min_group`` rows or more: key, n, centre and Cholesky factor."""
+def fit_groups(rows: DataFrame, keep: Scratch, steps: int = C_STEPS, min_group: int = MIN_GROUP, least: Sequence[Column] | None = None) -> DataFrame:
+    """Estimates of all groups of ``min_group`` rows or more: key, n, centre and Cholesky factor.
+
+    ``least`` has the squared resolution of each statistic; without it, FLOOR squared is added throughout.
+    """
     p = range(len(STATS))
-    points = rows.select(F.explode(_levels()).alias("key"), *STATS)
-    start = points.groupBy("key").agg(F.count("*").alias("n"), *(F.percentile(_grid(F.col(x)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, x in enumerate(STATS)))
+    floors = [f"f{i}" for i in p]
+    least = [F.lit(x**2) for x in FLOOR] if least is None else least
+    points = rows.select(F.explode(_levels()).alias("key"), *STATS, *(r.alias(f) for r, f in zip(least, floors)))
+    bounds = [F.least(F.avg(f), F.lit(x**2)).alias(f) for f, x in zip(floors, FLOOR)]
+    start = points.groupBy("key").agg(F.count("*").alias("n"), *bounds, *(F.percentile(_grid(F.col(x)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, x in enumerate(STATS)))
     start = start.where(F.col("n") >= min_group)
-    start = start.select("key", "n", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in p), *((F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in range(i + 1)))
+    start = start.select("key", "n", *floors, *(F.col(f"q{i}")[1].alias(f"m{i}") for i in p), *((F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in range(i + 1)))
     fits = keep.keep(_factor(start), "fit0")
     for step in range(1, steps + 1):
-        near = points.join(fits, "key")
-        near = near.select("key", *STATS, "n", F.log1p(_distance(near)).alias("d"))
+        near = points.drop(*floors).join(fits, "key")
+        near = near.select("key", *STATS, "n", *floors, F.log1p(_distance(near)).alias("d"))
         limit = near.groupBy("key").agg(F.percentile(F.ceil(F.col("d") * 500) / 500, SUPPORT).alias("limit"))
         half = near.join(limit, "key").where(F.col("d") <= F.col("limit"))
         mean = half.groupBy("key").agg(
-            F.first("n").alias("n"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)), *(F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1))
+            F.first("n").alias("n"), *(F.first(f).alias(f) for f in floors), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)), *(F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1))
         )
         fits = keep.keep(_factor(mean), f"fit{step}")
     return fits
@@ -138,7 +155,7 @@ def fit_groups(rows: DataFrame, keep: Scratch, steps: int = C_STEPS, min_group:
 def judged(counts: DataFrame, keep: Scratch, cutoff: float = CUTOFF, **fit: int) -> DataFrame:
     """Adds ``distance`` (null where no estimate holds) and ``kept`` to base counts."""
     rows = transformed(counts)
-    fits = fit_groups(rows.where(~F.col("base_failed")), keep, **fit)
+    fits = fit_groups(rows.where(~F.col("base_failed")), keep, least=resolution(), **fit)
     keys = _levels()
     names = [f"{a}{i}" for a in ("m",) for i in range(len(STATS))] + [f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)]
     out = rows.withColumn("k1", keys[0]).withColumn("k2", keys[1]).withColumn("k3", keys[2])

@@ -345,6 +345,18 @@ def test_quality_verdicts(spark):
     assert len(x) >= quality.MIN_GROUP
 
 
+def test_quality_rejects_menus_between_clean_texts(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    clean = [(i, " ".join(word() for _ in range(r.randint(60, 200))), "en", "a") for i in range(300)]
+    menus = [(1000 + i, " | ".join(word() + " " + word() for _ in range(40)), "en", "a") for i in range(15)]
+    price = [(2000, clean[0][1] + " $5 & more", "en", "a")]  # a symbol or two are no menu
+    keep = Scratch(spark, "q")
+    out = {x["doc_id"]: x for x in quality.judged(keep.keep(quality.base_counts(docs_of(spark, clean + menus + price)), "c"), keep).collect()}
+    assert not any(out[d]["base_failed"] or out[d]["kept"] for d, *_ in menus)
+    assert all(out[d]["kept"] for d, *_ in clean + price)
+
+
 def test_quality_distances_match_numpy(spark):
     rng = np.random.default_rng(4)
     rows = [(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(200, 4)))]
