@@ -8,6 +8,9 @@ common.  Positions whose fingerprint occurs elsewhere are joined; from each the
 extend the match both ways, and where a window occurs earlier, by (doc_id, line), its lines go.  The
 first occurrence stays, and so does what overlaps it in the same document.
 
+Only whole equal lines are matched: what a repeated passage holds of a line that is equal in part stays,
+and so does a passage whose whole lines hold fewer words than ``min_words`` (figures in the README).
+
 Groups are reduced to their first occurrence before they are joined, so no pairs within a group arise.
 
 Defined results: null and empty texts stay as they are, with 0 lines; a null doc_id comes after all
