@@ -17,6 +17,9 @@ each other.  Links within a component add nothing to it, so none is lost.
 Defined results: texts without words have an empty set and link with nothing; rows with a null doc_id
 link with nothing and have a null component; rows that share a doc_id are joined each by its own text;
 other columns of the input play no part.
+
+``join_links`` gives the links themselves: there every two classes that share a prefix shingle meet,
+within components too, so its work and its result grow with the square of a group of near copies.
 """
 
 from __future__ import annotations
@@ -405,9 +408,56 @@ def linked(members: DataFrame, sets: DataFrame, keep: Scratch, name: str) -> Dat
     return keep.keep(dealt.mapInArrow(blocks, "u long, v long"), f"{name}links")
 
 
-def join_components(docs: DataFrame, hot: int = HOT, few: int = FEW) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``."""
-    keep = Scratch(docs.sparkSession, "jaccard")
+def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, n_both) of all candidates ``pairs(hub, rep, n)`` that link, u < v, with their overlaps."""
+    rows = star_blocks(pairs).join(_with_few(sets, pairs.select("rep").union(pairs.select("hub")).distinct()), "rep").select("block", "part", "rep", "shingles")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, own, out = None, [], [], []
+
+        def close() -> None:
+            hub = key[0] if key else None
+            others = [(i, s) for i, s in zip(ids, own) if i != hub]
+            if not others:
+                return
+            tokens = np.concatenate([s for _, s in others])
+            sizes = np.array([len(s) for _, s in others])
+            at = np.repeat(np.arange(len(others)), sizes)
+            # rows may share a doc_id, so a hub may have more than one set
+            for mine in (s for i, s in zip(ids, own) if i == hub):
+                both = np.bincount(at[np.isin(tokens, mine)], minlength=len(others))
+                out.extend((min(hub, others[i][0]), max(hub, others[i][0]), int(both[i])) for i in np.flatnonzero(both >= required(len(mine), sizes)))
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["u", "v", "n_both"])
+
+        for batch in batches:
+            for block, part, rep, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if (block, part) != key:
+                    close()
+                    key, ids, own = (block, part), [], []
+                ids.append(rep)
+                own.append(np.frombuffer(data.as_buffer(), np.uint64))
+            yield given()
+            out = []
+        close()
+        yield given()
+
+    dealt = rows.repartition("block", "part").sortWithinPartitions("block", "part")
+    return dealt.mapInArrow(blocks, "u long, v long, n_both long").groupBy("u", "v").agg(F.max("n_both").alias("n_both"))
+
+
+def _candidates(rows: DataFrame, sets: DataFrame, few: int) -> DataFrame:
+    """(hub, rep, n) of the pairs of different components in ``rows(token, rep, n, component, m)`` that share a shingle and that their bitmaps do not rule out."""
+    small = rows.where(F.col("m") <= few)
+    a, b = small.select("token", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("component").alias("hc")), small.select("token", "rep", "n", "component")
+    pairs = a.join(b, "token").where((F.col("hub") < F.col("rep")) & (F.col("hc") != F.col("component")) & _fits("hn", "n")).select("hub", "rep").distinct()
+    large = rows.where(F.col("m") > few)
+    return alike(pairs, sets).union(block_pairs(token_blocks(large), large, sets)).distinct()
+
+
+def _prepared(docs: DataFrame, keep: Scratch, hot: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All rows (doc_id, n, k1, k2), the classes, the prefix shingles that classes share, and the sets of those classes."""
     docs = _ids_and_text(docs)
     bits = sketch_bits(docs)
     signed = keep.keep(signatures(docs, bits), "signed")
@@ -418,9 +468,36 @@ def join_components(docs: DataFrame, hot: int = HOT, few: int = FEW) -> DataFram
     rep = lambda a, b, n, to: classes.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("n").cast("int").alias(n), F.col("rep").alias(to))
     found = found.join(rep("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).join(rep("p1", "p2", "pn", "hub"), ["p1", "p2", "pn"])
     found = keep.keep(found.select("token", "rep", "n", "hub", "pn"), "found")
-    tried = found.where((F.col("rep") != F.col("hub")) & _fits("n", "pn")).select("hub", "rep", "n").distinct()
     # the sets of all classes that share a prefix shingle, for all rounds
     sets = keep.keep(_sets(docs, classes.join(found.select("rep").distinct(), "rep").select("rep", "k1", "k2")), "sets")
+    return signed, classes, found, sets
+
+
+def join_links(docs: DataFrame, hot: int = HOT, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+    """All links (u, v, n_both) between representatives of classes, and (doc_id, n_shingles, class_id, n_links) for each row.
+
+    ``class_id`` is the smallest doc_id with the same set, which stands for it in the links; ``n_links``
+    counts the links of that class, so copies with equal sets are not among them.
+    """
+    keep = Scratch(docs.sparkSession, "links")
+    signed, classes, found, sets = _prepared(docs, keep, hot)
+    # each class is a component of its own: all of them meet
+    placed = found.select("token", "rep", "n").distinct().withColumn("component", F.col("rep"))
+    rows = keep.keep(placed.join(placed.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "token"), "open")
+    links = keep.keep(star_links(keep.keep(_candidates(rows, sets, few), "pairs"), sets), "links")
+    for name in ("found", "sets", "open", "pairs"):
+        keep.drop(name)
+    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    members = signed.join(classes.join(degree, "rep", "left"), ["k1", "k2", "n"], "left")
+    own = F.col("doc_id").isNotNull()
+    return links, members.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("rep", "doc_id")).alias("class_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+
+
+def join_components(docs: DataFrame, hot: int = HOT, few: int = FEW) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``."""
+    keep = Scratch(docs.sparkSession, "jaccard")
+    signed, classes, found, sets = _prepared(docs, keep, hot)
+    tried = found.where((F.col("rep") != F.col("hub")) & _fits("n", "pn")).select("hub", "rep", "n").distinct()
     links = linked(star_blocks(keep.keep(alike(tried.select("hub", "rep"), sets), "stars")), sets, keep, "star-")
     groups = components(links, keep, "groups-")
     placed = found.select("token", "rep", "n").distinct().join(groups.withColumnRenamed("node", "rep"), "rep", "left")
@@ -428,12 +505,7 @@ def join_components(docs: DataFrame, hot: int = HOT, few: int = FEW) -> DataFram
     # shingles that classes of two components share
     open_ = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m")).where("a <> b")
     rows = keep.keep(placed.join(open_.select("token", "m"), "token"), "open")
-    small = rows.where(F.col("m") <= few)
-    a, b = small.select("token", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("component").alias("hc")), small.select("token", "rep", "n", "component")
-    pairs = a.join(b, "token").where((F.col("hub") < F.col("rep")) & (F.col("hc") != F.col("component")) & _fits("hn", "n")).select("hub", "rep").distinct()
-    large = rows.where(F.col("m") > few)
-    pairs = alike(pairs, sets).union(block_pairs(token_blocks(large), large, sets)).distinct()
-    more = linked(star_blocks(keep.keep(pairs, "pairs")), sets, keep, "open-")
+    more = linked(star_blocks(keep.keep(_candidates(rows, sets, few), "pairs")), sets, keep, "open-")
     if more.limit(1).count():
         groups = components(links.union(more), keep, "all-groups-")
     for name in ("found", "sets", "stars", "open", "pairs", "star-members", "open-members"):

@@ -265,6 +265,34 @@ def test_jaccard_brute_force(spark, monkeypatch, hot, few):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, brute_groups(data)))
 
 
+@pytest.mark.parametrize("hot, few", [(jaccard.HOT, jaccard.FEW), (1, 1)])
+def test_jaccard_links_brute_force(spark, monkeypatch, hot, few):
+    r = random.Random(14)
+    base = [f"t{i}" for i in range(120)]
+    data = [x for x in corpus(50) if x[0] != 904]
+    for i in range(25):  # one group of near copies, most of them linked with each other
+        near = list(base)
+        near[r.randrange(len(near))] = f"new{i}"
+        data.append((1000 + i, " ".join(near), "en", "a"))
+    data.append((1100, data[-1][1].upper(), "en", "a"))
+    monkeypatch.setattr(jaccard, "SKETCH_BITS", (16, 16))
+    monkeypatch.setattr(jaccard, "PART", 4 if few == 1 else jaccard.PART)
+    links, members = jaccard.join_links(docs_of(spark, data), hot=hot, few=few)
+    sets, first = {}, {}
+    for d, t, *_ in data:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        if d is not None:
+            first[sets[d]] = min(d, first.get(sets[d], d))
+    reps = {d: s for s, d in first.items() if s}
+    expected = {(u, v, len(reps[u] & reps[v])) for u, v in itertools.combinations(sorted(reps), 2) if 100 * len(reps[u] & reps[v]) >= 80 * len(reps[u] | reps[v])}
+    got = [tuple(x) for x in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 250
+    degree = Counter(x for u, v, _ in expected for x in (u, v))
+    own = {d: None if d is None else first[s] if s else d for d, s in sets.items()}
+    assert sorted(map(str, map(tuple, members.collect()))) == sorted(str((d, len(s), own[d], degree[own[d]])) for d, s in sets.items())
+
+
 def test_jaccard_no_rows(spark):
     assert jaccard.join_components(docs_of(spark, [(1, "x", "en", "a")]).limit(0)).count() == 0
 
