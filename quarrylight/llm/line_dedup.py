@@ -1,12 +1,12 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by windows of line hashes.
 
 A line is known by its words (white space apart); lines without words play no part and stay.  The
 shortest stretches of lines of at least ``min_words`` words, from each line onwards and from each line
-backwards, are the windows; every run of that many words or more is a union of them.  Of each window
-the smallest line hash, the last of equal ones, is its fingerprint, so equal runs have fingerprints in
-common.  Positions whose fingerprint occurs elsewhere are joined; from each the windows around it
-extend the match both ways, and where a window occurs earlier, by (doc_id, line), its lines go.  The
-first occurrence stays, and so does what overlaps it in the same document.
+backwards, are the windows; every run of that many words or more is a union of them.  All windows are
+hashed as a whole, and runs are found by grouping those hashes: where a window occurs earlier, by
+(doc_id, line), its lines go.  The first occurrence stays, and so does what overlaps it in the same
+document.  Of each window the smallest line hash, the last of equal ones, is its fingerprint; windows
+whose fingerprint is nowhere else are left out before the grouping, which changes its cost only.
 
 Only whole equal lines are matched: what a repeated passage holds of a line that is equal in part stays,
 and so does a passage whose whole lines hold fewer words than ``min_words`` (figures in the README).
