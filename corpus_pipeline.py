@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages over ``documents``; counted as part of the llm subpackage.
 
-Language ID drops texts without a recognisable language, line dedup deletes later copies of long runs
+Language ID drops texts without letters, line dedup deletes later copies of long runs
 of lines, the n-gram join leaves the first document of each group of near copies, mixing takes
 documents once, twice or not at all so that sources meet their targets, and SentencePiece encodes what
 was taken.  Rows that share a doc_id stay or go together; rows with a null doc_id are never dropped as
@@ -18,12 +18,15 @@ from quarrylight.llm import jaccard, langid, line_dedup, mixing, sp_codec
 from quarrylight.llm.common import Scratch, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text's best language must have at least this share of the probability.
+#: A text's best language must have at least this share among the learned ones; with a dozen words or so nearly every text has it.
 MIN_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null, hold no letter or have no likely language; the rest are as they were."""
+    """Rejects texts that are null, hold no letter or are even between learned languages; the rest are as they were.
+
+    The score is a share among the learned languages, so texts in other languages and random letters pass.
+    """
     docs = docs.select(*COLUMNS)
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id")) | F.col("doc_id").isNull()))
     found = langid.predict(docs, model, "doc_id", "text", "lang", "source", "n_chars")
