@@ -8,7 +8,8 @@ all languages.
 
 The model is learned on a bounded sample: about ``SAMPLE`` labelled documents a language, chosen by a
 hash of doc_id, and of their words the ``WORDS`` most frequent a language; of the languages, the
-``LANGUAGES`` most frequent.  Predictions use whole texts and nothing but the text.
+``LANGUAGES`` most frequent; letter runs longer than ``PART`` are learned from in parts of that length.
+Predictions use whole texts and whole letter runs, of any length, and nothing but the text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is every text if
 nothing could be learned; of equal languages the first in code-point order wins; repeated rows give
@@ -35,8 +36,10 @@ WORDS = 60_000
 LANGUAGES = 256
 STEPS = 3
 UNKNOWN = "und"
-#: Longer letter runs are scored in parts of this length.
+#: Longer letter runs are learned from in parts of this length, and scored by ``Model.log_run``.
 PART = 24
+#: Characters of a long run whose pieces are looked up at once.
+BLOCK = 512
 #: Words that a worker remembers.
 MEMORY = 300_000
 #: The probability of a character without a piece, and the share that all pieces get evenly.
@@ -44,14 +47,20 @@ NO_PIECE, SMOOTH = 1e-7, 1e-3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def runs_of(text: str | None) -> list[str]:
+    """Lower-cased letter runs with a space in front."""
+    return [" " + w for w in _WORD.findall(text.lower())] if text else []
+
+
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased letter runs with a space in front; long ones in parts."""
+    """The letter runs, long ones in parts."""
     out = []
-    for w in _WORD.findall(text.lower()) if text else ():
-        if len(w) <= PART:
-            out.append(" " + w)
+    for w in runs_of(text):
+        if len(w) <= PART + 1:
+            out.append(w)
         else:
-            out.extend((" " if a == 0 else "") + w[a : a + PART] for a in range(0, len(w), PART))
+            out.append(w[: PART + 1])
+            out.extend(w[a : a + PART] for a in range(PART + 1, len(w), PART))
     return out
 
 
@@ -83,6 +92,30 @@ class Model:
             out[rows] = np.log(self._forward(weight, points.shape)[-1])
         return out
 
+    def log_run(self, run: str) -> np.ndarray:
+        """log P(run) for each language, for a run of any length: the recursion in blocks, its last sums scaled."""
+        pieces = load(self.path)
+        _, points = next(by_length([run]))
+        length, width = points.shape[1], pieces.longest
+        # near[k - 1]: the sum of all segmentations up to k characters before, over exp(scale)
+        near, scale = np.zeros((width, len(self.languages))), np.zeros(len(self.languages))
+        near[0] = 1
+        for a in range(0, length, BLOCK):
+            # pieces that end in this block begin up to width - 1 characters before it
+            begin, end = max(0, a - width + 1), min(a + BLOCK, length)
+            _, weight = self._edges(pieces, points[:, begin:end], self.prob)
+            into = np.zeros((end - a, *near.shape))
+            for k, w in enumerate(weight, 1):
+                first = max(a + 1, begin + k)
+                into[first - a - 1 :, k - 1] = w[0, first - k - begin :]
+            for i, edges in enumerate(into):
+                near[1:], near[0] = near[:-1].copy(), (near * edges).sum(axis=0)
+                if i % 8 == 7:
+                    top = near.max(axis=0)
+                    near /= top
+                    scale += np.log(top)
+        return scale + np.log(near[0])
+
     @staticmethod
     def _forward(weight: list[np.ndarray], shape: tuple[int, int]) -> list[np.ndarray]:
         alpha = [np.ones((shape[0], weight[0].shape[2]))]
@@ -183,19 +216,23 @@ class Scorer:
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if len(self.index) > MEMORY:
             self._clear()
-        rows = [words_of(t) for t in texts]
+        runs = [runs_of(t) for t in texts]
+        # long runs are rarely met again and not remembered
+        rows, long = [[w for w in r if len(w) <= PART + 1] for r in runs], [[w for w in r if len(w) > PART + 1] for r in runs]
         ids = [np.fromiter(map(self.index.__getitem__, r), np.int64, len(r)) for r in rows]
         if len(self.index) > len(self.logs):
             self.logs = np.concatenate([self.logs, self.model.log_words(list(islice(self.index, len(self.logs), None)))])
         best, score = [], []
-        for i in ids:
-            if not len(i):
+        for i, more in zip(ids, long):
+            if not len(i) and not more:
                 best.append(UNKNOWN)
                 score.append(0.0)
                 continue
             total = np.zeros(len(self.model.languages))
             for a in range(0, len(i), 100_000):
                 total += self.logs[i[a : a + 100_000]].sum(axis=0)
+            for run in more:
+                total += self.model.log_run(run)
             share = np.exp(total - total.max())
             top = int(np.argmax(share))
             best.append(self.model.languages[top])

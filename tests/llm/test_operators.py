@@ -476,6 +476,30 @@ def test_forward_sums_all_segmentations():
         assert model.log_words([w])[0, 0] == pytest.approx(np.log(total(w)))
 
 
+def test_long_runs_are_summed_whole(monkeypatch):
+    p = load()
+    rng = np.random.default_rng(5)
+    prob = np.c_[rng.random(len(p.keys) + 1), rng.random(len(p.keys) + 1)] ** 4
+    prob[-1] = 0
+    model = langid.Model(["x", "y"], prob=prob.copy())
+    place = {p.text[i].replace("▁", " "): k for k, i in enumerate(p.ids)}
+
+    def log_total(w, g):
+        alpha = [1.0]
+        for end in range(1, len(w) + 1):
+            weigh = lambda k: prob[place[w[end - k : end]], g] if w[end - k : end] in place else langid.NO_PIECE if k == 1 else 0.0
+            alpha.append(sum(alpha[end - k] * weigh(k) for k in range(1, min(end, p.longest) + 1)))
+        return np.log(alpha[-1])
+
+    for run in ("internationalisation" * 2, "thequick☃brownfoxções".replace("☃", "") * 2, "a" * 25, "日本語の文章" * 5):
+        logs = [log_total(" " + run, g) for g in (0, 1)]
+        share = 1 / (1 + np.exp(-abs(logs[0] - logs[1])))
+        for block in (7, 8, 512):
+            monkeypatch.setattr(langid, "BLOCK", block, raising=False)
+            assert langid.Scorer(model).score([run])[1][0] == pytest.approx(share, rel=1e-9)
+            assert model.log_run(" " + run) == pytest.approx(logs, rel=1e-9)
+
+
 # --- 10 -----------------------------------------------------------------------------------------
 
 BASE = {
