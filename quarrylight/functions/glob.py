@@ -1,26 +1,41 @@
 """The file pattern language, compiled on the driver to an anchored regular expression.
 
 ``*`` and ``?`` stay within a path component, ``**`` spans components, ``[...]`` is a class (``!``
-negates), ``{a,b}`` alternatives are expanded first.  A branch with a wildcard and no slash matches at
-any depth; a literal branch matches from the root.  Classes never match a slash.
+negates), ``{a,b}`` gives alternatives before all else.  An alternative with a wildcard and no slash
+matches at any depth; a literal one matches from the root.  Classes never match a slash.
+
+A pattern is first spelt with one character for each of its symbols: wildcards, braces and classes get
+characters of a private plane.  What an alternative may not hold is then a search of that spelling, and
+its regular expression a substitution in it.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, islice
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrylight.model import invalid
 
-MOST_SCALARS, MOST_DEPTH, MOST_BRANCHES = 256, 4, 64
-ESCAPABLE = set("*?[]{}!,")
+MOST_SCALARS, MOST_DEPTH, MOST_BRANCHES, MOST_SYMBOLS = 256, 4, 64, 8192
 
+# one private character for each special symbol; escaped literals and classes follow
+_STAR, _ANY, _OPEN, _CLOSE, _COMMA = map(chr, range(0xF0000, 0xF0005))
+_ESCAPED, _CLASS = 0xF1000, 0x100000
+_PLAIN = {"*": _STAR, "?": _ANY, "{": _OPEN, "}": _CLOSE, ",": _COMMA}
+_SYMBOL = re.compile(r"\\([*?\[\]{}!,])|\[((!?+)(?:\\[*?\[\]{}!,-]|[^\[\]\\/])+)\]|([*?{},])|([^\\\[\]])", re.S)
+_MEMBER = re.compile(r"(\\.|[^-\\])-(\\.|[^\\])|(\\.|.)", re.S)
 
-def _quote(c: str) -> str:
-    return c if c.isalnum() and ord(c) < 128 or ord(c) > 127 else f"\\x{{{ord(c):x}}}"
+#: Empty, "." and ".." components, negation, extended patterns, and "**" that is no component.
+_FORBIDDEN = re.compile(rf"(?:^|/)\.{{0,2}}(?:/|$)|^!|[@+!{_STAR}{_ANY}]\(|[^/]{_STAR}{_STAR}|{_STAR}{_STAR}[^/]", re.S)
+_WILD = re.compile(f"[{_STAR}{_ANY}{chr(_CLASS)}-{chr(0x10FFFF)}]")
+_PART = re.compile(f"(?P<folders>{_STAR}{_STAR}/)|(?P<all>{_STAR}{_STAR})|(?P<some>{_STAR})|(?P<one>{_ANY})|(?P<class>[{chr(_CLASS)}-{chr(0x10FFFF)}])|(?P<char>.)", re.S)
+_FIXED = {"folders": "(?:[^/]+/)*", "all": ".*", "some": "[^/]*", "one": "[^/]"}
 
 
 def _point(c: int) -> str:
@@ -48,155 +63,94 @@ class Glob:
         return test
 
 
-class _Reader:
-    def __init__(self, text: str):
-        self.text, self.at = text, 0
-
-    def done(self) -> bool:
-        return self.at >= len(self.text)
-
-    def peek(self) -> str:
-        return self.text[self.at : self.at + 1]
-
-    def next(self) -> str:
-        if self.done():
-            raise invalid("pattern ends early")
-        self.at += 1
-        return self.text[self.at - 1]
-
-
-def _class_member(r: _Reader) -> tuple[str, bool]:
-    c, escaped = r.next(), False
-    if c == "\\":
-        c, escaped = r.next(), True
-        if c not in ESCAPABLE and c != "-":
-            raise invalid("escape")
-    elif c in "[]":
-        raise invalid("class")
-    if c == "/":
-        raise invalid("slash in a class")
-    return c, escaped
+def _class_regex(body: str) -> str:
+    """A class as a regular expression without lookahead: no range of it, or of its complement, holds the slash."""
+    negated = body.startswith("!")
+    spans = []
+    for low, high, single in _MEMBER.findall(body[negated:]):
+        a, b = (ord(x[-1]) for x in ((low, high) if low else (single, single)))
+        if a > b:
+            raise invalid("descending range")
+        spans += [(x, y) for x, y in ((a, min(b, 46)), (max(a, 48), b)) if x <= y] if a <= 47 <= b else [(a, b)]
+    inside = "".join(_point(x) + (f"-{_point(y)}" if y > x else "") for x, y in spans)
+    if negated:
+        return f"[^{inside}{_point(47)}]"
+    return f"[{inside}]" if inside else "[^\\x{0}-\\x{10ffff}]"
+
+
+def _spelt(pattern: str) -> tuple[str, list[str]]:
+    """The pattern with a character for each symbol, and the regular expressions of its classes."""
+    out, classes, at = [], [], 0
+    for m in _SYMBOL.finditer(pattern):
+        if m.start() != at:
+            break
+        at = m.end()
+        escaped, body, _, special, plain = m.groups()
+        if body:
+            out.append(chr(_CLASS + len(classes)))
+            classes.append(_class_regex(body))
+        else:
+            out.append(chr(_ESCAPED + ord(escaped)) if escaped else _PLAIN[special] if special else plain)
+    if at != len(pattern):
+        raise invalid("escape or class")
+    return "".join(out), classes
 
 
-def _read_class(r: _Reader) -> tuple[bool, list[tuple[int, int]]]:
-    """After the opening bracket: negated, ranges."""
-    negated = r.peek() == "!"
-    if negated:
-        r.next()
-    ranges = []
-    while r.peek() != "]":
-        first, escaped = _class_member(r)
-        last = first
-        if (first != "-" or escaped) and r.peek() == "-" and r.text[r.at + 1 : r.at + 2] not in ("", "]"):
-            r.next()
-            last, _ = _class_member(r)
-            if last < first:
-                raise invalid("descending range")
-        ranges.append((ord(first), ord(last)))
-    r.next()
-    if not ranges:
-        raise invalid("empty class")
-    return negated, ranges
-
-
-def _expand(r: _Reader, depth: int, grouped: bool) -> list[str]:
-    done = [""]
-    while not r.done() and not (grouped and r.peek() in ",}"):
-        start, c = r.at, r.next()
-        if c == "}":
+def _alternatives(spelt: str) -> Iterator[str]:
+    """What the braces stand for, the first pair of them first."""
+    start = spelt.find(_OPEN)
+    if start < 0:
+        if _CLOSE in spelt:
             raise invalid("brace")
-        if c == "{":
-            if depth == MOST_DEPTH:
-                raise invalid("braces too deep")
-            choices, count = [], 0
-            while True:
-                part = _expand(r, depth + 1, True)
-                if "" in part:
-                    raise invalid("empty alternative")
-                choices += part
-                count += 1
-                if len(choices) > MOST_BRANCHES:
-                    raise invalid("too many alternatives")
-                if r.next() == "}":
-                    break
-            if count < 2:
-                raise invalid("single alternative")
-        else:
-            if c == "\\":
-                r.next()
-            elif c == "[":
-                _read_class(r)
-            choices = [r.text[start : r.at]]
-        if len(done) * len(choices) > MOST_BRANCHES:
-            raise invalid("too many alternatives")
-        done = [a + b for a in done for b in choices]
-    return done
-
-
-def _class_regex(negated: bool, ranges: list[tuple[int, int]]) -> str:
-    # a range over the slash is split around it, so that no lookahead is needed
-    parts = []
-    for a, b in ranges:
-        for x, y in ((a, min(b, 46)), (max(a, 48), b)) if a <= 47 <= b else ((a, b),):
-            if x <= y:
-                parts.append(_point(x) if x == y else f"{_point(x)}-{_point(y)}")
-    if negated:
-        return "[^" + "".join(parts) + _point(47) + "]"
-    return "[" + "".join(parts) + "]" if parts else "[^\\x{0}-\\x{10ffff}]"
-
-
-def _branch(branch: str) -> tuple[str, str]:
-    """A regular expression and the literal text that every match starts with."""
-    if not branch or branch[0] in "/!" or branch[-1] == "/" or ":" in branch or any(s in ("", ".", "..") for s in branch.split("/")):
-        raise invalid("branch")
-    out, literal, wild, r = [], [], False, _Reader(branch)
-    while not r.done():
-        begin, c = r.at, r.next()
-        if c == "\\":
-            c = r.next()
-            if c not in ESCAPABLE:
-                raise invalid("escape")
-            out.append(_quote(c))
-            literal += [] if wild else [c]
-        elif c in "*?" and r.peek() == "(" or c in "@+!" and r.peek() == "(":
-            raise invalid("extended pattern")
-        elif c == "*":
-            wild = True
-            if r.peek() == "*":
-                r.next()
-                if begin > 0 and branch[begin - 1] != "/" or not r.done() and r.peek() != "/":
-                    raise invalid("** must be a component")
-                if r.done():
-                    out.append(".*")
-                else:
-                    r.next()
-                    out.append("(?:[^/]+/)*")
-            else:
-                out.append("[^/]*")
-        elif c == "?":
-            wild = True
-            out.append("[^/]")
-        elif c == "[":
-            wild = True
-            out.append(_class_regex(*_read_class(r)))
-        elif c in "]{}":
-            raise invalid("bracket")
-        else:
-            out.append(_quote(c))
-            literal += [] if wild else [c]
-    if wild and "/" not in branch and branch != "**":
-        return "(?:[^/]+/)*" + "".join(out), ""
-    return "".join(out), "".join(literal)
+        yield spelt.replace(_COMMA, ",")
+        return
+    levels = list(accumulate((c == _OPEN) - (c == _CLOSE) for c in spelt))
+    if min(levels) < 0 or levels[-1]:
+        raise invalid("brace")
+    if max(levels) > MOST_DEPTH:
+        raise invalid("braces too deep")
+    stop = levels.index(0, start)
+    cuts = [start, *(i for i in range(start, stop) if spelt[i] == _COMMA and levels[i] == 1), stop]
+    choices = [spelt[a + 1 : b] for a, b in zip(cuts, cuts[1:])]
+    if len(choices) < 2 or "" in choices:
+        raise invalid("one alternative, or an empty one")
+    for choice in choices:
+        yield from _alternatives(spelt[:start] + choice + spelt[stop + 1 :])
+
+
+def _literal(text: str) -> str:
+    return "".join(chr(ord(c) - _ESCAPED) if _ESCAPED <= ord(c) < _CLASS else c for c in text)
+
+
+def _regex(branch: str, classes: list[str]) -> str:
+    def part(m: re.Match) -> str:
+        kind = m.lastgroup
+        if kind == "class":
+            return classes[ord(m[0]) - _CLASS]
+        if kind != "char":
+            return _FIXED[kind]
+        c = _literal(m[0])
+        return c if c.isalnum() or ord(c) > 127 else _point(ord(c))
+
+    return _PART.sub(part, branch)
 
 
 def compile_glob(pattern: str) -> Glob:
     """Raises INVALID_ARGUMENT for what the language does not allow."""
-    if not isinstance(pattern, str) or not pattern.strip() or len(pattern) > MOST_SCALARS or any(ord(c) < 32 or 127 <= ord(c) < 160 or 0xD800 <= ord(c) < 0xE000 for c in pattern):
+    if not isinstance(pattern, str) or not pattern.strip() or len(pattern) > MOST_SCALARS or re.search(f"[\0-\x1f\x7f-\x9f\ud800-\udfff{chr(0xF0000)}-{chr(0x10FFFF)}]", pattern):
         raise invalid("pattern")
-    r = _Reader(pattern)
-    branches = [_branch(b) for b in _expand(r, 0, False)]
-    regex = r"(?s)\A(?:" + "|".join(b for b, _ in branches) + r")\z"
-    literals = [p for _, p in branches]
-    short = os.path.commonprefix(literals)
-    prefixes = tuple(dict.fromkeys(literals)) if len(set(literals)) <= 8 else (short,)
+    spelt, classes = _spelt(pattern)
+    branches = list(islice(_alternatives(spelt), MOST_BRANCHES + 1))
+    if len(branches) > MOST_BRANCHES or sum(map(len, branches)) > MOST_SYMBOLS:
+        raise invalid("too many alternatives")
+    if ":" in pattern or any(_FORBIDDEN.search(b) for b in branches):
+        raise invalid("alternative")
+    parts, literals = [], []
+    for b in branches:
+        wild = _WILD.search(b)
+        deep = wild and "/" not in b and b != _STAR + _STAR
+        parts.append(("(?:[^/]+/)*" if deep else "") + _regex(b, classes))
+        literals.append("" if deep else _literal(b[: wild.start()] if wild else b))
+    regex = r"(?s)\A(?:" + "|".join(parts) + r")\z"
+    prefixes = tuple(dict.fromkeys(literals)) if len(set(literals)) <= 8 else (os.path.commonprefix(literals),)
     return Glob(pattern, regex, prefixes)

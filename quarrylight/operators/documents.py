@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,44 +19,35 @@ from quarrylight.plans.paging import after
 SECTION_SCHEMA = "path string, start_line int, end_line int, start_char int, end_char int, start_offset int, end_offset int, title string"
 
 
+# A fenced block as a whole (to its closing fence or the end of the text), or a heading; lines may end in CR LF.
+_BLOCK = re.compile(
+    r"""^[ ]{0,3}(?:
+      (?P<ticks>`{3,}+)(?![^\n]*`)[^\n]*+(?:\n(?![ ]{0,3}(?P=ticks)`*[ \t]*\r?$)[^\n]*+)*+(?:\n[^\n]*+)?
+    | (?P<waves>~{3,}+)[^\n]*+(?:\n(?![ ]{0,3}(?P=waves)~*[ \t]*\r?$)[^\n]*+)*+(?:\n[^\n]*+)?
+    | \#{1,6}+(?P<title>(?:[ \t][^\n]*+)?)\r?$
+    )""",
+    re.M | re.X,
+)
+_CLOSING_MARKS = re.compile(r"(?:^|(?<=[ \t]))#+$")
+
+
 def parse_sections(content: str, most: int = SECTIONS_MOST) -> list[tuple[int, int, int, int, str]]:
     """(start_line, end_line, start, end, title) of a Markdown text; places are code points, end exclusive.
 
     Headings are one to six ``#`` after at most three spaces, then white space or the line's end; lines
     within fences are no headings.  Text before the first heading is a section without a title.
     """
-    heads: list[tuple[int, int, str]] = []
-    fence, at, number = "", 0, 0
-    for raw in content.split("\n"):
-        if at == len(content) and number:
-            break
-        number += 1
-        line = raw.removesuffix("\r")
-        body = line.lstrip(" ")
-        if body and len(line) - len(body) <= 3:
-            mark = body[0]
-            run = len(body) - len(body.lstrip(mark))
-            rest = body[run:]
-            if fence:
-                if mark == fence[0] and run >= len(fence) and not rest.strip(" \t"):
-                    fence = ""
-            elif mark in "`~" and run >= 3 and not (mark == "`" and "`" in rest):
-                fence = mark * run
-            elif mark == "#" and run <= 6 and rest[:1] in ("", " ", "\t"):
-                title = rest.strip(" \t")
-                bare = title.rstrip("#")
-                if bare != title and (not bare or bare[-1] in " \t"):
-                    title = bare.rstrip(" \t")
-                if not heads and number > 1:
-                    heads.append((1, 0, ""))
-                heads.append((number, at, title))
-                if len(heads) > most:
-                    raise QueryError("DOCUMENT_CAPACITY_EXCEEDED")
-        at += len(raw) + 1
-    heads = heads or [(1, 0, "")]
-    last = max(number, 1)
-    ends = [(h[0] - 1, h[1]) for h in heads[1:]] + [(last, len(content))]
-    return [(line, end_line, start, end, title) for (line, start, title), (end_line, end) in zip(heads, ends)]
+    found = [(m.start(), _CLOSING_MARKS.sub("", m["title"].removesuffix("\r").strip(" \t")).rstrip(" \t")) for m in _BLOCK.finditer(content) if m["title"] is not None]
+    if not found or found[0][0]:
+        found.insert(0, (0, ""))
+    if len(found) > most:
+        raise QueryError("DOCUMENT_CAPACITY_EXCEEDED")
+    starts = [start for start, _ in found]
+    ends = [*starts[1:], len(content)]
+    # a section begins on the line after the line feeds before it
+    lines = list(accumulate((content.count("\n", a, b) for a, b in zip(starts, ends)), initial=1))
+    lines[-1] += not content.endswith("\n")
+    return [(line, after_ - 1, a, b, title) for line, after_, a, b, (_, title) in zip(lines, lines[1:], starts, ends, found)]
 
 
 def sections(documents: DataFrame) -> DataFrame:
