@@ -2,21 +2,26 @@
 
 Texts with equal sets form a class and are joined once.  Shingles are ordered by an estimate of how
 many texts hold them (a table of counts by hash, of fixed size), rarest first; two sets that overlap
-enough share one among the first few, their prefix.  Candidates that share a prefix shingle are dealt
-into blocks; in a block the overlaps of all its sets are accumulated as a product of the document by
-shingle incidence with its transpose, column by column block, and pairs below the bound that follows
-from their sizes are discarded.  Before sets are moved, a bitmap of the parities of hashed shingles
-bounds the overlap of a pair from above: where two bitmaps differ, the sets do.
-
-No group is ever paired with itself as a whole.  First every class meets only the smallest one of each
+enough share one among the first few, their prefix.  Classes that share a prefix shingle are dealt
+into blocks.  Of a block's documents and n-grams the incidence matrix is multiplied with its transpose
+in sparse form: sorted by n-gram, the entries of each column block are paired and the overlaps
+accumulated; pairs below the bound that follows from their sizes are discarded.  Before texts are moved
+into blocks, a bitmap of the parities of hashed shingles bounds the overlap of a pair from above: where
+two bitmaps differ, the sets do.
+
+No group is paired with itself as a whole.  First every class meets only the smallest one of each
 prefix shingle: stars.  Then, once what is linked forms components, only classes of different components
-that still share a prefix shingle meet.  A shingle that few classes share gives its pairs; one that many
-share becomes blocks of its own, in which the classes of its largest component meet the others but not
-each other.  Links within a component add nothing to it, so none is lost.
+that still share a prefix shingle meet.  A shingle that few classes share gives its pairs.  Of one that
+many share, each part gives as many candidates as join what its bitmaps allow to be joined; where one of
+these turns out to be no link, or the shingle has several parts, every two parts meet in a block.  What
+its bitmaps still allow between components is given as pairs where it is little for its members, so that
+blocks with the same members decide each pair once; else the product is taken over those members.  So the
+rows that a block gives grow with its members, and as links within a component add nothing to it, none
+is lost.
 
 Defined results: texts without words have an empty set and link with nothing; rows with a null doc_id
 link with nothing and have a null component; rows that share a doc_id are joined each by its own text;
-other columns of the input play no part.
+an empty table gives no rows; other columns of the input play no part.
 
 ``join_links`` gives the links themselves: there every two classes that share a prefix shingle meet,
 within components too, so its work and its result grow with the square of a group of near copies.
@@ -47,14 +52,18 @@ LEVELS = 8
 HOT = 200_000
 #: Shingles of all sets of one block, about; larger stars are split.
 BLOCK = 400_000
-#: Ids that are sent to all tasks at most (8 bytes each, 16 to 32 with their keys); more are joined by a shuffle.
-BROADCAST = 500_000
+#: Bits of the table of wanted ids that goes to all tasks (8 MB at most); what it lets through is joined exactly.
+WANTED_BITS = 26
 #: Longs of a parity bitmap.
 BITMAP = 16
 #: A shingle that more open classes share than this gives blocks instead of pairs.
 FEW = 16
 #: Classes of one part of such a block, at most about; a block joins two parts.
 PART = 512
+#: A block gives its candidates as pairs, which many blocks may share, up to so many a member; more are decided in it.
+SHARED = 16
+#: Pairs of entries of one column block of a product.
+PAIRS = 1 << 22
 
 
 def required(a, b):
@@ -90,11 +99,11 @@ def sketch_bits(docs: DataFrame) -> int:
 
 
 def signatures(docs: DataFrame, bits: int) -> DataFrame:
-    """Rows (doc_id, n, k1, k2) of all documents, and rows (chunk, counts) that sum to the table of counts."""
+    """Rows (doc_id, n, k1, k2, bits) of all documents, and rows (chunk, counts) that sum to the table of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "k1", "k2", "chunk", "counts"]
-        kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "k1", "k2", "bits", "chunk", "counts"]
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.int32(), pa.binary()]
         # a task's own counts stop at 255: common shingles stay far above rare ones
         counts = np.zeros(1 << bits, np.uint8)
 
@@ -103,10 +112,11 @@ def signatures(docs: DataFrame, bits: int) -> DataFrame:
             counts[places] = np.minimum(counts[places] + more, 255)
 
         for part in _parts(batches):
-            out, held, size = [], [], 0
+            out, held, odd, size = [], [], [], 0
             for words in word_hashes(part.column(1)):
                 s = shingle_set(words, WORDS)
                 out.append((len(s), *(_class_key(s) if len(s) else (0, 0))))
+                odd.append(parities(s))
                 held.append((s >> np.uint64(64 - bits)).astype(np.int32))
                 size += len(s)
                 if size > 1 << 20:
@@ -115,12 +125,13 @@ def signatures(docs: DataFrame, bits: int) -> DataFrame:
             if held:
                 add(held)
             n = len(out)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([o[i] for o in out], pa.int64()) for i in range(3)), pa.nulls(n, kinds[4]), pa.nulls(n, kinds[5])], names)
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(odd) if n else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([o[i] for o in out], pa.int64()) for i in range(3)), maps, pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])], names)
         for i, c in enumerate(counts.reshape(-1, SKETCH_CHUNK)):
             if c.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:4]] + [pa.array([i], kinds[4]), pa.array([c.tobytes()], kinds[5])], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:5]] + [pa.array([i], kinds[5]), pa.array([c.tobytes()], kinds[6])], names)
 
-    return _ids_and_text(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, chunk int, counts binary")
+    return _ids_and_text(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bits array<long>, chunk int, counts binary")
 
 
 def sketch_table(signed: DataFrame, bits: int) -> np.ndarray:
@@ -180,46 +191,39 @@ def prefixes(docs: DataFrame, table: np.ndarray, hot: int = HOT) -> DataFrame:
 
 
 def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """Of ``prefixes`` those rows whose token another class has too: each with its token's smallest class.
+    """Of ``prefixes`` those rows whose token another class has too, each class once.
 
     One shuffle: the rows of a token are sorted by class and read in that order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "k1", "k2", "n", "p1", "p2", "pn"]
+        names = ["token", "k1", "k2", "n"]
         last = held = None  # last row read: its token, salt and class; first row of the token if not yet given out
-        pivot = None
         for batch in batches:
             token, salt, k1, k2, n = (c.to_numpy() for c in batch.columns)
             if not len(token):
                 continue
-            before = np.array([last[:4]] if last else [(token[0] ^ 1, 0, 0, 0)], np.int64)[0]
+            before = np.array([last] if last else [(token[0] ^ 1, 0, 0, 0)], np.int64)[0]
             new = np.r_[(token[0] != before[0]) | (salt[0] != before[1]), (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]
-            again = ~new & np.r_[(k1[0] == before[2]) & (k2[0] == before[3]), (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])]
-            # where each row's group begins; rows before the first beginning go on with the pivot held
+            other = ~new & ~np.r_[(k1[0] == before[2]) & (k2[0] == before[3]), (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])]
+            # where each row's group begins; rows before the first beginning belong to the row held
             begin = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
             carried = begin < 0
-            at = np.maximum(begin, 0)
-            p1, p2, pn = k1[at].copy(), k2[at].copy(), n[at].copy()
-            if carried.any():
-                p1[carried], p2[carried], pn[carried] = pivot
-            other = ~new & ~again & ~((k1 == p1) & (k2 == p2))
-            # a salted token's groups meet through their pivots, so those are given out in any case
-            lead = new & ((salt > 0) | np.isin(at, at[other & ~carried]))
-            out = [x[lead | other] for x in (token, k1, k2, n, p1, p2, pn)]
+            # a salted token's groups may hold a class each, so their first ones are given out in any case
+            lead = new & ((salt > 0) | np.isin(np.arange(len(token)), begin[other & ~carried]))
+            out = [x[lead | other] for x in (token, k1, k2, n)]
             if held is not None and (other & carried).any():
                 out = [np.r_[np.array([h], o.dtype), o] for h, o in zip(held, out)]
                 held = None
             if new.any():
                 i = int(np.flatnonzero(new)[-1])
-                pivot = (k1[i], k2[i], n[i])
-                held = None if lead[i] else (token[i], k1[i], k2[i], n[i], k1[i], k2[i], n[i])
+                held = None if lead[i] else (token[i], k1[i], k2[i], n[i])
             last = (token[-1], salt[-1], k1[-1], k2[-1])
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
 
-    dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "k1", "k2")
-    return dealt.mapInArrow(run, "token long, k1 long, k2 long, n int, p1 long, p2 long, pn int")
+    dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "k1", "k2")
+    return dealt.mapInArrow(run, "token long, k1 long, k2 long, n int")
 
 
 def _fits(a: str | Column, b: str | Column) -> Column:
@@ -234,35 +238,25 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rep, n, bits, shingles) of the classes ``nodes(rep, k1, k2)``, from the text of the class's first document."""
-    own = _with_few(docs.withColumnRenamed("doc_id", "rep"), nodes).select("rep", "text", "k1", "k2")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches, 500):
-            reps, ns, bits, sets = [], [], [], []
-            for rep, k1, k2, words in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), word_hashes(part.column(1))):
-                s = shingle_set(words, WORDS)
-                if len(s) and _class_key(s) == (k1, k2):  # rows may share a doc_id
-                    reps.append(rep)
-                    ns.append(len(s))
-                    bits.append(parities(s))
-                    sets.append(s.tobytes())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(ns, pa.int32()), lists, pa.array(sets, pa.binary())], ["rep", "n", "bits", "shingles"])
-
-    # a repeated row gives its set twice, which adds no link
-    return own.mapInArrow(run, "rep long, n int, bits array<long>, shingles binary")
-
-
-def _with_few(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` joined with ``ids`` on rep: without a shuffle of the rows while the ids are at most BROADCAST."""
-    return rows.join(F.broadcast(ids) if ids.limit(BROADCAST + 1).count() <= BROADCAST else ids, "rep")
+def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, k1, k2, text) of the classes in ``ids(rep)``: the texts of their first documents.
 
-
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    Rows may share a doc_id, so the key tells which of their texts is meant.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << WANTED_BITS))
+    wanted = ids.select("rep").distinct()
+    table = wanted.select(place("rep").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    rows = docs.where(F.col("doc_id").isNotNull()).withColumn("at", place("doc_id")).withColumn("bucket", F.bitmap_bucket_number("at"))
+    # bit b of a bucket is bit b % 8 of its byte b / 8; a bucket has 4 KB, and there are 2 ** WANTED_BITS / 32768 of them
+    here = F.expr("conv(hex(substring(bitmap, int(bitmap_bit_position(at) div 8) + 1, 1)), 16, 10)").cast("int")
+    some = rows.join(F.broadcast(table), "bucket").where(here.bitwiseAND(F.expr("shiftleft(1, int(bitmap_bit_position(at) % 8))")) != 0)
+    keys = classes.join(wanted, "rep").select("rep", "k1", "k2")
+    return some.select(F.col("doc_id").alias("rep"), "text").join(keys, "rep").select("rep", "k1", "k2", "text")
+
+
+def alike(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Of the candidates ``pairs(hub, rep)`` those that their bitmaps do not rule out, with the size n of rep."""
-    side = lambda name, p: sets.select(F.col("rep").alias(name), F.col("n").alias(f"{p}n"), F.col("bits").alias(f"{p}bits"))
+    side = lambda name, p: bits.select(F.col("rep").alias(name), F.col("n").alias(f"{p}n"), F.col("bits").alias(f"{p}bits"))
     both = pairs.join(side("hub", "h"), "hub").join(side("rep", "r"), "rep")
     apart = F.aggregate(F.zip_with("hbits", "rbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     total = (F.col("hn") + F.col("rn")).cast("long")
@@ -270,53 +264,80 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(apart <= total - 2 * least).select("hub", "rep", F.col("rn").alias("n"))
 
 
+def product(sets: list[np.ndarray], block: np.ndarray, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, overlap) of the sets that share a shingle within a block: the sparse product of incidence and transpose.
+
+    block: the block of each set.  left: the sets whose rows of the product are wanted, with all other
+    sets of their block as columns; without it, each two sets once.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    with np.errstate(over="ignore"):
+        # sets of different blocks share no column
+        columns = np.concatenate(sets) ^ np.repeat(mix(block.astype(np.uint64) + np.uint64(1)), sizes)
+    docs = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(columns, kind="stable")
+    columns, docs = columns[order], docs[order]
+    n = len(columns)
+    first = np.flatnonzero(np.r_[True, columns[1:] != columns[:-1]]) if n else np.zeros(0, np.int64)
+    ends = np.r_[first[1:], n] if n else first
+    run = np.repeat(np.arange(len(first)), ends - first)
+    # each entry meets the later ones of its column, or all of them if its row is wanted
+    if left is None:
+        from_, upto, entries = np.arange(n) + 1, ends[run], np.arange(n)
+    else:
+        entries = np.flatnonzero(left[docs])
+        from_, upto = first[run[entries]], ends[run[entries]]
+    many = upto - from_
+    entries, from_, many = entries[many > 0], from_[many > 0], many[many > 0]
+    cut = np.cumsum(many)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begin = 0
+    while begin < len(entries):
+        stop = max(begin + 1, int(np.searchsorted(cut, (cut[begin - 1] if begin else 0) + PAIRS, "right")))
+        m = many[begin:stop]
+        other = np.repeat(from_[begin:stop] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        i, j = np.repeat(docs[entries[begin:stop]], m), docs[other]
+        found, n_found = np.unique((np.minimum(i, j) if left is None else i) * len(sets) + (np.maximum(i, j) if left is None else j), return_counts=True)
+        keys, back = np.unique(np.r_[keys, found], return_inverse=True)
+        counts = np.bincount(back, np.r_[counts, n_found], len(keys)).astype(np.int64)
+        begin = stop
+    i, j = keys // len(sets), keys % len(sets)
+    return i[i != j], j[i != j], counts[i != j]
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of all sets with each other: incidence times its transpose, by column blocks."""
-    if len(sets) == 2:
-        n = len(np.intersect1d(*sets, assume_unique=True))
-        return np.array([[len(sets[0]), n], [n, len(sets[1])]])
-    tokens = np.concatenate(sets)
-    docs = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(tokens, kind="stable")
-    tokens, docs = tokens[order], docs[order]
-    column = np.cumsum(np.r_[True, tokens[1:] != tokens[:-1]]) - 1
-    shared = np.bincount(column)[column] > 1
-    docs, column = docs[shared], column[shared]
-    column = np.cumsum(np.r_[0, (column[1:] != column[:-1]).astype(np.int64)]) if len(column) else column
-    total = np.zeros((len(sets), len(sets)))
-    step = max(64, (1 << 21) // len(sets))
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        i, j = np.searchsorted(column, (a, a + step))
-        block = np.zeros((len(sets), step), np.float32)
-        block[docs[i:j], column[i:j] - a] = 1
-        total += block @ block.T
-    np.fill_diagonal(total, [len(s) for s in sets])
-    return total.astype(np.int64)
-
-
-def _spanning(ids: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a block, as many as tell its components."""
-    parent = list(range(len(ids)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
+    """Overlap counts of all sets with each other."""
+    i, j, n = product(sets, np.zeros(len(sets), np.int64))
+    total = np.diag([len(s) for s in sets])
+    total[i, j] = total[j, i] = n
+    return total
+
+
+def _spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """Which of the links (i, j) of ``ids`` tell their components."""
+    parent = {int(x): int(x) for x in ids}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
     out = []
-    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-        a, b = root(int(i)), root(int(j))
+    for k, (u, v) in enumerate(zip(ids[i].tolist(), ids[j].tolist())):
+        a, b = root(u), root(v)
         if a != b:
             parent[b] = a
-            out.append((ids[i], ids[j]))
+            out.append(k)
     return out
 
 
-def star_blocks(pairs: DataFrame) -> DataFrame:
+def star_blocks(pairs: DataFrame, keep: Scratch, name: str) -> DataFrame:
     """(block, part, rep) of the stars ``pairs(hub, rep, n)``: each hub with its members, or with some of them at a time."""
-    load = pairs.groupBy("hub").agg(F.sum("n").alias("load")).select("hub", (F.floor(F.col("load") / BLOCK) + 1).cast("int").alias("salts"))
-    members = pairs.join(load, "hub").select(F.col("hub").alias("block"), F.pmod(F.xxhash64("rep"), F.col("salts")).alias("part"), "rep")
-    hubs = load.select(F.col("hub").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("salts") - 1).cast("long"))).alias("part"), F.col("hub").alias("rep"))
+    # written, so that the join's skewed sides can be split
+    load = keep.keep(pairs.groupBy("hub").agg(F.sum("n").alias("load")).where(F.col("load") > BLOCK).select("hub", (F.floor(F.col("load") / BLOCK) + 1).cast("int").alias("salts")), f"{name}load")
+    placed = pairs.join(load, "hub", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    members = placed.select(F.col("hub").alias("block"), F.pmod(F.xxhash64("rep"), F.col("salts")).alias("part"), "rep")
+    hubs = members.select("block", "part").distinct().select("block", "part", F.col("block").alias("rep"))
     return members.union(hubs)
 
 
@@ -340,137 +361,193 @@ def token_blocks(rows: DataFrame) -> DataFrame:
     return placed.select(F.col("token").alias("block"), F.explode(F.when(F.col("component") == F.col("major"), largest).otherwise(others)).alias("part"), "rep")
 
 
-def block_pairs(members: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(hub, rep, n) of the pairs of different components in ``members(block, part, rep)`` that their bitmaps do not rule out."""
-    component = rows.select("rep", "component").distinct()
-    full = members.join(sets.select("rep", "n", "bits"), "rep").join(component, "rep").select("block", "part", "rep", "n", "component", "bits")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Sorted batches as columns of whole groups by their first ``keys`` columns, and where each group begins and ends."""
+    held: list[np.ndarray] | None = None
 
-        def close() -> pa.RecordBatch:
-            rep, n, comp = (np.array([h[i] for h in held], np.int64) for i in range(3))
-            # signed counts would be of absolute values
-            bits = np.array([h[3] for h in held], np.int64).reshape(len(held), BITMAP).view(np.uint64)
-            first, second = [], []
-            for i in range(len(held) - 1):
-                others = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-                allowed = n[i] + n[others] - 2 * required(n[i], n[others])
-                others = others[np.bitwise_count(bits[i] ^ bits[others]).sum(1) <= allowed]
-                first.append(np.full(len(others), i))
-                second.append(others)
-            a, b = np.concatenate(first).astype(np.int64), np.concatenate(second).astype(np.int64)
-            swap = rep[a] > rep[b]
-            hub, other = np.where(swap, b, a), np.where(swap, a, b)
-            return pa.RecordBatch.from_arrays([pa.array(rep[hub]), pa.array(rep[other]), pa.array(n[other].astype(np.int32))], ["hub", "rep", "n"])
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.asarray(c.flatten()).reshape(-1, BITMAP) if pa.types.is_list(c.type) else c.to_numpy() for c in batch.columns]
 
-        for batch in batches:
-            for block, part, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if (block, part) != key:
-                    if len(held) > 1:
-                        yield close()
-                    key, held = (block, part), []
-                held.append(rest)
-        if len(held) > 1:
-            yield close()
+    def bounds(held: list[np.ndarray]) -> np.ndarray:
+        new = np.zeros(len(held[0]), bool)
+        new[:1] = True
+        for k in held[:keys]:
+            new[1:] |= k[1:] != k[:-1]
+        return np.r_[np.flatnonzero(new), len(new)]
 
-    dealt = full.repartition("block", "part").sortWithinPartitions("block", "part")
-    return dealt.mapInArrow(run, "hub long, rep long, n int").distinct()
+    for batch in batches:
+        if batch.num_rows:
+            more = columns(batch)
+            held = more if held is None else [np.concatenate(x) for x in zip(held, more)]
+            at = bounds(held)
+            if len(at) > 2:
+                last = int(at[-2])
+                yield [x[:last] for x in held], at[:-1]
+                held = [x[last:] for x in held]
+    if held is not None:
+        yield held, bounds(held)
+
+
+def _allowed(rep: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, i: int) -> np.ndarray:
+    """Members after i of a block that their components and bitmaps allow it to be joined with."""
+    others = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (rep[i + 1 :] != rep[i]))
+    most = n[i] + n[others] - 2 * required(n[i], n[others])
+    return others[np.bitwise_count(bits[i] ^ bits[others]).sum(1) <= most]
+
+
+def forest(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """(token, hub, rep, n) for ``rows(token, rep, n, component, m)``: of each part of a shingle's classes, as many
+    candidates as join all that bitmaps allow to be joined; fewer than the part has classes."""
+    part = F.pmod(F.xxhash64("rep", F.lit("part")), F.ceil(F.col("m") / PART))
+    full = rows.withColumn("part", part).join(bits.select("rep", "bits"), "rep").select("token", "part", "rep", F.col("n").cast("long").alias("n"), "component", "bits")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (token, _, rep, n, component, words), at in _groups(batches, 2):
+            out: list[tuple] = []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                # signed counts would be of absolute values
+                own, size, label, odd = rep[a:b], n[a:b], component[a:b].copy(), words[a:b].view(np.uint64)
+                for i in range(b - a - 1):
+                    others = _allowed(own, size, label, odd, i)
+                    while len(others):
+                        j = others[0]
+                        u, v = (i, j) if own[i] < own[j] else (j, i)
+                        out.append((token[a], own[u], own[v], size[v]))
+                        label[label == label[j]] = label[i]
+                        others = others[label[others] != label[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], ["token", "hub", "rep", "n"])
+
+    dealt = full.repartition("token", "part").sortWithinPartitions("token", "part", "rep")
+    return dealt.mapInArrow(run, "token long, hub long, rep long, n long")
+
+
+def possible(members: DataFrame, rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """What the bitmaps of the blocks ``members(block, part, rep)`` allow between components: of a block either pairs
+    (rep, other, n), n the size of other, or, where those are many, its members (block, part, rep, component)."""
+    component = rows.select("rep", "component").distinct()
+    full = members.join(bits.select("rep", F.col("n").cast("long").alias("n"), "bits"), "rep").join(component, "rep").select("block", "part", "rep", "n", "component", "bits")
 
-def linked(members: DataFrame, sets: DataFrame, keep: Scratch, name: str) -> DataFrame:
-    """Links (u, v) within the blocks ``members(block, part, rep)``, as many as tell each block's components."""
-    members = keep.keep(members, f"{name}members")
-    rows = members.join(_with_few(sets, members.select("rep").distinct()), "rep").select("block", "part", "rep", "shingles")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (block, part, rep, n, component, words), at in _groups(batches, 2):
+            some, first, second = np.zeros(len(rep), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                odd = words[a:b].view(np.uint64)
+                found = [_allowed(rep[a:b], n[a:b], component[a:b], odd, i) for i in range(b - a - 1)]
+                if (pairs := sum(map(len, found))) <= SHARED * (b - a):
+                    if pairs:
+                        first.append(a + np.repeat(np.arange(b - a - 1), [len(x) for x in found]))
+                        second.append(a + np.concatenate(found))
+                else:
+                    for i, x in enumerate(found):
+                        some[a + i] |= len(x) > 0
+                        some[a + x] = True
+            i, j = np.concatenate(first), np.concatenate(second)
+            swap = rep[i] > rep[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            none = pa.nulls(len(i), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(rep[i]), none, pa.array(rep[j]), pa.array(n[j])], names)
+            none = pa.nulls(int(some.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[some]) for x in (block, part, rep, component)), none, none], names)
+
+    names = ["block", "part", "rep", "component", "other", "n"]
+    dealt = full.repartition("block", "part").sortWithinPartitions("block", "part", "rep")
+    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def decided(found: DataFrame, docs: DataFrame, classes: DataFrame, keep: Scratch, name: str, spanning: bool) -> DataFrame:
+    """(u, v, n_both) of what ``possible`` gave: links of its pairs, and of the blocks of its members."""
+    found = keep.keep(found, f"{name}possible")
+    pairs = keep.keep(found.where(F.col("other").isNotNull()).select(F.col("rep").alias("hub"), F.col("other").alias("rep"), "n").distinct(), f"{name}pairs")
+    links = star_links(pairs, docs, classes, keep, name)
+    members = found.where(F.col("other").isNull()).select("block", "part", "rep", "component")
+    more = keep.keep(linked(members, texts_of(docs, classes, members), stars=False, spanning=spanning), f"{name}more")
+    keep.drop(f"{name}possible")
+    keep.drop(f"{name}pairs")
+    return links.union(more)
+
+
+def linked(members: DataFrame, texts: DataFrame, stars: bool, spanning: bool) -> DataFrame:
+    """Links (u, v, n_both), u < v, within the blocks ``members(block, part, rep, component)``, by the product of each block.
+
+    stars: only those of the block's hub.  spanning: only between components, as many as tell what they join.
+    """
+    rows = members.join(texts, "rep").select("block", "part", "rep", "component", "k1", "k2", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the rows of a block follow each other; most blocks are pairs, so they are not made into frames
-        key, ids, own, out = None, [], [], []
+        key, number, size = None, 0, 0
+        held: list[tuple] = []  # (number of the block, whether it is the hub, rep, component)
+        sets: list[np.ndarray] = []
 
-        def close() -> None:
-            n = np.array([len(s) for s in own])
-            if len(own) > 1:
-                out.extend(_spanning(ids, overlaps(own) >= required(n[:, None], n[None, :])))
+        def close() -> pa.RecordBatch:
+            nonlocal held, sets, number, size
+            block, hub, rep, comp = (np.array([h[i] for h in held], np.int64) for i in range(4))
+            i, j, n = product(sets, block, hub > 0 if stars else None)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            fine = (n >= required(sizes[i], sizes[j])) & (rep[i] != rep[j])
+            if spanning and not stars:
+                fine &= comp[i] != comp[j]
+            i, j, n = i[fine], j[fine], n[fine]
+            if spanning and len(i):
+                some = _spanning(rep, i, j) if stars else _spanning(comp, i, j)
+                i, j, n = i[some], j[some], n[some]
+            held, sets, number, size = [], [], 0, 0
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j])), pa.array(n)], ["u", "v", "n_both"])
 
         for batch in batches:
-            for block, part, rep, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                if (block, part) != key:
-                    close()
-                    key, ids, own = (block, part), [], []
-                ids.append(rep)
-                own.append(np.frombuffer(data.as_buffer(), np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
-            out = []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
+            block, part, rep, comp, k1, k2 = (batch.column(i).to_numpy() for i in range(6))
+            for i, words in enumerate(word_hashes(batch.column(6))):
+                s = shingle_set(words, WORDS)
+                if not len(s) or _class_key(s) != (k1[i], k2[i]):  # rows may share a doc_id
+                    continue
+                if (block[i], part[i]) != key:
+                    if size > BLOCK:
+                        yield close()
+                    key = (block[i], part[i])
+                    number += 1
+                held.append((number, block[i] == rep[i], rep[i], comp[i]))
+                sets.append(s)
+                size += len(s)
+        if held:
+            yield close()
 
     dealt = rows.repartition("block", "part").sortWithinPartitions("block", "part")
-    return keep.keep(dealt.mapInArrow(blocks, "u long, v long"), f"{name}links")
-
+    return dealt.mapInArrow(blocks, "u long, v long, n_both long")
 
-def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, n_both) of all candidates ``pairs(hub, rep, n)`` that link, u < v, with their overlaps."""
-    rows = star_blocks(pairs).join(_with_few(sets, pairs.select("rep").union(pairs.select("hub")).distinct()), "rep").select("block", "part", "rep", "shingles")
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, own, out = None, [], [], []
-
-        def close() -> None:
-            hub = key[0] if key else None
-            others = [(i, s) for i, s in zip(ids, own) if i != hub]
-            if not others:
-                return
-            tokens = np.concatenate([s for _, s in others])
-            sizes = np.array([len(s) for _, s in others])
-            at = np.repeat(np.arange(len(others)), sizes)
-            # rows may share a doc_id, so a hub may have more than one set
-            for mine in (s for i, s in zip(ids, own) if i == hub):
-                both = np.bincount(at[np.isin(tokens, mine)], minlength=len(others))
-                out.extend((min(hub, others[i][0]), max(hub, others[i][0]), int(both[i])) for i in np.flatnonzero(both >= required(len(mine), sizes)))
-
-        def given() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["u", "v", "n_both"])
+def star_links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, keep: Scratch, name: str) -> DataFrame:
+    """(u, v, n_both) of the candidates ``pairs(hub, rep, n)`` that link."""
+    members = keep.keep(star_blocks(pairs, keep, name), f"{name}members")
+    texts = texts_of(docs, classes, members)
+    out = keep.keep(linked(members.withColumn("component", F.col("rep")), texts, stars=True, spanning=False).groupBy("u", "v").agg(F.max("n_both").alias("n_both")), f"{name}links")
+    keep.drop(f"{name}members")
+    keep.drop(f"{name}load")
+    return out
 
-        for batch in batches:
-            for block, part, rep, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                if (block, part) != key:
-                    close()
-                    key, ids, own = (block, part), [], []
-                ids.append(rep)
-                own.append(np.frombuffer(data.as_buffer(), np.uint64))
-            yield given()
-            out = []
-        close()
-        yield given()
 
-    dealt = rows.repartition("block", "part").sortWithinPartitions("block", "part")
-    return dealt.mapInArrow(blocks, "u long, v long, n_both long").groupBy("u", "v").agg(F.max("n_both").alias("n_both"))
+def _opened(found: DataFrame, groups: DataFrame, keep: Scratch, name: str) -> DataFrame:
+    """(token, rep, n, component, m) of the shingles in ``found(token, rep, n)`` that classes of two components share."""
+    placed = found.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_ = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m")).where("a <> b")
+    # written, so that the join's skewed side can be split
+    return keep.keep(placed.join(keep.keep(open_.select("token", "m"), f"{name}-tokens"), "token"), name)
 
 
-def _candidates(rows: DataFrame, sets: DataFrame, few: int) -> DataFrame:
-    """(hub, rep, n) of the pairs of different components in ``rows(token, rep, n, component, m)`` that share a shingle and that their bitmaps do not rule out."""
+def _few_pairs(rows: DataFrame, few: int) -> DataFrame:
+    """(hub, rep) of different components that share a shingle of at most ``few`` classes."""
     small = rows.where(F.col("m") <= few)
     a, b = small.select("token", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("component").alias("hc")), small.select("token", "rep", "n", "component")
-    pairs = a.join(b, "token").where((F.col("hub") < F.col("rep")) & (F.col("hc") != F.col("component")) & _fits("hn", "n")).select("hub", "rep").distinct()
-    large = rows.where(F.col("m") > few)
-    return alike(pairs, sets).union(block_pairs(token_blocks(large), large, sets)).distinct()
+    return a.join(b, "token").where((F.col("hub") < F.col("rep")) & (F.col("hc") != F.col("component")) & _fits("hn", "n")).select("hub", "rep").distinct()
 
 
-def _prepared(docs: DataFrame, keep: Scratch, hot: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """All rows (doc_id, n, k1, k2), the classes, the prefix shingles that classes share, and the sets of those classes."""
-    docs = _ids_and_text(docs)
+def _prepared(docs: DataFrame, keep: Scratch, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows (doc_id, n, k1, k2), the classes (k1, k2, n, rep, bits), and the prefix shingles that classes share."""
     bits = sketch_bits(docs)
     signed = keep.keep(signatures(docs, bits), "signed")
     table = sketch_table(signed, bits)
-    signed = signed.where(F.col("chunk").isNull()).select("doc_id", "n", "k1", "k2")
-    classes = keep.keep(signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    found = shared_prefixes(prefixes(docs, table, hot))
-    rep = lambda a, b, n, to: classes.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("n").cast("int").alias(n), F.col("rep").alias(to))
-    found = found.join(rep("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).join(rep("p1", "p2", "pn", "hub"), ["p1", "p2", "pn"])
-    found = keep.keep(found.select("token", "rep", "n", "hub", "pn"), "found")
-    # the sets of all classes that share a prefix shingle, for all rounds
-    sets = keep.keep(_sets(docs, classes.join(found.select("rep").distinct(), "rep").select("rep", "k1", "k2")), "sets")
-    return signed, classes, found, sets
+    signed = signed.where(F.col("chunk").isNull()).select("doc_id", "n", "k1", "k2", "bits")
+    classes = keep.keep(signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("bits").alias("bits")), "classes")
+    found = shared_prefixes(prefixes(docs, table, hot)).join(classes.select("k1", "k2", F.col("n").cast("int").alias("n"), "rep"), ["k1", "k2", "n"])
+    return signed, classes, keep.keep(found.select("token", "rep", "n"), "found")
 
 
 def join_links(docs: DataFrame, hot: int = HOT, few: int = FEW) -> tuple[DataFrame, DataFrame]:
@@ -480,15 +557,18 @@ def join_links(docs: DataFrame, hot: int = HOT, few: int = FEW) -> tuple[DataFra
     counts the links of that class, so copies with equal sets are not among them.
     """
     keep = Scratch(docs.sparkSession, "links")
-    signed, classes, found, sets = _prepared(docs, keep, hot)
+    docs = _ids_and_text(docs)
+    signed, classes, found = _prepared(docs, keep, hot)
     # each class is a component of its own: all of them meet
-    placed = found.select("token", "rep", "n").distinct().withColumn("component", F.col("rep"))
-    rows = keep.keep(placed.join(placed.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"), "token"), "open")
-    links = keep.keep(star_links(keep.keep(_candidates(rows, sets, few), "pairs"), sets), "links")
-    for name in ("found", "sets", "open", "pairs"):
+    rows = _opened(found.distinct(), classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0), keep, "open")
+    links = star_links(keep.keep(alike(_few_pairs(rows, few), classes), "pairs"), docs, classes, keep, "few-")
+    large = rows.where(F.col("m") > few)
+    links = links.union(decided(possible(token_blocks(large), large, classes), docs, classes, keep, "many-", spanning=False))
+    links = keep.keep(links.groupBy("u", "v").agg(F.max("n_both").alias("n_both")), "links")
+    for name in ("found", "open", "open-tokens", "pairs", "few-links", "many-links", "many-more"):
         keep.drop(name)
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    members = signed.join(classes.join(degree, "rep", "left"), ["k1", "k2", "n"], "left")
+    members = signed.join(classes.select("k1", "k2", "n", "rep").join(degree, "rep", "left"), ["k1", "k2", "n"], "left")
     own = F.col("doc_id").isNotNull()
     return links, members.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("rep", "doc_id")).alias("class_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
 
@@ -496,19 +576,34 @@ def join_links(docs: DataFrame, hot: int = HOT, few: int = FEW) -> tuple[DataFra
 def join_components(docs: DataFrame, hot: int = HOT, few: int = FEW) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``."""
     keep = Scratch(docs.sparkSession, "jaccard")
-    signed, classes, found, sets = _prepared(docs, keep, hot)
-    tried = found.where((F.col("rep") != F.col("hub")) & _fits("n", "pn")).select("hub", "rep", "n").distinct()
-    links = linked(star_blocks(keep.keep(alike(tried.select("hub", "rep"), sets), "stars")), sets, keep, "star-")
+    docs = _ids_and_text(docs)
+    signed, classes, found = _prepared(docs, keep, hot)
+    # written, so that the join's skewed side can be split
+    hubs = keep.keep(found.groupBy("token").agg(F.min(F.struct("n", "rep")).alias("hub")).select("token", F.col("hub.n").alias("pn"), F.col("hub.rep").alias("hub")), "hubs")
+    tried = found.join(hubs, "token").where((F.col("rep") != F.col("hub")) & _fits("n", "pn")).select("hub", "rep").distinct()
+    links = star_links(keep.keep(alike(tried, classes), "stars"), docs, classes, keep, "star-")
+    keep.drop("hubs")
+    keep.drop("stars")
     groups = components(links, keep, "groups-")
-    placed = found.select("token", "rep", "n").distinct().join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    # shingles that classes of two components share
-    open_ = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m")).where("a <> b")
-    rows = keep.keep(placed.join(open_.select("token", "m"), "token"), "open")
-    more = linked(star_blocks(keep.keep(_candidates(rows, sets, few), "pairs")), sets, keep, "open-")
+
+    rows = _opened(found, groups, keep, "open")
+    keep.drop("found")
+    large = rows.where(F.col("m") > few)
+    trees = keep.keep(forest(large, classes), "trees")
+    pairs = keep.keep(alike(_few_pairs(rows, few), classes).union(trees.select("hub", "rep", F.col("n").cast("int"))).distinct(), "pairs")
+    more = star_links(pairs, docs, classes, keep, "open-")
+    links = links.union(more)
     if more.limit(1).count():
-        groups = components(links.union(more), keep, "all-groups-")
-    for name in ("found", "sets", "stars", "open", "pairs", "star-members", "open-members"):
+        groups = components(links, keep, "more-groups-")
+
+    # shingles that are not yet settled: of several parts, or with a candidate that is no link
+    failed = trees.join(more.select(F.col("u").alias("hub"), F.col("v").alias("rep")), ["hub", "rep"], "left_anti").select("token")
+    unsettled = large.where(F.col("m") > PART).select("token").union(failed).distinct()
+    rest = _opened(large.join(unsettled, "token", "left_semi").select("token", "rep", "n"), groups, keep, "rest")
+    last = decided(possible(token_blocks(rest), rest, classes), docs, classes, keep, "rest-", spanning=True)
+    if last.limit(1).count():
+        groups = components(links.union(last), keep, "all-groups-")
+    for name in ("open", "open-tokens", "trees", "pairs", "rest", "rest-tokens"):
         keep.drop(name)
     of = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(of, ["k1", "k2", "n"], "left")
