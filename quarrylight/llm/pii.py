@@ -3,11 +3,13 @@
 Each proposal starts with the score of its pattern.  A passed checksum raises it, a failed one drops
 the span; words near the span that name its kind raise it, words that name another use lower it.
 Spans of the four base kinds (email, ip, card, phone) are exactly those of the base rules and always
-stay.  The method adds spans of the kinds ``iban`` (mod 97), ``ssn`` and ``phone_local``, and shorter
-card numbers (13 to 15 digits, Luhn), where the score reaches ``MIN_SCORE``.
+stay.  The method adds spans of the kinds ``iban`` (mod 97), ``ssn`` and ``phone_local``, shorter card numbers
+(13 to 15 digits, Luhn) and ``secret`` (keys and tokens), where the score reaches ``MIN_SCORE``; an added
+span that overlaps one before it, in the order of kinds, is left out.
 
-Defined results: a null text counts as empty and gives no span; texts are read whole; repeated rows
-give repeated results; other columns of the input play no part.
+Defined results: a null text counts as empty and gives no span; texts are read whole, in time that grows
+with their length; repeated rows give repeated results; an empty table gives no rows; other columns of
+the input play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import read
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "card_short", "phone_local")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "card_short", "phone_local", "secret")
 BASE_KINDS = KINDS[:4]
 MIN_SCORE = 0.6
 #: Characters on either side of a span in which context words count.
@@ -37,6 +39,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b")
 _SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 _PHONE_LOCAL = re.compile(r"(?<![\w+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w.-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?![A-Za-z0-9+/_-])")
 _HINT = re.compile(r"[0-9@]")
 
 #: kind: (score of the pattern, gain of a passed checksum, words for it, words against it)
@@ -45,6 +48,7 @@ RULES = {
     "ssn": (0.35, 0.0, re.compile(r"ssn|social security|sozialversicherung|s[eé]curit[eé] sociale", re.I), re.compile(r"isbn|order|invoice|version", re.I)),
     "card_short": (0.3, 0.2, re.compile(r"card|karte|carte|tarjeta|visa|amex|credit", re.I), re.compile(r"order|invoice|isbn|tracking|serial", re.I)),
     "phone_local": (0.4, 0.0, re.compile(r"phone|tel|call|mobile|fax|t[eé]l[eé]phone|anruf|llam", re.I), re.compile(r"order|invoice|isbn|version|serial", re.I)),
+    "secret": (0.0, 0.35, re.compile(r"(?:token|secret|passw(?:or)?d|pwd|credentials?|(?:api|access|private|auth)[ _-]?key)[\"']?\s{0,4}[:=]\s{0,4}[\"']?$", re.I), None),
 }
 
 
@@ -80,6 +84,11 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def mixed(key: str) -> bool:
+    """Letters and digits in turn, as keys have them: not a word, not a number."""
+    return len(re.findall(r"[0-9]+", key)) >= 3 and any(c.isalpha() for c in key)
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of the four base kinds; code points, end exclusive."""
     out = {k: [] for k in BASE_KINDS}
@@ -101,7 +110,9 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 def _score(kind: str, text: str, start: int, end: int, checked: bool) -> float:
     score, gain, good, bad = RULES[kind]
-    near = text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]
+    before = text[max(0, start - CONTEXT) : start]
+    # what makes a key a secret stands right in front of it
+    near = before if kind == "secret" else before + " " + text[end : end + CONTEXT]
     return score + gain * checked + 0.3 * bool(good.search(near)) - 0.3 * bool(bad and bad.search(near))
 
 
@@ -110,12 +121,15 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
     out = {k: [] for k in KINDS[4:]}
     if not _HINT.search(text):
         return out
-    taken = sorted(s for spans in base.values() for s in spans)
+    taken = bytearray(len(text))
+    for spans in base.values():
+        for a, b in spans:
+            taken[a:b] = b"\1" * (b - a)
 
     def add(kind: str, start: int, end: int, checked: bool) -> None:
-        if _score(kind, text, start, end, checked) >= MIN_SCORE and not any(a < end and start < b for a, b in taken):
+        if _score(kind, text, start, end, checked) >= MIN_SCORE and taken.find(1, start, end) < 0:
             out[kind].append((start, end))
-            taken.append((start, end))
+            taken[start:end] = b"\1" * (end - start)
 
     for m in _IBAN.finditer(text):
         # a greedy match may run on into a following capital word: the longest checked prefix counts
@@ -135,6 +149,9 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
     for m in _PHONE_LOCAL.finditer(text):
         if 8 <= sum(c.isdigit() for c in m[0]) <= 12:
             add("phone_local", *m.span(), False)
+    for m in _SECRET.finditer(text):
+        if mixed(m[0]):
+            add("secret", *m.span(), True)
     return out
 
 
@@ -142,7 +159,7 @@ def spans_line(spans: dict[str, list[tuple[int, int]]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in sorted(spans.get(k, ())))
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def find_private(docs: DataFrame) -> DataFrame:
@@ -157,8 +174,8 @@ def find_private(docs: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 more = added_spans(text, base)
                 digest = hashlib.sha256(spans_line(base).encode()).hexdigest()
-                rows.append((doc_id, *(len(base[k]) for k in BASE_KINDS), digest, spans_line(base | more), sum(map(len, more.values()))))
-            types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
+                rows.append((doc_id, *(len(base[k]) for k in BASE_KINDS), digest, spans_line(base | more), (n := sum(map(len, more.values()))), n + sum(map(len, base.values()))))
+            types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, SCHEMA)
