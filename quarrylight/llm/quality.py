@@ -2,19 +2,23 @@
 
 Native: only DataFrame functions.  The texts are read once; what follows works on a table of counts.
 For each language and source a minimum-covariance-determinant estimate is fitted to the transformed
-statistics of the documents that pass the base rules: from a start of medians and quartiles,
-concentration steps take the mean and covariance of the ``SUPPORT`` share of documents nearest to the
-estimate before.  Groups under ``MIN_GROUP`` documents use the estimate of their language, those of
-small languages the one of all documents; where that is small too, the base rules alone decide.
-Documents whose robust squared distance exceeds ``CUTOFF`` are rejected.
-
-Each estimate's covariance gets a variance on its diagonal: a statistic that is the same in nearly all
+statistics of the documents that pass the base rules.  From three starts (medians with quartile ranges,
+and the scatter of hyperbolic tangents and of spatial signs about them) concentration steps take the mean
+and covariance of the ``SUPPORT`` share of documents nearest to the estimate before, until no determinant
+of any group falls any more; of the starts that with the least determinant is kept.  Groups under
+``MIN_GROUP`` documents use the estimate of their language, those of small languages the one of all
+documents, which are fitted only where such groups exist; where that is small too, the base rules alone
+decide.  Documents whose robust squared distance exceeds ``CUTOFF`` are rejected.
+
+The estimate is regularised: to the consistent covariance a variance is added on the diagonal, and it is
+the determinant of the sum that falls with each step.  For a statistic that is the same in nearly all
 documents of a group must not make slight deviations outliers.  It is the mean, over the group, of what
 a single symbol, repeated line or repeated window (``resolution``) changes in the square of the
 statistic, and of the squared standard error of the mean length of words; never more than ``FLOOR`` squared.
 
 Defined results: a null text has no words and fails the base rules; null languages or sources form
-groups of their own; repeated rows give repeated results; other columns of the input play no part.
+groups of their own; repeated rows give repeated results; an empty table gives no rows; texts are read
+whole; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -34,7 +38,11 @@ SUPPORT = 0.75
 CONSISTENCY = 1.486
 #: The 0.99999 quantile of chi-squared with 4 degrees of freedom.
 CUTOFF = 28.47
-C_STEPS = 4
+#: Steps end when no logarithm of a determinant falls by more than this, which they do; the bound is for what rounding may do.
+TOLERANCE = 1e-6
+C_STEPS = 60
+#: Distances are ordered by their logarithm in steps of 1 / LEVELS, so that quantiles keep some thousand counts.
+LEVELS = 4000
 MIN_GROUP = 60
 MIN_WORDS = 50
 
@@ -105,7 +113,7 @@ def _distance(rows: DataFrame) -> Column:
 
 
 def _factor(fits: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor of the covariance columns c00..c33, with the variances f0..f3 on the diagonal."""
+    """Adds the Cholesky factor of the covariance columns c00..c33, with the variances f0..f3 on the diagonal, and its log_det."""
     p = len(STATS)
     for j in range(p):
         diag = F.col(f"c{j}{j}") + F.col(f"f{j}")
@@ -117,7 +125,7 @@ def _factor(fits: DataFrame) -> DataFrame:
             for k in range(j):
                 off = off - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             fits = fits.withColumn(f"l{i}{j}", off / F.col(f"l{j}{j}"))
-    return fits
+    return fits.withColumn("log_det", 2 * sum((F.log(F.col(f"l{i}{i}")) for i in range(1, p)), F.log("l00")))
 
 
 def _levels() -> Column:
@@ -126,30 +134,59 @@ def _levels() -> Column:
     return F.array(F.to_json(F.struct(F.lit(1).alias("level"), lang, source)), F.to_json(F.struct(F.lit(2).alias("level"), lang)), F.to_json(F.struct(F.lit(3).alias("level"))))
 
 
+def _needed(rows: DataFrame, min_group: int) -> DataFrame:
+    """Keys of the groups that are large enough and that a document uses."""
+    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    keys = _levels()
+    langs = sizes.groupBy("lang").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where(F.col("least") < min_group)
+    every = langs.agg(F.min("n").alias("least")).where(F.col("least") < min_group)
+    own = sizes.where(F.col("n") >= min_group).select(keys[0].alias("key"))
+    return own.union(langs.where(F.col("n") >= min_group).select(F.to_json(F.struct(F.lit(2).alias("level"), "lang")).alias("key"))).union(every.select(F.to_json(F.struct(F.lit(3).alias("level"))).alias("key")))
+
+
+def _moments(columns: Sequence[Column]) -> list[Column]:
+    return [F.covar_pop(columns[i], columns[j]).alias(f"c{i}{j}") for i in range(len(columns)) for j in range(i + 1)]
+
+
 def fit_groups(rows: DataFrame, keep: Scratch, steps: int = C_STEPS, min_group: int = MIN_GROUP, least: Sequence[Column] | None = None) -> DataFrame:
-    """Estimates of all groups of ``min_group`` rows or more: key, n, centre and Cholesky factor.
+    """Estimates of all groups of ``min_group`` rows or more that are needed: key, n, centre, Cholesky factor and log_det.
 
     ``least`` has the squared resolution of each statistic; without it, FLOOR squared is added throughout.
+    A group may hold any share of the rows: all joins are with tables of a row for each group, written
+    first, so that they are sent to all tasks if they are small and split the rows of a key if not.
     """
     p = range(len(STATS))
-    floors = [f"f{i}" for i in p]
+    floors, order = [f"f{i}" for i in p], [(i, j) for i in p for j in range(i + 1)]
     least = [F.lit(x**2) for x in FLOOR] if least is None else least
     points = rows.select(F.explode(_levels()).alias("key"), *STATS, *(r.alias(f) for r, f in zip(least, floors)))
+    points = points.join(keep.keep(_needed(rows, min_group), "keys"), "key")
     bounds = [F.least(F.avg(f), F.lit(x**2)).alias(f) for f, x in zip(floors, FLOOR)]
-    start = points.groupBy("key").agg(F.count("*").alias("n"), *bounds, *(F.percentile(_grid(F.col(x)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, x in enumerate(STATS)))
-    start = start.where(F.col("n") >= min_group)
-    start = start.select("key", "n", *floors, *(F.col(f"q{i}")[1].alias(f"m{i}") for i in p), *((F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in range(i + 1)))
-    fits = keep.keep(_factor(start), "fit0")
+    middle = points.groupBy("key").agg(F.count("*").alias("n"), *bounds, *(F.percentile(_grid(F.col(x)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, x in enumerate(STATS)))
+    middle = middle.where(F.col("n") >= min_group)
+    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.sqrt(f"f{i}")).alias(f"s{i}") for i in p]
+    middle = keep.keep(middle.select("key", "n", *floors, *(F.col(f"q{i}")[1].alias(f"m{i}") for i in p), *spread), "middle")
+    scaled = points.select("key", *STATS).join(middle, "key").select("key", *((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(STATS))).toDF("key", *STATS)
+    length = F.greatest(F.sqrt(sum((F.col(x) * F.col(x) for x in STATS[1:]), F.col("x0") * F.col("x0"))), F.lit(1e-12))
+    plain = middle.select("key", F.lit(0).alias("start"), *(F.lit(float(i == j)).alias(f"c{i}{j}") for i, j in order))
+    tanh = scaled.groupBy("key").agg(*_moments([F.tanh(x) for x in STATS])).withColumn("start", F.lit(1))
+    signs = scaled.groupBy("key").agg(*_moments([len(STATS) * F.col(x) / length for x in STATS])).withColumn("start", F.lit(2))
+    starts = plain.unionByName(tanh).unionByName(signs).join(middle, "key")
+    starts = starts.select("key", "start", "n", *floors, *(f"m{i}" for i in p), *((F.col(f"c{i}{j}") * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in order))
+    fits = keep.keep(_factor(starts), "fit0")
     for step in range(1, steps + 1):
-        near = points.drop(*floors).join(fits, "key")
-        near = near.select("key", *STATS, "n", *floors, F.log1p(_distance(near)).alias("d"))
-        limit = near.groupBy("key").agg(F.percentile(F.ceil(F.col("d") * 500) / 500, SUPPORT).alias("limit"))
-        half = near.join(limit, "key").where(F.col("d") <= F.col("limit"))
-        mean = half.groupBy("key").agg(
-            F.first("n").alias("n"), *(F.first(f).alias(f) for f in floors), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)), *(F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i in p for j in range(i + 1))
-        )
-        fits = keep.keep(_factor(mean), f"fit{step}")
-    return fits
+        rated = points.drop(*floors).join(fits, "key").select("key", "start", *STATS, F.log1p(_distance(points)).alias("d"))
+        limit = rated.groupBy("key", "start").agg(F.percentile(F.ceil(F.col("d") * LEVELS) / LEVELS, SUPPORT).alias("limit"))
+        fits = keep.keep(fits.join(limit, ["key", "start"]), f"limit{step}")
+        near = points.drop(*floors).join(fits, "key").where(F.log1p(_distance(points)) <= F.col("limit"))
+        means = near.groupBy("key", "start").agg(F.first("n").alias("n"), *(F.first(f).alias(f) for f in floors), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)), *_moments([F.col(x) for x in STATS]), F.first("log_det").alias("before"))
+        fits = keep.keep(_factor(means.withColumns({f"c{i}{j}": CONSISTENCY * F.col(f"c{i}{j}") for i, j in order})), f"fit{step}")
+        keep.drop(f"limit{step}")
+        # the first step may raise a determinant: what the starts scatter is no covariance of a share of the rows
+        if step > 1 and not fits.where(F.col("before") - F.col("log_det") > TOLERANCE).limit(1).count():
+            break
+    names = [c for c in fits.columns if c not in ("key", "before")]
+    best = fits.groupBy("key").agg(F.min_by(F.struct(*names), F.struct("log_det", "start")).alias("best"))
+    return keep.keep(best.select("key", "best.*"), "fits")
 
 
 def judged(counts: DataFrame, keep: Scratch, cutoff: float = CUTOFF, **fit: int) -> DataFrame:
@@ -163,8 +200,7 @@ def judged(counts: DataFrame, keep: Scratch, cutoff: float = CUTOFF, **fit: int)
         side = fits.select(F.col("key").alias(f"k{level}"), F.struct(*names).alias(f"f{level}"))
         out = out.join(side, f"k{level}", "left")
     out = out.select(*rows.columns, F.coalesce("f1", "f2", "f3").alias("f")).select(*rows.columns, "f.*")
-    distance = _distance(out) / CONSISTENCY
-    out = out.withColumn("distance", F.when(~F.col("base_failed"), distance))
+    out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance(out)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).drop(*names)
 
 
