@@ -1,21 +1,26 @@
-"""Line dedup by windows of line hashes.
+"""Line dedup by winnowing over line hashes.
 
 A line is known by its words (white space apart); lines without words play no part and stay.  The
 shortest stretches of lines of at least ``min_words`` words, from each line onwards and from each line
-backwards, are the windows; every run of that many words or more is a union of them.  All windows are
-hashed as a whole, and runs are found by grouping those hashes: where a window occurs earlier, by
-(doc_id, line), its lines go.  The first occurrence stays, and so does what overlaps it in the same
-document.  Of each window the smallest line hash, the last of equal ones, is its fingerprint; windows
-whose fingerprint is nowhere else are left out before the grouping, which changes its cost only.
+backwards, are the windows; every run of that many words or more is a union of them.  Of each window the
+smallest line hash, the last of equal ones, is its fingerprint: equal windows have equal fingerprints at
+equal places.  Positions whose fingerprint is nowhere else are left out.  The others are joined with the
+first position of the same fingerprint from which a match extends over the whole window both ways, back
+to its first line and on to its last (hashes of what lies before and after the fingerprint are equal).
+Where there is an earlier one, by (doc_id, line), the window's lines go.  The first occurrence stays, and
+so does what overlaps it in the same document.
 
 Only whole equal lines are matched: what a repeated passage holds of a line that is equal in part stays,
 and so does a passage whose whole lines hold fewer words than ``min_words`` (figures in the README).
 
-Groups are reduced to their first occurrence before they are joined, so no pairs within a group arise.
+Positions are reduced to the first of each match before they are joined, so no pairs within a group
+arise; both tables of such firsts are written, so that a join splits the side of a very common line.
 
 Defined results: null and empty texts stay as they are, with 0 lines; a null doc_id comes after all
 others; rows that share doc_id and text are one document and get the same result; rows that share only
-doc_id are ordered by a hash of the text; other columns of the input pass through ``dedup_documents``.
+doc_id are ordered by a hash of the text; texts of any length are read whole; an empty table gives no
+rows; other columns of the input, whatever their names, pass through ``dedup_documents``, but for
+n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -66,10 +71,10 @@ def windows(counts: list[int], min_words: int) -> set[tuple[int, int]]:
 
 
 def _positions(rows: DataFrame, min_words: int) -> DataFrame:
-    """Windows of all documents: key, fingerprint with its position, hash, first and last line."""
+    """Windows of all documents: key, fingerprint with its position, hashes of what is before and after it, first and last line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "text_hash", "fp", "fp_at", "h1", "h2", "first", "last"]
+        names = ["doc_id", "text_hash", "fp", "fp_at", "back", "on", "first", "last"]
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
@@ -79,13 +84,14 @@ def _positions(rows: DataFrame, min_words: int) -> DataFrame:
                     hashes = [xxhash.xxh3_64_intdigest(w) - (1 << 63) for _, w, _ in lines]
                     for first, last in windows([n for _, _, n in lines], min_words):
                         at = min(range(first, last + 1), key=lambda i: (hashes[i], -i))
-                        whole = xxhash.xxh3_128_digest(b"\n".join(w for _, w, _ in lines[first : last + 1]))
-                        h1, h2 = (int.from_bytes(whole[i : i + 8], "little", signed=True) for i in (0, 8))
-                        out.append((doc_id, text_hash, hashes[at], at, h1, h2, first, last))
+                        # the number of lines on a side is the seed of its hash
+                        back = xxhash.xxh3_64_intdigest(b"\n".join(w for _, w, _ in lines[first:at]), 1 + at - first) - (1 << 63)
+                        on = xxhash.xxh3_64_intdigest(b"\n".join(w for _, w, _ in lines[at + 1 : last + 1]), 1 + last - at) - (1 << 63)
+                        out.append((doc_id, text_hash, hashes[at], at, back, on, first, last))
                 kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
-    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, fp long, fp_at int, h1 long, h2 long, first int, last int")
+    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, fp long, fp_at int, back long, on long, first int, last int")
 
 
 def _order(position: str) -> F.Column:
@@ -99,14 +105,19 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = keep.keep(_positions(rows, min_words), "windows")
     # fingerprints at two positions or more
     shared = found.groupBy("fp").agg(F.min(_order("fp_at")).alias("a"), F.max(_order("fp_at")).alias("b")).where(F.col("a") != F.col("b")).select("fp")
-    near = keep.keep(found.join(shared, "fp", "left_semi"), "near")
+    near = keep.keep(found.join(keep.keep(shared, "shared"), "fp", "left_semi"), "near")
     keep.drop("windows")
-    firsts = near.groupBy("h1", "h2").agg(F.min(_order("first")).alias("a"), F.max(_order("first")).alias("b")).where(F.col("a") != F.col("b")).drop("b")
-    later = near.withColumn("own", _order("first")).join(firsts, ["h1", "h2"])
+    keep.drop("shared")
+    match = ["fp", "back", "on"]
+    firsts = near.groupBy(*match).agg(F.min(_order("first")).alias("a"), F.max(_order("first")).alias("b")).where(F.col("a") != F.col("b")).drop("b")
+    later = near.withColumn("own", _order("first")).join(keep.keep(firsts, "firsts"), match)
     same = (F.col("own.none") == F.col("a.none")) & (F.col("own.doc_id") == F.col("a.doc_id")) & (F.col("own.text_hash") == F.col("a.text_hash"))
     later = later.where((F.col("own") != F.col("a")) & ~(same & (F.col("first") - F.col("a.at") <= F.col("last") - F.col("first"))))
     cut = F.col("first").cast("long") * F.lit(1 << 32) + F.col("last").cast("long")
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(cut).alias("cuts"))
+    cuts = keep.keep(later.groupBy("doc_id", "text_hash").agg(F.collect_set(cut).alias("cuts")), "cuts")
+    keep.drop("near")
+    keep.drop("firsts")
+    return cuts
 
 
 def without(text: str, cuts: list[int]) -> tuple[str, int]:
@@ -120,11 +131,16 @@ def without(text: str, cuts: list[int]) -> tuple[str, int]:
 
 def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the later repeated runs gone from text; adds n_lines and n_removed (long)."""
-    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
-    runs = repeated_runs(keyed, min_words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "cuts")
-    joined = keyed.join(runs, keyed["doc_id"].eqNullSafe(runs["__id"]) & (keyed["text_hash"] == runs["__hash"]), "left").drop("__id", "__hash", "text_hash")
+    names = [n for n in docs.columns if n not in ("n_lines", "n_removed")]
+    # by place, so that no name of the input is taken for one of these
+    rows = docs.select(*(docs[n].cast("long") if n == "doc_id" else docs[n].cast("string") if n == "text" else docs[n] for n in names)).toDF(*(f"c{i}" for i in range(len(names))))
+    at, by = names.index("text"), F.col(f"c{names.index('doc_id')}")
+    rows = rows.withColumn("hash", F.xxhash64(f"c{at}"))
+    runs = repeated_runs(rows.select(by.alias("doc_id"), F.col("hash").alias("text_hash"), F.col(f"c{at}").alias("text")), min_words)
+    runs = runs.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"), "cuts")
+    joined = rows.join(runs.withColumn("none", F.col("of").isNull()).withColumn("of", F.coalesce("of", F.lit(0))), (F.coalesce(by, F.lit(0)) == F.col("of")) & (by.isNull() == F.col("none")) & (rows["hash"] == runs["hash"]), "left")
+    joined = joined.select(*rows.columns[:-1], "cuts")
     kept = joined.drop("cuts").schema
-    at = kept.names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +158,7 @@ def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*kept.names, "n_lines", "n_removed"])
 
     schema = kept.simpleString()[7:-1] + ",n_lines:long,n_removed:long"
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).toDF(*names, "n_lines", "n_removed")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
