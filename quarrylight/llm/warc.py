@@ -9,7 +9,9 @@ that committed tasks returned are read, so lost executors and repeated tasks lea
 Of records with equal payloads of at least ``MIN_REVISIT`` bytes, those with the largest page_id are
 responses, the others revisits that refer to it.  Defined results: null html is an empty payload; rows
 that share the largest page_id are responses all; a null page_id never is the largest, and a group of
-null page_ids has only responses; null urls leave the target header out; other columns play no part.
+null page_ids has only responses; null urls leave the target header out; payloads of any length are one
+record; an empty table gives no rows; other columns play no part.  An archive that ends within a record
+or within a gzip stream is an error.
 """
 
 from __future__ import annotations
@@ -37,13 +39,16 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-L
 _CONTROL = re.compile(rb"[\x00-\x20\x7f]")
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
+def with_revisits(pages: DataFrame, keep: Scratch | None = None) -> DataFrame:
     """(page_id, url, html) to (page_id, url, html, payload_digest, refers_to)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty(F.col("html")).alias("html"))
     rows = rows.withColumn("payload_digest", F.sha1(F.encode("html", "UTF-8")))
     # the groups of copies are found on digests alone
     groups = rows.where(F.octet_length("html") >= MIN_REVISIT).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
     groups = groups.where((F.col("n") > 1) & F.col("first").isNotNull()).drop("n")
+    if keep:
+        # a table by itself: where very many pages are equal, their side of the join can be split
+        groups = keep.keep(groups, "groups")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return rows.join(groups, "payload_digest", "left").select("page_id", "url", "html", "payload_digest", refers.alias("refers_to"))
 
@@ -118,14 +123,14 @@ def inflated_records(uri: str, piece: int = 1 << 20) -> Iterator[bytes]:
     """The records of a gzip file of one or more members, read once from front to back."""
     store, path = fs.FileSystem.from_uri(uri)
     with store.open_input_stream(path, compression=None) as source:
-        inflate, held = zlib.decompressobj(31), bytearray()
+        inflate, held, within = zlib.decompressobj(31), bytearray(), False
         while True:
             data = source.read(piece)
             if not data:
                 break
             while data:
                 held += inflate.decompress(data)
-                data = inflate.unused_data
+                data, within = inflate.unused_data, not inflate.eof
                 if inflate.eof:
                     inflate = zlib.decompressobj(31)
             at = 0
@@ -133,8 +138,8 @@ def inflated_records(uri: str, piece: int = 1 << 20) -> Iterator[bytes]:
                 yield bytes(held[at:end])
                 at = end
             del held[:at]
-        if held:
-            raise ValueError(f"{uri} ends within a record")
+        if held or within:
+            raise ValueError(f"{uri} ends within a {'record' if held else 'stream'}")
 
 
 def _record_end(data: bytearray, at: int) -> int | None:
@@ -215,7 +220,7 @@ def read_archives(index: DataFrame) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = Scratch(spark, "warc")
-    paths = keep.keep(write_archives(with_revisits(read(spark, sf_dir, "pages")), keep.path("monolithic")), "paths")
+    paths = keep.keep(write_archives(with_revisits(read(spark, sf_dir, "pages"), keep), keep.path("monolithic")), "paths")
     index = keep.keep(normalise(paths, keep.path("members")), "index")
     keep.drop("monolithic")
     return read_archives(index.select("path", "offset", "length"))
