@@ -7,11 +7,15 @@ a pattern documents are then selected in the order of a seeded hash: all documen
 repetitions, and one more goes to those before the boundary, where documents that still fit are taken
 one by one.  Reruns select the same documents.
 
-Only a row for each pattern reaches the driver, ``MAX_PATTERNS`` at most (more raise an error).  The
-boundary of a pattern lies in one of up to ``BUCKETS`` hash buckets, and only that bucket is ordered.
+The flow is solved on the driver, over a row for each pattern.  Beyond ``MAX_PATTERNS`` patterns only
+those that overlap with others reach it; a source whose documents belong to no other is a flow of one
+arc, and its share is taken where the table of patterns lies.  More overlapping patterns than that raise
+an error.  The boundary of a pattern lies in one of its hash buckets, about the square root of its number
+of documents, and only that bucket is ordered.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own, last
-in order; rows that share doc_id and text are taken alike; other columns of the input play no part.
+in order; rows that share doc_id and text are taken alike; an empty table gives no rows; other columns
+of the input play no part.
 """
 
 from __future__ import annotations
@@ -29,8 +33,6 @@ WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 MAX_COPIES = 2
 MAX_PATTERNS = 10_000
-BUCKETS = 4096
-PER_BUCKET = 500
 SEED = 17
 
 
@@ -145,25 +147,21 @@ def _bucket() -> Column:
     return F.shiftright((F.shiftrightunsigned("place", 32)) * F.col("n_buckets"), 32).cast("int")
 
 
-def select(units: DataFrame, wanted: dict[tuple, int], stats: dict[tuple, tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
-    """wanted: words to take of each pattern; stats: its size and number of documents.
+def select(units: DataFrame, asked: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """asked: (pattern, size, n, wanted), the words to take of each pattern, its size and number of documents.
 
-    Returns a small table (pattern, n_buckets, whole, boundary) and, of the boundary buckets alone,
+    Returns a table (pattern, n_buckets, whole, boundary, left) and, of the boundary buckets alone,
     (pattern, place) of the documents that get one copy more than whole.
     """
-    spark = units.sparkSession
-    rows = []
-    for p, (size, n) in stats.items():
-        whole, rest = divmod(wanted.get(p, 0), size) if size else (0, 0)
-        rows.append((list(p), min(BUCKETS, -(-n // PER_BUCKET)), whole, rest))
-    asked = spark.createDataFrame(rows, "pattern array<string>, n_buckets int, whole int, rest long")
-    placed = units.join(F.broadcast(asked), "pattern")
-    sums = placed.groupBy("pattern", _bucket().alias("bucket")).agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
+    some = F.col("size") > 0
+    asked = asked.select("pattern", F.greatest(F.lit(1), F.ceil(F.sqrt("n") / 4)).cast("int").alias("n_buckets"), F.when(some, F.floor(F.col("wanted") / F.col("size"))).otherwise(0).cast("int").alias("whole"), F.when(some, F.expr("wanted % size")).otherwise(0).cast("long").alias("rest"))
+    # tables by themselves: a join with them can split the side of a source that holds very many documents
+    asked = keep.keep(asked, "asked")
+    sums = units.join(asked, "pattern").groupBy("pattern", _bucket().alias("bucket")).agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
     running = sums.withColumn("upto", F.sum("size").over(Window.partitionBy("pattern").orderBy("bucket")))
     first = running.where(F.col("upto") > F.col("rest")).groupBy("pattern").agg(F.min(F.struct("bucket", (F.col("rest") - (F.col("upto") - F.col("size"))).alias("left"))).alias("b"))
-    at = {tuple(r["pattern"]): (r["bucket"], r["left"]) for r in first.select("pattern", "b.*").collect()}
-    table = spark.createDataFrame([(p, n, w, *at.get(tuple(p), (None, 0))) for p, n, w, _ in rows], "pattern array<string>, n_buckets int, whole int, boundary int, left long")
-    edge = units.join(F.broadcast(table), "pattern").where((_bucket() == F.col("boundary")) & (F.col("left") > 0))
+    table = keep.keep(asked.join(first, "pattern", "left").select("pattern", "n_buckets", "whole", F.col("b.bucket").alias("boundary"), F.coalesce("b.left", F.lit(0)).alias("left")), "table")
+    edge = units.join(table, "pattern").where((_bucket() == F.col("boundary")) & (F.col("left") > 0))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group[group["size"] > 0].groupby("place", sort=True, as_index=False).agg({"pattern": "first", "left": "first", "size": "sum"})
@@ -184,36 +182,95 @@ def select(units: DataFrame, wanted: dict[tuple, int], stats: dict[tuple, tuple[
 
 
 def copies(rows: DataFrame, table: DataFrame, more: DataFrame) -> DataFrame:
-    """Adds ``copies`` to rows that have pattern and place; only rows of boundary buckets are shuffled."""
+    """Adds ``copies`` to rows that have pattern and place."""
     names = rows.columns
-    placed = rows.join(F.broadcast(table), "pattern").withColumn("__bucket", _bucket())
+    placed = rows.join(table, "pattern").withColumn("__bucket", _bucket())
     plain = placed.where(F.col("boundary").isNull() | (F.col("__bucket") != F.col("boundary")))
     plain = plain.select(*names, (F.col("whole") + (F.col("boundary").isNull() | (F.col("__bucket") < F.col("boundary"))).cast("int") * (F.col("boundary").isNotNull()).cast("int")).alias("copies"))
     edge = placed.where(F.col("__bucket") == F.col("boundary")).join(more.withColumn("__more", F.lit(1)), ["pattern", "place"], "left")
     return plain.unionByName(edge.select(*names, (F.col("whole") + F.coalesce("__more", F.lit(0))).alias("copies")))
 
 
+def _patterns(units: DataFrame) -> DataFrame:
+    return units.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+
+
+def _by_flow(rows: list, target: dict[str | None, float], most: int) -> list[tuple]:
+    """(pattern, size, n, wanted) of the patterns ``rows``."""
+    given = flow({tuple(r["pattern"]): r["size"] for r in rows}, {s: round(t) for s, t in target.items()}, most)
+    return [(r["pattern"], r["size"], r["n"], sum(given[tuple(r["pattern"])].values())) for r in rows]
+
+
 def plan(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MAX_COPIES) -> tuple[DataFrame, DataFrame, dict, dict]:
-    """Selection for ``units`` as of ``select``, the sizes of all sources and their targets."""
-    found = units.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    """Selection for ``units`` as of ``select``, the sizes of all sources and their targets; for at most MAX_PATTERNS patterns."""
+    found = _patterns(units).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    stats = {tuple(r["pattern"]): (r["size"], r["n"]) for r in found}
     sizes: dict[str | None, int] = defaultdict(int)
-    for p, (size, _) in stats.items():
-        for s in p:
-            sizes[s] += size
+    for r in found:
+        for s in r["pattern"]:
+            sizes[s] += r["size"]
     target = targets(dict(sizes), weights, total, most)
-    given = flow({p: size for p, (size, _) in stats.items()}, {s: round(t) for s, t in target.items()}, most)
-    table, more = select(units, {p: sum(x.values()) for p, x in given.items()}, stats)
+    asked = units.sparkSession.createDataFrame(_by_flow(found, target, most), "pattern array<string>, size long, n long, wanted long")
+    table, more = select(units, asked, Scratch(units.sparkSession, "mix"))
     return table, more, dict(sizes), target
 
 
+def shares_of(found: DataFrame, keep: Scratch, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MAX_COPIES) -> DataFrame:
+    """(source, source_size, target) of the patterns ``found``: ``targets`` as a table, for any number of sources."""
+    sources = found.select(F.explode("pattern").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("source_size"))
+    placed = keep.keep(sources.orderBy(F.asc_nulls_last("source")).withColumn("at", F.monotonically_increasing_id()), "sources")
+    # the place in the whole order: after all rows of the parts before; a row for each part
+    part = F.shiftright("at", 33)
+    counts = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, parts = 0, []
+    for p in sorted(counts):
+        parts.append((p, before))
+        before += counts[p]
+    offset = found.sparkSession.createDataFrame(parts, "part long, before long")
+    rank = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights) + 1).cast("int"))
+    rows = keep.keep(placed.withColumn("part", part).join(F.broadcast(offset), "part").select("source", "source_size", weight.alias("weight")), "weighed")
+    whole = (rows.agg(F.sum("source_size")).first()[0] or 0) * total
+    scale, closed = 0.0, -1
+    while whole:
+        above = F.col("weight") * scale > most * F.col("source_size")
+        r = rows.agg(F.count_if(above).alias("n"), F.sum(F.when(above, most * F.col("source_size"))).alias("given"), F.sum(F.when(~above, F.col("weight"))).alias("open")).first()
+        if r["n"] == closed or not r["open"]:
+            break
+        closed, scale = r["n"] if scale else -1, (whole - (r["given"] or 0)) / r["open"]
+    return rows.select("source", "source_size", F.when(F.col("weight") * scale > most * F.col("source_size"), (most * F.col("source_size")).cast("double")).otherwise(F.col("weight") * scale).alias("target"))
+
+
+def planned(units: DataFrame, keep: Scratch, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MAX_COPIES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``plan`` for any number of sources: the selection, and (source, source_size, target) as a table."""
+    found = keep.keep(_patterns(units), "patterns")
+    shares = keep.keep(shares_of(found, keep, weights, total, most), "shares")
+    if found.limit(MAX_PATTERNS + 1).count() <= MAX_PATTERNS:
+        alone = found.limit(0).withColumn("wanted", F.lit(0).cast("long"))
+        overlapping = found
+    else:
+        # a source that only one pattern has, which has only that source
+        single = found.select(F.explode("pattern").alias("source"), (F.size("pattern") == 1).alias("one")).groupBy("source").agg(F.count("*").alias("patterns"), F.bool_and("one").alias("one")).where((F.col("patterns") == 1) & F.col("one"))
+        own = F.col("pattern")[0].eqNullSafe(F.col("source"))
+        alone = found.where(F.size("pattern") == 1).join(single.select("source"), own, "left_semi").join(shares, own).select("pattern", "size", "n", F.least(F.bround("target").cast("long"), most * F.col("size")).alias("wanted"))
+        overlapping = found.join(single, (F.size("pattern") == 1) & own, "left_anti")
+    rows = overlapping.limit(MAX_PATTERNS + 1).collect()
+    if len(rows) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} overlapping membership patterns")
+    mine = {s for r in rows for s in r["pattern"]}
+    target = {r["source"]: r["target"] for r in shares.where(F.col("source").isin([s for s in mine if s is not None]) | (F.col("source").isNull() if None in mine else F.lit(False))).collect()} if mine else {}
+    flows = units.sparkSession.createDataFrame(_by_flow(rows, target, most), "pattern array<string>, size long, n long, wanted long")
+    table, more = select(units, flows.unionByName(alone), keep)
+    return table, keep.keep(more, "more"), shares
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = Scratch(spark, "mixing")
     docs = read(spark, sf_dir, "documents")
     units = keep.keep(units_of(docs, F.array(F.col("source").cast("string"))), "units")
-    table, more, sizes, target = plan(units)
-    shares = spark.createDataFrame([([s], sizes[s], target[s]) for s in sizes], "pattern array<string>, source_size long, target double")
-    out = copies(units, table, keep.keep(more, "more")).join(F.broadcast(shares), "pattern")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("pattern")[0].alias("source"))
+    table, more, shares = planned(units, keep)
+    out = copies(units, table, more).withColumn("source", F.col("pattern")[0])
+    of = shares.withColumnRenamed("source", "of")
+    out = out.join(of, F.col("source").eqNullSafe(F.col("of")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source")
