@@ -4,10 +4,13 @@ A text gets a space in front, spaces count as the vocabulary's space mark, and t
 the largest sum of the stored piece scores is taken (of equal ones, that whose last piece is longest).
 Characters without a piece go by the pieces of their UTF-8 bytes.  No piece holds a space after
 another character or a line feed, so texts are cut there without loss and each distinct cut is encoded
-once.  Decoding gives the text back exactly.
+once.  Cuts of equal length advance together; longer ones are cut into windows of equal length, which
+advance together too: from each place where the last piece before a window may end, all maxima within it
+are taken at once, and then linked from window to window.  Decoding gives the text back exactly.
 
 Defined results: a null text encodes as no pieces and decodes as the empty text; repeated rows give
-repeated results; texts are read whole; other columns of the input play no part.
+repeated results; an empty table gives no rows; texts are read whole, and words of any length in memory
+of some bytes a character; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import read
 from quarrylight.llm.pieces import MODEL, Pieces, by_length, load
 
-#: Longer cuts advance alone.
+#: Longer cuts advance in windows of this length.
 MATRIX_LENGTH = 64
+#: Windows whose maxima are taken at once.
+WINDOWS = 1024
 #: Encoded cuts that a worker remembers.
 MEMORY = 500_000
 _CUTS = re.compile(r"\n| *[^ \n]+| +")
@@ -81,37 +86,66 @@ def _together(pieces: Pieces, points: np.ndarray) -> list[bytes]:
     return out
 
 
-def _alone(pieces: Pieces, word: str) -> bytes:
-    """A long cut: the same maxima, over the pieces that occur at each place."""
-    ((_, points),) = by_length([word])
-    length, block = points.shape[1], 1 << 16
-    ending: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]
-    for a in range(0, length, block):
-        part = points[:, a : min(length, a + block + pieces.longest - 1)]
-        for k, found in enumerate(pieces.at(part), 1):
-            for i in np.flatnonzero(found[0] >= 0):
-                if i < block:
-                    ending[a + int(i) + k].append((k, int(found[0][i])))
-    best, back = [0] * (length + 1), [(1, -1)] * (length + 1)
-    for end in range(1, length + 1):
-        options = ending[end]
-        top, take = None, None
-        for k, p in reversed(options):
-            total = best[end - k] + int(pieces.scores[p])
-            if top is None or total > top:
-                top, take = total, (k, p)
-        if not options or options[0][0] != 1:
-            total = best[end - 1] + pieces.unknown
-            if top is None or total > top:
-                top, take = total, (1, -1)
-        best[end], back[end] = top, take
-    ids, start, end = [], [], length
-    while end:
-        k, p = back[end]
-        end -= k
-        ids.append(int(pieces.ids[p]) if p >= 0 else -1)
-        start.append(end)
-    return _tokens(pieces, points[0], np.array(start[::-1]), np.array(ids[::-1], np.int32), len(ids))
+def _windows(pieces: Pieces, words: list[str]) -> Iterator[bytes]:
+    """The pieces of long cuts: the maxima of ``_together``, in windows of MATRIX_LENGTH characters."""
+    reach, size, points = pieces.longest, MATRIX_LENGTH, []
+    for word in words:
+        ((_, own),) = by_length([word])
+        points.append(own[0])
+    counts = [-(-len(x) // size) for x in points]
+    # each window with the characters before it in which a piece that ends in it may begin
+    rows = np.full((sum(counts), reach + size), 0x110001, np.uint32)
+    row = 0
+    for own, n in zip(points, counts):
+        spread = np.full(reach + n * size, 0x110001, np.uint32)
+        spread[reach : reach + len(own)] = own
+        rows[row : row + n] = np.lib.stride_tricks.sliding_window_view(spread, reach + size)[::size]
+        row += n
+    starts = np.zeros(len(rows), bool)
+    starts[np.cumsum([0, *counts[:-1]])] = True
+    taken, found = np.zeros((len(rows), size), np.int8), np.zeros((len(rows), size), np.int32)
+    held = np.full(reach, _LOW)
+    for a in range(0, len(rows), WINDOWS):
+        part = rows[a : a + WINDOWS]
+        n, at = len(part), pieces.at(part)
+        gain = [np.where(p >= 0, pieces.scores[p], _LOW) for p in at]
+        gain[0] = np.where(at[0] >= 0, gain[0], pieces.unknown)
+        # best[e][:, s]: from s characters before the window to character e of the row
+        best = np.full((reach + size + 1, n, reach), 4 * _LOW)
+        for s in range(reach):
+            best[reach - s, :, s] = 0
+        for end in range(reach + 1, reach + size + 1):
+            for k in range(1, len(at) + 1):
+                np.maximum(best[end], best[end - k] + gain[k - 1][:, end - k, None], out=best[end])
+        # the maxima of whole cuts at the last places before each window, from window to window
+        into = np.zeros((n, reach), np.int64)
+        for i in range(n):
+            if starts[a + i]:
+                held = np.r_[np.int64(0), np.full(reach - 1, _LOW)]
+            into[i] = held
+            held = (best[reach + size : size : -1, i] + held).max(axis=1)
+        total = np.full((reach + size + 1, n), 4 * _LOW)
+        total[reach:0:-1] = into.T
+        for end in range(reach + 1, reach + size + 1):
+            top, take, piece = np.full(n, 8 * _LOW), np.zeros(n, np.int8), np.zeros(n, np.int32)
+            for k in range(len(at), 0, -1):
+                score = total[end - k] + gain[k - 1][:, end - k]
+                better = score > top
+                top = np.where(better, score, top)
+                take[better] = k
+                piece[better] = at[k - 1][better, end - k]
+            total[end], taken[a : a + n, end - reach - 1], found[a : a + n, end - reach - 1] = top, take, piece
+    row = 0
+    for own, n in zip(points, counts):
+        back = taken[row : row + n].reshape(-1)
+        ends, end = [], len(own)
+        while end:
+            ends.append(end)
+            end -= int(back[end - 1])
+        ends = np.array(ends[::-1])
+        piece = found[row : row + n].reshape(-1)[ends - 1]
+        yield _tokens(pieces, own, ends - back[ends - 1], np.where(piece >= 0, pieces.ids[piece], -1).astype(np.int32), len(ends))
+        row += n
 
 
 class Codec:
@@ -121,14 +155,21 @@ class Codec:
         self.pieces = load(path)
         self.known: dict[str, bytes] = {}
 
-    def encode_cuts(self, cuts: set[str]) -> None:
+    def encode_cuts(self, cuts: set[str]) -> dict[str, bytes]:
+        """Encodes what is not known; short cuts are remembered, long ones returned."""
         new = [w for w in cuts if w not in self.known]
         for rows, points in by_length(new, MATRIX_LENGTH):
             for row, ids in zip(rows, _together(self.pieces, points)):
                 self.known[new[row]] = ids
-        for w in new:
-            if len(w) > MATRIX_LENGTH:
-                self.known[w] = _alone(self.pieces, w)
+        long = [w for w in new if len(w) > MATRIX_LENGTH]
+        out, held, size = {}, [], 0
+        for w in long:
+            held.append(w)
+            size += len(w)
+            if size > WINDOWS * MATRIX_LENGTH or w is long[-1]:
+                out |= zip(held, _windows(self.pieces, held))
+                held, size = [], 0
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The piece ids of each text."""
@@ -140,8 +181,8 @@ class Codec:
             nonlocal held, size
             if len(self.known) > MEMORY:
                 self.known.clear()
-            self.encode_cuts({w for cuts in held for w in cuts})
-            get = self.known.__getitem__
+            long = self.encode_cuts({w for cuts in held for w in cuts})
+            get = (lambda w: self.known[w] if len(w) <= MATRIX_LENGTH else long[w]) if long else self.known.__getitem__
             out.extend(np.frombuffer(b"".join(map(get, cuts)), np.int32) for cuts in held)
             held, size = [], 0
 
