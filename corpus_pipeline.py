@@ -52,9 +52,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = Scratch(spark, "mix-stage")
     pattern = F.array(F.col("source").cast("string"))
     units = keep.keep(mixing.units_of(docs, pattern), "units")
-    table, more, _, _ = mixing.plan(units)
+    table, more, _ = mixing.planned(units, keep)
     rows = docs.withColumn("pattern", pattern).withColumn("place", mixing.order_of(F.col("doc_id").cast("long"), F.col("text"))).withColumn("has_words", mixing.size_of(F.col("text")) > 0)
-    taken = mixing.copies(rows, table, keep.keep(more, "more")).where(F.col("has_words") & (F.col("copies") > 0))
+    taken = mixing.copies(rows, table, more).where(F.col("has_words") & (F.col("copies") > 0))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
