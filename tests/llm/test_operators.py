@@ -385,23 +385,39 @@ def test_quality_rejects_menus_between_clean_texts(spark):
     assert all(out[d]["kept"] for d, *_ in clean + price)
 
 
-def test_quality_distances_match_numpy(spark):
+def test_quality_fit_has_the_least_determinant(spark):
     rng = np.random.default_rng(4)
-    rows = [(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(200, 4)))]
-    df = spark.createDataFrame([(*r, "en", "a") for r in rows], "doc_id long, x0 double, x1 double, x2 double, x3 double, lang string, source string")
-    fits = quality.fit_groups(df, Scratch(spark, "q"), steps=2).where(F.col("key").contains('"level":1')).first()
-    x = np.array([r[1:] for r in rows])
-    q = np.percentile(np.round(x, 3), [25, 50, 75], axis=0)
-    centre, cov = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2)
-    for _ in range(2):
-        c = cov + np.diag(np.square(quality.FLOOR))
-        y = x - centre
-        d = np.log1p(np.einsum("ij,jk,ik->i", y, np.linalg.inv(c), y))
-        near = x[d <= np.percentile(np.ceil(d * 500) / 500, 75)]
-        centre, cov = near.mean(0), np.cov(near.T, bias=True)
-    factor = np.linalg.cholesky(cov + np.diag(np.square(quality.FLOOR)))
-    assert np.allclose([fits[f"m{i}"] for i in range(4)], centre, atol=1e-9)
-    assert np.allclose([fits[f"l{i}{j}"] for i in range(4) for j in range(i + 1)], [factor[i, j] for i in range(4) for j in range(i + 1)], atol=1e-9)
+    mix = np.array([[1, 0.6, 0, 0], [0, 1, 0.5, 0], [0, 0, 1, 0.3], [0, 0, 0, 1]])
+    x = np.r_[rng.normal(size=(200, 4)) @ mix, rng.normal(size=(45, 4)) * 0.2 + [4, -4, 4, 4]]
+    df = spark.createDataFrame([(i, *map(float, v), "en", "a") for i, v in enumerate(x)], "doc_id long, x0 double, x1 double, x2 double, x3 double, lang string, source string")
+    fits = quality.fit_groups(df, Scratch(spark, "q")).collect()
+    assert len(fits) == 1  # no small group needs an estimate of its language or of all
+    fit, floor = fits[0], np.diag(np.square(quality.FLOOR))
+
+    def steps(own):
+        last, n = np.inf, 0
+        while True:
+            centre, k = x[own].mean(0), quality.CONSISTENCY * np.cov(x[own].T, bias=True) + floor
+            d = np.log1p(np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(k), x - centre))
+            if (det := np.linalg.slogdet(k)[1]) > last - 1e-9:
+                return last
+            # the determinant of the few rows of the start is none of a share of the rows
+            last, n, own = det if n else np.inf, n + 1, d <= np.percentile(np.ceil(d * quality.LEVELS) / quality.LEVELS, 100 * quality.SUPPORT)
+
+    least = min(steps(rng.choice(len(x), 5, replace=False)) for _ in range(300))
+    factor = np.array([[fit[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+    assert fit["log_det"] == pytest.approx(np.linalg.slogdet(factor @ factor.T)[1]) and fit["log_det"] <= least + 0.02
+    assert np.abs(np.array([fit[f"m{i}"] for i in range(4)]) - x[:200].mean(0)).max() < 0.25
+    # the clean rows' scatter, not that of the rows with the outliers
+    assert np.linalg.slogdet(factor @ factor.T)[1] < np.linalg.slogdet(np.cov(x.T))[1] - 1
+
+
+def test_quality_small_groups_use_larger_ones(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, rng.normal(size=4)), g, s) for i, (g, s) in enumerate([("en", "a")] * 70 + [("en", "b")] * 10 + [("de", "a")] * 20 + [("fr", None)] * 64)]
+    df = spark.createDataFrame(rows, "doc_id long, x0 double, x1 double, x2 double, x3 double, lang string, source string")
+    got = {r["key"]: r["n"] for r in quality.fit_groups(df, Scratch(spark, "q")).collect()}
+    assert got == {'{"level":1,"lang":"en","source":"a"}': 70, '{"level":1,"lang":"fr"}': 64, '{"level":2,"lang":"en"}': 80, '{"level":3}': 164}
 
 
 # --- 8 ------------------------------------------------------------------------------------------
