@@ -7,14 +7,16 @@ element stands below a dropped one, the likeliest is taken, from the leaves up.
 kept is given out block by block.
 
 The trees are trained here, on pages of many layouts that ``training_pages`` makes up from a seed, with
-known articles; no page of the corpus is used.
+known articles; no page of the corpus is used.  On some of them the names of elements mean nothing, so
+that structure and density are learned without them.
 
 Character references are decoded, white space inside a block becomes one space (a line break element
 counts as white space), blocks are trimmed, and those with text are joined by line feeds in page order.
 
 Defined results: null html is an empty page; a page without an article gives the empty text; text that
-is cut short, unclosed tags and stray end tags are read as browsers do, roughly; very long pages are
-read whole; repeated rows give repeated results; other columns of the input play no part.
+is cut short, unclosed tags and stray end tags are read as browsers do, roughly; pages of any length and
+depth are read whole, in time that grows with their length; repeated rows give repeated results; an empty
+table gives no rows; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,7 +56,8 @@ _CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "caption", "body", "ht
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_MARKUP = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 _ATTR = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop|aria-label|data-role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _STOP = re.compile(r"[.!?;:…]")
@@ -71,6 +75,8 @@ LEXICON = {
     "share": "share sharing social follow tags tag meta byline author date timestamp print rating vote hidden".split(),
 }
 _GROUPS = list(LEXICON)
+#: Places that all attribute tokens are hashed to.
+HASHES = 24
 _GROUP_OF = {t: i for i, (_, words) in enumerate(LEXICON.items()) for t in words}
 _OWN_FLAGS = {"nav": 1, "header": 2, "footer": 4, "aside": 8, "form": 16, "article": 32, "a": 64}
 _FLAG = np.array([_OWN_FLAGS.get(k, 0) for k in KIND_NAMES])
@@ -78,118 +84,169 @@ _BITS = len(_OWN_FLAGS)
 
 
 @lru_cache(maxsize=20_000)
-def _groups(attributes: str) -> int:
-    """Which lexicon groups the attributes' tokens belong to, as bits."""
-    bits = 0
+def _groups(attributes: str) -> tuple[int, int]:
+    """Which lexicon groups the attributes' tokens belong to, and which of HASHES places they fall on, as bits."""
+    bits = hashed = 0
     for value in _ATTR.findall(attributes):
         words = _TOKEN.findall(value)
         for w in [*words, "".join(words)]:
             g = _GROUP_OF.get(w.lower())
             if g is not None:
                 bits |= 1 << g
-    return bits
+        for w in words:
+            hashed |= 1 << (zlib.crc32(w.lower().encode()) % HASHES)
+    return bits, hashed
 
 
 class Tree:
     """Elements in document order, as lists; chunks: (element, block, text)."""
 
-    __slots__ = ("parent", "end", "kind", "own", "flags", "above", "chars", "stops", "words", "chunks")
+    __slots__ = ("parent", "end", "kind", "own", "flags", "above", "tokens", "under", "named", "depth", "chars", "stops", "words", "chunks")
 
     def __init__(self) -> None:
-        self.parent, self.end, self.kind, self.own, self.flags, self.above = [], [], [], [], [], []
-        self.chars, self.stops, self.words, self.chunks = [], [], [], []
+        for name in self.__slots__:
+            setattr(self, name, [])
+
+
+def tags(source: str) -> Iterator[tuple[int, int, str, str, str] | None]:
+    """(start, end, slash, name, attributes) of each tag and, with an empty name, of each comment; a single pass.
+
+    The caller may send the place to go on from.  Where quotes are never closed, they count as plain
+    characters from there on, so no place is read twice.
+    """
+    at, n, quotes = 0, len(source), True
+    while (m := _MARKUP.search(source, at)) is not None:
+        if m[2] is None:
+            mark = "-->" if m[0] == "<!--" else ">"
+            found = source.find(mark, m.end())
+            end = found + len(mark) if found >= 0 else n
+            tag = (m.start(), end, "", "", "")
+        else:
+            stop = _QUOTED.match(source, m.end()).end() if quotes else source.find(">", m.end())
+            if quotes and source[stop : stop + 1] != ">":
+                quotes = False
+                stop = source.find(">", m.end())
+            if stop < 0:  # no tag ends after this
+                return
+            end = stop + 1
+            tag = (m.start(), end, m[1], m[2].lower(), source[m.end() : stop])
+        to = yield tag
+        at = end
+        if to is not None:
+            at = to
+            yield None
+
+
+class _Open:
+    """The stack of open elements; where each name was opened last is known at once."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, name: str) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def pop(self) -> None:
+        self.at[self.names.pop()].pop()
+
+    def height(self, *names: str) -> int:
+        """Of the innermost open element with one of the names; -1 if there is none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
 
 
 def parse(source: str) -> Tree:
     t = Tree()
     parent, end, kind, own, flags, above, chars, stops, words, chunks = t.parent, t.end, t.kind, t.own, t.flags, t.above, t.chars, t.stops, t.words, t.chunks
-    names: list[str] = []
+    open_ = _Open()
     stack: list[int] = []
+    unclosed: set[str] = set()
 
     def push(name: str, attributes: str) -> None:
         up = stack[-1] if stack else -1
-        k, bits = _KIND.get(name, _INLINE), _groups(attributes) if attributes else 0
+        k = _KIND.get(name, _INLINE)
+        bits, hashed = (_groups if len(attributes) < 1000 else _groups.__wrapped__)(attributes) if attributes else (0, 0)
         parent.append(up)
         end.append(0)
         kind.append(k)
         own.append(bits)
+        t.tokens.append(hashed)
+        t.named.append(hashed != 0)
         flags.append((flags[up] if up >= 0 else 0) | int(_FLAG[k]))
         above.append((above[up] | own[up]) if up >= 0 else 0)
+        t.under.append((t.under[up] | t.tokens[up]) if up >= 0 else 0)
+        t.depth.append(len(stack))
         chars.append(0)
         stops.append(0)
         words.append(0)
         stack.append(len(parent) - 1)
-        names.append(name)
+        open_.push(name)
 
     def pop_to(height: int) -> None:
         while len(stack) > height:
             end[stack.pop()] = len(parent)
-            names.pop()
+            open_.pop()
+
+    def add(text: str) -> None:
+        if text.strip():
+            text = entities.unescape(text) if "&" in text else text
+            i = stack[-1]
+            chars[i] += len(text)
+            words[i] += text.count(" ") + 1
+            stops[i] += len(_STOP.findall(text))
+            chunks.append((i, block, text))
+        elif text:
+            chunks.append((stack[-1], block, " "))
 
     block = 0
     push("#page", "")
     at, n = 0, len(source)
-    while at <= n:
-        m = _TAG.search(source, at)
-        stop = m.start() if m else n
-        if stop > at:
-            text = source[at:stop]
-            if text.strip():
-                text = entities.unescape(text) if "&" in text else text
-                i = stack[-1]
-                chars[i] += len(text)
-                words[i] += text.count(" ") + 1
-                stops[i] += len(_STOP.findall(text))
-                chunks.append((i, block, text))
-            else:
-                chunks.append((stack[-1], block, " "))
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
-        if name is None:
+    found = tags(source)
+    for start, after, slash, name, attributes in found:
+        add(source[at:start])
+        at = after
+        if not name:
             continue
-        name = name.lower()
         if name == "br":
             chunks.append((stack[-1], block, " "))
             continue
         if name in BLOCKS:
             block += 1
-        if m[1]:
-            if name in names:
-                height = len(names) - 1 - names[::-1].index(name)
+        if slash:
+            height = open_.height(name)
+            if height >= 0:
                 pop_to(max(height, 1))
             continue
-        attributes = m[3]
         if name in RAW:
             if not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-                if name == "head" and not close:
+                close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+                if not close and name == "head":
+                    unclosed.add(name)
                     continue
                 at = close.end() if close else n
+                found.send(at)
             continue
         if name in VOID:
             continue
-        if name in _CLOSES_P and "p" in names:
-            height = len(names) - 1 - names[::-1].index("p")
-            if not any(x in ("button", "table", "td", "th") for x in names[height:]):
+        if name in _CLOSES_P:
+            height = open_.height("p")
+            if height >= 0 and open_.height("button", "table", "td", "th") < height:
                 pop_to(height)
         if name in _SAME:
-            for height in range(len(names) - 1, 0, -1):
-                if names[height] in _SAME[name]:
-                    pop_to(height)
-                    break
-                if names[height] in _LIMITS[name]:
-                    break
+            height = open_.height(*_SAME[name])
+            if height > max(0, open_.height(*_LIMITS[name] - _SAME[name])):
+                pop_to(height)
         push(name, attributes if "=" in attributes else "")
         if attributes.endswith("/") and name not in BLOCKS and name != "a":
             pop_to(len(stack) - 1)
+    add(source[at:])
     pop_to(0)
     return t
 
 
-FEATURES = [f"is_{k}" for k in KIND_NAMES] + [f"has_{g}" for g in _GROUPS] + [f"under_{g}" for g in _GROUPS] + [f"within_{k}" for k in _OWN_FLAGS] + [
-    "depth", "log_chars", "link_share", "log_elements", "chars_by_element", "stops_by_word", "words_by_part", "siblings", "place", "parent_share", "page_share", "begin", "parent_links", "parent_stops", "parent_parts", "in_text"]
+FEATURES = [f"is_{k}" for k in KIND_NAMES] + [f"has_{g}" for g in _GROUPS] + [f"under_{g}" for g in _GROUPS] + [f"within_{k}" for k in _OWN_FLAGS] + [f"token_{i}" for i in range(HASHES)] + [f"token_above_{i}" for i in range(HASHES)] + [
+    "depth", "log_chars", "link_share", "log_elements", "chars_by_element", "stops_by_word", "words_by_part", "siblings", "place", "parent_share", "page_share", "begin", "parent_links", "parent_stops", "parent_parts", "in_text", "named", "alike", "alike_share", "parent_chars", "parent_page_share", "parent_headings", "parent_named", "grand_page_share"]
 
 
 def features(trees: list[Tree]) -> np.ndarray:
@@ -199,7 +256,7 @@ def features(trees: list[Tree]) -> np.ndarray:
     cat = lambda name: np.concatenate([np.array(getattr(t, name), np.int64) for t in trees])
     n = int(sizes.sum())
     parent, end, kind = cat("parent"), cat("end") + base, cat("kind")
-    own, flags, above, chars, stops, words = (cat(x) for x in ("own", "flags", "above", "chars", "stops", "words"))
+    own, flags, above, chars, stops, words, tokens, under, named = (cat(x) for x in ("own", "flags", "above", "chars", "stops", "words", "tokens", "under", "named"))
     top = parent < 0
     parent = np.where(top, np.arange(n), parent + base)
     here = np.arange(n)
@@ -210,14 +267,9 @@ def features(trees: list[Tree]) -> np.ndarray:
 
     links = np.where(flags & _OWN_FLAGS["a"], chars, 0)
     all_chars, all_stops, all_words, all_links, parts = below(chars), below(stops), below(words), below(links), below((chars > 0).astype(np.int64))
+    headings = below((kind == KIND_NAMES.index("heading")).astype(np.int64))
     inside = end - here
-    # depth: ancestors whose subtree still runs; one step of the parent's depth at a time
-    depth = np.zeros(n)
-    up, level = parent.copy(), ~top
-    while level.any():
-        depth[level] += 1
-        level = level & (parent[up] != up)
-        up = parent[up]
+    depth = cat("depth")
     order = np.argsort(parent * 2 + (~top), kind="stable")
     order = order[~top[order]]
     first = np.r_[True, parent[order][1:] != parent[order][:-1]] if len(order) else np.zeros(0, bool)
@@ -228,6 +280,9 @@ def features(trees: list[Tree]) -> np.ndarray:
         begins = np.flatnonzero(first)
         siblings[order] = count[group]
         place[order] = (np.arange(len(order)) - begins[group]) / count[group]
+    # siblings of the same kind, with or without names like it
+    _, like, alike = np.unique((parent * 2 + top) * (2 * len(KIND_NAMES)) + 2 * kind + named, return_inverse=True, return_counts=True)
+    alike = alike[like]
     page = np.repeat(np.cumsum(sizes) - sizes, sizes)
     whole = np.maximum(all_chars[page], 1)
     upto = np.r_[0, np.cumsum(chars)]
@@ -239,10 +294,15 @@ def features(trees: list[Tree]) -> np.ndarray:
         x[:, k + len(_GROUPS) + g] = above >> g & 1
     for b in range(_BITS):
         x[:, k + 2 * len(_GROUPS) + b] = flags >> b & 1
+    k += 2 * len(_GROUPS) + _BITS
+    for i in range(HASHES):
+        x[:, k + i] = tokens >> i & 1
+        x[:, k + HASHES + i] = under >> i & 1
     share, stop_rate = all_links / np.maximum(all_chars, 1), all_stops / np.maximum(all_words, 1)
     rest = (depth, np.log1p(all_chars), share, np.log1p(inside), np.log1p(all_chars / inside), stop_rate,
             np.log1p(all_words / np.maximum(parts, 1)), np.log1p(siblings), place, all_chars / np.maximum(all_chars[parent], 1), all_chars / whole, (upto[here] - upto[page]) / whole,
-            share[parent], stop_rate[parent], np.log1p(parts[parent]), np.isin(kind[parent], _TEXT_KINDS))
+            share[parent], stop_rate[parent], np.log1p(parts[parent]), np.isin(kind[parent], _TEXT_KINDS), named, np.log1p(alike), alike / siblings,
+            np.log1p(all_chars[parent]), all_chars[parent] / whole, headings[parent], named[parent], all_chars[parent[parent]] / whole)
     for i, column in enumerate(rest):
         x[:, len(FEATURES) - len(rest) + i] = column
     return x
@@ -295,25 +355,32 @@ def extract(pages: list[str | None], model: Trees) -> list[str]:
 
 # --- training pages -------------------------------------------------------------------------------
 
+NAMELESS = 0.2
 _SYLLABLES = "an ber che den er fa go hin is ka lo men nor or pra que ri sa ti un ver wo xe ya zu éa ñi ü".split()
 
 
-def _phrase(r: random.Random, low: int, high: int) -> str:
+def _phrase(r: _Maker, low: int, high: int) -> str:
     words = ["".join(r.choice(_SYLLABLES) for _ in range(r.choice((1, 1, 2, 2, 3)))) for _ in range(r.randint(low, high))]
     return " ".join(words).capitalize() + r.choice((".", ".", ".", "!", "", "?"))
 
 
-def _names(r: random.Random, group: str) -> str:
-    word = r.choice(LEXICON[group])
+class _Maker(random.Random):
+    """Makes pages; ``nameless`` tells whether the names of a page's elements mean nothing."""
+
+    nameless = False
+
+
+def _names(r: _Maker, group: str) -> str:
+    word = "".join(r.choice(_SYLLABLES) for _ in range(3)) if r.nameless else r.choice(LEXICON[group])
     word = r.choice((word, word, f"{word}-{r.choice(('box', 'wrap', 'block', 'area', 'list', '1', 'inner'))}", f"site-{word}", f"{word}{r.randint(1, 9)}" if len(word) > 3 else word, f"js-{word} {word}"))
     return r.choice((f' class="{word}"', f' id="{word}"', f" class='{word}'", f' class={word.split()[0]}', f' class="{word}" role="{r.choice(("group", "region", "complementary"))}"'))
 
 
-def _links(r: random.Random, n: int) -> str:
+def _links(r: _Maker, n: int) -> str:
     return "".join(f'<li><a href="/{i}">{_phrase(r, 1, 3)}</a></li>' for i in range(n))
 
 
-def _junk(r: random.Random) -> str:
+def _junk(r: _Maker) -> str:
     """A piece of page that is no article."""
     kind = r.choice(("nav", "nav", "header", "footer", "side", "ad", "ad", "notice", "form", "comment", "share", "crumbs", "plain", "table"))
     text = lambda low=1, high=30: _phrase(r, low, high)
@@ -351,7 +418,7 @@ def _junk(r: random.Random) -> str:
     return f"<div><ul>{_links(r, r.randint(4, 10))}</ul></div>"
 
 
-def _article(r: random.Random) -> str:
+def _article(r: _Maker) -> str:
     """Blocks of an article; marked by the attribute data-keep on its elements that hold text."""
     k = " data-keep"
     out = [f"<h1{k}>{_phrase(r, 1, 12)}</h1>"] if r.random() < 0.8 else []
@@ -385,8 +452,10 @@ def _article(r: random.Random) -> str:
 
 def training_pages(n: int, seed: int = 11) -> list[str]:
     """Made-up pages; the elements with the attribute data-keep hold the article."""
-    r, out = random.Random(seed), []
+    r, out = _Maker(seed), []
     for _ in range(n):
+        # on some pages nothing but the structure tells what is what
+        r.nameless = r.random() < NAMELESS
         around = lambda a, b: "".join(_junk(r) for _ in range(r.randint(a, b)))
         body = _article(r)
         x = r.random()
@@ -408,7 +477,7 @@ def training_pages(n: int, seed: int = 11) -> list[str]:
 def labels_of(page: str) -> tuple[Tree, np.ndarray]:
     """The tree of a training page without its marks, and which elements are marked."""
     # the marks are read as a lexicon-free attribute: same tree, so elements correspond
-    marked = [" data-keep" in m[3] for m in _TAG.finditer(page) if m[2] and not m[1] and m[2].lower() not in RAW | VOID]
+    marked = [" data-keep" in a for _, _, slash, name, a in tags(page) if name and not slash and name not in RAW | VOID]
     t = parse(page.replace(" data-keep", ""))
     keep = np.array([True, *marked])
     if len(keep) != len(t.parent):
