@@ -14,8 +14,8 @@ UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 FILE_STATUSES = ("TEXT", "BINARY", "UNSUPPORTED_ENCODING", "UNSUPPORTED_PATH", "SYMLINK", "SUBMODULE", "LFS_POINTER")
 RELATION_FILE_STATUSES = ("ANALYZED", "OUT_OF_SCOPE", "PARSE_FAILED", "UNSUPPORTED", "TOO_LARGE")
 JOB_PHASES = ("ACCEPTED", "RUNNING", "COMPLETE", "FAILED")
-VIEWS = ("AUTO", "RAW")
-STOP_REASONS = ("COMPLETE", "LINE_BUDGET", "CONTENT_BUDGET", "SEGMENT_BUDGET")
+VIEWS = ("AUTO", "RAW", "SUMMARY")
+STOP_REASONS = ("COMPLETE", "LINE_BUDGET", "CONTENT_BUDGET", "SEGMENT_BUDGET", "WIRE_BUDGET")
 
 # Limits of the contract.
 PAGE_DEFAULT, PAGE_MOST = 20, 100
@@ -23,6 +23,8 @@ DOCUMENT_PAGE_DEFAULT, DOCUMENT_PAGE_MOST = 10, 20
 QUERY_MOST = 256
 SNIPPET_MOST, TITLE_MOST = 240, 160
 READ_LINES_DEFAULT, READ_LINES_MOST, READ_BYTES_MOST, READ_SEGMENTS_MOST = 200, 500, 65_536, 500
+RESPONSE_BYTES_MOST = 524_288
+FILE_MOST, SUMMARY_LINES = 1_048_576, 100
 RANGES_MOST = 20
 PREVIEW_CHILDREN = 12
 PAGE_BYTES = 163_840

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import paths
 from quarrylight.functions.identity import framed_sha256
 from quarrylight.functions.text import utf8_prefix, utf16_length
-from quarrylight.operators import checks, documents, extract, files, index, lifecycle
+from quarrylight.operators import checks, documents, extract, files, index, lifecycle, reading
 from quarrylight.plans.paging import after, byte_budget, page
 from quarrylight.sources import logical as L
 
@@ -144,6 +144,54 @@ def _(s, d):
     return rows.select("path", "line", utf8_prefix(F.col("text"), 90).alias("clipped"))
 
 
+# Pages of whole files: lines with their line feeds, running sums, and the cut within the line that does not fit.
+_LB = """lb AS (SELECT a.path, a.line, a.text || CASE WHEN a.line = max(a.line) OVER (PARTITION BY a.path) AND NOT f.text LIKE '%' || chr(10) THEN '' ELSE chr(10) END AS t FROM all_lines a JOIN file_rows f ON f.path = a.path),
+    b AS (SELECT path, line, t, octet_length(encode(t)) AS sz, coalesce(sum(octet_length(encode(t))) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM lb)"""
+
+
+def _chars(text: str, most: str, bound: int) -> str:
+    return f"(SELECT max(k) FROM range(0, {bound + 1}) r(k) WHERE k <= {most} AND octet_length(encode(substr({text}, 1, CAST(k AS BIGINT)))) <= {most})"
+
+
+def _page_sql(n: int, rows: str, most_lines: int, most_bytes: int) -> str:
+    return f"""x{n} AS (SELECT *, row_number() OVER w AS k, sum(sz) OVER w AS used, {most_bytes} - (sum(sz) OVER w - sz) AS rest FROM ({rows}) WINDOW w AS (PARTITION BY path ORDER BY line)),
+    o{n} AS (SELECT *, CASE WHEN k > {most_lines} AND rest >= octet_length(encode(substr(t, 1, 1))) THEN 'LINE_BUDGET' WHEN k > {most_lines} OR used > {most_bytes} THEN 'CONTENT_BUDGET' END AS over_ FROM x{n}),
+    f{n} AS (SELECT path, min(line) AS fl FROM o{n} WHERE over_ IS NOT NULL GROUP BY path),
+    p{n} AS (SELECT o.*, CASE WHEN over_ IS NULL THEN t WHEN over_ = 'CONTENT_BUDGET' AND k <= {most_lines} AND rest > 0 THEN substr(t, 1, CAST({_chars('t', 'rest', most_bytes)} AS BIGINT)) ELSE '' END AS part FROM o{n} o LEFT JOIN f{n} f ON f.path = o.path WHERE fl IS NULL OR line <= fl),
+    s{n} AS (SELECT path, max(over_) AS over_, max(CASE WHEN over_ IS NOT NULL THEN st + octet_length(encode(part)) END) AS nb, max(CASE WHEN over_ IS NOT NULL THEN line END) AS nl FROM p{n} GROUP BY path),
+    g{n} AS (SELECT path, min(st) AS sb, max(st + octet_length(encode(part))) AS eb, min(line) AS sl, max(line) AS el, string_agg(part, '' ORDER BY line) AS content, bool_or(mid) AS sm, bool_or(over_ IS NOT NULL) AS em FROM p{n} WHERE octet_length(encode(part)) > 0 GROUP BY path),
+    page{n} AS (SELECT s.path, CASE WHEN g.path IS NOT NULL THEN 'SOURCE' END AS segment, CAST(sb AS BIGINT) AS start_byte, CAST(eb AS BIGINT) AS end_byte, CAST(sl AS INTEGER) AS start_line, CAST(el AS INTEGER) AS end_line, content, sm AS starts_mid_line, em AS ends_mid_line, coalesce(over_, 'COMPLETE') AS stop_reason, CAST(nb AS BIGINT) AS next_byte, CAST(nl AS INTEGER) AS next_line FROM s{n} s LEFT JOIN g{n} g ON g.path = s.path)"""
+
+
+_PAGE1 = _page_sql(1, "SELECT *, false AS mid FROM b", 6, 900)
+_PAGE2 = _page_sql(2, f"SELECT path, line, CASE WHEN off > st THEN substr(t, 1 + CAST({_chars('t', 'off - st', 900)} AS BIGINT)) ELSE t END AS t, sz - greatest(off - st, 0) AS sz, greatest(st, off) AS st, off > st AS mid FROM (SELECT b.*, page1.next_byte AS off FROM b JOIN page1 ON page1.path = b.path WHERE next_byte IS NOT NULL AND st + sz > next_byte)", 6, 900)
+
+
+@query("q_read_source_page", f"WITH {_LB}, {_PAGE1} SELECT * FROM page1", "all_lines")
+def _(s, d):
+    f = L.file_rows(s, d, text=True).select("path", "text")
+    return reading.read_pages(f, reading.windows_of(f), max_lines=6, max_bytes=900)
+
+
+@query("q_read_source_next_page", f"WITH {_LB}, {_PAGE1}, {_PAGE2} SELECT * FROM page2", "all_lines")
+def _(s, d):
+    f = L.file_rows(s, d, text=True).select("path", "text")
+    first = reading.read_pages(f, reading.windows_of(f), max_lines=6, max_bytes=900)
+    places = first.where(F.col("next_byte").isNotNull()).select("path", F.col("next_byte").alias("offset"))
+    return reading.read_pages(f, reading.windows_of(f), places, max_lines=6, max_bytes=900)
+
+
+@query("q_read_source_summary", """WITH n AS (SELECT path, max(line) AS total FROM all_lines GROUP BY path), body AS (SELECT path, 3 AS a, 7 AS z FROM n WHERE total >= 8),
+    seg AS (SELECT path, 'ELISION' AS segment, a AS f, z AS l FROM body UNION ALL SELECT n.path, 'SOURCE', 1, coalesce(a - 1, total) FROM n LEFT JOIN body ON body.path = n.path UNION ALL SELECT n.path, 'SOURCE', z + 1, total FROM n JOIN body ON body.path = n.path),
+    t AS (SELECT seg.path, segment, f, string_agg(text || chr(10), '' ORDER BY line) AS content, sum(octet_length(encode(text)) + 1) AS n FROM seg JOIN all_lines a ON a.path = seg.path AND line BETWEEN f AND l GROUP BY seg.path, segment, f)
+    SELECT seg.path, seg.segment, CAST(seg.f AS INTEGER) AS start_line, CAST(seg.l AS INTEGER) AS end_line, CASE WHEN seg.segment = 'SOURCE' THEN rtrim(content, chr(10)) END AS content FROM seg JOIN t ON t.path = seg.path AND t.segment = seg.segment AND t.f = seg.f""", "all_lines")
+def _(s, d):
+    f = L.file_rows(s, d, text=True).select("path", "text")
+    bodies = files.line_table(f).groupBy("path").agg(F.max("line").alias("total")).where("total >= 8").select("path", F.lit(2).alias("open_line"), F.lit(8).alias("close_line"))
+    page = reading.read_pages(f, reading.windows_of(f, bodies=bodies), max_lines=500)
+    return page.select("path", "segment", "start_line", "end_line", F.regexp_replace("content", "\n+$", "").alias("content"))
+
+
 _RANGES = "SELECT CAST(l_orderkey AS VARCHAR) AS path, CAST(l_linenumber * 4 AS INTEGER) AS start_line, CAST(l_linenumber * 4 + floor(l_quantity / 8) AS INTEGER) AS end_line FROM lineitem"
 
 
