@@ -4,8 +4,9 @@ Native: only DataFrame functions.  The texts are read once; what follows works o
 For each language and source a minimum-covariance-determinant estimate is fitted to the transformed
 statistics of the documents that pass the base rules.  From three starts (medians with quartile ranges,
 and the scatter of hyperbolic tangents and of spatial signs about them) concentration steps take the mean
-and covariance of the ``SUPPORT`` share of documents nearest to the estimate before, until no determinant
-of any group falls any more; of the starts that with the least determinant is kept.  Groups under
+and covariance of the ``SUPPORT`` share of documents nearest to the estimate before.  After two steps the
+start with the least determinant is kept, and steps go on until no group's determinant falls any more, by
+more than ``TOLERANCE``.  Groups under
 ``MIN_GROUP`` documents use the estimate of their language, those of small languages the one of all
 documents, which are fitted only where such groups exist; where that is small too, the base rules alone
 decide.  Documents whose robust squared distance exceeds ``CUTOFF`` are rejected.
@@ -31,16 +32,19 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import SPACE, Scratch, read, text_or_empty
 
 STATS = ("x0", "x1", "x2", "x3")
-#: The most that is added to the standard deviation of each statistic.
-FLOOR = (0.08, 0.08, 0.12, 0.12)
+#: The most that is added to the standard deviation of each statistic, beside the consistent covariance.
+FLOOR = (0.0975, 0.0975, 0.146, 0.146)
 SUPPORT = 0.75
 #: The covariance of the nearest 75 % of a normal sample of 4 dimensions, times this, is consistent.
 CONSISTENCY = 1.486
 #: The 0.99999 quantile of chi-squared with 4 degrees of freedom.
 CUTOFF = 28.47
-#: Steps end when no logarithm of a determinant falls by more than this, which they do; the bound is for what rounding may do.
-TOLERANCE = 1e-6
+#: Steps end when no logarithm of a determinant falls below its least one so far by more than this; they do within some ten.
+#: It is above what the steps of 1 / LEVELS in the order of distances may change; C_STEPS bounds the steps in any case.
+TOLERANCE = 1e-3
 C_STEPS = 60
+#: A table of groups of at most so many rows goes to all tasks; a larger one is joined by a shuffle.
+GROUPS = 10_000
 #: Distances are ordered by their logarithm in steps of 1 / LEVELS, so that quantiles keep some thousand counts.
 LEVELS = 4000
 MIN_GROUP = 60
@@ -148,45 +152,52 @@ def _moments(columns: Sequence[Column]) -> list[Column]:
     return [F.covar_pop(columns[i], columns[j]).alias(f"c{i}{j}") for i in range(len(columns)) for j in range(i + 1)]
 
 
+def sent(groups: DataFrame) -> DataFrame:
+    """A table of a row for each group, to be sent to all tasks if it is small."""
+    return F.broadcast(groups) if groups.limit(GROUPS + 1).count() <= GROUPS else groups
+
+
 def fit_groups(rows: DataFrame, keep: Scratch, steps: int = C_STEPS, min_group: int = MIN_GROUP, least: Sequence[Column] | None = None) -> DataFrame:
     """Estimates of all groups of ``min_group`` rows or more that are needed: key, n, centre, Cholesky factor and log_det.
 
     ``least`` has the squared resolution of each statistic; without it, FLOOR squared is added throughout.
     A group may hold any share of the rows: all joins are with tables of a row for each group, written
-    first, so that they are sent to all tasks if they are small and split the rows of a key if not.
+    first, so that they are sent to all tasks if they are few and the rows of a key can be split if not.
     """
     p = range(len(STATS))
     floors, order = [f"f{i}" for i in p], [(i, j) for i in p for j in range(i + 1)]
     least = [F.lit(x**2) for x in FLOOR] if least is None else least
     points = rows.select(F.explode(_levels()).alias("key"), *STATS, *(r.alias(f) for r, f in zip(least, floors)))
-    points = points.join(keep.keep(_needed(rows, min_group), "keys"), "key")
+    points = points.join(sent(keep.keep(_needed(rows, min_group), "keys")), "key")
     bounds = [F.least(F.avg(f), F.lit(x**2)).alias(f) for f, x in zip(floors, FLOOR)]
     middle = points.groupBy("key").agg(F.count("*").alias("n"), *bounds, *(F.percentile(_grid(F.col(x)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, x in enumerate(STATS)))
     middle = middle.where(F.col("n") >= min_group)
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.sqrt(f"f{i}")).alias(f"s{i}") for i in p]
     middle = keep.keep(middle.select("key", "n", *floors, *(F.col(f"q{i}")[1].alias(f"m{i}") for i in p), *spread), "middle")
-    scaled = points.select("key", *STATS).join(middle, "key").select("key", *((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(STATS))).toDF("key", *STATS)
+    scaled = points.select("key", *STATS).join(sent(middle), "key").select("key", *((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}") for i, x in enumerate(STATS))).toDF("key", *STATS)
     length = F.greatest(F.sqrt(sum((F.col(x) * F.col(x) for x in STATS[1:]), F.col("x0") * F.col("x0"))), F.lit(1e-12))
     plain = middle.select("key", F.lit(0).alias("start"), *(F.lit(float(i == j)).alias(f"c{i}{j}") for i, j in order))
     tanh = scaled.groupBy("key").agg(*_moments([F.tanh(x) for x in STATS])).withColumn("start", F.lit(1))
     signs = scaled.groupBy("key").agg(*_moments([len(STATS) * F.col(x) / length for x in STATS])).withColumn("start", F.lit(2))
     starts = plain.unionByName(tanh).unionByName(signs).join(middle, "key")
     starts = starts.select("key", "start", "n", *floors, *(f"m{i}" for i in p), *((F.col(f"c{i}{j}") * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in order))
-    fits = keep.keep(_factor(starts), "fit0")
+    fits = keep.keep(_factor(starts).withColumn("least", F.lit(float("inf"))), "fit0")
+    names = [c for c in fits.columns if c != "key"]
     for step in range(1, steps + 1):
-        rated = points.drop(*floors).join(fits, "key").select("key", "start", *STATS, F.log1p(_distance(points)).alias("d"))
+        rated = points.drop(*floors).join(sent(fits), "key").select("key", "start", *STATS, F.log1p(_distance(points)).alias("d"))
         limit = rated.groupBy("key", "start").agg(F.percentile(F.ceil(F.col("d") * LEVELS) / LEVELS, SUPPORT).alias("limit"))
-        fits = keep.keep(fits.join(limit, ["key", "start"]), f"limit{step}")
-        near = points.drop(*floors).join(fits, "key").where(F.log1p(_distance(points)) <= F.col("limit"))
-        means = near.groupBy("key", "start").agg(F.first("n").alias("n"), *(F.first(f).alias(f) for f in floors), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)), *_moments([F.col(x) for x in STATS]), F.first("log_det").alias("before"))
-        fits = keep.keep(_factor(means.withColumns({f"c{i}{j}": CONSISTENCY * F.col(f"c{i}{j}") for i, j in order})), f"fit{step}")
+        limited = keep.keep(fits.join(limit, ["key", "start"]), f"limit{step}")
+        near = points.drop(*floors).join(sent(limited), "key").where(F.log1p(_distance(points)) <= F.col("limit"))
+        means = near.groupBy("key", "start").agg(F.first("n").alias("n"), *(F.first(f).alias(f) for f in floors), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)), *_moments([F.col(x) for x in STATS]), F.first("least").alias("least"))
+        fits = _factor(means.withColumns({f"c{i}{j}": CONSISTENCY * F.col(f"c{i}{j}") for i, j in order}))
+        fits = fits.withColumn("falls", F.col("least") - F.col("log_det") > TOLERANCE).withColumn("least", F.least("least", "log_det"))
+        if step == 2:
+            fits = fits.groupBy("key").agg(F.min_by(F.struct(*names, "falls"), F.struct("log_det", "start")).alias("best")).select("key", "best.*")
+        fits = keep.keep(fits, f"fit{step}")
         keep.drop(f"limit{step}")
-        # the first step may raise a determinant: what the starts scatter is no covariance of a share of the rows
-        if step > 1 and not fits.where(F.col("before") - F.col("log_det") > TOLERANCE).limit(1).count():
+        if step > 1 and not fits.where("falls").limit(1).count():
             break
-    names = [c for c in fits.columns if c not in ("key", "before")]
-    best = fits.groupBy("key").agg(F.min_by(F.struct(*names), F.struct("log_det", "start")).alias("best"))
-    return keep.keep(best.select("key", "best.*"), "fits")
+    return fits.drop("least", "falls")
 
 
 def judged(counts: DataFrame, keep: Scratch, cutoff: float = CUTOFF, **fit: int) -> DataFrame:
@@ -198,7 +209,7 @@ def judged(counts: DataFrame, keep: Scratch, cutoff: float = CUTOFF, **fit: int)
     out = rows.withColumn("k1", keys[0]).withColumn("k2", keys[1]).withColumn("k3", keys[2])
     for level in (1, 2, 3):
         side = fits.select(F.col("key").alias(f"k{level}"), F.struct(*names).alias(f"f{level}"))
-        out = out.join(side, f"k{level}", "left")
+        out = out.join(sent(side), f"k{level}", "left")
     out = out.select(*rows.columns, F.coalesce("f1", "f2", "f3").alias("f")).select(*rows.columns, "f.*")
     out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance(out)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).drop(*names)
