@@ -3,8 +3,10 @@
 Language ID drops texts without letters, line dedup deletes later copies of long runs
 of lines, the n-gram join leaves the first document of each group of near copies, mixing takes
 documents once, twice or not at all so that sources meet their targets, and SentencePiece encodes what
-was taken.  Rows that share a doc_id stay or go together; rows with a null doc_id are never dropped as
-copies.
+was taken.  Rows with a null doc_id are never dropped as copies.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and tables
+with further columns, which it leaves out.
 """
 
 from __future__ import annotations
@@ -34,20 +36,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs from the texts and counts their characters anew."""
+    """Deletes later repeated runs from the texts and counts their characters anew.
+
+    Null and empty texts stay as they are; the first of repeated runs by doc_id stays, null ids come last;
+    repeated rows are one document and get the same text; an empty table gives no rows.
+    """
     out = line_dedup.dedup_documents(docs.select(*COLUMNS))
     return out.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    groups = jaccard.join_components(docs)
-    copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps the document with the smallest id of each group of near copies; of rows that share a doc_id each by its text."""
+    groups = jaccard.join_rows(docs)
+    copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id", "text_hash").distinct()
+    keyed = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    return keyed.join(copies, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes."""
+    """A row for each copy that the mix takes.
+
+    Texts without words are never taken; null sources are a source of their own; rows that share doc_id and
+    text are taken alike; an empty table gives no rows.
+    """
     docs = docs.select(*COLUMNS)
     keep = Scratch(spark, "mix-stage")
     pattern = F.array(F.col("source").cast("string"))
@@ -59,7 +70,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, checked by decoding them."""
+    """Piece ids of every text, checked by decoding them; null and empty texts have none, repeated rows repeated ones."""
     return sp_codec.encode(docs)
 
 

@@ -87,7 +87,8 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.R
 
 
 def _ids_and_text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def sketch_bits(docs: DataFrame) -> int:
@@ -99,11 +100,11 @@ def sketch_bits(docs: DataFrame) -> int:
 
 
 def signatures(docs: DataFrame, bits: int) -> DataFrame:
-    """Rows (doc_id, n, k1, k2, bits) of all documents, and rows (chunk, counts) that sum to the table of counts."""
+    """Rows (doc_id, text_hash, n, k1, k2, bits) of all documents, and rows (chunk, counts) that sum to the table of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "k1", "k2", "bits", "chunk", "counts"]
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        names = ["doc_id", "text_hash", "n", "k1", "k2", "bits", "chunk", "counts"]
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.int32(), pa.binary()]
         # a task's own counts stop at 255: common shingles stay far above rare ones
         counts = np.zeros(1 << bits, np.uint8)
 
@@ -126,12 +127,12 @@ def signatures(docs: DataFrame, bits: int) -> DataFrame:
                 add(held)
             n = len(out)
             maps = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BITMAP), pa.array(np.concatenate(odd) if n else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([o[i] for o in out], pa.int64()) for i in range(3)), maps, pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array([o[i] for o in out], pa.int64()) for i in range(3)), maps, pa.nulls(n, kinds[6]), pa.nulls(n, kinds[7])], names)
         for i, c in enumerate(counts.reshape(-1, SKETCH_CHUNK)):
             if c.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:5]] + [pa.array([i], kinds[5]), pa.array([c.tobytes()], kinds[6])], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds[:6]] + [pa.array([i], kinds[6]), pa.array([c.tobytes()], kinds[7])], names)
 
-    return _ids_and_text(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bits array<long>, chunk int, counts binary")
+    return _ids_and_text(docs).mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, bits array<long>, chunk int, counts binary")
 
 
 def sketch_table(signed: DataFrame, bits: int) -> np.ndarray:
@@ -239,19 +240,18 @@ def parities(shingles: np.ndarray) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, k1, k2, text) of the classes in ``ids(rep)``: the texts of their first documents.
+    """(rep, k1, k2, text) of the classes in ``ids(rep)``: the texts of their first documents (first).
 
     Rows may share a doc_id, so the key tells which of their texts is meant.
     """
     place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << WANTED_BITS))
-    wanted = ids.select("rep").distinct()
-    table = wanted.select(place("rep").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    wanted = classes.join(ids.select("rep").distinct(), "rep").select("rep", "first", "k1", "k2")
+    table = wanted.select(place("first").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
     rows = docs.where(F.col("doc_id").isNotNull()).withColumn("at", place("doc_id")).withColumn("bucket", F.bitmap_bucket_number("at"))
     # bit b of a bucket is bit b % 8 of its byte b / 8; a bucket has 4 KB, and there are 2 ** WANTED_BITS / 32768 of them
     here = F.expr("conv(hex(substring(bitmap, int(bitmap_bit_position(at) div 8) + 1, 1)), 16, 10)").cast("int")
     some = rows.join(F.broadcast(table), "bucket").where(here.bitwiseAND(F.expr("shiftleft(1, int(bitmap_bit_position(at) % 8))")) != 0)
-    keys = classes.join(wanted, "rep").select("rep", "k1", "k2")
-    return some.select(F.col("doc_id").alias("rep"), "text").join(keys, "rep").select("rep", "k1", "k2", "text")
+    return some.select(F.col("doc_id").alias("first"), "text").join(wanted, "first").select("rep", "k1", "k2", "text")
 
 
 def alike(pairs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -540,12 +540,15 @@ def _few_pairs(rows: DataFrame, few: int) -> DataFrame:
 
 
 def _prepared(docs: DataFrame, keep: Scratch, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows (doc_id, n, k1, k2), the classes (k1, k2, n, rep, bits), and the prefix shingles that classes share."""
+    """All rows (doc_id, text_hash, n, k1, k2), the classes (k1, k2, n, first, bits, rep), and the prefix shingles that classes share.
+
+    first is the smallest doc_id of a class, rep a number of its own: rows of several classes may share a doc_id.
+    """
     bits = sketch_bits(docs)
     signed = keep.keep(signatures(docs, bits), "signed")
     table = sketch_table(signed, bits)
-    signed = signed.where(F.col("chunk").isNull()).select("doc_id", "n", "k1", "k2", "bits")
-    classes = keep.keep(signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("bits").alias("bits")), "classes")
+    signed = signed.where(F.col("chunk").isNull()).select("doc_id", "text_hash", "n", "k1", "k2", "bits")
+    classes = keep.keep(signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.any_value("bits").alias("bits")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     found = shared_prefixes(prefixes(docs, table, hot)).join(classes.select("k1", "k2", F.col("n").cast("int").alias("n"), "rep"), ["k1", "k2", "n"])
     return signed, classes, keep.keep(found.select("token", "rep", "n"), "found")
 
@@ -568,13 +571,21 @@ def join_links(docs: DataFrame, hot: int = HOT, few: int = FEW) -> tuple[DataFra
     for name in ("found", "open", "open-tokens", "pairs", "few-links", "many-links", "many-more"):
         keep.drop(name)
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    members = signed.join(classes.select("k1", "k2", "n", "rep").join(degree, "rep", "left"), ["k1", "k2", "n"], "left")
+    members = signed.join(classes.select("k1", "k2", "n", "first", "rep").join(degree, "rep", "left"), ["k1", "k2", "n"], "left")
+    for end in ("u", "v"):
+        links = links.join(classes.select(F.col("rep").alias(end), F.col("first").alias(f"{end}_first")), end)
+    links = links.select(F.least("u_first", "v_first").alias("u"), F.greatest("u_first", "v_first").alias("v"), "n_both")
     own = F.col("doc_id").isNotNull()
-    return links, members.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("rep", "doc_id")).alias("class_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+    return links, members.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("first", "doc_id")).alias("class_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
 
 
 def join_components(docs: DataFrame, hot: int = HOT, few: int = FEW) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``."""
+    return join_rows(docs, hot, few).drop("text_hash")
+
+
+def join_rows(docs: DataFrame, hot: int = HOT, few: int = FEW) -> DataFrame:
+    """``join_components`` with the hash of each row's text, which tells rows apart that share a doc_id."""
     keep = Scratch(docs.sparkSession, "jaccard")
     docs = _ids_and_text(docs)
     signed, classes, found = _prepared(docs, keep, hot)
@@ -605,9 +616,10 @@ def join_components(docs: DataFrame, hot: int = HOT, few: int = FEW) -> DataFram
         groups = components(links.union(last), keep, "all-groups-")
     for name in ("open", "open-tokens", "trees", "pairs", "rest", "rest-tokens"):
         keep.drop(name)
-    of = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(of, ["k1", "k2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    placed = classes.select("k1", "k2", "n", "first", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = keep.keep(placed.groupBy("component").agg(F.min("first").alias("component_id")), "least")
+    out = signed.join(placed.join(least, "component").select("k1", "k2", "n", "component_id"), ["k1", "k2", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "text_hash")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
