@@ -60,3 +60,18 @@ def test_stages(spark, tmp_path):
 
 def test_stage_list():
     assert [name for name, _ in cp.STAGES] == ["language_id", "line_dedup", "ngram_jaccard", "mixing", "sentencepiece"] and cp.ORACLE_SQL is None
+
+
+def test_stages_take_odd_tables(spark):
+    """Empty tables, further columns with clashing names, rows that share a doc_id."""
+    text = " ".join(f"wort{i}" for i in range(30))
+    rows = [(1, text, "en", "a", 1), (2, text + " more", "en", "a", 1), (2, "another text altogether, with words of its own", "en", None, 1), (None, text, None, "a", None), (3, None, "en", "a", None), (4, "", "en", "a", 0)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, copies int, pattern int, text_hash int, n_removed int, score int")
+    for name, stage in cp.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, "")
+            n = out.count()
+            assert n == 0 if table is not docs else n > 0, name
+            assert name == "sentencepiece" or out.columns == list(cp.COLUMNS)
+    kept = [tuple(r)[:2] for r in cp.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [r[:2] for r in rows if r[1] != text + " more"]))
