@@ -138,7 +138,8 @@ def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = rows.withColumn("hash", F.xxhash64(f"c{at}"))
     runs = repeated_runs(rows.select(by.alias("doc_id"), F.col("hash").alias("text_hash"), F.col(f"c{at}").alias("text")), min_words)
     runs = runs.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"), "cuts")
-    joined = rows.join(runs.withColumn("none", F.col("of").isNull()).withColumn("of", F.coalesce("of", F.lit(0))), (F.coalesce(by, F.lit(0)) == F.col("of")) & (by.isNull() == F.col("none")) & (rows["hash"] == runs["hash"]), "left")
+    # merged at every size: sent to all tasks, the table of cuts would have to stay small
+    joined = rows.join(runs.withColumn("none", F.col("of").isNull()).withColumn("of", F.coalesce("of", F.lit(0))).hint("merge"), (F.coalesce(by, F.lit(0)) == F.col("of")) & (by.isNull() == F.col("none")) & (rows["hash"] == runs["hash"]), "left")
     joined = joined.select(*rows.columns[:-1], "cuts")
     kept = joined.drop("cuts").schema
 
