@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.operators.javasource import extract
+from quarrylight.sources.tables import written
 
 _SPAN = "struct<start_byte:bigint,end_byte:bigint,start_line:int,end_line:int>"
 PARTS = {
@@ -61,11 +62,11 @@ def resolved_types(parsed: DataFrame, kinds: tuple[str, ...] = ("EXTENDS", "IMPL
     w = F.col("r.written_target")
     package = F.when(F.col("package") == "", w).otherwise(F.concat_ws(".", "package", w))
     parts = F.split(F.coalesce("scope", F.lit("")), r"\.")
-    around = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct((100 - k).alias("rank"), F.concat_ws(".", F.array_join(F.slice(parts, F.lit(1), k), "."), w).alias("qualified")))
+    around = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct((1 + F.size(parts) - k).alias("rank"), F.concat_ws(".", F.array_join(F.slice(parts, F.lit(1), k), "."), w).alias("qualified")))
     direct = F.filter("imports", lambda i: F.endswith(i, F.concat(F.lit("."), w)))
     wild = F.transform(F.filter("imports", lambda i: F.endswith(i, F.lit(".*"))), lambda i: F.concat(F.replace(i, F.lit("*"), F.lit("")), w))
     choice = lambda rank, names: F.transform(names, lambda n: F.struct(F.lit(rank).alias("rank"), n.alias("qualified")))
-    options = F.concat(choice(0, F.array(w)), around, choice(101, direct), choice(102, F.array(package)), choice(103, wild))
+    options = F.concat(choice(0, F.array(w)), around, choice(1 << 20, direct), choice((1 << 20) + 1, F.array(package)), choice((1 << 20) + 2, wild))
     tried = own.select("r", F.explode(options).alias("o")).select("r", "o.*").groupBy("r", "qualified").agg(F.min("rank").alias("rank"))
     found = tried.join(type_names(parsed), "qualified", "left")
     best = found.groupBy("r.relation_id").agg(F.min(F.when(F.col("target").isNotNull(), F.col("rank"))).alias("best"))
@@ -89,15 +90,21 @@ def resolved_calls(parsed: DataFrame) -> DataFrame:
     return joined.select("relation_id", "path", "kind", "start_byte", "end_byte", "container_symbol_id", "written_target", F.when(sure, F.col("target")).alias("target_symbol_id"), F.when(sure, "STATIC_RESOLVED").otherwise("UNRESOLVED").alias("resolution_state"), reason.alias("unresolved_reason"))
 
 
-def overrides(parsed: DataFrame, depth: int = 8) -> DataFrame:
-    """(symbol_id, overridden_id): methods with the name and arity of one of an ancestor, at most ``depth`` levels up."""
-    up = resolved_types(parsed, ("EXTENDS", "IMPLEMENTS")).where(F.col("target_symbol_id").isNotNull()).select(F.col("container_symbol_id").alias("type"), F.col("target_symbol_id").alias("above")).distinct()
-    closure = frontier = up
-    for _ in range(depth - 1):
-        frontier = frontier.join(up.select(F.col("type").alias("above"), F.col("above").alias("next")), "above").select("type", F.col("next").alias("above")).distinct().join(closure, ["type", "above"], "left_anti")
-        if frontier.limit(1).count() == 0:
+def overrides(parsed: DataFrame) -> DataFrame:
+    """(symbol_id, overridden_id): methods with the name and arity of one of an ancestor, at any distance.
+
+    Files are parsed once and each round of the closure is written, so a round costs its own joins only.
+    The ancestors known reach twice as far after each round; cycles end it, as nothing new is found.
+    """
+    parsed = written(parsed, "parsed")
+    up = resolved_types(parsed, ("EXTENDS", "IMPLEMENTS")).where(F.col("target_symbol_id").isNotNull())
+    closure = written(up.select(F.col("container_symbol_id").alias("type"), F.col("target_symbol_id").alias("above")).distinct(), "ancestors")
+    while True:
+        further = closure.join(closure.select(F.col("type").alias("above"), F.col("above").alias("next")), "above").select("type", F.col("next").alias("above")).distinct().join(closure, ["type", "above"], "left_anti")
+        more = written(further, "ancestors")
+        if more.limit(1).count() == 0:
             break
-        closure = closure.union(frontier)
+        closure = written(closure.union(more), "ancestors")
     m = facts(parsed, "declarations").where((F.col("kind") == "METHOD") & ~F.col("signature").rlike(r"\b(static|private)\b"))
     own = m.select(F.col("parent_id").alias("type"), "name", "arity", "symbol_id")
     over = m.select(F.col("parent_id").alias("above"), "name", "arity", F.col("symbol_id").alias("overridden_id"))

@@ -55,11 +55,13 @@ def search_text(files: DataFrame, query: str, directory: str = "", pattern: str
         rows = rows.where(compile_glob(pattern).matches(F.col("path")))
     rows = rows.where(F.col("text").contains(query))
     at = rows.select("path", F.posexplode(F.split("text", "\n", -1)).alias("i", "line_text")).where(F.col("line_text").contains(query))
-    parts = F.split("line_text", literal_pattern(query), -1)
-    hits = at.select("path", (F.col("i") + 1).alias("line"), parts.alias("parts"))
-    hits = hits.select("path", "line", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k"))
-    before = F.array_join(F.slice("parts", F.lit(1), F.col("k")), query)
-    hits = hits.select("path", "line", (utf16_length(before) + 1).cast("int").alias("column"), F.lit(query).alias("matched_text"), F.split("path", "/").alias("components"))
+    parts = at.select("path", (F.col("i") + 1).alias("line"), F.posexplode(F.split("line_text", literal_pattern(query), -1)).alias("k", "part"))
+    # a hit begins where the parts before it and the hits between them end: a running sum, however many a line holds
+    to_here = Window.partitionBy("path", "line").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.sum(utf16_length(F.col("part")).cast("long")).over(to_here) + F.col("k") * F.lit(len(query.encode("utf-16-le")) // 2) + 1
+    last = F.lead("k").over(Window.partitionBy("path", "line").orderBy("k")).isNull()
+    hits = parts.withColumn("column", begins.cast("int")).withColumn("last", last).where(~F.col("last"))
+    hits = hits.select("path", "line", "column", F.lit(query).alias("matched_text"), F.split("path", "/").alias("components"))
     ahead = hits.orderBy("components", "line", "column").limit(limit + 1)
     n = F.row_number().over(Window.orderBy("components", "line", "column"))
     return ahead.withColumn("n", n).withColumn("truncated", F.count("*").over(Window.partitionBy()) > limit).where(F.col("n") <= limit).drop("n", "components")

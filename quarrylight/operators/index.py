@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,10 +77,37 @@ def bounded(payload: str, most: int) -> list[Column]:
 
 
 def nearest_enclosing(spans: DataFrame, points: DataFrame) -> DataFrame:
-    """For each point (path, point_id, at) the smallest span (path, symbol_id, start_byte, end_byte) around it."""
-    inside = points.join(spans, "path").where((F.col("start_byte") <= F.col("at")) & (F.col("at") < F.col("end_byte")))
-    best = F.min_by("symbol_id", F.struct(F.col("end_byte") - F.col("start_byte"), "symbol_id"))
-    return points.join(inside.groupBy("path", "point_id").agg(best.alias("container_symbol_id")), ["path", "point_id"], "left")
+    """For each point (path, point_id, at) the smallest span (path, symbol_id, start_byte, end_byte) around it, of equal ones the smallest id.
+
+    Starts of spans and points of a path pass by in order of their place; the spans begun are held by size,
+    and those that have ended are dropped when they come up.  So a file costs the sorting of its rows, not
+    the product of its points and spans.
+    """
+    key = points.schema["point_id"].dataType.simpleString()
+    begun = spans.select("path", F.col("start_byte").cast("long").alias("place"), F.col("end_byte").cast("long").alias("end"), F.col("symbol_id").cast("string").alias("symbol_id"), F.lit(None).cast(key).alias("point_id"))
+    asked = points.select("path", F.col("at").cast("long").alias("place"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("string").alias("symbol_id"), "point_id")
+    # a span holds the point at its start
+    events = begun.union(asked).repartition("path").sortWithinPartitions("path", "place", F.col("end").isNull())
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, open_ = None, []
+        for batch in batches:
+            paths, ids, found = [], [], []
+            for p, place, end, symbol, point in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != path:
+                    path, open_ = p, []
+                if end is not None:
+                    heapq.heappush(open_, (end - place, symbol, end))
+                    continue
+                while open_ and open_[0][2] <= place:
+                    heapq.heappop(open_)
+                paths.append(p)
+                ids.append(point)
+                found.append(open_[0][1] if open_ else None)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(ids, batch.schema.field(4).type), pa.array(found, pa.string())], ["path", "point_id", "container_symbol_id"])
+
+    near = events.mapInArrow(sweep, f"path string, point_id {key}, container_symbol_id string")
+    return points.join(near.distinct(), ["path", "point_id"], "left")
 
 
 # --- coverage -------------------------------------------------------------------------------------

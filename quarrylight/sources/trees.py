@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,24 +53,39 @@ def with_directories(files: DataFrame) -> DataFrame:
 
 
 class Generations:
-    """Immutable tables below a root, and a small state file that is replaced as a whole.
+    """Immutable tables below a root, and small state files, one for each version.
 
-    A generation is written to a folder of its own and becomes visible when the state names it; the
-    state's version must still be the one that the writer read.
+    A generation is written to a folder of its own and becomes visible when a state names it.  A state is
+    written under a name that no one else has and then renamed to that of its version, which must not exist
+    yet: whoever comes second fails.  The state is that of the highest version, so a crash at any point
+    leaves the one before.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        conf = spark._jsc.hadoopConfiguration()
+        self._path = hadoop.Path
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._names = hadoop.FileContext.getFileContext(self._path(self.root).toUri(), conf)
+        self._no_options = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+
+    def _versions(self) -> list[int]:
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"state-([0-9]{12})\.json", n)))
+
+    def _bytes(self, name: str) -> bytes:
+        source = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source))
+        finally:
+            source.close()
 
     def state(self) -> dict:
-        path = self._path(f"{self.root}/state.json")
-        if not self._fs.exists(path):
-            return {"version": 0, "selected": {}}
-        text = "\n".join(r[0] for r in self.spark.read.text(f"{self.root}/state.json", wholetext=True).collect())
-        return json.loads(text)
+        versions = self._versions()
+        return json.loads(self._bytes(f"state-{versions[-1]:012d}.json")) if versions else {"version": 0, "selected": {}}
 
     def write(self, tables: dict[str, DataFrame], generation: str, sort: dict[str, list[str]] | None = None) -> None:
         """Tables sorted by the leading columns of their reads, so that row groups can be skipped."""
@@ -76,23 +93,33 @@ class Generations:
             order = (sort or {}).get(name)
             (df.sortWithinPartitions(*order) if order else df).write.mode("errorifexists").parquet(f"{self.root}/{generation}/{name}")
 
+    def _written(self, state: dict) -> object:
+        """A state under a name of its own, complete on disk."""
+        own = self._path(f"{self.root}/.state-{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(own, False)
+        out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
+        out.hsync()
+        out.close()
+        return own
+
     def publish(self, key: str, generation: str, expected: int) -> int:
         """Selects a generation; fails if the state has moved on since version ``expected``."""
         state = self.state()
         if state["version"] != expected:
             raise QueryError("CONFLICT", f"state is at version {state['version']}")
-        state = {"version": expected + 1, "selected": {**state["selected"], key: generation}}
-        own = self._path(f"{self.root}/state-{expected + 1}.tmp")
-        out = self._fs.create(own, False)
-        out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
-        out.close()
-        final = self._path(f"{self.root}/state.json")
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        if not self._fs.rename(own, final):
-            raise QueryError("CONFLICT", "state")
+        own = self._written({"version": expected + 1, "selected": {**state["selected"], key: generation}})
+        try:
+            self._names.rename(own, self._path(f"{self.root}/state-{expected + 1:012d}.json"), self._no_options)
+        except Py4JJavaError as e:
+            self._fs.delete(own, False)
+            raise QueryError("CONFLICT", f"version {expected + 1} exists") from e
         return expected + 1
 
+    def prune(self, keep: int = 10) -> None:
+        """Deletes the states before the last few; readers hold a state only while they plan."""
+        for v in self._versions()[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/state-{v:012d}.json"), False)
+
     def read(self, key: str, table: str) -> DataFrame:
         generation = self.state()["selected"].get(key)
         if generation is None:
