@@ -38,6 +38,24 @@ def utf16_order(path: Column) -> Column:
     return F.encode(path, "UTF-16BE")
 
 
+def within_roots(path: Column, roots: list[str]) -> Column:
+    """Paths below one of the source roots; the empty root is all."""
+    out = F.lit(False)
+    for root in sorted(set(roots)):
+        out = out | (F.lit(True) if root == "" else path.startswith(root + "/"))
+    return out
+
+
+def is_guide(path: Column, status: Column, guide_path: Column, guide_state: Column) -> Column:
+    """Whether a file is its project's guide: available, the same path, readable."""
+    return F.coalesce((guide_state == "AVAILABLE") & (path == guide_path) & (status == "TEXT"), F.lit(False))
+
+
+def has_credentials(url: Column) -> Column:
+    """Addresses that carry a user or a password; they are never stored."""
+    return url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@")
+
+
 def below(path: Column, directory: str) -> Column:
     """Paths below a directory; the empty directory is the root.  A prefix test, so scans can prune by it."""
     return path.startswith(directory + "/") if directory else F.lit(True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import paths
 from quarrylight.functions.identity import framed_sha256
+from quarrylight.functions.payload import field
 
 
 def inventory_faults(inventory: DataFrame) -> DataFrame:
@@ -51,6 +52,45 @@ def order_faults(rows: DataFrame, partition: str, position: str, key: str) -> Da
     return rows.withColumn("before", F.lag(key).over(w)).where(F.col("before") >= F.col(key)).drop("before")
 
 
+def payload_faults(rows: DataFrame, key: str, payload: str, columns: dict[str, str]) -> DataFrame:
+    """(key, column) where a column differs from the payload it was taken from; columns: name to JSON path."""
+    wrong = F.array(*(F.when(~F.col(c).cast("string").eqNullSafe(field(F.col(payload), path)), F.lit(c)) for c, path in sorted(columns.items())))
+    return rows.select(key, F.explode(F.array_compact(wrong)).alias("column"))
+
+
+def span_faults(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """(span_id, fault) of spans (span_id, path, start_byte, end_byte, start_line) that are no part of their file's text."""
+    data = F.encode("text", "UTF-8")
+    inside = lambda c: F.hex(F.substring(data, (F.col(c) + 1).cast("int"), F.lit(1))).rlike("^[89AB]")
+    before = F.hex(F.substring(data, F.lit(1), F.col("start_byte").cast("int")))
+    # line feeds before the start, counted on whole bytes
+    line = F.length(F.regexp_replace(F.regexp_replace(before, "(..)", "$1 "), "(0A )|(.. )", "$1")) / 3 + 1
+    both = spans.join(files.select("path", "text"), "path", "left")
+    fault = (
+        F.when(F.col("text").isNull(), "FILE").when((F.col("start_byte") < 0) | (F.col("end_byte") < F.col("start_byte")) | (F.col("end_byte") > F.octet_length("text")), "RANGE")
+        .when(inside("start_byte") | inside("end_byte"), "BOUNDARY").when(line.cast("int") != F.col("start_line"), "LINE")
+    )
+    return both.select("span_id", fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
+def coverage_faults(stored: DataFrame, computed: DataFrame, dimensions: list[str]) -> DataFrame:
+    """Groups whose stored count is not the computed one; missing ones count as 0."""
+    s, c = (df.select(*(F.col(d).alias(f"{p}_{d}") for d in dimensions), F.col("n").alias(f"{p}_n")) for df, p in ((stored, "s"), (computed, "c")))
+    same = F.lit(True)
+    for d in dimensions:
+        same = same & F.col(f"s_{d}").eqNullSafe(F.col(f"c_{d}"))
+    both = s.join(c, same, "full_outer").withColumns({"stored": F.coalesce("s_n", F.lit(0)), "computed": F.coalesce("c_n", F.lit(0))})
+    return both.where(F.col("stored") != F.col("computed")).select(*(F.coalesce(f"s_{d}", f"c_{d}").alias(d) for d in dimensions), "stored", "computed")
+
+
+def provenance_faults(targets: DataFrame, artifacts: DataFrame, platform: str, platform_digest: str) -> DataFrame:
+    """Targets of a module must come from the platform, all others from an approved artifact with that digest."""
+    known = artifacts.select("artifact_id", "artifact_digest", F.lit(True).alias("known")).distinct()
+    rows = targets.join(known, ["artifact_id", "artifact_digest"], "left")
+    fine = F.when(F.col("module").isNotNull(), (F.col("artifact_id") == platform) & (F.col("artifact_digest") == platform_digest)).otherwise(F.coalesce("known", F.lit(False)))
+    return rows.where(~fine).select("target_id", F.when(F.col("module").isNotNull(), "PLATFORM").otherwise("ARTIFACT").alias("fault"))
+
+
 def cross_foot(parts: DataFrame, total: DataFrame) -> DataFrame:
     """One row if a sum of parts (n) differs from a total (n)."""
     return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("parts")).crossJoin(total.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))).where("parts <> total")  # one row by one row

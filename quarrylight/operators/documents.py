@@ -140,6 +140,36 @@ def global_version(selection: DataFrame) -> DataFrame:
     return selection.agg(ordered_digest(F.collect_list(F.struct(F.col("owner").alias("key"), F.col("revision").alias("value")))).alias("global_version"))
 
 
+def view_versions(selection: DataFrame) -> DataFrame:
+    """(owner, version) of each owner's view, and of the global one under a null owner; who is not selected has version ""."""
+    return selection.select("owner", F.col("revision").alias("version")).unionByName(global_version(selection).select(F.lit(None).cast("string").alias("owner"), F.col("global_version").alias("version")))
+
+
+def checked_view(selection: DataFrame, owner: str | None, version: str) -> None:
+    """A cursor's view must still be the present one."""
+    rows = view_versions(selection).where(F.col("owner").eqNullSafe(F.lit(owner).cast("string"))).select("version").collect()
+    if (rows[0][0] if rows else "") != version:
+        raise QueryError("DOCUMENT_CURSOR_EXPIRED")
+
+
+def operation_fingerprint(operations: DataFrame) -> DataFrame:
+    """(operation_id, fingerprint) of (operation_id, path, change, content_digest): a retry of the same changes has the same one."""
+    lines_ = F.collect_list(F.struct(F.col("path").alias("key"), F.concat_ws(":", "change", "content_digest").alias("value")))
+    return operations.groupBy("operation_id").agg(ordered_digest(lines_).alias("fingerprint"))
+
+
+def section_totals(found: DataFrame) -> DataFrame:
+    """Of sections (path, owner, start_line, bytes): sections and the largest one of each document, first of equal ones."""
+    return found.groupBy("owner", "path").agg(F.count("*").alias("sections"), F.sum("bytes").alias("bytes"), F.max_by("start_line", F.struct("bytes", -F.col("start_line"))).alias("largest"))
+
+
+def over_budget(totals: DataFrame, documents: int, size: int, sections_: int) -> DataFrame:
+    """Owners with more documents, bytes or sections than their budget."""
+    by = totals.groupBy("owner").agg(F.count("*").alias("documents"), F.sum("bytes").alias("bytes"), F.sum("sections").alias("sections"))
+    reason = F.when(F.col("documents") > documents, "DOCUMENTS").when(F.col("bytes") > size, "BYTES").when(F.col("sections") > sections_, "SECTIONS")
+    return by.withColumn("over", reason)
+
+
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """ADDED, REMOVED and UPDATED paths between two versions of (path, content_digest)."""
     o = old.select("path", F.col("content_digest").alias("old"))

@@ -147,6 +147,41 @@ def inventory_coverage(inventory: DataFrame) -> DataFrame:
     return files.agg(F.count_if((F.col("status") == "TEXT") & ~excluded).alias("readable"), F.count_if(excluded).alias("excluded"), F.count_if((F.col("status") != "TEXT") & ~excluded).alias("unsupported"), F.sum("byte_length").alias("bytes"))
 
 
+def status_counts(inventory: DataFrame) -> DataFrame:
+    """Files by status, excluded ones apart."""
+    status = F.when(paths.is_excluded(F.col("path")), "EXCLUDED").otherwise(F.col("status"))
+    return inventory.where(F.col("kind") == "FILE").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def syntax_coverage(files: DataFrame) -> DataFrame:
+    """One row: how many files (java_file, status, diagnostics) were parsed, failed, were not supported or too large."""
+    by = lambda s: F.count_if(F.col("java_file") & (F.col("status") == s))
+    return files.agg(F.count("*").alias("files"), F.count_if("java_file").alias("java_files"), by("PARSED").alias("parsed"), by("PARSE_FAILED").alias("failed"), by("UNSUPPORTED").alias("unsupported"), by("TOO_LARGE").alias("too_large"), F.coalesce(F.sum("diagnostics"), F.lit(0)).cast("long").alias("diagnostics"))
+
+
+def lookup(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Many point lookups at once: a row for each wanted key, found or not."""
+    return wanted.select(key).distinct().join(rows.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def tracked(matches: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Matches in files that the inventory has as readable ones; others do not count towards a limit."""
+    return matches.join(inventory.where((F.col("kind") == "FILE") & (F.col("status") == "TEXT")).select("path"), "path", "left_semi")
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner_id, outer_id) of spans of one path where the outer one holds all bytes and lines of the inner one."""
+    i = inner.select("path", "inner_id", F.col("start_byte").alias("ib"), F.col("end_byte").alias("ie"), F.col("start_line").alias("il"), F.col("end_line").alias("im"))
+    both = i.join(outer, "path")
+    return both.where((F.col("start_byte") <= F.col("ib")) & (F.col("ie") <= F.col("end_byte")) & (F.col("start_line") <= F.col("il")) & (F.col("im") <= F.col("end_line"))).select("inner_id", "outer_id")
+
+
+def class_catalogue(classes: DataFrame, most: int = 21) -> DataFrame:
+    """Of (binary_name, artifact_order, version, ...) the class that is loaded: the first artifact's entry of the highest
+    version that the language level ``most`` allows; version 0 is the plain entry."""
+    return first_by_artifact(classes.where(F.col("version") <= most))
+
+
 def distinct_targets(relations: DataFrame) -> DataFrame:
     """External targets once each, with how often they are used."""
     return relations.where(F.col("external_target_id").isNotNull()).groupBy(F.col("external_target_id").alias("target_id")).agg(F.count("*").alias("uses"), F.countDistinct("path").alias("files"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.model import JOB_PHASES, KEYWORDS_MOST, RETENTION_DAYS, QueryError
+from quarrylight.model import JOB_PHASES, KEYWORDS_MOST, RETENTION_DAYS, QueryError, invalid
 from quarrylight.plans.paging import byte_budget, json_size, page
 
 
@@ -60,6 +60,50 @@ def admitted(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", "seq", "job_id", F.first("job_id").over(w).alias("admitted_job"), (F.row_number().over(w) == 1).alias("is_new"))
 
 
+def one_active(events: DataFrame) -> DataFrame:
+    """(repository_id, seq, admitted) of requests: a repository has one active job; the first request after its end begins the next.
+
+    events: (repository_id, seq, is_request); the others tell that the active job has ended.
+    """
+    w = Window.partitionBy("repository_id").orderBy("seq")
+    spell = events.withColumn("ended", F.count_if(~F.col("is_request")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.row_number().over(Window.partitionBy("repository_id", "ended", "is_request").orderBy("seq"))
+    return spell.withColumn("n", first).where("is_request").select("repository_id", "seq", (F.col("n") == 1).alias("admitted"))
+
+
+def dispatch_order(jobs: DataFrame) -> DataFrame:
+    """Jobs (job_id, kind, seq) in the order of a dispatcher that takes the two kinds in turn, each first come, first served."""
+    turn = F.row_number().over(Window.partitionBy("kind").orderBy("seq", "job_id"))
+    return jobs.withColumn("turn", turn).select("job_id", "kind", "turn")
+
+
+def index_requests(requests: DataFrame, current: DataFrame) -> DataFrame:
+    """Requests to index (request_id, repository_id, revision): only the current revision is taken."""
+    own = current.select("repository_id", F.col("revision").alias("now"))
+    outcome = F.when(F.col("now").isNull(), "SOURCE_NOT_READY").when(F.col("now") != F.col("revision"), "REVISION_NOT_CURRENT").otherwise("ACCEPTED")
+    return requests.join(own, "repository_id", "left").select("request_id", "repository_id", "revision", outcome.alias("outcome"))
+
+
+def get_job(jobs: DataFrame, repository_id: str, job_id: int | None = None, request_id: int | None = None) -> DataFrame:
+    """A job of a repository by exactly one of its ids."""
+    if (job_id is None) == (request_id is None):
+        raise invalid("one of jobId and requestId")
+    own = jobs.where(F.col("repository_id") == repository_id)
+    return own.where(F.col("job_id") == job_id) if request_id is None else own.where(F.col("request_id") == request_id)
+
+
+def unleased(collectable_: DataFrame, leases: DataFrame, now: str) -> DataFrame:
+    """What may be collected now: revisions that no reader holds a lease on."""
+    held = leases.where(F.col("until") > F.lit(now).cast("timestamp"))
+    return collectable_.join(held, ["repository_id", "revision"], "left_anti")
+
+
+def capacity_refusals(requests: DataFrame, most: int) -> DataFrame:
+    """(repository_id, seq, used, admitted) of requests (repository_id, seq, bytes): the exact limit is still admitted."""
+    used = F.sum("bytes").over(Window.partitionBy("repository_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return requests.withColumn("used", used).select("repository_id", "seq", "used", (F.col("used") <= most).alias("admitted"))
+
+
 def recovered(jobs: DataFrame, receipts: DataFrame) -> DataFrame:
     """RUNNING jobs after a restart: COMPLETE if their receipt was committed, else FAILED."""
     done = receipts.select("job_id", F.lit(True).alias("committed")).distinct()

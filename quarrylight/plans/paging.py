@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.model import checked_limit, invalid
+from quarrylight.model import QueryError, checked_limit, invalid
 
 
 def after(columns: list[str], values: list, inclusive: bool = False) -> Column:
@@ -39,6 +39,33 @@ def byte_budget(rows: DataFrame, order: list[str], size: Column, budget: int) ->
     return rows.withColumn("used_bytes", running).where(F.col("used_bytes") <= budget)
 
 
+def cursor_budget(rows: DataFrame, order: list[str], size: Column, budget: int, cursor_bytes: int) -> DataFrame:
+    """``byte_budget`` for a page that ends with a cursor unless its last row is the last one of all.
+
+    The last row may fill the page where no cursor follows; one that fits only without the cursor it would need does not.
+    A page whose first row is too large is empty, which ``checked_page`` makes an error.
+    """
+    w = Window.orderBy(*order)
+    running = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("used_bytes", running).withColumn("__last", F.lead(F.lit(1)).over(w).isNull())
+    need = F.col("used_bytes") + F.when(F.col("__last"), 0).otherwise(cursor_bytes)
+    fits = rows.withColumn("__out", F.max((need > budget).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = fits.where("__out = 0")
+    return kept.withColumn("has_more", F.max(F.col("__last").cast("int")).over(Window.partitionBy()) == 0).drop("__last", "__out")
+
+
+def trimmed(rows: DataFrame, order: list[str], size: Column, envelope: int, budget: int) -> DataFrame:
+    """A page without the rows at its end that do not fit beside an envelope of so many bytes."""
+    return byte_budget(rows, order, size, budget - envelope)
+
+
+def checked_page(rows: DataFrame, page_: DataFrame) -> DataFrame:
+    """An empty page of rows that exist is an error: its first row is too large."""
+    if page_.limit(1).count() == 0 and rows.limit(1).count():
+        raise QueryError("RESULT_TOO_LARGE")
+    return page_
+
+
 def json_size(df: DataFrame) -> Column:
     """Encoded size of a row and its separator."""
     return (F.octet_length(F.to_json(F.struct(*df.columns))) + 1).cast("bigint")

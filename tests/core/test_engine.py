@@ -155,6 +155,7 @@ def test_extraction_joins(spark):
 def test_registered_queries_equal_their_sql(spark):
     import duckdb
 
+    import quarrylight.queries_contract  # noqa: F401
     from quarrylight.queries import QUERIES, SQL
 
     assert set(SQL) <= set(QUERIES)
@@ -179,3 +180,24 @@ def test_registered_queries_equal_their_sql(spark):
         if sorted(names) != sorted(mine.columns) or ours != theirs:
             wrong.append(name)
     assert not wrong
+
+
+def test_views_and_pages_that_must_be_checked(spark):
+    from quarrylight.operators import documents, lifecycle
+    from quarrylight.plans.paging import checked_page, cursor_budget
+
+    selection = spark.createDataFrame([("a", "r1"), ("b", "r2")], "owner string, revision string")
+    documents.checked_view(selection, "a", "r1")
+    documents.checked_view(selection, "none", "")
+    with pytest.raises(QueryError):
+        documents.checked_view(selection, None, "old")
+    rows = spark.createDataFrame([(1, 10), (2, 10), (3, 10)], "k int, n int")
+    sizes = lambda budget: [(r["k"], r["has_more"]) for r in cursor_budget(rows, ["k"], F.col("n"), budget, 5).collect()]
+    assert sizes(30) == [(1, False), (2, False), (3, False)] and sizes(29) == [(1, True), (2, True)] and sizes(24) == [(1, True)]
+    with pytest.raises(QueryError):
+        checked_page(rows, cursor_budget(rows, ["k"], F.col("n"), 14, 5))
+    with pytest.raises(QueryError):
+        lifecycle.get_job(rows, "r", 1, 2)
+    with pytest.raises(QueryError):
+        lifecycle.capacity_ok(11, 10, 5, 5)
+    lifecycle.capacity_ok(10, 10, 5, 5)
