@@ -28,3 +28,18 @@ def test_equals_sql(spark, name):
     mine = QUERIES[name](spark, SMALL)
     assert sorted(mine.columns) == names
     assert sorted(str(tuple(r)) for r in mine.select(*names).collect()) == sorted(str(tuple(r[i] for i in order)) for r in cur.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
+def test_companions_equal_sql(spark):
+    import duckdb
+
+    from quarrylight.llm import companions
+
+    assert set(companions.QUERIES) == set(companions.ORACLE_SQL) and not set(companions.QUERIES) & set(QUERIES)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    for name, query in companions.QUERIES.items():
+        cur = con.execute(companions.ORACLE_SQL[name])
+        names = [d[0] for d in cur.description]
+        assert sorted(map(str, map(tuple, query(spark, SMALL).select(*names).collect()))) == sorted(map(str, cur.fetchall())), name
