@@ -155,7 +155,8 @@ def test_extraction_joins(spark):
 def test_registered_queries_equal_their_sql(spark):
     import duckdb
 
-    import quarrylight.queries_contract  # noqa: F401
+    import quarrylight.queries_contract
+    import quarrylight.queries_java  # noqa: F401
     from quarrylight.queries import QUERIES, SQL
 
     assert set(SQL) <= set(QUERIES)
