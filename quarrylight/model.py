@@ -36,10 +36,21 @@ KEYWORDS_MOST = 12
 SPAN = T.StructType([T.StructField("start_byte", T.LongType()), T.StructField("end_byte", T.LongType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())])
 
 
+# Why a request cannot be answered, by family of operations.
+SOURCE_CODES = ("INVALID_ARGUMENT", "REPOSITORY_NOT_FOUND", "SOURCE_NOT_PREPARED", "REVISION_NOT_PREPARED", "SOURCE_NOT_FOUND", "SOURCE_UNSUPPORTED", "SOURCE_SUMMARY_UNAVAILABLE", "SOURCE_RESULT_TOO_LARGE", "SOURCE_BUSY", "SOURCE_UNAVAILABLE", "SOURCE_TIMEOUT")
+INDEX_CODES = ("INDEX_NOT_CURRENT", "INDEX_NOT_PREPARED", "INDEX_UNAVAILABLE", "INDEX_INCOMPATIBLE", "INDEX_GENERATION_EXPIRED", "INDEX_CAPABILITY_UNAVAILABLE", "INDEX_SYMBOL_NOT_FOUND", "INDEX_RESULT_TOO_LARGE", "INDEX_BUSY", "INDEX_TIMEOUT")
+DOCUMENT_CODES = ("INVALID_ARGUMENT", "DOCUMENT_REPOSITORY_NOT_FOUND", "DOCUMENT_REVISION_NOT_AVAILABLE", "DOCUMENT_NOT_FOUND", "DOCUMENT_SECTION_NOT_FOUND", "DOCUMENT_CATALOG_INVALID", "DOCUMENT_CAPACITY_EXCEEDED", "DOCUMENT_RESULT_TOO_LARGE", "DOCUMENT_BUSY", "DOCUMENT_TIMEOUT", "DOCUMENT_UNAVAILABLE")
+#: Why a publication or an admission fails.
+WRITE_CODES = ("CONFLICT", "CAPACITY_EXCEEDED", "REGISTRY_INVALID")
+CODES = frozenset((*SOURCE_CODES, *INDEX_CODES, *DOCUMENT_CODES, *WRITE_CODES))
+
+
 class QueryError(ValueError):
-    """A request that cannot be answered; ``code`` names the reason."""
+    """A request that cannot be answered; ``code``, one of CODES, names the reason."""
 
     def __init__(self, code: str, detail: str = ""):
+        if code not in CODES:
+            raise AssertionError(code)
         super().__init__(f"{code}: {detail}" if detail else code)
         self.code = code
 

@@ -41,6 +41,13 @@ def relation_faults(relations: DataFrame) -> DataFrame:
     return relations.select("relation_id", fault.alias("fault")).where(F.col("fault").isNotNull())
 
 
+def fact_faults(relations: DataFrame, evidence_kinds: tuple[str, ...]) -> DataFrame:
+    """(relation_id, fault): evidence has a framework and nothing else has, it is only ever a candidate, and what is unresolved has a reason."""
+    evidence, framework, state = F.col("kind").isin(*evidence_kinds), F.col("framework").isNotNull(), F.col("resolution_state")
+    fault = F.when(evidence != framework, "FRAMEWORK").when(framework & (state != "CANDIDATE") | ~framework & (state == "CANDIDATE"), "CANDIDATE").when((state == "UNRESOLVED") != F.col("unresolved_reason").isNotNull(), "REASON")
+    return relations.select("relation_id", fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
 def identity_faults(rows: DataFrame, id_column: str, *fields: str) -> DataFrame:
     """Rows whose stored id is not the digest of its fields."""
     return rows.where(F.col(id_column) != framed_sha256(*(F.col(f) for f in fields)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions.identity import ordered_digest
 from quarrylight.functions.paths import utf16_order
 from quarrylight.functions.text import clip, utf16_length
-from quarrylight.model import DOCUMENT_PAGE_MOST, REPOSITORY_ID, SECTIONS_MOST, SHA256, SNIPPET_MOST, TITLE_MOST, QueryError, checked_limit, checked_query
+from quarrylight.model import DOCUMENT_PAGE_MOST, REPOSITORY_ID, SECTIONS_MOST, SHA256, SNIPPET_MOST, TITLE_MOST, QueryError, checked_limit, checked_query, invalid
 from quarrylight.plans.paging import after
 
 SECTION_SCHEMA = "path string, start_line int, end_line int, start_char int, end_char int, start_offset int, end_offset int, title string"
@@ -149,7 +149,7 @@ def checked_view(selection: DataFrame, owner: str | None, version: str) -> None:
     """A cursor's view must still be the present one."""
     rows = view_versions(selection).where(F.col("owner").eqNullSafe(F.lit(owner).cast("string"))).select("version").collect()
     if (rows[0][0] if rows else "") != version:
-        raise QueryError("DOCUMENT_CURSOR_EXPIRED")
+        raise invalid("the view has changed since the cursor")
 
 
 def operation_fingerprint(operations: DataFrame) -> DataFrame:

@@ -149,6 +149,16 @@ def origin_conflicts(bindings: DataFrame) -> DataFrame:
     return bindings.withColumn("origin_fingerprint", fp).groupBy("repository_id").agg(F.countDistinct("origin_fingerprint").alias("n")).where(F.col("n") > 1)
 
 
+def registry_faults(descriptors: DataFrame, each: int = 2048, total: int = 1 << 20) -> DataFrame:
+    """(repository_id, bytes, fault) of descriptors: none may be larger than ``each``, nor all of them than ``total``."""
+    size = F.octet_length(F.to_json(F.struct(*descriptors.columns))).cast("long")
+    rows = descriptors.select("repository_id", size.alias("bytes"))
+    # one row by all rows: a sum of sizes
+    whole = rows.agg((F.coalesce(F.sum("bytes"), F.lit(0)) > total).alias("over"))
+    fault = F.when(F.col("bytes") > each, "DESCRIPTOR").when(F.col("over"), "REGISTRY")
+    return rows.crossJoin(F.broadcast(whole)).select("repository_id", "bytes", fault.alias("fault"))
+
+
 def published_registry(descriptors: DataFrame) -> DataFrame:
     """Descriptors in id order; only approved hints stay, with at most twelve distinct keywords in their order."""
     hint = F.when(F.col("review_status") == "APPROVED", F.slice(F.array_distinct("keywords"), 1, KEYWORDS_MOST))

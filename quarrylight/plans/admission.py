@@ -14,6 +14,7 @@ from quarrylight.model import QueryError
 T = TypeVar("T")
 # Seconds that an operation may take.
 DEADLINES = {"list": 2.0, "read": 2.0, "context": 2.0, "search": 5.0, "index": 5.0, "document": 5.0}
+_FAMILY = {"index": "INDEX", "document": "DOCUMENT"}
 
 
 class Gate:
@@ -25,7 +26,7 @@ class Gate:
     def run(self, action: Callable[[], T], kind: str = "index", seconds: float | None = None) -> T:
         """The action's result; its Spark jobs are interrupted when the deadline passes."""
         if not self._permits.acquire(blocking=False):
-            raise QueryError("BUSY")
+            raise QueryError(f"{_FAMILY.get(kind, 'SOURCE')}_BUSY")
         tag, late = f"quarrylight-{uuid.uuid4().hex}", threading.Event()
 
         def stop() -> None:
@@ -39,12 +40,12 @@ class Gate:
             out = action()
         except Exception as e:
             if late.is_set():
-                raise QueryError("DEADLINE_EXCEEDED") from e
+                raise QueryError(f"{_FAMILY.get(kind, 'SOURCE')}_TIMEOUT") from e
             raise
         finally:
             timer.cancel()
             self.spark.sparkContext.removeJobTag(tag)
             self._permits.release()
         if late.is_set():
-            raise QueryError("DEADLINE_EXCEEDED")
+            raise QueryError(f"{_FAMILY.get(kind, 'SOURCE')}_TIMEOUT")
         return out

@@ -59,10 +59,10 @@ def trimmed(rows: DataFrame, order: list[str], size: Column, envelope: int, budg
     return byte_budget(rows, order, size, budget - envelope)
 
 
-def checked_page(rows: DataFrame, page_: DataFrame) -> DataFrame:
+def checked_page(rows: DataFrame, page_: DataFrame, family: str = "INDEX") -> DataFrame:
     """An empty page of rows that exist is an error: its first row is too large."""
     if page_.limit(1).count() == 0 and rows.limit(1).count():
-        raise QueryError("RESULT_TOO_LARGE")
+        raise QueryError(f"{family}_RESULT_TOO_LARGE")
     return page_
 
 

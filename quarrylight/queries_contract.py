@@ -261,6 +261,25 @@ def _(s, d):
     return lifecycle.capacity_refusals(e.select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("repository_id"), F.col("event_id").cast("long").alias("seq"), (F.col("event_id") % 100).cast("long").alias("bytes")), 250)
 
 
+@query("q_registry_faults", """WITH r AS (SELECT 'r' || c_custkey AS repository_id, octet_length(encode('{"repository_id":"r' || c_custkey || '","display_name":"' || c_name || CASE WHEN c_custkey % 100 = 0 THEN repeat('x', 2048) ELSE '' END || '"}')) AS bytes FROM customer)
+    SELECT repository_id, CAST(bytes AS BIGINT) AS bytes, CASE WHEN bytes > 2048 THEN 'DESCRIPTOR' WHEN (SELECT sum(bytes) FROM r) > 100000 THEN 'REGISTRY' END AS fault FROM r""")
+def _(s, d):
+    c = L.table(s, d, "customer")
+    name = F.concat("c_name", F.when(F.col("c_custkey") % 100 == 0, F.repeat(F.lit("x"), 2048)).otherwise(""))
+    return lifecycle.registry_faults(c.select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("repository_id"), name.alias("display_name")), total=100_000)
+
+
+@query("q_check_facts", """WITH x AS (SELECT l_orderkey || '-' || l_linenumber AS relation_id, l_returnflag = 'R' AS ev, l_returnflag = 'R' AND l_linenumber <> 2 OR l_returnflag <> 'R' AND l_suppkey % 50 = 0 AS fw, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber = 3 THEN 'UNRESOLVED' ELSE 'CANDIDATE' END WHEN l_linestatus = 'O' THEN 'UNRESOLVED' ELSE 'STATIC_RESOLVED' END AS st,
+    l_linestatus = 'O' AND l_returnflag <> 'R' AND l_linenumber <> 4 AS re FROM lineitem), f AS (SELECT relation_id, CASE WHEN ev <> fw THEN 'FRAMEWORK' WHEN fw <> (st = 'CANDIDATE') THEN 'CANDIDATE' WHEN (st = 'UNRESOLVED') <> re THEN 'REASON' END AS fault FROM x) SELECT * FROM f WHERE fault IS NOT NULL""")
+def _(s, d):
+    li = L.table(s, d, "lineitem")
+    ev, n, open_ = F.col("l_returnflag") == "R", F.col("l_linenumber"), F.col("l_linestatus") == "O"
+    rows = li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("relation_id"), F.when(ev, "HTTP_EVIDENCE").otherwise("CALL").alias("kind"), F.when(ev & (n != 2) | ~ev & (F.col("l_suppkey") % 50 == 0), F.lit("rule")).alias("framework"),
+        F.when(ev, F.when(n == 3, "UNRESOLVED").otherwise("CANDIDATE")).when(open_, "UNRESOLVED").otherwise("STATIC_RESOLVED").alias("resolution_state"), F.when(open_ & ~ev & (n != 4), F.lit("MISSING_TYPE")).alias("unresolved_reason"))
+    return checks.fact_faults(rows, ("HTTP_EVIDENCE", "EVENT_EVIDENCE", "DB_EVIDENCE"))
+
+
 @query("q_lines_all", "SELECT path, CAST(line AS INTEGER) AS line, text FROM all_lines", "all_lines")
 def _(s, d):
     return files.line_table(L.file_rows(s, d, text=True))

@@ -123,7 +123,7 @@ class Generations:
     def read(self, key: str, table: str) -> DataFrame:
         generation = self.state()["selected"].get(key)
         if generation is None:
-            raise QueryError("INDEX_NOT_READY", key)
+            raise QueryError("INDEX_NOT_PREPARED", key)
         return self.spark.read.parquet(f"{self.root}/{generation}/{table}")
 
 
