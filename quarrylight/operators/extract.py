@@ -16,7 +16,7 @@ PARTS = {
     "declarations": f"struct<symbol_id:string,path:string,name:string,kind:string,owner:string,parent_id:string,start_byte:bigint,name_start_byte:bigint,range:{_SPAN},name_range:{_SPAN},signature:string,arity:int>",
     "candidates": f"struct<candidate_id:string,symbol_id:string,kind:string,path:string,start_byte:bigint,evidence:struct<kind:string,annotation:string,literal_values:map<string,array<string>>,unresolved_members:array<string>,range:{_SPAN}>>",
     "folds": f"struct<symbol_id:string,path:string,kind:string,start_byte:bigint,interior:{_SPAN}>",
-    "relations": "struct<relation_id:string,path:string,kind:string,start_byte:bigint,end_byte:bigint,container_symbol_id:string,written_target:string,receiver:string,arity:int,rule:string>",
+    "relations": "struct<relation_id:string,path:string,kind:string,start_byte:bigint,end_byte:bigint,container_symbol_id:string,written_target:string,receiver:string,receiver_type:string,arity:int,rule:string>",
 }
 SCHEMA = "path string, package string, imports array<string>, status string, diagnostics array<struct<code:string,line:int>>, " + ", ".join(f"{k} array<{v}>" for k, v in PARTS.items())
 
@@ -57,6 +57,11 @@ def resolved_types(parsed: DataFrame, kinds: tuple[str, ...] = ("EXTENDS", "IMPL
     The first of these that names a source type decides; a name declared twice or in two wildcards stays unresolved.
     """
     own = parsed.select("path", "package", "imports", F.explode("relations").alias("r")).where(F.col("r.kind").isin(*kinds))
+    return _resolved(parsed, own)
+
+
+def _resolved(parsed: DataFrame, own: DataFrame) -> DataFrame:
+    """``resolved_types`` for relations r whose written_target is a type."""
     scope = facts(parsed, "declarations").select(F.col("symbol_id").alias("__container"), F.substring_index("owner", "#", 1).alias("scope"))
     own = own.join(scope, F.col("r.container_symbol_id") == F.col("__container"), "left")
     w = F.col("r.written_target")
@@ -78,15 +83,20 @@ def resolved_types(parsed: DataFrame, kinds: tuple[str, ...] = ("EXTENDS", "IMPL
 
 
 def resolved_calls(parsed: DataFrame) -> DataFrame:
-    """Calls without a receiver, or on ``this``, against the methods of the enclosing type by name and arity."""
+    """Calls against the methods, by name and arity, of a type in the sources: the enclosing one for calls without a receiver
+    or on ``this``, else the type of the receiver, where it is a variable of one type in its file or a type itself."""
     d = facts(parsed, "declarations")
     calls = facts(parsed, "relations").where(F.col("kind") == "CALL")
-    container = d.select(F.col("symbol_id").alias("container_symbol_id"), F.col("owner").alias("type_owner"))
+    container = d.select(F.col("symbol_id").alias("container_symbol_id"), F.col("owner").alias("enclosing"))
     methods = d.where(F.col("kind") == "METHOD").groupBy(F.col("owner").alias("type_owner"), F.col("name").alias("written_target"), "arity").agg(F.min("symbol_id").alias("target"), F.count("*").alias("copies"))
+    typed = parsed.select("path", "package", "imports", F.explode("relations").alias("r")).where((F.col("r.kind") == "CALL") & F.col("r.receiver_type").isNotNull())
+    typed = _resolved(parsed, typed.withColumn("r", F.col("r").withField("written_target", F.col("r.receiver_type")))).where(F.col("target_symbol_id").isNotNull())
+    receivers = typed.join(type_names(parsed).select(F.col("target").alias("target_symbol_id"), "qualified"), "target_symbol_id").select("relation_id", "qualified")
     plain = F.col("receiver").isNull() | (F.col("receiver") == "this")
-    joined = calls.join(container, "container_symbol_id", "left").join(methods, ["type_owner", "written_target", "arity"], "left")
-    sure = plain & (F.col("copies") == 1)
-    reason = F.when(sure, None).when(plain & (F.col("copies") > 1), "AMBIGUOUS_TARGET").otherwise("MISSING_TYPE")
+    joined = calls.join(container, "container_symbol_id", "left").join(receivers, "relation_id", "left").withColumn("type_owner", F.when(plain, F.col("enclosing")).otherwise(F.col("qualified")))
+    joined = joined.join(methods, ["type_owner", "written_target", "arity"], "left")
+    sure = F.col("copies") == 1
+    reason = F.when(sure, None).when(F.col("copies") > 1, "AMBIGUOUS_TARGET").otherwise("MISSING_TYPE")
     return joined.select("relation_id", "path", "kind", "start_byte", "end_byte", "container_symbol_id", "written_target", F.when(sure, F.col("target")).alias("target_symbol_id"), F.when(sure, "STATIC_RESOLVED").otherwise("UNRESOLVED").alias("resolution_state"), reason.alias("unresolved_reason"))
 
 

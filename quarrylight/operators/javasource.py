@@ -454,6 +454,7 @@ class Extractor:
             elif t.kind == "id" and self.at(i + 1) == "(" and t.text not in _NO_CALL:
                 receiver = self.at(i - 2) if self.at(i - 1) == "." else None
                 self._relate("CALL", i, i + 1, parent, t.text, len(self._split(i + 2, self.match[i + 1])), receiver)
+                self.out.relations[-1]["receiver_type"] = self._receiver_type(receiver) if receiver and self.at(i - 3) != "." else None
                 self._framework_call(i, parent, receiver)
             elif t.text == "::" and i + 1 < end and (self.t[i + 1].kind == "id"):
                 self._relate("METHOD_REFERENCE", i - 1, i + 2, parent, self.at(i + 1), None, self.at(i - 1))
@@ -462,7 +463,14 @@ class Extractor:
     def _relate(self, kind: str, a: int, b: int, container: str | None, written: str, arity: int | None, receiver: str | None = None) -> None:
         s = self.span(self.t[a].start, self.t[b - 1].end)
         self.out.relations.append({"relation_id": framed_digest(self.generation, self.path, str(s["start_byte"]), str(s["end_byte"]), kind, written), "path": self.path, "kind": kind, "start_byte": s["start_byte"], "end_byte": s["end_byte"],
-                                   "container_symbol_id": container, "written_target": written, "receiver": receiver, "arity": arity, "rule": None})
+                                   "container_symbol_id": container, "written_target": written, "receiver": receiver, "receiver_type": None, "arity": arity, "rule": None})
+
+    def _receiver_type(self, receiver: str) -> str | None:
+        """The written type of a variable whose name has one type in this file, or the type that a name itself may be."""
+        types = self.variables.get(receiver, set())
+        if len(types) == 1:
+            return next(iter(types))
+        return receiver if not types and receiver[:1].isupper() else None
 
     def _framework_call(self, i: int, parent: str | None, receiver: str | None) -> None:
         types = self.variables.get(receiver or "", set())
@@ -479,7 +487,7 @@ class Extractor:
         values = [f"{role}={v[0]}" for role, (a, b) in zip(roles, parts) if (v := self._literals(a, b)) and len(v) == 1 and not re.search(r"[$#]\{", v[0])]
         s = self.span(self.t[i].start, self.t[i].end)
         self.out.relations.append({"relation_id": framed_digest(self.generation, self.path, str(s["start_byte"]), str(s["end_byte"]), kind, known[0]), "path": self.path, "kind": kind, "start_byte": s["start_byte"], "end_byte": s["end_byte"],
-                                   "container_symbol_id": parent, "written_target": ".".join((known[0], self.at(i))), "receiver": ",".join(values) or None, "arity": len(parts), "rule": rule})
+                                   "container_symbol_id": parent, "written_target": ".".join((known[0], self.at(i))), "receiver": ",".join(values) or None, "receiver_type": None, "arity": len(parts), "rule": rule})
 
     # annotations
 
@@ -507,7 +515,7 @@ class Extractor:
             kind, name = FRAMEWORK_ANNOTATIONS[rule[0]]
             s = self.span(note["start"], note["end"])
             self.out.relations.append({"relation_id": framed_digest(self.generation, self.path, str(s["start_byte"]), str(s["end_byte"]), kind, rule[0]), "path": self.path, "kind": kind, "start_byte": s["start_byte"], "end_byte": s["end_byte"],
-                                       "container_symbol_id": symbol, "written_target": rule[0], "receiver": None, "arity": None, "rule": name})
+                                       "container_symbol_id": symbol, "written_target": rule[0], "receiver": None, "receiver_type": None, "arity": None, "rule": name})
 
     def _candidate(self, symbol: str, kind: str, evidence: str, annotation: str | None, values: dict, open_: list[str], span: dict) -> None:
         self.out.candidates.append({"candidate_id": framed_digest(self.generation, symbol, kind, str(span["start_byte"])), "symbol_id": symbol, "kind": kind, "path": self.path, "start_byte": span["start_byte"],
