@@ -28,11 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Bytes of a batch that Python gets at once, if the session says nothing else: what a worker holds grows with it.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if not spark.sparkContext.getConf().contains(BATCH[0]):
+        spark.conf.set(*BATCH)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
+        small_batches(spark)
         self.base = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -51,6 +61,7 @@ class Scratch:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table; one that lies in fewer pieces than there are cores is dealt out first."""
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -63,7 +63,7 @@ PART = 512
 #: A block gives its candidates as pairs, which many blocks may share, up to so many a member; more are decided in it.
 SHARED = 16
 #: Pairs of entries of one column block of a product.
-PAIRS = 1 << 22
+PAIRS = 1 << 20
 
 
 def required(a, b):
@@ -171,7 +171,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, hot: int = HOT) -> DataFrame:
                 key = _class_key(s)
                 if key in seen:
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < 50_000:
                     seen.add(key)
                 often = counts[(s >> np.uint64(64 - bits)).astype(np.int64)]
                 # s is sorted, so a stable order by count is one order of all shingles for all texts

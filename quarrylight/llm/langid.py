@@ -44,7 +44,7 @@ PART = 24
 #: Characters of a long run whose pieces are looked up at once.
 BLOCK = 512
 #: Words that a worker remembers.
-MEMORY = 300_000
+MEMORY = 150_000
 #: The probability of a character without a piece, and the share that all pieces get evenly.
 NO_PIECE, SMOOTH = 1e-7, 1e-3
 _WORD = re.compile(r"[^\W\d_]+")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import read
+from quarrylight.llm.common import read, small_batches
 from quarrylight.llm.pieces import MODEL, Pieces, by_length, load
 
 #: Longer cuts advance in windows of this length.
@@ -31,7 +31,7 @@ MATRIX_LENGTH = 64
 #: Windows whose maxima are taken at once.
 WINDOWS = 1024
 #: Encoded cuts that a worker remembers.
-MEMORY = 500_000
+MEMORY = 200_000
 _CUTS = re.compile(r"\n| *[^ \n]+| +")
 _LOW = np.int64(-(10**15))
 
@@ -189,7 +189,7 @@ class Codec:
         for text in texts:
             held.append(_CUTS.findall(" " + text) if text else [])
             size += len(held[-1])
-            if size > 200_000:
+            if size > 100_000:
                 flush()
         flush()
         return out
@@ -219,6 +219,7 @@ def encode(docs: DataFrame, path: str = MODEL, check: bool = True) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), lists, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
 
 
