@@ -127,11 +127,11 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
-def top(candidates: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, float]]:
-    """The k best of candidates (rows of ids and vectors) by exact score, ties to the smaller id."""
+def top(candidates: np.ndarray, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, query: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, float]]:
+    """The k best of candidates (rows of ids, vectors and their norms) by exact score, ties to the smaller id."""
     if len(candidates) > k:
         # what the rounding of a product of this length may be wrong by
-        wrong = 2 * (len(query) + 2) * np.finfo(float).eps * np.linalg.norm(query) * np.linalg.norm(vectors[candidates], axis=1)
+        wrong = 2 * (len(query) + 2) * np.finfo(float).eps * np.linalg.norm(query) * norms[candidates]
         near = scores[candidates]
         candidates = candidates[near + wrong >= np.partition(near - wrong, len(near) - k)[len(near) - k]]
     exact = [(math.fsum((vectors[c] * query).tolist()), int(ids[c])) for c in candidates]
@@ -152,6 +152,7 @@ class Shard:
         kept = kept[np.argsort(cells[kept], kind="stable")]
         self.index, self.k = index, k
         self.ids, self.vectors = ids[kept], vectors[kept]
+        self.norms = np.linalg.norm(self.vectors, axis=1)
         self.cells, self.begin = np.unique(cells[kept], return_index=True)
         self.end = np.r_[self.begin[1:], len(kept)]
 
@@ -166,10 +167,11 @@ class Shard:
         out = []
         for i, q in enumerate(asked):
             some = np.flatnonzero(scores[i] > -np.inf)
-            own = some[(self.ids[some] == queries[i]) & (self.vectors[some] == q).all(axis=1)]
+            own = some[self.ids[some] == queries[i]]
+            own = own[(self.vectors[own] == q).all(axis=1)]
             if len(own):
                 some = some[some != own[0]]
-            out.extend((i, c, s) for c, s in top(some, self.ids, self.vectors, q, scores[i], self.k))
+            out.extend((i, c, s) for c, s in top(some, self.ids, self.vectors, self.norms, q, scores[i], self.k))
         return out
 
 
