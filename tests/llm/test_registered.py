@@ -43,3 +43,20 @@ def test_companions_equal_sql(spark):
         cur = con.execute(companions.ORACLE_SQL[name])
         names = [d[0] for d in cur.description]
         assert sorted(map(str, map(tuple, query(spark, SMALL).select(*names).collect()))) == sorted(map(str, cur.fetchall())), name
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
+def test_html_of_the_tables(spark):
+    """The driver's pages have one layout, so what an article holds can be cut out by patterns."""
+    import html
+    import re
+
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    got = {r["page_id"]: r for r in QUERIES["op4_html"](spark, SMALL).collect()}
+    assert len(got) == len(pages)
+    for p in pages:
+        article = re.search(r"<article>(.*)</article>", p["html"] or "", re.S)
+        blocks = re.split(r"</?(?:p|h1)>", article[1]) if article else []
+        texts = (" ".join(html.unescape(re.sub(r"<br>|</?b>", " ", b)).split()) for b in blocks)
+        expected = "\n".join(t for t in texts if t)
+        assert got[p["page_id"]]["text"] == expected and got[p["page_id"]]["n_chars"] == len(expected)
