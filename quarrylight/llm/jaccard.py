@@ -239,25 +239,26 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, k1, k2, text) of the classes in ``ids(rep)``: the texts of their first documents (first).
+def with_texts(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` with (k1, k2, text) of their class rep: the text of its first document (first).
 
     Rows may share a doc_id, so the key tells which of their texts is meant.
     """
     place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << WANTED_BITS))
-    wanted = classes.join(ids.select("rep").distinct(), "rep").select("rep", "first", "k1", "k2")
-    table = wanted.select(place("first").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    # joins with tables that grow with the corpus are merged, at every size
+    wanted = members.join(classes.select("rep", "first", "k1", "k2").hint("merge"), "rep")
+    table = wanted.select(place("first").alias("at")).distinct().groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
     rows = docs.where(F.col("doc_id").isNotNull()).withColumn("at", place("doc_id")).withColumn("bucket", F.bitmap_bucket_number("at"))
     # bit b of a bucket is bit b % 8 of its byte b / 8; a bucket has 4 KB, and there are 2 ** WANTED_BITS / 32768 of them
     here = F.expr("conv(hex(substring(bitmap, int(bitmap_bit_position(at) div 8) + 1, 1)), 16, 10)").cast("int")
     some = rows.join(F.broadcast(table), "bucket").where(here.bitwiseAND(F.expr("shiftleft(1, int(bitmap_bit_position(at) % 8))")) != 0)
-    return some.select(F.col("doc_id").alias("first"), "text").join(wanted, "first").select("rep", "k1", "k2", "text")
+    return wanted.join(some.select(F.col("doc_id").alias("first"), "text").hint("merge"), "first")
 
 
 def alike(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Of the candidates ``pairs(hub, rep)`` those that their bitmaps do not rule out, with the size n of rep."""
     side = lambda name, p: bits.select(F.col("rep").alias(name), F.col("n").alias(f"{p}n"), F.col("bits").alias(f"{p}bits"))
-    both = pairs.join(side("hub", "h"), "hub").join(side("rep", "r"), "rep")
+    both = pairs.join(side("hub", "h").hint("merge"), "hub").join(side("rep", "r").hint("merge"), "rep")
     apart = F.aggregate(F.zip_with("hbits", "rbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     total = (F.col("hn") + F.col("rn")).cast("long")
     least = F.floor((NUMERATOR * total + (NUMERATOR + DENOMINATOR - 1)) / (NUMERATOR + DENOMINATOR))
@@ -399,7 +400,7 @@ def forest(rows: DataFrame, bits: DataFrame) -> DataFrame:
     """(token, hub, rep, n) for ``rows(token, rep, n, component, m)``: of each part of a shingle's classes, as many
     candidates as join all that bitmaps allow to be joined; fewer than the part has classes."""
     part = F.pmod(F.xxhash64("rep", F.lit("part")), F.ceil(F.col("m") / PART))
-    full = rows.withColumn("part", part).join(bits.select("rep", "bits"), "rep").select("token", "part", "rep", F.col("n").cast("long").alias("n"), "component", "bits")
+    full = rows.withColumn("part", part).join(bits.select("rep", "bits").hint("merge"), "rep").select("token", "part", "rep", F.col("n").cast("long").alias("n"), "component", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (token, _, rep, n, component, words), at in _groups(batches, 2):
@@ -425,7 +426,7 @@ def possible(members: DataFrame, rows: DataFrame, bits: DataFrame) -> DataFrame:
     """What the bitmaps of the blocks ``members(block, part, rep)`` allow between components: of a block either pairs
     (rep, other, n), n the size of other, or, where those are many, its members (block, part, rep, component)."""
     component = rows.select("rep", "component").distinct()
-    full = members.join(bits.select("rep", F.col("n").cast("long").alias("n"), "bits"), "rep").join(component, "rep").select("block", "part", "rep", "n", "component", "bits")
+    full = members.join(bits.select("rep", F.col("n").cast("long").alias("n"), "bits").hint("merge"), "rep").join(component, "rep").select("block", "part", "rep", "n", "component", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (block, part, rep, n, component, words), at in _groups(batches, 2):
@@ -460,18 +461,18 @@ def decided(found: DataFrame, docs: DataFrame, classes: DataFrame, keep: Scratch
     pairs = keep.keep(found.where(F.col("other").isNotNull()).select(F.col("rep").alias("hub"), F.col("other").alias("rep"), "n").distinct(), f"{name}pairs")
     links = star_links(pairs, docs, classes, keep, name)
     members = found.where(F.col("other").isNull()).select("block", "part", "rep", "component")
-    more = keep.keep(linked(members, texts_of(docs, classes, members), stars=False, spanning=spanning), f"{name}more")
+    more = keep.keep(linked(with_texts(docs, classes, members), stars=False, spanning=spanning), f"{name}more")
     keep.drop(f"{name}possible")
     keep.drop(f"{name}pairs")
     return links.union(more)
 
 
-def linked(members: DataFrame, texts: DataFrame, stars: bool, spanning: bool) -> DataFrame:
-    """Links (u, v, n_both), u < v, within the blocks ``members(block, part, rep, component)``, by the product of each block.
+def linked(members: DataFrame, stars: bool, spanning: bool) -> DataFrame:
+    """Links (u, v, n_both), u < v, within the blocks ``members(block, part, rep, component, k1, k2, text)``, by the product of each block.
 
     stars: only those of the block's hub.  spanning: only between components, as many as tell what they join.
     """
-    rows = members.join(texts, "rep").select("block", "part", "rep", "component", "k1", "k2", "text")
+    rows = members.select("block", "part", "rep", "component", "k1", "k2", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, number, size = None, 0, 0
@@ -517,8 +518,7 @@ def linked(members: DataFrame, texts: DataFrame, stars: bool, spanning: bool) ->
 def star_links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, keep: Scratch, name: str) -> DataFrame:
     """(u, v, n_both) of the candidates ``pairs(hub, rep, n)`` that link."""
     members = keep.keep(star_blocks(pairs, keep, name), f"{name}members")
-    texts = texts_of(docs, classes, members)
-    out = keep.keep(linked(members.withColumn("component", F.col("rep")), texts, stars=True, spanning=False).groupBy("u", "v").agg(F.max("n_both").alias("n_both")), f"{name}links")
+    out = keep.keep(linked(with_texts(docs, classes, members.withColumn("component", F.col("rep"))), stars=True, spanning=False).groupBy("u", "v").agg(F.max("n_both").alias("n_both")), f"{name}links")
     keep.drop(f"{name}members")
     keep.drop(f"{name}load")
     return out
