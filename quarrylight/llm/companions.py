@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import mixing, pii, quality
+from quarrylight.llm import fingerprint, mixing, pii, quality
 from quarrylight.llm.common import Scratch, read
 
 
@@ -28,10 +28,16 @@ def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"llm_mixing_targets": mixing_targets, "llm_quality_counts": quality_counts, "llm_pii_counts": pii_counts}
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and digests of the edited texts of op12."""
+    return fingerprint.op12_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"llm_mixing_targets": mixing_targets, "llm_quality_counts": quality_counts, "llm_pii_counts": pii_counts, "llm_fingerprint_edits": fingerprint_edits}
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 ORACLE_SQL: dict[str, str] = {
+    "llm_fingerprint_edits": fingerprint.EDITS_SQL,
     "llm_mixing_targets": f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, sum(size) AS n, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS w FROM d GROUP BY source),

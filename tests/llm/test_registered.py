@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_registry():
     assert set(ORACLE_SQL) <= set(QUERIES) and all(isinstance(x, str) for x in ORACLE_SQL.values())
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
