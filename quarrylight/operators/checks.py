@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import paths
@@ -11,10 +16,7 @@ from quarrylight.functions.payload import field
 
 
 def inventory_faults(inventory: DataFrame) -> DataFrame:
-    """Duplicate keys, excluded or non-canonical paths, files below no directory.
-
-    The order itself holds by construction: keys are unique and readers sort by key.
-    """
+    """Duplicate keys, excluded or non-canonical paths, files below no directory; ``stored_order_faults`` judges the order."""
     copies = inventory.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("path"), F.lit("DUPLICATE").alias("fault"))
     form = inventory.select("path", F.when(paths.is_excluded(F.col("path")), "EXCLUDED").when(~paths.is_canonical(F.col("path")), "PATH").alias("fault")).where(F.col("fault").isNotNull())
     up = inventory.withColumn("up", paths.parent(F.col("path"))).where(F.col("up") != "")
@@ -23,6 +25,59 @@ def inventory_faults(inventory: DataFrame) -> DataFrame:
     return copies.unionByName(form).unionByName(orphans)
 
 
+def stored_segments(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """What each stretch of a stored table's files says of its order: rows FAULT (before, key) and one SEGMENT (first, last, n).
+
+    A task reads its stretches in the order in which they lie in the files, to their end, and compares neighbours; only the
+    ends of a stretch are left to be compared with those of the next one.
+    """
+    rows = spark.read.parquet(folder).select(F.col(key).cast("string").alias("key"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    names = ["kind", "file", "block", "first", "last", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list | None = None  # file, block, first, last, n
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, files, blocks = batch.columns
+            same = pc.and_(pc.equal(files[1:], files[:-1]), pc.equal(blocks[1:], blocks[:-1])) if len(batch) > 1 else pa.array([], pa.bool_())
+            begins = [0, *(np.flatnonzero(~np.asarray(same)) + 1).tolist()]
+            made = []
+            for a, b in zip(begins, [*begins[1:], len(batch)]):
+                where, own = (files[a].as_py(), blocks[a].as_py()), keys[a:b]
+                if open_ and tuple(open_[:2]) == where:
+                    if own[0].as_py() <= open_[3]:
+                        made.append(("FAULT", *where, open_[3], own[0].as_py(), None))
+                else:
+                    if open_:
+                        made.append(("SEGMENT", *open_))
+                    open_ = [*where, own[0].as_py(), None, 0]
+                wrong = pc.indices_nonzero(pc.less_equal(own[1:], own[:-1])).to_pylist() if b - a > 1 else []
+                made += [("FAULT", *where, own[i].as_py(), own[i + 1].as_py(), None) for i in wrong]
+                open_[3], open_[4] = own[-1].as_py(), open_[4] + b - a
+            if made:
+                yield out(made)
+        if open_:
+            yield out([("SEGMENT", *open_)])
+
+    return rows.mapInArrow(run, "kind string, file string, block long, first string, last string, n long")
+
+
+def stored_order_faults(segments: DataFrame) -> DataFrame:
+    """(before, key) of neighbours in a stored table that do not strictly increase, from ``stored_segments`` of it.
+
+    Files follow each other by the number in their names; a row for each stretch is sorted, not the table.
+    """
+    inside = segments.where(F.col("kind") == "FAULT").select(F.col("first").alias("before"), F.col("last").alias("key"))
+    order = Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file", "block")
+    ends = segments.where(F.col("kind") == "SEGMENT").withColumn("before", F.lag("last").over(order))
+    return inside.unionByName(ends.where(F.col("first") <= F.col("before")).select("before", F.col("first").alias("key")))
+
+
 def digest_faults(files: DataFrame) -> DataFrame:
     """Files whose bytes differ from their recorded digest or length."""
     return files.where((F.sha2(F.col("text"), 256) != F.col("content_digest")) | (F.octet_length("text") != F.col("byte_length"))).select("path")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions.identity import ordered_digest
 from quarrylight.functions.paths import utf16_order
 from quarrylight.functions.text import clip, utf16_length
-from quarrylight.model import DOCUMENT_PAGE_MOST, REPOSITORY_ID, SECTIONS_MOST, SHA256, SNIPPET_MOST, TITLE_MOST, QueryError, checked_limit, checked_query, invalid
+from quarrylight.model import DOCUMENT_PAGE_MOST, SECTIONS_MOST, SHA256, SNIPPET_MOST, TITLE_MOST, QueryError, checked_limit, checked_query, invalid
 from quarrylight.plans.paging import after
 
 SECTION_SCHEMA = "path string, start_line int, end_line int, start_char int, end_char int, start_offset int, end_offset int, title string"
@@ -51,7 +51,10 @@ def parse_sections(content: str, most: int = SECTIONS_MOST) -> list[tuple[int, i
 
 
 def sections(documents: DataFrame) -> DataFrame:
-    """Sections of (path, content): fences carry state from line to line, so texts are read in Python, whole, in Arrow batches."""
+    """Sections of (path, content): fences carry state from line to line, so texts are read in Python, whole, in Arrow batches.
+
+    A document with more sections than a document may have gives none here and a row of ``section_faults``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -59,7 +62,11 @@ def sections(documents: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 units = (lambda a, b: b - a) if content.isascii() else (lambda a, b, c=content: len(c[a:b].encode("utf-16-le")) // 2)
                 offset = 0
-                for line, end_line, start, end, title in parse_sections(content):
+                try:
+                    found = parse_sections(content)
+                except QueryError:
+                    continue
+                for line, end_line, start, end, title in found:
                     begin, offset = offset, offset + units(start, end)
                     rows.append((path, line, end_line, start, end, begin, offset, title))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SECTION_SCHEMA.split(", ")])
@@ -67,6 +74,12 @@ def sections(documents: DataFrame) -> DataFrame:
     return documents.select("path", F.coalesce("content", F.lit("")).alias("content")).mapInPandas(run, SECTION_SCHEMA)
 
 
+def section_faults(documents: DataFrame) -> DataFrame:
+    """(path, fault) of documents that ``sections`` leaves out."""
+    some = documents.select("path").join(sections(documents).select("path").distinct(), "path", "left_anti")
+    return some.select("path", F.lit("SECTIONS").alias("fault"))
+
+
 def _owned(documents: DataFrame, owner: str | None) -> DataFrame:
     return documents if owner is None else documents.where(F.col("owner") == owner)
 
@@ -189,6 +202,3 @@ def selection_misses(selection: DataFrame, cached: DataFrame) -> DataFrame:
     """Owners whose selected revision is not cached, grouped by revision."""
     return selection.join(cached, ["owner", "revision"], "left_anti").groupBy("revision").agg(F.array_sort(F.collect_list("owner")).alias("owners"))
 
-
-def valid_owner(owner: F.Column) -> F.Column:
-    return owner.rlike(REPOSITORY_ID)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.model import JOB_PHASES, KEYWORDS_MOST, RETENTION_DAYS, QueryError, invalid
+from quarrylight.model import JOB_PHASES, KEYWORDS_MOST, RETENTION_DAYS, invalid
 from quarrylight.plans.paging import byte_budget, json_size, page
 
 
@@ -98,10 +101,29 @@ def unleased(collectable_: DataFrame, leases: DataFrame, now: str) -> DataFrame:
     return collectable_.join(held, ["repository_id", "revision"], "left_anti")
 
 
-def capacity_refusals(requests: DataFrame, most: int) -> DataFrame:
-    """(repository_id, seq, used, admitted) of requests (repository_id, seq, bytes): the exact limit is still admitted."""
-    used = F.sum("bytes").over(Window.partitionBy("repository_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return requests.withColumn("used", used).select("repository_id", "seq", "used", (F.col("used") <= most).alias("admitted"))
+def capacity_refusals(requests: DataFrame, most: int, least: int = 0) -> DataFrame:
+    """(repository_id, seq, used, admitted) of requests (repository_id, seq, bytes, free): a fold over each repository's requests in order.
+
+    A request is admitted if the bytes in use and its own stay within ``most``, the exact limit included, and if at least
+    ``least`` bytes would stay free; what is refused takes no room.  ``used`` is what is in use after the request.  Rows come
+    sorted by repository, so a task carries one number from row to row, however many requests a repository has.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repository, used = None, 0
+        for batch in batches:
+            out_used, admitted = [], []
+            for own, size, free in zip(*(batch.column(c).to_pylist() for c in ("repository_id", "bytes", "free"))):
+                if own != repository:
+                    repository, used = own, 0
+                fits = used + size <= most and (free is None or free - size >= least)
+                used += size * fits
+                out_used.append(used)
+                admitted.append(fits)
+            yield pa.RecordBatch.from_arrays([batch.column("repository_id"), batch.column("seq"), pa.array(out_used, pa.int64()), pa.array(admitted, pa.bool_())], ["repository_id", "seq", "used", "admitted"])
+
+    rows = requests.select(F.col("repository_id").cast("string").alias("repository_id"), F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("bytes"), F.lit(0)).cast("long").alias("bytes"), (F.col("free") if "free" in requests.columns else F.lit(None)).cast("long").alias("free"))
+    return rows.repartition("repository_id").sortWithinPartitions("repository_id", "seq").mapInArrow(fold, "repository_id string, seq long, used long, admitted boolean")
 
 
 def recovered(jobs: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -111,12 +133,6 @@ def recovered(jobs: DataFrame, receipts: DataFrame) -> DataFrame:
     return running.select("job_id", F.when(F.col("phase") != "RUNNING", F.col("phase")).when(F.col("committed"), "COMPLETE").otherwise("FAILED").alias("phase"))
 
 
-def capacity_ok(used: int, most: int, free: int, least: int) -> None:
-    """The exact limit is still admitted."""
-    if used > most or free < least:
-        raise QueryError("CAPACITY_EXCEEDED")
-
-
 def managed_bytes(roots: DataFrame) -> DataFrame:
     """Bytes of managed roots (path, bytes) where a root below another counts once, with the outer one."""
     # every ancestor of a path, as rows: an equi join instead of a prefix comparison of all pairs

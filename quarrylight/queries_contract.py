@@ -255,10 +255,13 @@ def _(s, d):
     return lifecycle.unleased(lifecycle.collectable(lifecycle.retirements(p), "2024-02-10 00:00:00"), leases, "2024-02-10 00:00:00")
 
 
-@query("q_capacity", """SELECT 'r' || user_id AS repository_id, CAST(event_id AS BIGINT) AS seq, CAST(sum(event_id % 100) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS used, sum(event_id % 100) OVER (PARTITION BY user_id ORDER BY event_id) <= 250 AS admitted FROM events""")
+@query("q_capacity", """WITH RECURSIVE e AS (SELECT 'r' || user_id AS repository_id, CAST(event_id AS BIGINT) AS seq, event_id % 100 AS bytes, event_id * 7 % 1000 AS free, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    f AS (SELECT repository_id, seq, n, CASE WHEN bytes <= 250 AND free - bytes >= 20 THEN bytes ELSE 0 END AS used, bytes <= 250 AND free - bytes >= 20 AS admitted FROM e WHERE n = 1
+      UNION ALL SELECT e.repository_id, e.seq, e.n, f.used + CASE WHEN f.used + e.bytes <= 250 AND e.free - e.bytes >= 20 THEN e.bytes ELSE 0 END, f.used + e.bytes <= 250 AND e.free - e.bytes >= 20 FROM f JOIN e ON e.repository_id = f.repository_id AND e.n = f.n + 1)
+    SELECT repository_id, seq, CAST(used AS BIGINT) AS used, admitted FROM f""")
 def _(s, d):
     e = L.table(s, d, "events")
-    return lifecycle.capacity_refusals(e.select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("repository_id"), F.col("event_id").cast("long").alias("seq"), (F.col("event_id") % 100).cast("long").alias("bytes")), 250)
+    return lifecycle.capacity_refusals(e.select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("repository_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 100).alias("bytes"), (F.col("event_id") * 7 % 1000).alias("free")), 250, 20)
 
 
 @query("q_registry_faults", """WITH r AS (SELECT 'r' || c_custkey AS repository_id, octet_length(encode('{"repository_id":"r' || c_custkey || '","display_name":"' || c_name || CASE WHEN c_custkey % 100 = 0 THEN repeat('x', 2048) ELSE '' END || '"}')) AS bytes FROM customer)

@@ -7,7 +7,7 @@ import re
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions.paths import inventory_key, is_excluded
@@ -93,6 +93,23 @@ class Generations:
             order = (sort or {}).get(name)
             (df.sortWithinPartitions(*order) if order else df).write.mode("errorifexists").parquet(f"{self.root}/{generation}/{name}")
 
+    def write_counted(self, tables: dict[str, DataFrame], generation: str, counters: dict[str, dict[str, Column]], most: dict[str, int] | None = None, sort: dict[str, list[str]] | None = None) -> dict[str, int]:
+        """Tables as ``write`` makes them, counted while they are written; {"table.counter": value}.
+
+        counters: for each table, aggregates by name; most: the largest values allowed.  The table that goes beyond one is the
+        last to be written: the generation is deleted and nothing names it, so the state stays as it was.
+        """
+        found: dict[str, int] = {}
+        for name, df in tables.items():
+            seen = Observation(f"{generation}-{name}")
+            self.write({name: df.observe(seen, *(c.alias(k) for k, c in counters[name].items()))}, generation, sort)
+            found |= {f"{name}.{k}": v or 0 for k, v in seen.get.items()}
+            over = sorted(k for k, v in (most or {}).items() if found.get(k, 0) > v)
+            if over:
+                self._fs.delete(self._path(f"{self.root}/{generation}"), True)
+                raise QueryError("CAPACITY_EXCEEDED", ", ".join(f"{k}={found[k]}" for k in over))
+        return found
+
     def _written(self, state: dict) -> object:
         """A state under a name of its own, complete on disk."""
         own = self._path(f"{self.root}/.state-{uuid.uuid4().hex}.tmp")
