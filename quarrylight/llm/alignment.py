@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ FREQUENT = 1 << 19
 #: Tasks are dealt over so many salts in the first step of counting.
 SALTS = 16
 #: Pieces of text that a worker remembers.
-MEMORY = 600_000
+MEMORY = 300_000
+#: Characters of texts that are aligned at once; a longer text is by itself.
+TOGETHER_CHARS = 1 << 19
 #: Pieces that are encoded in one call.
 TOGETHER = 512
 #: Fixed: how byte-level vocabularies of this kind split a text before merging.
@@ -271,7 +274,7 @@ def aligned(docs: DataFrame, byte_bpe: str = BYTE_BPE, model: str = MODEL) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load(byte_bpe, model)
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in small(batches):
             found = align(batch.column(1).to_pylist(), t)
             offsets = pa.array(found["offsets"], pa.int32())
             arrays = [pa.array(np.arange(row, row + len(batch)), pa.int64()), batch.column(0), *(pa.array(found[k], pa.int64()) for k in ("n_a", "n_b", "n_groups", "n_links")), pa.array(found["groups_sha256"], pa.string())]
@@ -279,6 +282,15 @@ def aligned(docs: DataFrame, byte_bpe: str = BYTE_BPE, model: str = MODEL) -> Da
             row += len(batch)
             yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", *(x.split()[0] for x in DIGEST.split(", ")), "pairs", "times"])
 
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(batch):
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER_CHARS, "right")))
+                yield batch.slice(at, to - at)
+                at = to
+
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, f"row long, doc_id long, {DIGEST}, pairs array<int>, times array<long>")
 

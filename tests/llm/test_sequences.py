@@ -270,6 +270,6 @@ def test_aligned_documents(spark, whole, frequent):
 
 
 def test_alignment_of_a_long_text(spark, whole):
-    text = "some words in a row\n" * 20_000 + "x" * 50_000
+    text = "some words in a row\n" * 1500 + "x" * 3000
     (row,) = alignment.align_documents(table(spark, [(1, text)])).collect()
     assert tuple(row) == brute_documents([(1, text)], whole)[0]
