@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Each proposal starts with the score of its pattern.  A passed checksum raises it, a failed one drops
-the span; words near the span that name its kind raise it, words that name another use lower it.
+the span; whole words near the span that name its kind raise it, words that name another use lower it, the
+nearest of each sort by its distance.  Only what stands right before a secret may be part of a longer name.
 Spans of the four base kinds (email, ip, card, phone) are exactly those of the base rules and always
 stay.  The method adds spans of the kinds ``iban`` (mod 97), ``ssn`` and ``phone_local``, shorter card numbers
 (13 to 15 digits, Luhn) and ``secret`` (keys and tokens), where the score reaches ``MIN_SCORE``; an added
@@ -42,12 +43,21 @@ _PHONE_LOCAL = re.compile(r"(?<![\w+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9
 _SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?![A-Za-z0-9+/_-])")
 _HINT = re.compile(r"[0-9@]")
 
+#: What a context word adds or takes: the first at the edge of CONTEXT, both next to the span.
+FAR, NEAR = 0.25, 0.1
+
+
+def _words(*forms: str) -> re.Pattern:
+    """Any of the forms as whole words: no letter, digit or underscore on either side."""
+    return re.compile(rf"(?<!\w)(?:{'|'.join(forms)})(?!\w)", re.I)
+
+
 #: kind: (score of the pattern, gain of a passed checksum, words for it, words against it)
 RULES = {
-    "iban": (0.3, 0.4, re.compile(r"iban|account|konto|compte|cuenta|bank", re.I), None),
-    "ssn": (0.35, 0.0, re.compile(r"ssn|social security|sozialversicherung|s[eé]curit[eé] sociale", re.I), re.compile(r"isbn|order|invoice|version", re.I)),
-    "card_short": (0.3, 0.2, re.compile(r"card|karte|carte|tarjeta|visa|amex|credit", re.I), re.compile(r"order|invoice|isbn|tracking|serial", re.I)),
-    "phone_local": (0.4, 0.0, re.compile(r"phone|tel|call|mobile|fax|t[eé]l[eé]phone|anruf|llam", re.I), re.compile(r"order|invoice|isbn|version|serial", re.I)),
+    "iban": (0.3, 0.4, _words("iban", "(?:bank )?account", "konto(?:nummer)?", "compte", "cuenta", "bank"), None),
+    "ssn": (0.35, 0.0, _words("ssn", "social security", "sozialversicherung(?:snummer)?", "s[eé]curit[eé] sociale", "seguridad social"), _words("isbn", "orders?", "invoices?", "version")),
+    "card_short": (0.3, 0.2, _words("(?:credit ?)?cards?", "(?:kredit)?karten?", "cartes?", "tarjetas?", "visa", "amex", "credit"), _words("orders?", "invoices?", "isbn", "tracking", "serial")),
+    "phone_local": (0.4, 0.0, _words("(?:tele)?phones?", "tel", "calls?", "call(?:ed|ing)", "mobile", "fax", "t[eé]l[eé]phone", "telefon(?:nummer)?", "anruf(?:en)?", "tel[eé]fono", "ll[aá]m(?:e|a|ar|enos|ame)", "appel(?:ez|er)?"), _words("orders?", "invoices?", "isbn", "version", "serial")),
     "secret": (0.0, 0.35, re.compile(r"(?:token|secret|passw(?:or)?d|pwd|credentials?|(?:api|access|private|auth)[ _-]?key)[\"']?\s{0,4}[:=]\s{0,4}[\"']?$", re.I), None),
 }
 
@@ -110,10 +120,19 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 def _score(kind: str, text: str, start: int, end: int, checked: bool) -> float:
     score, gain, good, bad = RULES[kind]
-    before = text[max(0, start - CONTEXT) : start]
-    # what makes a key a secret stands right in front of it
-    near = before if kind == "secret" else before + " " + text[end : end + CONTEXT]
-    return score + gain * checked + 0.3 * bool(good.search(near)) - 0.3 * bool(bad and bad.search(near))
+    if kind == "secret":  # what makes a key a secret stands right in front of it
+        return score + gain * checked + 0.3 * bool(good.search(text[max(0, start - CONTEXT) : start]))
+    return score + gain * checked + _weight(good, text, start, end) - (_weight(bad, text, start, end) if bad else 0)
+
+
+def _weight(words: re.Pattern, text: str, start: int, end: int) -> float:
+    """What the nearest of the words within CONTEXT characters counts; 0 if there is none."""
+    far = []
+    for m in words.finditer(text, max(0, start - CONTEXT), min(len(text), end + CONTEXT)):
+        cut = m.end() == end + CONTEXT < len(text) and (text[m.end()].isalnum() or text[m.end()] == "_")  # a pattern sees nothing beyond its last place
+        if (m.end() <= start or m.start() >= end) and not cut:
+            far.append(start - m.end() if m.end() <= start else m.start() - end)
+    return FAR + NEAR * (1 - min(far) / CONTEXT) if far else 0.0
 
 
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
