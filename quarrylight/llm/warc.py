@@ -120,7 +120,10 @@ def write_archives(rows: DataFrame, base: str) -> DataFrame:
 
 
 def inflated_records(uri: str, piece: int = 1 << 20) -> Iterator[bytes]:
-    """The records of a gzip file of one or more members, read once from front to back."""
+    """The records of a gzip file of one or more members, read once from front to back.
+
+    At most ``piece`` bytes are inflated before records are given out, so memory holds a record and two pieces.
+    """
     store, path = fs.FileSystem.from_uri(uri)
     with store.open_input_stream(path, compression=None) as source:
         inflate, held, within = zlib.decompressobj(31), bytearray(), False
@@ -128,16 +131,18 @@ def inflated_records(uri: str, piece: int = 1 << 20) -> Iterator[bytes]:
             data = source.read(piece)
             if not data:
                 break
-            while data:
-                held += inflate.decompress(data)
-                data, within = inflate.unused_data, not inflate.eof
+            full = False
+            while data or full:  # ``piece`` bytes of output at once, however far the input expands
+                out = inflate.decompress(data, piece)
+                held += out
+                data, full, within = inflate.unconsumed_tail, len(out) == piece, not inflate.eof
                 if inflate.eof:
-                    inflate = zlib.decompressobj(31)
-            at = 0
-            while (end := _record_end(held, at)) is not None:
-                yield bytes(held[at:end])
-                at = end
-            del held[:at]
+                    data, full, inflate = inflate.unused_data, False, zlib.decompressobj(31)
+                at = 0
+                while (end := _record_end(held, at)) is not None:
+                    yield bytes(held[at:end])
+                    at = end
+                del held[:at]
         if held or within:
             raise ValueError(f"{uri} ends within a {'record' if held else 'stream'}")
 
