@@ -25,7 +25,7 @@ import html as entities
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import read
+from quarrylight.llm.common import read, small_batches
 from quarrylight.llm.gbt import Trees
 
 _KINDS = {
@@ -50,7 +50,11 @@ _INLINE = KIND_NAMES.index("inline")
 BLOCKS = frozenset(_KINDS) - {"a", "button", "input", "select", "label", "option", "code"} | {"hr", "address", "details", "summary", "tfoot", "title"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no page text.
-RAW = frozenset("script style noscript textarea template iframe svg math object select head title xmp".split())
+RAW = frozenset("script style noscript textarea template iframe svg select head title xmp".split())
+#: Tags that end a drawing which was not closed, as browsers have it.
+_BREAKOUT = "b big blockquote body br center code dd div dl dt em embed h[1-6] head hr i img li listing main article section aside nav header footer form figure menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var"
+_IN_SVG = re.compile(rf"<(?:(/svg)|(svg)|(foreignobject)|({'|'.join(_BREAKOUT.split())}))(?=[\s/>])([^>]*)>?", re.I)
+_END_FOREIGN = re.compile(r"</foreignobject\b[^>]*>", re.I)
 #: A start tag on the right ends an open element on the left.
 _CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "caption", "body", "html"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -75,6 +79,8 @@ LEXICON = {
     "share": "share sharing social follow tags tag meta byline author date timestamp print rating vote hidden".split(),
 }
 _GROUPS = list(LEXICON)
+#: Elements whose features are held at once.
+ELEMENTS = 1 << 14
 #: Places that all attribute tokens are hashed to.
 HASHES = 24
 _GROUP_OF = {t: i for i, (_, words) in enumerate(LEXICON.items()) for t in words}
@@ -156,6 +162,36 @@ class _Open:
         return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
 
 
+def _end_of_svg(source: str, at: int) -> int:
+    """Where a drawing ends whose start tag ends at ``at``: after its end tag, or before a tag that no drawing holds."""
+    depth = 1
+    while (m := _IN_SVG.search(source, at)) is not None:
+        at = m.end()
+        if m[1]:
+            depth -= 1
+            if not depth:
+                return at
+        elif m[2]:
+            depth += not m[5].endswith("/")
+        elif m[3]:  # pages within drawings
+            end = _END_FOREIGN.search(source, at)
+            if end is None:
+                return m.start()
+            at = end.end()
+        else:
+            return m.start()
+    return len(source)
+
+
+_IN_SELECT = re.compile(rf"</select\b[^>]*>|(?=<(?:/?(?:{'|'.join(sorted(BLOCKS - {'hr'}))})|select|input|textarea)(?=[\s/>]))", re.I)
+
+
+def _end_of_select(source: str, at: int) -> int:
+    """After the end tag of a list of choices, or before the next block or field: a list that was not closed ends there."""
+    m = _IN_SELECT.search(source, at)
+    return m.end() if m else len(source)
+
+
 def parse(source: str) -> Tree:
     t = Tree()
     parent, end, kind, own, flags, above, chars, stops, words, chunks = t.parent, t.end, t.kind, t.own, t.flags, t.above, t.chars, t.stops, t.words, t.chunks
@@ -220,6 +256,10 @@ def parse(source: str) -> Tree:
             continue
         if name in RAW:
             if not attributes.endswith("/"):
+                if name in ("svg", "select"):
+                    at = (_end_of_svg if name == "svg" else _end_of_select)(source, at)
+                    found.send(at)
+                    continue
                 close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 if not close and name == "head":
                     unclosed.add(name)
@@ -251,6 +291,11 @@ FEATURES = [f"is_{k}" for k in KIND_NAMES] + [f"has_{g}" for g in _GROUPS] + [f"
 
 def features(trees: list[Tree]) -> np.ndarray:
     """A row of FEATURES for every element of all trees, in order."""
+    return np.concatenate(list(feature_blocks(trees)))
+
+
+def feature_blocks(trees: list[Tree], size: int = ELEMENTS) -> Iterator[np.ndarray]:
+    """The rows of ``features``, ``size`` elements at a time."""
     sizes = np.array([len(t.parent) for t in trees])
     base = np.repeat(np.cumsum(sizes) - sizes, sizes)
     cat = lambda name: np.concatenate([np.array(getattr(t, name), np.int64) for t in trees])
@@ -286,26 +331,28 @@ def features(trees: list[Tree]) -> np.ndarray:
     page = np.repeat(np.cumsum(sizes) - sizes, sizes)
     whole = np.maximum(all_chars[page], 1)
     upto = np.r_[0, np.cumsum(chars)]
-    x = np.zeros((n, len(FEATURES)), np.float32)
-    k = len(KIND_NAMES)
-    x[here, kind] = 1
-    for g in range(len(_GROUPS)):
-        x[:, k + g] = own >> g & 1
-        x[:, k + len(_GROUPS) + g] = above >> g & 1
-    for b in range(_BITS):
-        x[:, k + 2 * len(_GROUPS) + b] = flags >> b & 1
-    k += 2 * len(_GROUPS) + _BITS
-    for i in range(HASHES):
-        x[:, k + i] = tokens >> i & 1
-        x[:, k + HASHES + i] = under >> i & 1
     share, stop_rate = all_links / np.maximum(all_chars, 1), all_stops / np.maximum(all_words, 1)
     rest = (depth, np.log1p(all_chars), share, np.log1p(inside), np.log1p(all_chars / inside), stop_rate,
             np.log1p(all_words / np.maximum(parts, 1)), np.log1p(siblings), place, all_chars / np.maximum(all_chars[parent], 1), all_chars / whole, (upto[here] - upto[page]) / whole,
             share[parent], stop_rate[parent], np.log1p(parts[parent]), np.isin(kind[parent], _TEXT_KINDS), named, np.log1p(alike), alike / siblings,
             np.log1p(all_chars[parent]), all_chars[parent] / whole, headings[parent], named[parent], all_chars[parent[parent]] / whole)
-    for i, column in enumerate(rest):
-        x[:, len(FEATURES) - len(rest) + i] = column
-    return x
+    for a in range(0, n, size):
+        own_rows = slice(a, min(a + size, n))
+        x = np.zeros((own_rows.stop - a, len(FEATURES)), np.float32)
+        k = len(KIND_NAMES)
+        x[np.arange(len(x)), kind[own_rows]] = 1
+        for g in range(len(_GROUPS)):
+            x[:, k + g] = own[own_rows] >> g & 1
+            x[:, k + len(_GROUPS) + g] = above[own_rows] >> g & 1
+        for b in range(_BITS):
+            x[:, k + 2 * len(_GROUPS) + b] = flags[own_rows] >> b & 1
+        k += 2 * len(_GROUPS) + _BITS
+        for i in range(HASHES):
+            x[:, k + i] = tokens[own_rows] >> i & 1
+            x[:, k + HASHES + i] = under[own_rows] >> i & 1
+        for i, column in enumerate(rest):
+            x[:, len(FEATURES) - len(rest) + i] = column[own_rows]
+        yield x
 
 
 def decode(t: Tree, odds: list[float]) -> list[bool]:
@@ -340,16 +387,29 @@ def text_of(t: Tree, keep: list[bool]) -> str:
     return "\n".join(x for x in out if x)
 
 
-def extract(pages: list[str | None], model: Trees) -> list[str]:
-    trees = [parse(p or "") for p in pages]
-    if not trees:
-        return []
-    odds = np.clip(model.log_odds(features(trees)), -12, 12)
-    out, at = [], 0
-    for t in trees:
-        own = odds[at : at + len(t.parent)].tolist()
-        at += len(own)
-        out.append(text_of(t, decode(t, own)))
+def extract(pages: Iterable[str | None], model: Trees) -> list[str]:
+    """The text of each page; pages are read together until they have ELEMENTS elements, so memory follows the largest page."""
+    out: list[str] = []
+    trees: list[Tree] = []
+
+    def judge() -> None:
+        odds = np.clip(np.concatenate([model.log_odds(x) for x in feature_blocks(trees)]), -12, 12)
+        at = 0
+        for t in trees:
+            own = odds[at : at + len(t.parent)].tolist()
+            at += len(own)
+            out.append(text_of(t, decode(t, own)))
+        trees.clear()
+
+    held = 0
+    for p in pages:
+        trees.append(parse(p or ""))
+        held += len(trees[-1].parent)
+        if held >= ELEMENTS:
+            judge()
+            held = 0
+    if trees:
+        judge()
     return out
 
 
@@ -494,15 +554,14 @@ def trained(n: int = 1200) -> Trees:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` to (page_id, url, text, n_chars), a row for each row."""
+    small_batches(pages.sparkSession)
     # 60 trees of 31 splits: a size that does not grow
     shared = pages.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                part = batch.slice(a, 200)
-                texts = extract(part.column(2).to_pylist(), shared.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            texts = extract((x.as_py() for x in batch.column(2)), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
