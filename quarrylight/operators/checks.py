@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,19 +121,100 @@ def payload_faults(rows: DataFrame, key: str, payload: str, columns: dict[str, s
     return rows.select(key, F.explode(F.array_compact(wrong)).alias("column"))
 
 
+_ESCAPE = re.compile(r"(?<!\\)((?:\\\\)*)\\u+([0-9a-fA-F]{4})")
+
+
+def unescaped(text: str) -> str:
+    """A source text with its Unicode escapes as the characters they stand for; an escaped backslash begins none."""
+    plain = _ESCAPE.sub(lambda m: m[1] + chr(int(m[2], 16)), text)
+    return plain.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def span_faults(files: DataFrame, spans: DataFrame) -> DataFrame:
-    """(span_id, fault) of spans (span_id, path, start_byte, end_byte, start_line) that are no part of their file's text."""
-    data = F.encode("text", "UTF-8")
-    inside = lambda c: F.hex(F.substring(data, (F.col(c) + 1).cast("int"), F.lit(1))).rlike("^[89AB]")
-    before = F.hex(F.substring(data, F.lit(1), F.col("start_byte").cast("int")))
-    # line feeds before the start, counted on whole bytes
-    line = F.length(F.regexp_replace(F.regexp_replace(before, "(..)", "$1 "), "(0A )|(.. )", "$1")) / 3 + 1
-    both = spans.join(files.select("path", "text"), "path", "left")
+    """(span_id, fault) of spans (span_id, path, start_byte, end_byte, start_line) that are no part of their file's text.
+
+    Where spans have (name, name_start_byte, name_end_byte), the bytes there must spell the name, with escapes read.  Files and
+    spans pass by sorted by path, each file before its spans, so a text is sent and measured once however many spans it has.
+    """
+    named = "name" in spans.columns
+    plain = lambda c, t: (F.col(c) if c in spans.columns else F.lit(None)).cast(t)
+    places = {"start_byte": "long", "end_byte": "long", "start_line": "long", "name_start_byte": "long", "name_end_byte": "long", "name": "string"}
+    key = spans.schema["span_id"].dataType.simpleString()
+    own = files.select("path", F.col("text").cast("string").alias("text"), F.lit(None).cast(key).alias("span_id"), *(F.lit(None).cast(t).alias(c) for c, t in places.items()), F.lit(0).alias("turn"))
+    asked = spans.select("path", F.lit(None).cast("string").alias("text"), "span_id", *(plain(c, t).alias(c) for c, t in places.items()), F.lit(1).alias("turn"))
+    events = own.unionByName(asked).repartition("path").sortWithinPartitions("path", "turn")
+
+    def judge(data: np.ndarray | None, feeds: np.ndarray, start: int, end: int, line: int, name: tuple) -> str | None:
+        if data is None:
+            return "FILE"
+        if start is None or end is None or start < 0 or end < start or end > len(data):
+            return "RANGE"
+        inside = lambda at: at < len(data) and data[at] & 0xC0 == 0x80
+        if inside(start) or inside(end):
+            return "BOUNDARY"
+        if int(np.searchsorted(feeds, start)) + 1 != line:
+            return "LINE"
+        if named:
+            said, a, b = name
+            if a is None or b is None or not start <= a <= b <= end or inside(a) or inside(b) or unescaped(data[a:b].tobytes().decode("utf-8", "replace")) != said:
+                return "NAME"
+        return None
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, data, feeds = None, None, np.zeros(0, np.int64)
+        for batch in batches:
+            ids, found = [], []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("path", "span_id", "turn", "start_byte", "end_byte", "start_line", "name", "name_start_byte", "name_end_byte")), batch.column("text")):
+                if row[0] != path:
+                    path, data = row[0], None
+                if row[2] == 0:
+                    text = row[9].as_py()
+                    data = None if text is None else np.frombuffer(text.encode(), np.uint8)
+                    feeds = np.zeros(0, np.int64) if data is None else np.flatnonzero(data == 10)
+                elif (fault := judge(data, feeds, *row[3:6], row[6:9])) is not None:
+                    ids.append(row[1])
+                    found.append(fault)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("span_id").type), pa.array(found, pa.string())], ["span_id", "fault"])
+
+    return events.mapInArrow(sweep, f"span_id {key}, fault string")
+
+
+def nesting_faults(declarations: DataFrame) -> DataFrame:
+    """(symbol_id, fault) of declarations (symbol_id, parent_id, path, start_byte, end_byte) whose parent is none, elsewhere, or not strictly larger."""
+    up = declarations.select(F.col("symbol_id").alias("parent_id"), F.col("path").alias("home"), F.col("start_byte").alias("a"), F.col("end_byte").alias("b"), F.lit(True).alias("known"))
+    own = declarations.where(F.col("parent_id").isNotNull()).join(up, "parent_id", "left")
+    around = (F.col("a") <= F.col("start_byte")) & (F.col("end_byte") <= F.col("b")) & (F.col("b") - F.col("a") > F.col("end_byte") - F.col("start_byte"))
+    fault = F.when(F.col("known").isNull(), "PARENT").when(F.col("home") != F.col("path"), "PARENT_PATH").when(~around, "PARENT_RANGE")
+    return own.select("symbol_id", fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
+def revision_faults(inventory: DataFrame, blobs: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(path, fault) of a whole revision: all its tables as one tagged union, judged by one aggregate over each path.
+
+    inventory: (path, kind, status, byte_length, content_digest); blobs: (path, byte_length, content_digest), as measured;
+    indexed: (path, content_digest), the files that an index covers.
+    """
+    tagged = lambda df, tag, *c: df.select("path", F.lit(tag).alias("tag"), *((F.col(x) if x in c else F.lit(None)).cast(t).alias(x) for x, t in (("status", "string"), ("byte_length", "long"), ("content_digest", "string"))))
+    rows = tagged(inventory.where("kind = 'FILE'"), "INVENTORY", "status", "byte_length", "content_digest").unionByName(tagged(blobs, "BLOB", "byte_length", "content_digest")).unionByName(tagged(indexed, "INDEX", "content_digest"))
+    of = lambda tag, c: F.max(F.when(F.col("tag") == tag, F.col(c)))
+    n = lambda tag: F.count_if(F.col("tag") == tag)
+    each = rows.groupBy("path").agg(
+        n("INVENTORY").alias("i"), n("BLOB").alias("b"), n("INDEX").alias("x"), of("INVENTORY", "status").alias("status"), of("INVENTORY", "byte_length").alias("size"), of("INVENTORY", "content_digest").alias("digest"),
+        of("BLOB", "byte_length").alias("actual_size"), of("BLOB", "content_digest").alias("actual"), of("INDEX", "content_digest").alias("seen"))
+    readable = F.col("status") == "TEXT"
     fault = (
-        F.when(F.col("text").isNull(), "FILE").when((F.col("start_byte") < 0) | (F.col("end_byte") < F.col("start_byte")) | (F.col("end_byte") > F.octet_length("text")), "RANGE")
-        .when(inside("start_byte") | inside("end_byte"), "BOUNDARY").when(line.cast("int") != F.col("start_line"), "LINE")
+        F.when((F.col("i") > 1) | (F.col("b") > 1) | (F.col("x") > 1), "DUPLICATE").when(F.col("i") == 0, F.when(F.col("b") > 0, "EXTRA_BLOB").otherwise("EXTRA_INDEX"))
+        .when(readable & (F.col("b") == 0), "MISSING_BLOB").when(~readable & (F.col("b") > 0), "EXTRA_BLOB").when(readable & ~F.col("size").eqNullSafe(F.col("actual_size")), "LENGTH")
+        .when(readable & ~F.col("digest").eqNullSafe(F.col("actual")), "DIGEST").when(readable & (F.col("x") == 0), "NOT_INDEXED").when(~readable & (F.col("x") > 0), "EXTRA_INDEX").when(readable & ~F.col("seen").eqNullSafe(F.col("digest")), "STALE_INDEX")
     )
-    return both.select("span_id", fault.alias("fault")).where(F.col("fault").isNotNull())
+    return each.select("path", fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
+def manifest_faults(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(status, stored, counted) where a manifest's counts of files by status (status, n) are not those of its inventory."""
+    counted = inventory.where("kind = 'FILE'").groupBy("status").agg(F.count(F.lit(1)).alias("counted"))
+    both = manifest.select("status", F.col("n").alias("stored")).join(counted, "status", "full_outer")
+    return both.select("status", F.coalesce("stored", F.lit(0)).cast("long").alias("stored"), F.coalesce("counted", F.lit(0)).alias("counted")).where(F.col("stored") != F.col("counted"))
 
 
 def coverage_faults(stored: DataFrame, computed: DataFrame, dimensions: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,17 +84,20 @@ def nearest_enclosing(spans: DataFrame, points: DataFrame) -> DataFrame:
     and those that have ended are dropped when they come up.  So a file costs the sorting of its rows, not
     the product of its points and spans.
     """
-    key = points.schema["point_id"].dataType.simpleString()
-    begun = spans.select("path", F.col("start_byte").cast("long").alias("place"), F.col("end_byte").cast("long").alias("end"), F.col("symbol_id").cast("string").alias("symbol_id"), F.lit(None).cast(key).alias("point_id"))
-    asked = points.select("path", F.col("at").cast("long").alias("place"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("string").alias("symbol_id"), "point_id")
+    carried = [c for c in points.columns if c != "path"]
+    nothing = F.lit(None).cast(points.select(F.struct(*carried).alias("p")).schema["p"].dataType)
+    begun = spans.select("path", F.col("start_byte").cast("long").alias("place"), F.col("end_byte").cast("long").alias("end"), F.col("symbol_id").cast("string").alias("symbol_id"), nothing.alias("p"))
+    asked = points.select("path", F.col("at").cast("long").alias("place"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("string").alias("symbol_id"), F.struct(*carried).alias("p"))
     # a span holds the point at its start
     events = begun.union(asked).repartition("path").sortWithinPartitions("path", "place", F.col("end").isNull())
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, open_ = None, []
         for batch in batches:
-            paths, ids, found = [], [], []
-            for p, place, end, symbol, point in zip(*(c.to_pylist() for c in batch.columns)):
+            ends = batch.column(2)
+            at_points = np.asarray(ends.is_null())
+            found: list[str | None] = []
+            for p, place, end, symbol in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if p != path:
                     path, open_ = p, []
                 if end is not None:
@@ -101,13 +105,14 @@ def nearest_enclosing(spans: DataFrame, points: DataFrame) -> DataFrame:
                     continue
                 while open_ and open_[0][2] <= place:
                     heapq.heappop(open_)
-                paths.append(p)
-                ids.append(point)
                 found.append(open_[0][1] if open_ else None)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(ids, batch.schema.field(4).type), pa.array(found, pa.string())], ["path", "point_id", "container_symbol_id"])
+            # the points' own columns go through as they are
+            kept = batch.filter(pa.array(at_points))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(4), pa.array(found, pa.string())], ["path", "p", "container_symbol_id"])
 
-    near = events.mapInArrow(sweep, f"path string, point_id {key}, container_symbol_id string")
-    return points.join(near.distinct(), ["path", "point_id"], "left")
+    kind = events.schema["p"].dataType.simpleString()
+    near = events.mapInArrow(sweep, f"path string, p {kind}, container_symbol_id string")
+    return near.select("path", *(F.col("p")[c].alias(c) for c in carried), "container_symbol_id")
 
 
 # --- coverage -------------------------------------------------------------------------------------

@@ -9,6 +9,8 @@ from quarrylight.functions.text import lines
 from quarrylight.model import ELIDE_LEAST, FILE_MOST, READ_BYTES_MOST, READ_LINES_DEFAULT, READ_LINES_MOST, READ_SEGMENTS_MOST, RESPONSE_BYTES_MOST, SUMMARY_LINES, VIEWS, QueryError, invalid
 from quarrylight.operators.files import elided_segments
 
+#: Bytes of a segment's fields in a response beside its text, at most.
+SEGMENT_FRAME = 192
 _SEGMENT = ["segment", "start_byte", "end_byte", "start_line", "end_line", "content", "starts_mid_line", "ends_mid_line"]
 
 
@@ -107,23 +109,94 @@ def read_pages(files: DataFrame, windows: DataFrame, offsets: DataFrame | None =
     return out
 
 
+def wire_size(content: Column) -> Column:
+    """Bytes of a segment in a JSON response: its text with escapes, and SEGMENT_FRAME for everything else."""
+    text = F.coalesce(content, F.lit(""))
+    two = F.length(F.regexp_replace(text, r"[^\"\\\\\n\r\t\x08\f]", ""))
+    six = F.length(F.regexp_replace(text, r"[^\x00-\x07\x0b\x0e-\x1f]", ""))
+    return (F.octet_length(text) + two + 5 * six + SEGMENT_FRAME).cast("long")
+
+
+def fitting_prefix(content: Column, room: Column) -> Column:
+    """The longest prefix whose JSON form takes at most ``room`` bytes: a running sum over its characters."""
+    size = lambda c: F.octet_length(c) + F.when(c.rlike(r"[\"\\\\\n\r\t\x08\f]"), 1).when(c.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), 5).otherwise(0)
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def step(acc: Column, c: Column) -> Column:
+        used = acc["used"] + size(c)
+        fits = acc["open"] & (used <= room)
+        return F.struct(used.alias("used"), (acc["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+
+    n = F.aggregate(F.split(content, ""), start, step, lambda acc: acc["n"])
+    return F.substring(content, F.lit(1), n)
+
+
+def fit_envelope(pages: DataFrame, envelope: int) -> DataFrame:
+    """Of ``read_pages`` for any number of files the largest pages whose responses fit ``envelope`` bytes.
+
+    Running sums of encoded sizes say how many whole segments fit.  Where not even the first does, it is cut within; where
+    nothing of it fits, the page has no segment and no place to go on.  A page made smaller stops with WIRE_BUDGET.
+    """
+    by = Window.partitionBy("path").orderBy("start_byte")
+    rows = pages.withColumn("size", wire_size(F.col("content")))
+    rows = rows.withColumn("used", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.row_number().over(by))
+    whole = F.max("used").over(Window.partitionBy("path")) <= envelope
+    fits = F.col("used") <= envelope
+    beyond = F.min(F.when(~fits, F.struct("start_byte", "start_line"))).over(Window.partitionBy("path"))  # the first that does not fit
+    rows = rows.withColumn("beyond", beyond)
+    cut = ~fits & (F.col("k") == 1) & (F.col("segment") == "SOURCE")
+    rows = rows.withColumns({"whole": whole, "cut": F.coalesce(cut, F.lit(False))}).where(fits | F.col("cut") | F.col("segment").isNull() | (F.col("k") == 1))
+    short = F.when(F.col("cut"), fitting_prefix(F.col("content"), F.lit(envelope - SEGMENT_FRAME)))
+    rows = rows.withColumn("short", short)
+    rows = rows.withColumn("content", F.when(F.col("cut"), F.col("short")).otherwise(F.col("content"))).withColumn("end_byte", F.when(F.col("cut"), F.col("start_byte") + F.octet_length("short")).otherwise(F.col("end_byte")))
+    # the line on which a cut segment ends, and whether it ends within that line
+    feeds = F.length(F.regexp_replace("content", "[^\n]", "")) - F.endswith("content", F.lit("\n")).cast("int")
+    rows = rows.withColumn("ends_mid_line", F.when(F.col("cut"), ~F.endswith("content", F.lit("\n"))).otherwise(F.col("ends_mid_line"))).withColumn("end_line", F.when(F.col("cut"), (F.col("start_line") + feeds).cast("int")).otherwise(F.col("end_line")))
+    none = (F.col("cut") & (F.col("content") == "")) | (~fits & ~F.col("cut"))
+    for c in ("segment", "start_byte", "end_byte", "start_line", "end_line", "content", "starts_mid_line", "ends_mid_line"):
+        rows = rows.withColumn(c, F.when(F.coalesce(none, F.lit(False)), None).otherwise(F.col(c)))
+    smaller = ~F.col("whole")
+    after = F.when(F.col("cut"), F.col("end_line") + F.when(F.col("ends_mid_line"), 0).otherwise(1)).otherwise(F.col("beyond.start_line"))
+    return rows.select(
+        "path", *_SEGMENT, F.when(smaller, "WIRE_BUDGET").otherwise(F.col("stop_reason")).alias("stop_reason"), F.when(smaller & F.col("segment").isNotNull(), F.when(F.col("cut"), F.col("end_byte")).otherwise(F.col("beyond.start_byte"))).otherwise(F.when(~smaller | F.col("whole").isNull(), F.col("next_byte"))).alias("next_byte"),
+        F.when(smaller & F.col("segment").isNotNull(), after).otherwise(F.when(~smaller | F.col("whole").isNull(), F.col("next_line"))).alias("next_line"))
+
+
+def viewed(files: DataFrame, view: str, statuses: DataFrame | None = None, bodies: DataFrame | None = None, ranges: list[tuple[int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, windows) of files for a view: what ``read_pages`` is to read, and why a file is shown in summary or not.
+
+    statuses: (path, status) of an index, none if no index was asked for; bodies: (path, open_line, close_line), none if it has no
+    folds.  Bodies are left out only of files whose outcome is ELIDED; all others are read as they are.
+    """
+    rows = files.select("path", F.octet_length("text").cast("long").alias("byte_length"), F.size(lines(F.col("text"))).alias("total"))
+    status = F.lit(None).cast("string")
+    if statuses is not None:
+        rows = rows.join(statuses.select("path", F.col("status").alias("file_status")), "path", "left")
+        status = F.col("file_status")
+    n = F.lit(0)
+    if bodies is not None:
+        long_ones = bodies.where(F.col("close_line") - F.col("open_line") - 1 >= ELIDE_LEAST).groupBy("path").agg(F.count(F.lit(1)).alias("elisions"))
+        rows = rows.join(long_ones, "path", "left")
+        n = F.coalesce("elisions", F.lit(0))
+    outcome = summary_outcome(view, ranges is not None, F.col("path"), F.col("byte_length"), F.col("total"), status, n)
+    if statuses is None:
+        outcome = F.when(outcome == "INDEX_NOT_READY", "INDEX_UNAVAILABLE").otherwise(outcome)
+    elif bodies is None:
+        outcome = F.when(outcome == "NO_ELISION", "FOLD_METADATA_UNAVAILABLE").otherwise(outcome)
+    found = rows.select("path", outcome.alias("outcome"))
+    plain = windows_of(files, ranges)
+    if bodies is None:
+        return found, plain
+    shown = found.where("outcome = 'ELIDED'").select("path")
+    short = windows_of(files.join(shown, "path", "left_semi"), ranges, bodies.join(shown, "path", "left_semi"))
+    return found, plain.join(shown, "path", "left_anti").unionByName(short)
+
+
 def read_source(files: DataFrame, path: str, windows: DataFrame, offset: int | None = None, max_lines: int = READ_LINES_DEFAULT, envelope: int = RESPONSE_BYTES_MOST) -> list[dict]:
-    """The page of one file, as segments; made smaller until it fits the envelope: half the segments, then half the bytes."""
+    """The page of one file, as segments: the largest that fits the envelope, in one job."""
     one, own = files.where(F.col("path") == path), windows.where(F.col("path") == path)
     places = None if offset is None else one.select("path", F.lit(offset).cast("long").alias("offset"))
-    most_segments, most_bytes, smaller = READ_SEGMENTS_MOST, READ_BYTES_MOST, False
-    while True:
-        page = read_pages(one, own, places, max_lines, most_bytes, most_segments).orderBy("start_byte")
-        rows = page.withColumn("__size", F.octet_length(F.to_json(F.struct("*"))) + 1).collect()
-        if any(r["segment"] is None for r in rows):
-            raise QueryError("SOURCE_RESULT_TOO_LARGE")
-        if sum(r["__size"] for r in rows) <= envelope:
-            out = [r.asDict() for r in rows]
-            return [{k: "WIRE_BUDGET" if k == "stop_reason" and smaller and r["next_byte"] is not None else v for k, v in r.items() if k != "__size"} for r in out]
-        smaller = True
-        if len(rows) > 1:
-            most_segments = max(1, len(rows) // 2)
-        else:
-            most_bytes //= 2
-            if most_bytes < 4:
-                raise QueryError("SOURCE_RESULT_TOO_LARGE")
+    rows = [r.asDict() for r in fit_envelope(read_pages(one, own, places, max_lines), envelope).orderBy("start_byte").collect()]
+    if any(r["segment"] is None for r in rows):
+        raise QueryError("SOURCE_RESULT_TOO_LARGE")
+    return rows

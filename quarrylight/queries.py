@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import paths
 from quarrylight.functions.identity import framed_sha256
 from quarrylight.functions.text import utf8_prefix, utf16_length
-from quarrylight.operators import checks, documents, extract, files, index, lifecycle, reading
+from quarrylight.operators import checks, documents, files, index, lifecycle, reading
 from quarrylight.plans.paging import after, byte_budget, page
 from quarrylight.sources import logical as L
 
@@ -116,31 +116,30 @@ _search("q_search_text_scoped", "in", 80, "AND starts_with(path, 'de/src1/') AND
 _search("q_search_text_accents", "ción", 100)
 
 
-def _lines(name: str, condition_sql: str, body: str, **selector) -> None:
-    @query(name, f"WITH l AS (SELECT * FROM all_lines WHERE {condition_sql}) SELECT path, CAST(line AS INTEGER) AS line, text FROM l WHERE {body}", "all_lines")
+def _lines(name: str, body: str, **selector) -> None:
+    @query(name, f"SELECT path, CAST(line AS INTEGER) AS line, text FROM all_lines l WHERE {body}", "all_lines")
     def _(s, d):
-        return files.read_lines(L.file_rows(s, d, text=True), F.col("path").startswith("fr/src2/"), **selector)
+        return files.read_lines(L.file_rows(s, d, text=True), F.lit(True), **selector)
 
 
-_FR = "starts_with(path, 'fr/src2/')"
-_lines("q_read_lines_range", _FR, "line BETWEEN 2 AND 4", ranges=[(2, 4)])
-_lines("q_read_lines_merge", _FR, "line BETWEEN 1 AND 5 OR line BETWEEN 9 AND 11", ranges=[(3, 5), (1, 2), (9, 10), (10, 11)])
-_lines("q_read_lines_context", _FR, "line BETWEEN 1 AND 6 OR line BETWEEN 18 AND 24", ranges=[(2, 4), (20, 22)], before=2, after=2)
-_lines("q_read_lines_from", _FR, "line >= 7", start_line=7)
-_lines("q_read_lines_tail", _FR, "line > (SELECT max(m.line) FROM all_lines m WHERE m.path = l.path) - 3", tail=3)
+_lines("q_read_lines_range", "line BETWEEN 2 AND 4", ranges=[(2, 4)])
+_lines("q_read_lines_merge", "line BETWEEN 1 AND 5 OR line BETWEEN 9 AND 11", ranges=[(3, 5), (1, 2), (9, 10), (10, 11)])
+_lines("q_read_lines_context", "line BETWEEN 1 AND 6 OR line BETWEEN 18 AND 24", ranges=[(2, 4), (20, 22)], before=2, after=2)
+_lines("q_read_lines_from", "line >= 7", start_line=7)
+_lines("q_read_lines_tail", "line > (SELECT max(m.line) FROM all_lines m WHERE m.path = l.path) - 3", tail=3)
 
 
-@query("q_read_budget_page", """WITH l AS (SELECT path, line, text, row_number() OVER (PARTITION BY path ORDER BY line) AS n, sum(octet_length(encode(text)) + 1) OVER (PARTITION BY path ORDER BY line) AS b FROM all_lines WHERE starts_with(path, 'en/src3/')),
+@query("q_read_budget_page", """WITH l AS (SELECT path, line, text, row_number() OVER (PARTITION BY path ORDER BY line) AS n, sum(octet_length(encode(text)) + 1) OVER (PARTITION BY path ORDER BY line) AS b FROM all_lines),
     o AS (SELECT *, CASE WHEN n > 6 THEN 'LINE_BUDGET' WHEN b > 900 THEN 'CONTENT_BUDGET' END AS over_ FROM l), w AS (SELECT *, min(over_) OVER (PARTITION BY path) AS stop FROM o)
     SELECT path, CAST(line AS INTEGER) AS line, text, coalesce(stop, 'COMPLETE') AS stop_reason FROM w WHERE over_ IS NULL""", "all_lines")
 def _(s, d):
-    rows = files.line_table(L.file_rows(s, d, text=True).where(F.col("path").startswith("en/src3/")))
+    rows = files.line_table(L.file_rows(s, d, text=True))
     return files.budget_page(rows, max_lines=6, max_bytes=900)
 
 
-@query("q_read_clipped_lines", """SELECT path, CAST(line AS INTEGER) AS line, substr(text, 1, (SELECT max(k) FROM range(0, 91) r(k) WHERE octet_length(encode(substr(text, 1, CAST(k AS BIGINT)))) <= 90)) AS clipped FROM all_lines WHERE starts_with(path, 'es/src1')""", "all_lines")
+@query("q_read_clipped_lines", """SELECT path, CAST(line AS INTEGER) AS line, substr(text, 1, (SELECT max(k) FROM range(0, 91) r(k) WHERE octet_length(encode(substr(text, 1, CAST(k AS BIGINT)))) <= 90)) AS clipped FROM all_lines""", "all_lines")
 def _(s, d):
-    rows = files.line_table(L.file_rows(s, d, text=True).where(F.col("path").startswith("es/src1")))
+    rows = files.line_table(L.file_rows(s, d, text=True))
     return rows.select("path", "line", utf8_prefix(F.col("text"), 90).alias("clipped"))
 
 
@@ -589,74 +588,9 @@ def _(s, d):
     return checks.digest_faults(f.withColumn("content_digest", digest))
 
 
-# --- rendering and extraction -----------------------------------------------------------------------
+# --- rendering -------------------------------------------------------------------------------------
 
 
-@query("q_render_numbered", """SELECT path, string_agg(CAST(line AS VARCHAR) || chr(9) || replace(text, chr(92), chr(92) || chr(92)), chr(10) ORDER BY line) AS rendered FROM all_lines WHERE starts_with(path, 'fr/') GROUP BY path""", "all_lines")
+@query("q_render_numbered", """SELECT path, string_agg(CAST(line AS VARCHAR) || chr(9) || replace(text, chr(92), chr(92) || chr(92)), chr(10) ORDER BY line) AS rendered FROM all_lines GROUP BY path""", "all_lines")
 def _(s, d):
-    return files.numbered_text(L.file_rows(s, d, text=True).where(F.col("path").startswith("fr/")))
-
-
-# A small source tree of our own, whose facts are known.
-JAVA = {
-    "shop/Base.java": "package shop;\n\npublic abstract class Base {\n    protected int stock;\n    public void sell(int n) { stock -= n; }\n    abstract String label();\n}\n",
-    "shop/web/Shelf.java": "package shop.web;\n\nimport org.springframework.web.bind.annotation.GetMapping;\nimport shop.Base;\n\npublic class Shelf extends Base {\n    @GetMapping({\"/shelf\", \"/rack\"})\n    String label() { return name(2); }\n"
-    "    String name(int n) { return new Tag(n).text(); }\n    public void sell(int n) { audit(); }\n    record Tag(int n) { String text() { return \"t\" + n; } }\n    enum Size { SMALL, LARGE }\n}\n",
-    "shop/Main.java": "package shop;\n\nclass Main {\n    public static void main(String[] args) { new Missing(); }\n}\n",
-    "shop/Broken.java": "package shop;\nclass Broken {\n",
-}
-
-
-def _parsed(s):
-    return extract.parse_files(s.createDataFrame(sorted(JAVA.items()), "path string, text string").repartition("path"), "g1")
-
-
-@query("q_extract_files", "SELECT * FROM (VALUES ('shop/Base.java', 'PARSED'), ('shop/web/Shelf.java', 'PARSED'), ('shop/Main.java', 'PARSED'), ('shop/Broken.java', 'PARSE_FAILED')) t(path, status)")
-def _(s, d):
-    return _parsed(s).select("path", "status")
-
-
-@query("q_extract_declarations", """SELECT * FROM (VALUES ('shop', 'CLASS', 'Base', 3), ('shop.Base', 'FIELD', 'stock', 4), ('shop.Base', 'METHOD', 'sell', 5), ('shop.Base', 'METHOD', 'label', 6), ('shop', 'CLASS', 'Main', 3), ('shop.Main', 'METHOD', 'main', 4),
-    ('shop.web', 'CLASS', 'Shelf', 6), ('shop.web.Shelf', 'METHOD', 'label', 8), ('shop.web.Shelf', 'METHOD', 'name', 9), ('shop.web.Shelf', 'METHOD', 'sell', 10), ('shop.web.Shelf', 'RECORD', 'Tag', 11), ('shop.web.Shelf.Tag', 'RECORD_COMPONENT', 'n', 11),
-    ('shop.web.Shelf.Tag', 'METHOD', 'text', 11), ('shop.web.Shelf', 'ENUM', 'Size', 12), ('shop.web.Shelf.Size', 'ENUM_CONSTANT', 'SMALL', 12), ('shop.web.Shelf.Size', 'ENUM_CONSTANT', 'LARGE', 12)) t(owner, kind, name, line)""")
-def _(s, d):
-    return extract.facts(_parsed(s), "declarations").select("owner", "kind", "name", F.col("name_range.start_line").alias("line"))
-
-
-@query("q_extract_candidates", "SELECT * FROM (VALUES ('HTTP_MAPPING', 'DIRECT_IMPORT', 'label', '/shelf,/rack'), ('MAIN', 'MAIN_SIGNATURE', 'main', '')) t(kind, evidence, name, literals)")
-def _(s, d):
-    p = _parsed(s)
-    names = extract.facts(p, "declarations").select("symbol_id", "name")
-    c = extract.facts(p, "candidates").join(names, "symbol_id")
-    return c.select("kind", F.col("evidence.kind").alias("evidence"), "name", F.coalesce(F.array_join(F.try_element_at("evidence.literal_values", F.lit("value")), ","), F.lit("")).alias("literals"))
-
-
-@query("q_extract_folds", "SELECT * FROM (VALUES ('sell', 2), ('label', 1), ('name', 1), ('text', 1), ('main', 1)) t(name, n)")
-def _(s, d):
-    p = _parsed(s)
-    return extract.facts(p, "folds").join(extract.facts(p, "declarations").select("symbol_id", "name"), "symbol_id").groupBy("name").agg(F.count("*").cast("int").alias("n"))
-
-
-@query("q_extract_types", "SELECT * FROM (VALUES ('EXTENDS', 'Base', 'Base', NULL), ('CONSTRUCT', 'Tag', 'Tag', NULL), ('CONSTRUCT', 'Missing', NULL, 'MISSING_TYPE')) t(kind, written_target, target, unresolved_reason)")
-def _(s, d):
-    p = _parsed(s)
-    names = extract.facts(p, "declarations").select(F.col("symbol_id").alias("target_symbol_id"), F.col("name").alias("target"))
-    return extract.resolved_types(p).join(names, "target_symbol_id", "left").select("kind", "written_target", "target", "unresolved_reason")
-
-
-@query("q_extract_calls", "SELECT * FROM (VALUES ('name', 'STATIC_RESOLVED'), ('text', 'UNRESOLVED'), ('audit', 'UNRESOLVED')) t(written_target, resolution_state)")
-def _(s, d):
-    return extract.resolved_calls(_parsed(s)).select("written_target", "resolution_state")
-
-
-@query("q_extract_overrides", "SELECT * FROM (VALUES ('label'), ('sell')) t(name)")
-def _(s, d):
-    p = _parsed(s)
-    return extract.overrides(p).join(extract.facts(p, "declarations"), "symbol_id").select("name")
-
-
-@query("q_extract_evidence", "SELECT * FROM (VALUES ('HTTP_EVIDENCE', 'spring.get-mapping', 'label')) t(kind, rule, name)")
-def _(s, d):
-    p = _parsed(s)
-    names = extract.facts(p, "declarations").select(F.col("symbol_id").alias("container_symbol_id"), "name")
-    return extract.facts(p, "relations").where(F.col("rule").isNotNull()).join(names, "container_symbol_id").select("kind", "rule", "name")
+    return files.numbered_text(L.file_rows(s, d, text=True))

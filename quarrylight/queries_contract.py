@@ -148,12 +148,12 @@ def _(s, d):
     return checks.payload_faults(seeded, "p_partkey", "payload", {"name": "$.name", "size": "$.range.size"})
 
 
-@query("q_check_spans", """WITH f AS (SELECT *, octet_length(encode(text)) AS n, CAST(left(right(path, 12), 9) AS BIGINT) AS doc FROM file_rows WHERE octet_length(encode(text)) >= 40),
+@query("q_check_spans", """WITH f AS (SELECT *, octet_length(encode(text)) AS n, CAST(left(right(path, 12), 9) AS BIGINT) AS doc FROM file_rows),
     b AS (SELECT *, list_contains(list_transform(range(0, 41), lambda k: octet_length(encode(substr(text, 1, CAST(k AS BIGINT))))), 12) AND list_contains(list_transform(range(0, 41), lambda k: octet_length(encode(substr(text, 1, CAST(k AS BIGINT))))), 30) AS fine,
       1 + len(string_split(substr(text, 1, (SELECT max(k) FROM range(0, 13) r(k) WHERE octet_length(encode(substr(text, 1, CAST(k AS BIGINT)))) <= 12)), chr(10))) - 1 AS line FROM f)
-    SELECT path AS span_id, CASE WHEN doc % 11 = 0 THEN 'RANGE' WHEN NOT fine THEN 'BOUNDARY' WHEN line + CASE WHEN doc % 7 = 0 THEN 1 ELSE 0 END <> line THEN 'LINE' END AS fault FROM b WHERE doc % 11 = 0 OR NOT fine OR doc % 7 = 0""", "file_rows")
+    SELECT path AS span_id, CASE WHEN doc % 11 = 0 OR n < 30 THEN 'RANGE' WHEN NOT fine THEN 'BOUNDARY' WHEN line + CASE WHEN doc % 7 = 0 THEN 1 ELSE 0 END <> line THEN 'LINE' END AS fault FROM b WHERE doc % 11 = 0 OR n < 30 OR NOT fine OR doc % 7 = 0""", "file_rows")
 def _(s, d):
-    f = L.file_rows(s, d, text=True).where(F.octet_length("text") >= 40)
+    f = L.file_rows(s, d, text=True)
     doc = F.expr("left(right(path, 12), 9)").cast("long")
     prefix = utf8_prefix(F.col("text"), 12)
     line = F.size(F.split(prefix, "\n", -1)) + F.when(doc % 7 == 0, 1).otherwise(0)

@@ -28,8 +28,17 @@ def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.concat(package, F.lit("/P"), key, F.lit(".java")).alias("path"), text.alias("text"))
 
 
+_PARSED: dict[tuple, str] = {}
+
+
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(extract.parse_files(java_files(spark, sf_dir).repartition("path"), "g"), "java")
+    """The parsed tree, once for each session and version of the table: its files with their lengths and times."""
+    p = L.table(spark, sf_dir, "part")
+    version = p.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().orderBy("file_path").collect()
+    key = spark.sparkContext.applicationId, *map(tuple, version)
+    if key not in _PARSED:
+        _PARSED[key] = written(extract.parse_files(java_files(spark, sf_dir).repartition("path"), "g"), "java").inputFiles()[0].rpartition("/")[0]
+    return spark.read.parquet(_PARSED[key])
 
 
 def _values(rows: list[tuple[str, ...]]) -> str:

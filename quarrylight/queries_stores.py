@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.model import QueryError
-from quarrylight.operators import checks, documents
-from quarrylight.queries import query
-from quarrylight.sources import catalogues
+from quarrylight.operators import checks, documents, reading
+from quarrylight.queries import _LB, _PAGE1, query
+from quarrylight.sources import catalogues, frozen
 from quarrylight.sources import logical as L
 from quarrylight.sources.tables import shared_dir, written
 from quarrylight.sources.trees import Generations
@@ -193,3 +193,113 @@ def _(s, d):
 def _(s, d):
     lined = L.file_rows(s, d, text=True).select("path", F.regexp_replace(F.coalesce("text", F.lit("")), "(?m)^.*$", "## x").alias("content"))
     return documents.section_faults(lined)
+
+
+# --- names, nesting and whole revisions ---------------------------------------------------------------------
+
+_FILES = "f AS (SELECT doc_id, 'f' || doc_id AS path, coalesce(text, '') AS text FROM documents)"
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, text): each document behind a line that names it with an escape."""
+    d = L.table(spark, sf_dir, "documents")
+    text = F.concat(F.lit("class \\u0044oc"), F.col("doc_id").cast("string"), F.lit("é {\n"), F.coalesce("text", F.lit("")), F.lit("\n}\n"))
+    return d.select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), text.alias("text"))
+
+
+@query("q_check_names", f"WITH {_FILES} SELECT path AS span_id, CASE WHEN doc_id % 19 = 2 THEN 'RANGE' WHEN doc_id % 19 = 3 THEN 'BOUNDARY' WHEN doc_id % 19 = 4 THEN 'LINE' ELSE 'NAME' END AS fault FROM f WHERE doc_id % 19 IN (2, 3, 4, 5, 6)")
+def _(s, d):
+    f, k = source_files(s, d), F.col("doc_id") % 19
+    digits = F.length(F.col("doc_id").cast("string"))
+    name = F.concat(F.when(k == 5, F.lit("doc")).otherwise(F.lit("Doc")), F.col("doc_id").cast("string"), F.lit("é"))
+    spans = f.select(
+        F.col("path").alias("span_id"), "path", F.lit(0).alias("start_byte"), F.when(k == 2, 1 << 40).when(k == 3, 15 + digits).otherwise(F.octet_length("text")).alias("end_byte"), F.when(k == 4, 2).otherwise(1).alias("start_line"),
+        name.alias("name"), F.lit(6).alias("name_start_byte"), (16 + digits - F.when(k == 6, 2).otherwise(0)).alias("name_end_byte"))
+    return checks.span_faults(f, spans)
+
+
+@query("q_check_nesting", """WITH p AS (SELECT p_partkey AS k FROM part), d AS (SELECT k, CASE WHEN k % 29 = 3 THEN -1 ELSE k // 3 END AS up FROM p WHERE k > 0),
+    f AS (SELECT 's' || k AS symbol_id, CASE WHEN up NOT IN (SELECT k FROM p) THEN 'PARENT' WHEN (k % 31 = 4) <> (up % 31 = 4) THEN 'PARENT_PATH' WHEN up % 37 = 5 AND k % 37 <> 5 THEN 'PARENT_RANGE' END AS fault FROM d) SELECT * FROM f WHERE fault IS NOT NULL""")
+def _(s, d):
+    k = F.col("p_partkey")
+    parent = F.when(k > 0, F.concat(F.lit("s"), F.when(k % 29 == 3, F.lit(-1)).otherwise(F.floor(k / 3)).cast("string")))
+    # a level deeper (a ternary digit more) is a byte further in on both sides; some begin behind their children
+    depth = F.length(F.conv(k.cast("string"), 10, 3)) - F.when(k == 0, 1).otherwise(0)
+    rows = L.table(s, d, "part").select(F.concat(F.lit("s"), k.cast("string")).alias("symbol_id"), parent.alias("parent_id"), F.when(k % 31 == 4, "away").otherwise("home").alias("path"), F.when(k % 37 == 5, 5000 + depth).otherwise(depth).alias("start_byte"), (10_000 - depth).alias("end_byte"))
+    return checks.nesting_faults(rows)
+
+
+@query("q_check_revision", f"""WITH {_FILES}, g AS (SELECT path, doc_id % 23 AS k FROM f) SELECT path, CASE k WHEN 1 THEN 'MISSING_BLOB' WHEN 2 THEN 'LENGTH' WHEN 3 THEN 'DIGEST' WHEN 4 THEN 'NOT_INDEXED' WHEN 5 THEN 'STALE_INDEX' WHEN 6 THEN 'EXTRA_BLOB' WHEN 7 THEN 'EXTRA_INDEX' WHEN 8 THEN 'DUPLICATE' END AS fault FROM g WHERE k BETWEEN 1 AND 8
+    UNION ALL SELECT 'more' || path, 'EXTRA_BLOB' FROM g WHERE k = 9 UNION ALL SELECT 'more' || path, 'EXTRA_INDEX' FROM g WHERE k = 10""")
+def _(s, d):
+    f = L.table(s, d, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"k": F.col("doc_id") % 23, "digest": F.sha2("text", 256), "size": F.octet_length("text").cast("long")})
+    k, other = F.col("k"), F.sha2(F.lit("other"), 256)
+    inventory = f.select("path", F.lit("FILE").alias("kind"), F.when(k.isin(6, 7), "BINARY").otherwise("TEXT").alias("status"), (F.col("size") + F.when(k == 2, 1).otherwise(0)).alias("byte_length"), F.when(k == 3, other).otherwise(F.col("digest")).alias("content_digest"))
+    inventory = inventory.unionByName(inventory.join(f.where("k = 8").select("path"), "path", "left_semi"))
+    more = F.concat(F.lit("more"), "path")
+    blobs = f.where(~k.isin(1, 7)).select("path", F.col("size").alias("byte_length"), F.col("digest").alias("content_digest")).unionByName(f.where("k = 9").select(more.alias("path"), F.col("size").alias("byte_length"), F.col("digest").alias("content_digest")))
+    indexed = f.where(~k.isin(4, 6)).select("path", F.when(k == 5, other).otherwise(F.col("digest")).alias("content_digest")).unionByName(f.where("k = 10").select(more.alias("path"), F.col("digest").alias("content_digest")))
+    return checks.revision_faults(inventory, blobs, indexed)
+
+
+@query("q_check_manifest", "WITH c AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'BINARY' WHEN doc_id % 7 = 0 THEN 'SYMLINK' ELSE 'TEXT' END AS status, count(*) AS n FROM documents GROUP BY 1) SELECT status, CASE status WHEN 'BINARY' THEN n + 1 ELSE 0 END AS stored, n AS counted FROM c WHERE status <> 'TEXT' UNION ALL SELECT 'LFS_POINTER', 3, 0")
+def _(s, d):
+    k = F.col("doc_id")
+    inventory = L.table(s, d, "documents").select(F.lit("FILE").alias("kind"), F.when(k % 5 == 0, "BINARY").when(k % 7 == 0, "SYMLINK").otherwise("TEXT").alias("status"))
+    counts = inventory.groupBy("status").agg(F.count(F.lit(1)).alias("n")).where("status <> 'SYMLINK'").withColumn("n", F.col("n") + F.when(F.col("status") == "BINARY", 1).otherwise(0))
+    return checks.manifest_faults(inventory, counts.unionByName(s.range(1).select(F.lit("LFS_POINTER").alias("status"), F.lit(3).cast("long").alias("n"))))
+
+
+# --- frozen inputs ------------------------------------------------------------------------------------------
+
+
+def frozen_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """What was frozen of the table ``benchmark``, each item twice, and where."""
+    root = _folder(spark, "frozen")
+    items = L.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return written(frozen.freeze(items.unionByName(items.withColumn("name", F.concat(F.lit("again-"), "name"))), root, 200), "frozen"), root
+
+
+@query("q_frozen_inputs", "SELECT item_id || '' AS name, CASE WHEN octet_length(encode(text)) <= 200 THEN sha256(text) END AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS byte_length, CASE WHEN octet_length(encode(text)) > 200 THEN 'CAPACITY' END AS fault FROM benchmark UNION ALL SELECT 'again-' || item_id, CASE WHEN octet_length(encode(text)) <= 200 THEN sha256(text) END, octet_length(encode(text)), CASE WHEN octet_length(encode(text)) > 200 THEN 'CAPACITY' END FROM benchmark")
+def _(s, d):
+    return frozen_items(s, d)[0]
+
+
+@query("q_frozen_store", "SELECT DISTINCT sha256(text) AS digest, CAST(octet_length(encode(text)) AS BIGINT) AS byte_length, true AS sound FROM benchmark WHERE octet_length(encode(text)) <= 200")
+def _(s, d):
+    _, root = frozen_items(s, d)
+    return frozen.stored(s, root).select("digest", "byte_length", (F.col("digest") == F.col("actual")).alias("sound"))
+
+
+@query("q_plan_digest", """SELECT p_brand, sha256('{"dependencies":[' || string_agg('{"byte_length":' || p_size || ',"digest":"' || sha256(p_name) || '","id":"' || p_partkey || '","ordinal":' || p_partkey || '}', ',' ORDER BY p_partkey) || '],"language":"21","policy":2}') AS plan_digest FROM part WHERE p_partkey % 16 = 0 GROUP BY p_brand""")
+def _(s, d):
+    p = L.table(s, d, "part").where(F.col("p_partkey") % 16 == 0).select("p_brand", F.col("p_partkey").alias("ordinal"), F.col("p_partkey").cast("string").alias("id"), F.sha2("p_name", 256).alias("digest"), F.col("p_size").alias("byte_length"))
+    return p.groupBy("p_brand").agg(frozen.plan_digest(p, policy=2, language="21").alias("plan_digest"))
+
+
+# --- views and envelopes ------------------------------------------------------------------------------------
+
+_SIZE = "octet_length(encode({0})) + length(regexp_replace({0}, '[^\"\\\\\n\r\t\x08\f]', '', 'g')) + 5 * length(regexp_replace({0}, '[^\x00-\x07\x0b\x0e-\x1f]', '', 'g'))"
+
+
+@query("q_read_source_envelope", f"""WITH {_LB}, {_PAGE1}, c AS (SELECT path, unnest(string_split(content, '')) AS ch, unnest(range(1, length(content) + 1)) AS i FROM page1 WHERE content IS NOT NULL),
+    z AS (SELECT path, i, ch, sum({_SIZE.format('ch')}) OVER (PARTITION BY path ORDER BY i) AS used FROM c), k AS (SELECT path, max(i) AS n, max(CASE WHEN used <= 308 THEN i END) AS fit FROM z GROUP BY path)
+    SELECT p.path, start_byte, substr(content, 1, CAST(fit AS BIGINT)) AS content, CASE WHEN fit < n THEN 'WIRE_BUDGET' ELSE stop_reason END AS stop_reason, CASE WHEN fit < n THEN start_byte + octet_length(encode(substr(content, 1, CAST(fit AS BIGINT)))) ELSE next_byte END AS next_byte FROM page1 p LEFT JOIN k ON k.path = p.path""", "all_lines")
+def _(s, d):
+    f = L.file_rows(s, d, text=True).select("path", "text")
+    page = reading.read_pages(f, reading.windows_of(f), max_lines=6, max_bytes=900)
+    return reading.fit_envelope(page, 500).select("path", "start_byte", "content", "stop_reason", "next_byte")
+
+
+@query("q_view_outcomes", """WITH n AS (SELECT path, len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN 1 ELSE 0 END AS total, CAST(left(right(path, 12), 9) AS BIGINT) AS k, octet_length(encode(text)) AS size FROM file_rows),
+    o AS (SELECT CASE WHEN k % 2 = 0 THEN replace(path, '.md', '.java') ELSE path END AS path, total, CASE WHEN k % 2 = 1 THEN 'UNSUPPORTED_LANGUAGE' WHEN size > 1048576 THEN 'FILE_TOO_LARGE' WHEN k % 10 = 2 THEN 'FILE_PARSE_FAILED' WHEN k % 10 = 4 THEN 'INDEX_NOT_READY' WHEN total >= 8 THEN 'ELIDED' ELSE 'NO_ELISION' END AS outcome FROM n)
+    SELECT path, outcome, CASE WHEN total = 0 THEN 0 WHEN outcome = 'ELIDED' THEN 2 + CASE WHEN total > 7 THEN 1 ELSE 0 END ELSE 1 END AS n_windows FROM o""", "file_rows")
+def _(s, d):
+    k = F.expr("left(right(path, 12), 9)").cast("long")
+    f = L.file_rows(s, d, text=True).select(F.when(k % 2 == 0, F.replace("path", F.lit(".md"), F.lit(".java"))).otherwise(F.col("path")).alias("path"), "text", k.alias("k"))
+    statuses = f.where("k % 10 <> 4").select("path", F.when(F.col("k") % 10 == 2, "PARSE_FAILED").otherwise("PARSED").alias("status"))
+    f = f.select("path", "text")
+    bodies = f.where(F.size(F.split(F.regexp_replace("text", "\n$", ""), "\n", -1)) >= 8).select("path", F.lit(2).alias("open_line"), F.lit(8).alias("close_line"))
+    outcomes, windows = reading.viewed(f, "SUMMARY", statuses, bodies)
+    n = windows.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return outcomes.join(n, "path", "left").select("path", "outcome", F.coalesce("n", F.lit(0)).cast("int").alias("n_windows"))

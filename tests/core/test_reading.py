@@ -98,3 +98,41 @@ def test_summary_outcomes(spark):
     outcome = lambda view, selector=False: [r[0] for r in df.select(reading.summary_outcome(view, selector, *(F.col(c) for c in df.columns))).collect()]
     assert outcome("AUTO") == ["UNSUPPORTED_LANGUAGE", "FILE_TOO_LARGE", "BELOW_SUMMARY_THRESHOLD", "INDEX_NOT_READY", "FILE_PARSE_FAILED", "ELIDED", "NO_ELISION"]
     assert outcome("SUMMARY")[2] == "ELIDED" and set(outcome("RAW")) == {"NOT_REQUESTED"} == set(outcome("AUTO", True))
+
+
+def test_envelopes_of_many_files_and_all_of_them_in_the_end(spark):
+    import json
+
+    texts = {"a": 'quote " and back\\slash\n' * 40, "b": "\x01\x02é😀\n" * 60, "c": "", "d": "short", "e": "\n" * 500, "f": "x" * 3000}
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    for c in ('"\\\n\r\t\b\f', "\x00\x1f\x0b\x7fé😀", "plain"):
+        size = spark.createDataFrame([(c,)], "c string").select(reading.wire_size(F.col("c"))).first()[0]
+        assert size == len(json.dumps(c, ensure_ascii=False).encode()) - 2 + reading.SEGMENT_FRAME
+    windows, places, got = reading.windows_of(files).cache(), None, {p: "" for p in texts}
+    for _ in range(60):
+        page = reading.fit_envelope(reading.read_pages(files, windows, places, max_lines=500), 700).collect()
+        for r in page:
+            assert r["segment"] and sum(len(json.dumps(x["content"], ensure_ascii=False).encode()) + reading.SEGMENT_FRAME - 2 for x in page if x["path"] == r["path"]) <= 700
+            got[r["path"]] += r["content"]
+        left = [(r["path"], r["next_byte"]) for r in page if r["next_byte"] is not None]
+        if not left:
+            break
+        places = spark.createDataFrame(left, "path string, offset long")
+    assert got == texts
+    windows.unpersist()
+
+
+def test_views(spark):
+    body = "class A {\n" + "  int x;\n" * 120 + "}\n"
+    files = spark.createDataFrame([("A.java", body), ("B.java", body), ("C.java", "class C {}\n"), ("n.md", body), ("D.java", body)], "path string, text string")
+    statuses = spark.createDataFrame([("A.java", "PARSED"), ("B.java", "PARSE_FAILED"), ("C.java", "PARSED")], "path string, status string")
+    bodies = spark.createDataFrame([("A.java", 1, 122), ("C.java", 1, 1), ("D.java", 1, 122)], "path string, open_line int, close_line int")
+    seen = lambda *a, **k: [{tuple(r) for r in df.collect()} for df in reading.viewed(files, *a, **k)]
+    outcomes, windows = seen("AUTO", statuses, bodies)
+    assert outcomes == {("A.java", "ELIDED"), ("B.java", "FILE_PARSE_FAILED"), ("C.java", "BELOW_SUMMARY_THRESHOLD"), ("n.md", "UNSUPPORTED_LANGUAGE"), ("D.java", "INDEX_NOT_READY")}
+    assert {w for w in windows if w[0] == "A.java"} == {("A.java", "SOURCE", 1, 1), ("A.java", "ELISION", 2, 121), ("A.java", "SOURCE", 122, 122)} and len(windows) == 7
+    assert dict(seen("SUMMARY", statuses, bodies)[0])["C.java"] == "NO_ELISION"
+    assert dict(seen("SUMMARY", statuses)[0])["A.java"] == "FOLD_METADATA_UNAVAILABLE"
+    assert dict(seen("SUMMARY")[0])["A.java"] == "INDEX_UNAVAILABLE"
+    outcomes, windows = seen("AUTO", statuses, bodies, [(1, 5)])
+    assert {o for _, o in outcomes} == {"NOT_REQUESTED"} and ("A.java", "SOURCE", 1, 5) in windows

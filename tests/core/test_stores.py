@@ -131,3 +131,50 @@ def test_a_document_with_too_many_sections_is_a_fault(spark):
     docs = spark.createDataFrame([("a", "# x\n" * 256), ("b", "# x\n" * 257), ("c", None)], "path string, content string")
     assert {(r.path, r["count"]) for r in documents.sections(docs).groupBy("path").count().collect()} == {("a", 256), ("c", 1)}
     assert [tuple(r) for r in documents.section_faults(docs).collect()] == [("b", "SECTIONS")]
+
+
+def test_frozen_inputs(spark, tmp_path):
+    from quarrylight.sources import frozen
+
+    root = f"file://{tmp_path}"
+    rows = spark.createDataFrame([("a", b"one"), ("b", b"one"), ("c", b""), ("d", None), ("e", b"x" * 11)], "name string, content binary")
+    for _ in range(2):  # a second time nothing is written
+        got = {r.name: (r.digest and r.digest[:4], r.byte_length, r.fault) for r in frozen.freeze(rows.repartition(3), root, 10).collect()}
+        assert got == {"a": ("7692", 3, None), "b": ("7692", 3, None), "c": ("e3b0", 0, None), "d": (None, None, "MISSING"), "e": (None, 11, "CAPACITY")}
+        assert all(r.digest == r.actual for r in frozen.stored(spark, root).collect()) and frozen.stored(spark, root).count() == 1 and (tmp_path / frozen.place_of(frozen.hashlib.sha256(b'').hexdigest())).is_file()
+    (held,) = tmp_path.glob("76/*")
+    held.write_bytes(b"two")
+    assert {r.name for r in frozen.freeze(rows, root, 10).where("fault = 'IDENTITY'").collect()} == {"a", "b"}
+    plan = spark.createDataFrame([(2, "y", "d2", 5), (1, "x", "d1", 3)], "ordinal int, id string, digest string, byte_length int")
+    import hashlib
+
+    text = '{"dependencies":[{"byte_length":3,"digest":"d1","id":"x","ordinal":1},{"byte_length":5,"digest":"d2","id":"y","ordinal":2}],"level":"21"}'
+    assert frozen.checked_plan(plan).agg(frozen.plan_digest(plan, level="21")).first()[0] == hashlib.sha256(text.encode()).hexdigest()
+    with pytest.raises(QueryError):
+        frozen.checked_plan(plan.withColumn("ordinal", F.lit(1)))
+    with pytest.raises(QueryError):
+        frozen.checked_plan(plan, 1)
+
+
+def test_spans_and_names(spark):
+    text = "class Caf\\u00e9 {\n  é x;\n}"
+    files = spark.createDataFrame([("f", text), ("g", ""), ("n", None)], "path string, text string")
+    size = len(text.encode())
+    rows = [
+        ("ok", "f", 0, size, 1, "Café", 6, 15), ("far", "f", 0, size + 1, 1, "Café", 6, 15), ("back", "f", 5, 4, 1, "", 5, 5), ("cut", "f", 21, 23, 2, "x", 21, 21), ("line", "f", 18, 22, 1, "é", 20, 22), ("second", "f", 18, 24, 2, "é", 20, 22),
+        ("raw", "f", 0, size, 1, "Caf\\u00e9", 6, 15), ("out", "f", 0, 10, 1, "Café", 6, 15), ("none", "h", 0, 0, 1, "", 0, 0), ("null", "n", 0, 0, 1, "", 0, 0), ("empty", "g", 0, 0, 1, "", 0, 0), ("unset", "f", None, 3, 1, "", 0, 0),
+    ]
+    spans = spark.createDataFrame(rows, "span_id string, path string, start_byte long, end_byte long, start_line int, name string, name_start_byte long, name_end_byte long")
+    assert {tuple(r) for r in checks.span_faults(files, spans).collect()} == {("far", "RANGE"), ("back", "RANGE"), ("cut", "BOUNDARY"), ("line", "LINE"), ("raw", "NAME"), ("out", "NAME"), ("none", "FILE"), ("null", "FILE"), ("unset", "RANGE")}
+    assert checks.unescaped(r"\\u0041 A \uu0042 😀") == r"\\u0041 A B 😀"
+
+
+def test_nesting_and_revisions(spark):
+    rows = [("a", None, "p", 0, 100), ("b", "a", "p", 0, 99), ("c", "a", "p", 0, 100), ("d", "a", "q", 1, 2), ("e", "x", "p", 1, 2), ("f", "b", "p", 50, 100)]
+    d = spark.createDataFrame(rows, "symbol_id string, parent_id string, path string, start_byte long, end_byte long")
+    assert {tuple(r) for r in checks.nesting_faults(d).collect()} == {("c", "PARENT_RANGE"), ("d", "PARENT_PATH"), ("e", "PARENT"), ("f", "PARENT_RANGE")}
+    inventory = spark.createDataFrame([("a", "FILE", "TEXT", 1, "x"), ("b", "FILE", "TEXT", 1, "x"), ("c", "FILE", "BINARY", 1, None), ("d", "DIRECTORY", None, 0, None), ("e", "FILE", "TEXT", 2, "y")], "path string, kind string, status string, byte_length long, content_digest string")
+    blobs = spark.createDataFrame([("a", 1, "x"), ("c", 1, "x"), ("z", 1, "x"), ("e", 3, "y")], "path string, byte_length long, content_digest string")
+    indexed = spark.createDataFrame([("a", "w"), ("y", "x"), ("e", "y")], "path string, content_digest string")
+    assert {tuple(r) for r in checks.revision_faults(inventory, blobs, indexed).collect()} == {("a", "STALE_INDEX"), ("b", "MISSING_BLOB"), ("c", "EXTRA_BLOB"), ("z", "EXTRA_BLOB"), ("y", "EXTRA_INDEX"), ("e", "LENGTH")}
+    assert {tuple(r) for r in checks.manifest_faults(inventory, spark.createDataFrame([("TEXT", 3), ("SYMLINK", 1)], "status string, n long")).collect()} == {("BINARY", 0, 1), ("SYMLINK", 1, 0)}
