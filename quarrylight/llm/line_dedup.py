@@ -4,11 +4,13 @@ A line is known by its words (white space apart); lines without words play no pa
 shortest stretches of lines of at least ``min_words`` words, from each line onwards and from each line
 backwards, are the windows; every run of that many words or more is a union of them.  Of each window the
 smallest line hash, the last of equal ones, is its fingerprint: equal windows have equal fingerprints at
-equal places.  Positions whose fingerprint is nowhere else are left out.  The others are joined with the
-first position of the same fingerprint from which a match extends over the whole window both ways, back
-to its first line and on to its last (hashes of what lies before and after the fingerprint are equal).
-Where there is an earlier one, by (doc_id, line), the window's lines go.  The first occurrence stays, and
-so does what overlaps it in the same document.
+equal places.  The positions of fingerprints, each once, are the rows; those whose fingerprint is nowhere
+else are left out, the others are joined by it and their matches extended both ways, as far as a window
+they were taken from reaches.  How far two positions agree is decided by hashes of the lines before and
+after, not line by line: a position agrees with another one than the first of its fingerprint where a
+common line stands in several contexts, and to extend all pairs takes the square of their number.  The
+first position that agrees stands for its match; where there is an earlier one, by (doc_id, line), the
+window's lines go.  The first occurrence stays, and so does what overlaps it in the same document.
 
 Only whole equal lines are matched: what a repeated passage holds of a line that is equal in part stays,
 and so does a passage whose whole lines hold fewer words than ``min_words`` (figures in the README).
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import Scratch, read
 
 MIN_WORDS = 50
+#: Places of the bitmap of texts that have cuts.
+CUT_BITS = 23
 
 
 def lines_of(text: str) -> list[tuple[int, bytes, int]]:
@@ -70,11 +75,17 @@ def windows(counts: list[int], min_words: int) -> set[tuple[int, int]]:
     return out
 
 
+_WINDOW = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("back", pa.int64()), ("on", pa.int64())])
+
+
 def _positions(rows: DataFrame, min_words: int) -> DataFrame:
-    """Windows of all documents: key, fingerprint with its position, hashes of what is before and after it, first and last line."""
+    """The winnowed positions of all documents, each once: its fingerprint, its line, and the windows that it was taken from.
+
+    A window says how far it reaches on either side of the position, and hashes of the lines there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "text_hash", "fp", "fp_at", "back", "on", "first", "last"]
+        names = ["doc_id", "text_hash", "fp", "fp_at", "windows"]
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
@@ -82,16 +93,22 @@ def _positions(rows: DataFrame, min_words: int) -> DataFrame:
                 for doc_id, text_hash, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                     lines = lines_of(text.as_py() or "")
                     hashes = [xxhash.xxh3_64_intdigest(w) - (1 << 63) for _, w, _ in lines]
+                    taken: dict[int, list[tuple]] = {}
                     for first, last in windows([n for _, _, n in lines], min_words):
                         at = min(range(first, last + 1), key=lambda i: (hashes[i], -i))
                         # the number of lines on a side is the seed of its hash
                         back = xxhash.xxh3_64_intdigest(b"\n".join(w for _, w, _ in lines[first:at]), 1 + at - first) - (1 << 63)
                         on = xxhash.xxh3_64_intdigest(b"\n".join(w for _, w, _ in lines[at + 1 : last + 1]), 1 + last - at) - (1 << 63)
-                        out.append((doc_id, text_hash, hashes[at], at, back, on, first, last))
-                kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+                        taken.setdefault(at, []).append((first, last, back, on))
+                    out += [(doc_id, text_hash, hashes[at], at, own) for at, own in taken.items()]
+                kinds = [pa.int64()] * 3 + [pa.int32()]
+                columns = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
+                sizes = np.cumsum([0, *(len(r[4]) for r in out)])
+                flat = [w for r in out for w in r[4]]
+                each = pa.StructArray.from_arrays([pa.array([w[i] for w in flat], f.type) for i, f in enumerate(_WINDOW)], fields=list(_WINDOW))
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each)], names)
 
-    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, fp long, fp_at int, back long, on long, first int, last int")
+    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, fp long, fp_at int, windows array<struct<first:int,last:int,back:long,on:long>>")
 
 
 def _order(position: str) -> F.Column:
@@ -102,11 +119,12 @@ def repeated_runs(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, cuts): the line ranges to delete, each packed as first * 2^32 + last."""
     keep = Scratch(rows.sparkSession, "runs")
     # both are read twice: written, so that texts are read once
-    found = keep.keep(_positions(rows, min_words), "windows")
-    # fingerprints at two positions or more
+    found = keep.keep(_positions(rows, min_words), "positions")
+    # fingerprints at two positions or more: only these are joined, and only their windows become rows
     shared = found.groupBy("fp").agg(F.min(_order("fp_at")).alias("a"), F.max(_order("fp_at")).alias("b")).where(F.col("a") != F.col("b")).select("fp")
-    near = keep.keep(found.join(keep.keep(shared, "shared"), "fp", "left_semi"), "near")
-    keep.drop("windows")
+    near = found.join(keep.keep(shared, "shared"), "fp", "left_semi").select("doc_id", "text_hash", "fp", F.explode("windows").alias("w")).select("doc_id", "text_hash", "fp", "w.*")
+    near = keep.keep(near, "near")
+    keep.drop("positions")
     keep.drop("shared")
     match = ["fp", "back", "on"]
     firsts = near.groupBy(*match).agg(F.min(_order("first")).alias("a"), F.max(_order("first")).alias("b")).where(F.col("a") != F.col("b")).drop("b")
@@ -138,8 +156,17 @@ def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = rows.withColumn("hash", F.xxhash64(f"c{at}"))
     runs = repeated_runs(rows.select(by.alias("doc_id"), F.col("hash").alias("text_hash"), F.col(f"c{at}").alias("text")), min_words)
     runs = runs.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"), "cuts")
-    # merged at every size: sent to all tasks, the table of cuts would have to stay small
-    joined = rows.join(runs.withColumn("none", F.col("of").isNull()).withColumn("of", F.coalesce("of", F.lit(0))).hint("merge"), (F.coalesce(by, F.lit(0)) == F.col("of")) & (by.isNull() == F.col("none")) & (rows["hash"] == runs["hash"]), "left")
+    runs = runs.withColumn("none", F.col("of").isNull()).withColumn("of", F.coalesce("of", F.lit(0)))
+    # a bitmap of 2 ** CUT_BITS places says which texts may have cuts: only these are moved to meet them
+    place = lambda none, of, h: F.pmod(F.xxhash64(of, none, h), F.lit(1 << CUT_BITS))
+    table = runs.select(place(F.col("none"), F.col("of"), F.col("hash")).alias("at")).distinct().groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    some = rows.withColumn("at", place(by.isNull(), F.coalesce(by, F.lit(0)), F.col("hash"))).withColumn("bucket", F.bitmap_bucket_number("at"))
+    # bit b of a bucket is bit b % 8 of its byte b / 8; a bucket has 4 KB, so 2 ** CUT_BITS / 8 bytes are sent at most
+    held = F.expr("conv(hex(substring(bitmap, int(bitmap_bit_position(at) div 8) + 1, 1)), 16, 10)").cast("int").bitwiseAND(F.expr("shiftleft(1, int(bitmap_bit_position(at) % 8))")) != 0
+    some = some.join(F.broadcast(table), "bucket", "left").withColumn("held", F.coalesce(held, F.lit(False))).select(*rows.columns, "held")
+    moved = some.where("held").drop("held")
+    joined = moved.join(runs, (F.coalesce(by, F.lit(0)) == F.col("of")) & (by.isNull() == F.col("none")) & (moved["hash"] == runs["hash"]), "left").select(*(moved[c] for c in rows.columns), "cuts")
+    joined = joined.unionByName(some.where(~F.col("held")).drop("held").withColumn("cuts", F.lit(None).cast("array<long>")))
     joined = joined.select(*rows.columns[:-1], "cuts")
     kept = joined.drop("cuts").schema
 

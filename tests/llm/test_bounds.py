@@ -135,3 +135,40 @@ def test_added_spans_over_planted_texts():
         hits += near and got
         wrong += got and not near
     assert hits == planted and wrong == 0
+
+
+def test_rows_of_line_dedup_are_winnowed_positions(spark):
+    """One row for each line that is the least of some window, not one for each window; a shared line has one fingerprint in every context."""
+    from pyspark.sql import functions as F
+
+    from quarrylight.llm import line_dedup
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [(i, "\n".join(" ".join(rng.choices(words, k=rng.randrange(3, 12))) for _ in range(80))) for i in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    found = line_dedup._positions(docs, 50).select("doc_id", "fp", "fp_at", F.size("windows").alias("n")).collect()
+    windows = sum(len(line_dedup.windows([n for _, _, n in line_dedup.lines_of(t)], 50)) for _, t in texts)
+    assert len({(r.doc_id, r.fp_at) for r in found}) == len(found) and sum(r.n for r in found) == windows and len(found) * 2 < windows
+    # the line that is least everywhere has the same fingerprint among other lines
+    line = min((line for _, t in texts for line in t.split("\n")), key=lambda x: line_dedup.xxhash.xxh3_64_intdigest(x))
+    around = [(i, "\n".join([*(f"a{i} b{k} c d e f g h" for k in range(6)), line, *(f"z{i} y{k} x d e f g h" for k in range(6))])) for i in range(5)]
+    docs = spark.createDataFrame(around, "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    own = line_dedup.xxhash.xxh3_64_intdigest(" ".join(line.split()).encode()) - (1 << 63)
+    assert {r.doc_id for r in line_dedup._positions(docs, 50).where(F.col("fp") == own).collect()} <= set(range(5))
+    # positions in other contexts are joined and do not agree, so nothing goes
+    assert all(r.n_removed == 0 for r in line_dedup.dedup_documents(docs.select("doc_id", "text")).collect())
+
+
+def test_long_texts_in_line_dedup_and_clashing_names(spark):
+    from quarrylight.llm import line_dedup
+
+    block = "\n".join(f"line {i} of a passage that is long enough" for i in range(20))
+    rows = [(1, block + "\n" + "x" * 3_000_000, "a"), (2, "\n".join(f"{i} only here" for i in range(200_000)) + "\n" + block, "b"), (None, block, "c"), (3, None, None)]
+    got = {r.doc_id: (r.n_removed, r.held, r.cuts) for r in line_dedup.dedup_documents(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, held string, cuts int")).collect()}
+    assert got == {1: (0, "a", 7), 2: (20, "b", 7), None: (20, "c", 7), 3: (0, None, 7)}
+
+
+def test_private_data_beside_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "mail a@b.co", "s", 3), (None, None, None, None)], "doc_id long, text string, spans string, n_email int")
+    assert {(r.doc_id, r.n_email, r.spans) for r in pii.find_private(rows).collect()} == {(1, 1, "email:5:11"), (None, 0, "")}
