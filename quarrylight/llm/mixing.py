@@ -21,7 +21,7 @@ of the input play no part.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,7 +32,8 @@ from quarrylight.llm.common import SPACE, Scratch, read, text_or_empty
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 MAX_COPIES = 2
-MAX_PATTERNS = 10_000
+#: Overlapping patterns that one flow routes, a row each on the driver: some seconds and some 200 MB.
+MAX_PATTERNS = 100_000
 SEED = 17
 
 
@@ -67,7 +68,7 @@ def flow(capacity: dict[tuple, int], quota: dict[str | None, int], most: int = M
     """Words that each pattern gives to each of its sources: quotas are met as far as repetitions go,
     at the least cost, where the k-th repetition of a word costs k - 1.
 
-    Successive shortest paths with potentials, for each connected group of patterns and sources alone.
+    Each connected group of patterns and sources is solved alone.
     """
     parent: dict = {}
 
@@ -91,10 +92,16 @@ def flow(capacity: dict[tuple, int], quota: dict[str | None, int], most: int = M
 
 
 def _solve(patterns: list[tuple], capacity: dict, quota: dict, most: int) -> list[tuple]:
-    heads: dict = defaultdict(list)
-    to, room, cost = [], [], []
+    """Primal-dual: shortest distances by Dijkstra, then a blocking flow over all shortest paths at once, while there are any.
 
-    def edge(a, b, n, c) -> int:
+    Costs are numbers of repetitions, so there are few distances, and each is dealt with by a few passes over the edges.
+    """
+    sources = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, s or ""))
+    place = {s: len(patterns) + i for i, s in enumerate(sources)}
+    start, end = len(patterns) + len(sources), len(patterns) + len(sources) + 1
+    heads, to, room, cost = [[] for _ in range(end + 1)], [], [], []
+
+    def edge(a: int, b: int, n: int, c: int) -> int:
         for x, y, r, k in ((a, b, n, c), (b, a, 0, -c)):
             heads[x].append(len(to))
             to.append(y)
@@ -103,40 +110,75 @@ def _solve(patterns: list[tuple], capacity: dict, quota: dict, most: int) -> lis
         return len(to) - 2
 
     routes = []
-    for p in patterns:
+    for i, p in enumerate(patterns):
         for copy in range(most):
-            edge("in", ("p", p), capacity[p], copy)
-        routes += [(p, s, edge(("p", p), ("s", s), most * capacity[p], 0)) for s in p]
-    for s in {s for p in patterns for s in p}:
-        edge(("s", s), "out", quota.get(s, 0), 0)
-    level: dict = defaultdict(int)
+            edge(start, i, capacity[p], copy)
+        routes += [(p, s, edge(i, place[s], most * capacity[p], 0)) for s in p]
+    for s in sources:
+        edge(place[s], end, quota.get(s, 0), 0)
+    level, none = [0] * (end + 1), float("inf")
     while True:
-        far, via, heap, n = {"in": 0}, {}, [(0, 0, "in")], 0
+        far, heap = [none] * (end + 1), [(0, start)]
+        far[start] = 0
         while heap:
-            d, _, x = heapq.heappop(heap)
+            d, x = heapq.heappop(heap)
             if d > far[x]:
                 continue
             for e in heads[x]:
                 y = to[e]
-                if room[e] and (nd := d + cost[e] + level[x] - level[y]) < far.get(y, float("inf")):
-                    far[y], via[y] = nd, e
-                    n += 1
-                    heapq.heappush(heap, (nd, n, y))
-        if "out" not in far:
+                if room[e] and (nd := d + cost[e] + level[x] - level[y]) < far[y]:
+                    far[y] = nd
+                    heapq.heappush(heap, (nd, y))
+        if far[end] == none:
             break
-        for x, d in far.items():
-            level[x] += d
-        path, x = [], "out"
-        while x != "in":
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        n = min(room[e] for e in path)
-        for e in path:
-            room[e] -= n
-            room[e ^ 1] += n
+        for x, d in enumerate(far):
+            level[x] += min(d, far[end])
+        while _augment(start, end, heads, to, room, cost, level):
+            pass
     return [(p, s, room[e ^ 1]) for p, s, e in routes if room[e ^ 1]]
 
 
+def _augment(start: int, end: int, heads: list[list[int]], to: list[int], room: list[int], cost: list[int], level: list[int]) -> bool:
+    """A blocking flow over the edges of shortest paths; whether there was one."""
+    step, queue = {start: 0}, deque([start])
+    while queue and end not in step:
+        x = queue.popleft()
+        for e in heads[x]:
+            y = to[e]
+            if room[e] and y not in step and cost[e] + level[x] == level[y]:
+                step[y] = step[x] + 1
+                queue.append(y)
+    if end not in step:
+        return False
+    left = {x: 0 for x in step}  # the edges of a node that have led nowhere are not tried again
+    path, x = [], start
+    while True:
+        if x == end:
+            n = min(room[e] for e in path)
+            for e in path:
+                room[e] -= n
+                room[e ^ 1] += n
+            # back to the first edge that is full
+            k = next(i for i, e in enumerate(path) if not room[e])
+            x = to[path[k] ^ 1]
+            del path[k:]
+            continue
+        while left[x] < len(heads[x]):
+            e = heads[x][left[x]]
+            y = to[e]
+            if room[e] and y in step and step[y] == step[x] + 1 and cost[e] + level[x] == level[y]:
+                path.append(e)
+                x = y
+                break
+            left[x] += 1
+        else:
+            if not path:
+                return True
+            e = path.pop()
+            x = to[e ^ 1]
+            left[x] += 1
+
+
 def units_of(docs: DataFrame, members: Column) -> DataFrame:
     """(doc_id, pattern, place, size): what selection needs of ``docs(doc_id, text)``."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_sort(F.array_distinct(members)).alias("pattern"), order_of(F.col("doc_id").cast("long"), F.col("text")).alias("place"), size_of(F.col("text")).alias("size"))
@@ -201,21 +243,6 @@ def _by_flow(rows: list, target: dict[str | None, float], most: int) -> list[tup
     return [(r["pattern"], r["size"], r["n"], sum(given[tuple(r["pattern"])].values())) for r in rows]
 
 
-def plan(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MAX_COPIES) -> tuple[DataFrame, DataFrame, dict, dict]:
-    """Selection for ``units`` as of ``select``, the sizes of all sources and their targets; for at most MAX_PATTERNS patterns."""
-    found = _patterns(units).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    sizes: dict[str | None, int] = defaultdict(int)
-    for r in found:
-        for s in r["pattern"]:
-            sizes[s] += r["size"]
-    target = targets(dict(sizes), weights, total, most)
-    asked = units.sparkSession.createDataFrame(_by_flow(found, target, most), "pattern array<string>, size long, n long, wanted long")
-    table, more = select(units, asked, Scratch(units.sparkSession, "mix"))
-    return table, more, dict(sizes), target
-
-
 def shares_of(found: DataFrame, keep: Scratch, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MAX_COPIES) -> DataFrame:
     """(source, source_size, target) of the patterns ``found``: ``targets`` as a table, for any number of sources."""
     sources = found.select(F.explode("pattern").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -243,7 +270,7 @@ def shares_of(found: DataFrame, keep: Scratch, weights: tuple[int, ...] = WEIGHT
 
 
 def planned(units: DataFrame, keep: Scratch, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MAX_COPIES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``plan`` for any number of sources: the selection, and (source, source_size, target) as a table."""
+    """Selection for ``units`` as of ``select``, for any number of sources, and (source, source_size, target) as a table."""
     found = keep.keep(_patterns(units), "patterns")
     shares = keep.keep(shares_of(found, keep, weights, total, most), "shares")
     if found.limit(MAX_PATTERNS + 1).count() <= MAX_PATTERNS:

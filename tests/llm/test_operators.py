@@ -176,7 +176,8 @@ def test_mixing_meets_targets(spark):
     data = [(i, " ".join(["w"] * (1 + i * 7 % 40)), "en", "abc"[i % 3]) for i in range(600)] + corpus(30)
     docs = docs_of(spark, data)
     units = mixing.units_of(docs, F.array("source"))
-    table, more, sizes, target = mixing.plan(units)
+    table, more, shares = mixing.planned(units, Scratch(spark, "m"))
+    sizes, target = ({r["source"]: r[c] for r in shares.collect()} for c in ("source_size", "target"))
     out = mixing.copies(units, table, more).collect()
     assert len(out) == len(data)
     expected = Counter()
@@ -189,9 +190,9 @@ def test_mixing_meets_targets(spark):
         taken[r["pattern"][0]] += r["copies"] * r["size"]
     for s in expected:
         assert abs(taken[s] - target[s]) <= 25
-    again = mixing.copies(units, *mixing.plan(units)[:2]).collect()
+    again = mixing.copies(units, *mixing.planned(units, Scratch(spark, "m"))[:2]).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
-    assert mixing.copies(units.limit(0), *mixing.plan(units.limit(0))[:2]).count() == 0
+    assert mixing.copies(units.limit(0), *mixing.planned(units.limit(0), Scratch(spark, "m"))[:2]).count() == 0
 
 
 # --- 4 ------------------------------------------------------------------------------------------

@@ -119,10 +119,14 @@ def test_many_sources(spark, monkeypatch):
     rows = [(i, " ".join(["w"] * (1 + i % 7)), "en", None if i % 61 == 0 else f"s{i % 61:02d}") for i in range(900)]
     docs = docs_of(spark, rows)
     units = mixing.units_of(docs, F.array("source"))
-    _, _, sizes, target = mixing.plan(units)
+    sizes = {}
+    for i, _, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + 1 + i % 7
+    target = mixing.targets(sizes)
     monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    overlapping = units.withColumn("pattern", F.array(F.lit("x"), F.col("pattern")[0]))
     with pytest.raises(ValueError):
-        mixing.plan(units)
+        mixing.planned(overlapping, Scratch(spark, "m"))
     table, more, shares = mixing.planned(units, Scratch(spark, "m"))
     got = {r["source"]: (r["source_size"], r["target"]) for r in shares.collect()}
     assert got == {s: (sizes[s], pytest.approx(target[s])) for s in sizes}
@@ -280,3 +284,48 @@ def test_empty_tables(spark):
     paths = keep.keep(warc.write_archives(warc.with_revisits(pages, keep), keep.path("a")), "p")
     assert warc.read_archives(warc.normalise(paths, keep.path("b")).select("path", "offset", "length")).count() == 0
     assert len(WORD.findall("")) == 0
+
+
+def test_overlapping_sources_meet_quotas_at_least_cost(spark):
+    """Documents of one word each, so every flow can be taken exactly: totals and repetitions are those of the best of all flows."""
+    import itertools
+
+    counts = {("a",): 3, ("a", "b"): 4, ("b", "c"): 2, ("c",): 1}
+    docs = [(i, p) for i, p in enumerate(p for p, n in counts.items() for _ in range(n))]
+    rows = spark.createDataFrame([(i, "w", list(p)) for i, p in docs], "doc_id long, text string, own array<string>")
+    units = mixing.units_of(rows, F.col("own"))
+    table, more, shares = mixing.planned(units, Scratch(spark, "m"), weights=(1, 3, 2), total=0.9)
+    sizes = {s: sum(n for p, n in counts.items() if s in p) for s in "abc"}
+    target = mixing.targets(sizes, (1, 3, 2), 0.9)
+    assert {r["source"]: r["target"] for r in shares.collect()} == pytest.approx(target)
+    taken = {p: 0 for p in counts}
+    for r in mixing.copies(units, table, more).collect():
+        taken[tuple(r["pattern"])] += r["copies"]
+    routes = [(p, s) for p in counts for s in p]
+    cost = lambda used: sum(max(0, used[p] - counts[p]) for p in counts)
+    best = max(
+        (sum(amounts), -cost(used))
+        for amounts in itertools.product(*(range(min(round(target[s]), 2 * counts[p]) + 1) for p, s in routes))
+        if (used := {p: sum(n for (q, _), n in zip(routes, amounts) if q == p) for p in counts})
+        and all(used[p] <= 2 * counts[p] for p in counts)
+        and all(sum(n for (_, t), n in zip(routes, amounts) if t == s) <= round(target[s]) for s in "abc")
+    )
+    assert (sum(taken.values()), -cost(taken)) == best
+
+
+def test_many_overlapping_patterns_take_seconds():
+    import random
+    import time
+
+    rng = random.Random(6)
+    names = [f"s{i}" for i in range(400)]
+    patterns = list({tuple(sorted(rng.sample(names, rng.randrange(1, 5)))) for _ in range(8000)})
+    capacity = {p: rng.randrange(1, 10**6) for p in patterns}
+    quota = {s: rng.randrange(10**6, 3 * 10**7) for s in names}
+    began = time.process_time()
+    got = mixing.flow(capacity, quota)
+    assert time.process_time() - began < 20
+    assert all(sum(got[p].values()) <= 2 * capacity[p] for p in patterns)
+    given = {s: sum(got[p].get(s, 0) for p in patterns) for s in names}
+    # what is not met is out of reach: every pattern of the source is used up
+    assert all(given[s] == quota[s] or all(sum(got[p].values()) == 2 * capacity[p] for p in patterns if s in p) for s in names)
