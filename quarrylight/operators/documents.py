@@ -7,13 +7,14 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.identity import ordered_digest
 from quarrylight.functions.paths import utf16_order
 from quarrylight.functions.text import clip, utf16_length
 from quarrylight.model import DOCUMENT_PAGE_MOST, SECTIONS_MOST, SHA256, SNIPPET_MOST, TITLE_MOST, QueryError, checked_limit, checked_query, invalid
+from quarrylight.plans import cursor
 from quarrylight.plans.paging import after
 
 SECTION_SCHEMA = "path string, start_line int, end_line int, start_char int, end_char int, start_offset int, end_offset int, title string"
@@ -89,8 +90,15 @@ def search_documents(documents: DataFrame, query: str, owner: str | None = None,
 
     The cursor is inclusive: it names the next item.  Documents are in UTF-16 order.
     """
-    checked_query(query)
     checked_limit(limit, DOCUMENT_PAGE_MOST)
+    ahead = _searched(documents, query, owner, limit + 1, position)
+    n = F.row_number().over(Window.orderBy("o", "start_line"))
+    return ahead.withColumn("k", n).withColumn("has_more", F.count("*").over(Window.partitionBy()) > limit).where(F.col("k") <= limit).drop("k", "o")
+
+
+def _searched(documents: DataFrame, query: str, owner: str | None, n: int, position: list | None) -> DataFrame:
+    """The first ``n`` hits from a position on, with their order ``o``."""
+    checked_query(query)
     hits = _owned(documents, owner).where(F.col("content").contains(query))
     found = sections(hits).join(hits.select("path", "content"), "path")
     at = F.expr(f"locate({_sql_text(query)}, content, start_char + 1)")
@@ -101,9 +109,7 @@ def search_documents(documents: DataFrame, query: str, owner: str | None = None,
     rows = found.select("path", "start_line", "title", F.expr(f"substring(rest, 1, least(n, {SNIPPET_MOST}))").alias("snippet"), (F.col("n") > SNIPPET_MOST).alias("snippet_clipped"), "o")
     if position is not None:
         rows = rows.where(after(["path", "start_line"], position, inclusive=True))
-    ahead = rows.orderBy("o", "start_line").limit(limit + 1)
-    n = F.row_number().over(Window.orderBy("o", "start_line"))
-    return ahead.withColumn("k", n).withColumn("has_more", F.count("*").over(Window.partitionBy()) > limit).where(F.col("k") <= limit).drop("k", "o")
+    return rows.orderBy("o", "start_line").limit(n)
 
 
 def _sql_text(value: str) -> str:
@@ -113,12 +119,17 @@ def _sql_text(value: str) -> str:
 def list_documents(documents: DataFrame, owner: str | None = None, limit: int = 10, position: str | None = None) -> DataFrame:
     """One row per document in UTF-16 path order, from the cursor's document on."""
     checked_limit(limit, DOCUMENT_PAGE_MOST)
+    ahead = _listed(documents, owner, limit + 1, position)
+    n = F.row_number().over(Window.orderBy("o"))
+    return ahead.withColumn("k", n).withColumn("has_more", F.count("*").over(Window.partitionBy()) > limit).where(F.col("k") <= limit).drop("k", "o")
+
+
+def _listed(documents: DataFrame, owner: str | None, n: int, position: str | None) -> DataFrame:
+    """The first ``n`` documents from a position on, with their order ``o``."""
     rows = _owned(documents, owner).select("path", "owner", F.octet_length("content").cast("long").alias("byte_length"), utf16_order(F.col("path")).alias("o"))
     if position is not None:
         rows = rows.where(F.col("o") >= utf16_order(F.lit(position)))
-    ahead = rows.orderBy("o").limit(limit + 1)
-    n = F.row_number().over(Window.orderBy("o"))
-    return ahead.withColumn("k", n).withColumn("has_more", F.count("*").over(Window.partitionBy()) > limit).where(F.col("k") <= limit).drop("k", "o")
+    return rows.orderBy("o").limit(n)
 
 
 def read_document(documents: DataFrame, path: str, section_line: int) -> DataFrame:
@@ -165,6 +176,27 @@ def checked_view(selection: DataFrame, owner: str | None, version: str) -> None:
         raise invalid("the view has changed since the cursor")
 
 
+def document_page(operation: str, documents: DataFrame, selection: DataFrame, key: bytes, owner: str | None = None, query: str | None = None, limit: int = 10, token: str | None = None) -> tuple[list[Row], str | None]:
+    """Rows of a page of ``list`` or ``search``, and the cursor of the next one, if there is one.
+
+    The cursor is authenticated and bound to the request and to the version of the view that it was made from: once the
+    owner's revision, or for all owners the global version, is another one, it has expired.  It names the next row.
+    """
+    if operation not in ("list", "search") or (operation == "search") == (query is None):
+        raise invalid("operation")
+    found = view_versions(selection).where(F.col("owner").eqNullSafe(F.lit(owner).cast("string"))).select("version").collect()
+    bound = cursor.binding(f"documents.{operation}", owner=owner, query=query, limit=limit, version=found[0][0] if found else "")
+    position = None if token is None else cursor.decode(token, bound, key)
+    checked_limit(limit, DOCUMENT_PAGE_MOST)
+    # a row more than the page has: the place of the next page
+    if operation == "list":
+        rows = _listed(documents, owner, limit + 1, position and position[0]).collect()
+    else:
+        rows = _searched(documents, query, owner, limit + 1, position).collect()
+    after_ = rows[limit] if len(rows) > limit else None
+    return rows[:limit], None if after_ is None else cursor.encode(bound, [after_["path"]] if operation == "list" else [after_["path"], after_["start_line"]], key)
+
+
 def operation_fingerprint(operations: DataFrame) -> DataFrame:
     """(operation_id, fingerprint) of (operation_id, path, change, content_digest): a retry of the same changes has the same one."""
     lines_ = F.collect_list(F.struct(F.col("path").alias("key"), F.concat_ws(":", "change", "content_digest").alias("value")))

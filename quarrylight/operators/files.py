@@ -9,13 +9,14 @@ from quarrylight.functions import paths
 from quarrylight.functions.glob import compile_glob
 from quarrylight.functions.text import displayed, lines, literal_pattern, utf16_length
 from quarrylight.model import PREVIEW_CHILDREN, RANGES_MOST, QueryError, checked_limit, checked_query, invalid
-from quarrylight.plans.paging import page
+from quarrylight.plans.paging import page, replayed
 
 
-def list_files(inventory: DataFrame, directory: str = "", depth: int = 1, limit: int = 20, position: list | None = None) -> DataFrame:
+def list_files(inventory: DataFrame, directory: str = "", depth: int = 1, limit: int = 20, position: list | None = None, replay: bool = False) -> DataFrame:
     """Children of a directory in inventory order; at depth 2 each child directory shows up to 12 of its own.
 
     A child directory is COMPLETE or, with more than 12 children, ELIDED; what is not looked into is NOT_EXPANDED.
+    ``replay``: the entry at ``position`` must still be listed.
     """
     if depth not in (1, 2):
         raise invalid("depth")
@@ -33,14 +34,14 @@ def list_files(inventory: DataFrame, directory: str = "", depth: int = 1, limit:
         preview = F.when(F.col("kind") != "DIRECTORY", "NOT_EXPANDED").when(F.col("more"), "ELIDED").otherwise("COMPLETE")
         second = ranked.where(F.col("n") <= PREVIEW_CHILDREN).select("path", "kind", "byte_length", "key", F.lit(2).alias("depth"), F.lit("NOT_EXPANDED").alias("child_preview"))
         out = first.withColumn("child_preview", preview).drop("more").unionByName(second)
-    return page(out, ["key"], limit, position).drop("key")
+    return page(replayed(out, ["key"], position) if replay else out, ["key"], limit, position).drop("key")
 
 
-def find_files(inventory: DataFrame, pattern: str, directory: str = "", limit: int = 20, position: list | None = None) -> DataFrame:
-    """Files of all statuses at any depth that match; the directory narrows but never rebases."""
+def find_files(inventory: DataFrame, pattern: str, directory: str = "", limit: int = 20, position: list | None = None, replay: bool = False) -> DataFrame:
+    """Files of all statuses at any depth that match; the directory narrows but never rebases.  ``replay``: as in ``list_files``."""
     glob = compile_glob(pattern)
     rows = inventory.where((F.col("kind") == "FILE") & paths.below(F.col("path"), directory)).where(glob.matches(F.col("path")))
-    return page(rows.select("path", "status", "byte_length"), ["path"], limit, position)
+    return page(replayed(rows, ["path"], position).select("path", "status", "byte_length") if replay else rows.select("path", "status", "byte_length"), ["path"], limit, position)
 
 
 def search_text(files: DataFrame, query: str, directory: str = "", pattern: str | None = None, limit: int = 20) -> DataFrame:

@@ -71,6 +71,16 @@ def json_size(df: DataFrame) -> Column:
     return (F.octet_length(F.to_json(F.struct(*df.columns))) + 1).cast("bigint")
 
 
+def replayed(df: DataFrame, order: list[str], position: list | None) -> DataFrame:
+    """``df``, once the row that a cursor names is seen to be still there: a look-up of one row, pushed to the scan."""
+    if position is not None:
+        anchor = F.lit(True)
+        for name, value in zip(order, position, strict=True):
+            anchor = anchor & (F.col(name) == F.lit(value))
+        exists_or_invalid(df, anchor)
+    return df
+
+
 def exists_or_invalid(df: DataFrame, condition: Column) -> None:
     """A cursor's anchor row must still match; an action on one row."""
     if df.where(condition).limit(1).count() == 0:
