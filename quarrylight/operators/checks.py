@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import paths
 from quarrylight.functions.identity import framed_sha256
 from quarrylight.functions.payload import field
+from quarrylight.sources.tables import by_key
 
 
 def inventory_faults(inventory: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def span_faults(files: DataFrame, spans: DataFrame) -> DataFrame:
     key = spans.schema["span_id"].dataType.simpleString()
     own = files.select("path", F.col("text").cast("string").alias("text"), F.lit(None).cast(key).alias("span_id"), *(F.lit(None).cast(t).alias(c) for c, t in places.items()), F.lit(0).alias("turn"))
     asked = spans.select("path", F.lit(None).cast("string").alias("text"), "span_id", *(plain(c, t).alias(c) for c, t in places.items()), F.lit(1).alias("turn"))
-    events = own.unionByName(asked).repartition("path").sortWithinPartitions("path", "turn")
+    events = by_key(own.unionByName(asked), "path", "turn")
 
     def judge(data: np.ndarray | None, feeds: np.ndarray, start: int, end: int, line: int, name: tuple) -> str | None:
         if data is None:

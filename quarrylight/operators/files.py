@@ -9,6 +9,7 @@ from quarrylight.functions import paths
 from quarrylight.functions.glob import compile_glob
 from quarrylight.functions.text import displayed, lines, literal_pattern, utf16_length
 from quarrylight.model import PREVIEW_CHILDREN, RANGES_MOST, QueryError, checked_limit, checked_query, invalid
+from quarrylight.operators.spans import within
 from quarrylight.plans.paging import page, replayed
 
 
@@ -127,16 +128,20 @@ def elided_segments(ranges: DataFrame, bodies: DataFrame, least: int = 4) -> Dat
 
     A body (path, open_line, close_line: the lines of its braces) is elided where it lies within a range
     and has at least ``least`` lines between its braces; of nested bodies only the outermost is.
-    Ranges and bodies meet by path, with containment as the rest of the condition.
+    Ranges and bodies of a path meet by a sweep over both.
     """
     interior = bodies.select("path", (F.col("open_line") + 1).alias("a"), (F.col("close_line") - 1).alias("b")).where(F.col("b") - F.col("a") + 1 >= least)
-    inside = ranges.join(interior, "path").where((F.col("a") >= F.col("start_line")) & (F.col("b") <= F.col("end_line")))
+    met = within(interior, ranges.select("path", "start_line", "end_line"), (F.col("a"), F.col("b")), (F.col("start_line"), F.col("end_line")))
+    inside = met.select("path", "outer.start_line", "outer.end_line", "inner.a", "inner.b")
     w = Window.partitionBy("path", "start_line", "end_line").orderBy("a", F.desc("b"))
     outer = inside.withColumn("reach", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))).where(F.col("reach").isNull() | (F.col("a") > F.col("reach"))).drop("reach")
     following = F.coalesce(F.lead("a").over(w) - 1, F.col("end_line"))
     rest = outer.select("path", (F.col("b") + 1).alias("from"), following.alias("to"))
-    head = ranges.join(outer.groupBy("path", "start_line", "end_line").agg(F.min("a").alias("a")), ["path", "start_line", "end_line"], "left")
-    head = head.select("path", F.col("start_line").alias("from"), F.coalesce(F.col("a") - 1, F.col("end_line")).alias("to"))
+    # what comes before the first body, or all of a range without one; ranges and bodies as one union instead of a join
+    every = ranges.select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.lit(None).cast("long").alias("a"))
+    firsts = outer.select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.col("a").cast("long").alias("a"))
+    head = every.unionByName(firsts).groupBy("path", "start_line", "end_line").agg(F.min("a").alias("a"))
+    head = head.select("path", F.col("start_line").cast("int").alias("from"), F.coalesce(F.col("a") - 1, F.col("end_line")).cast("int").alias("to"))
     source = rest.unionByName(head).where(F.col("from") <= F.col("to")).select("path", F.lit("SOURCE").alias("segment"), F.col("from").alias("start_line"), F.col("to").alias("end_line"))
     return source.unionByName(outer.select("path", F.lit("ELISION").alias("segment"), F.col("a").alias("start_line"), F.col("b").alias("end_line")))
 

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import paths
 from quarrylight.model import checked_query, invalid
+from quarrylight.operators.spans import within
 from quarrylight.plans.paging import page
+from quarrylight.sources.tables import by_key
 
 SEARCH_ORDER = ["name", "path", "name_start_byte", "kind", "symbol_id"]
 OUTLINE_ORDER = ["path", "start_byte", "symbol_id"]
@@ -89,7 +91,7 @@ def nearest_enclosing(spans: DataFrame, points: DataFrame) -> DataFrame:
     begun = spans.select("path", F.col("start_byte").cast("long").alias("place"), F.col("end_byte").cast("long").alias("end"), F.col("symbol_id").cast("string").alias("symbol_id"), nothing.alias("p"))
     asked = points.select("path", F.col("at").cast("long").alias("place"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("string").alias("symbol_id"), F.struct(*carried).alias("p"))
     # a span holds the point at its start
-    events = begun.union(asked).repartition("path").sortWithinPartitions("path", "place", F.col("end").isNull())
+    events = by_key(begun.union(asked), "path", "place", F.col("end").isNull())
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, open_ = None, []
@@ -176,9 +178,9 @@ def tracked(matches: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """(inner_id, outer_id) of spans of one path where the outer one holds all bytes and lines of the inner one."""
-    i = inner.select("path", "inner_id", F.col("start_byte").alias("ib"), F.col("end_byte").alias("ie"), F.col("start_line").alias("il"), F.col("end_line").alias("im"))
-    both = i.join(outer, "path")
-    return both.where((F.col("start_byte") <= F.col("ib")) & (F.col("ie") <= F.col("end_byte")) & (F.col("start_line") <= F.col("il")) & (F.col("im") <= F.col("end_line"))).select("inner_id", "outer_id")
+    span = F.col("start_byte"), F.col("end_byte")
+    met = within(inner.select("path", "inner_id", "start_byte", "end_byte", "start_line", "end_line"), outer.select("path", "outer_id", "start_byte", "end_byte", "start_line", "end_line"), span, span)
+    return met.where((F.col("outer.start_line") <= F.col("inner.start_line")) & (F.col("inner.end_line") <= F.col("outer.end_line"))).select("inner.inner_id", "outer.outer_id")
 
 
 def class_catalogue(classes: DataFrame, most: int = 21) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.model import JOB_PHASES, KEYWORDS_MOST, RETENTION_DAYS, invalid
 from quarrylight.plans.paging import byte_budget, json_size, page
+from quarrylight.sources.tables import by_key
 
 
 def phase_ordinal(phase: F.Column) -> F.Column:
@@ -123,7 +124,7 @@ def capacity_refusals(requests: DataFrame, most: int, least: int = 0) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("repository_id"), batch.column("seq"), pa.array(out_used, pa.int64()), pa.array(admitted, pa.bool_())], ["repository_id", "seq", "used", "admitted"])
 
     rows = requests.select(F.col("repository_id").cast("string").alias("repository_id"), F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("bytes"), F.lit(0)).cast("long").alias("bytes"), (F.col("free") if "free" in requests.columns else F.lit(None)).cast("long").alias("free"))
-    return rows.repartition("repository_id").sortWithinPartitions("repository_id", "seq").mapInArrow(fold, "repository_id string, seq long, used long, admitted boolean")
+    return by_key(rows, "repository_id", "seq").mapInArrow(fold, "repository_id string, seq long, used long, admitted boolean")
 
 
 def recovered(jobs: DataFrame, receipts: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from quarrylight.sources.tables import by_key
+
 # Bytes of a class, class file versions and releases that are read.
 CLASS_BYTES_MOST = 1 << 20
 MAJOR_MOST = 65
@@ -226,8 +228,7 @@ def write_archives(classes: DataFrame, folder: str) -> None:
         if own is not None:
             yield close()
 
-    order = ["artifact", "entry"]
-    classes.repartition("artifact").sortWithinPartitions(*order).mapInArrow(run, "artifact string, entries long").write.format("noop").mode("overwrite").save()
+    by_key(classes, "artifact", "entry").mapInArrow(run, "artifact string, entries long").write.format("noop").mode("overwrite").save()
 
 
 def catalogue(entries: DataFrame) -> DataFrame:

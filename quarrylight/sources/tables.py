@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def by_key(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
+    """Rows of a key together in one partition, keys one after the other, each in the given order: what a pass over sorted rows needs.
+
+    They are dealt out by a hash of the key.  By the key itself the exchange may be left out where the input seems to lie so
+    already; adaptive execution, which does not see what the pass relies on, may then read that input in another way.
+    """
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, whatever becomes of an executor."""
     spark = df.sparkSession

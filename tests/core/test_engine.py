@@ -201,3 +201,35 @@ def test_views_and_pages_that_must_be_checked(spark):
         checked_page(rows, cursor_budget(rows, ["k"], F.col("n"), 14, 5))
     with pytest.raises(QueryError):
         lifecycle.get_job(rows, "r", 1, 2)
+
+
+def test_spans_within_spans_equal_all_pairs(spark):
+    import random
+
+    from quarrylight.operators.spans import within
+
+    rng = random.Random(9)
+    rows = lambda n: [(rng.choice("pqr"), i, a, a + rng.randrange(0, 30)) for i in range(n) for a in [rng.randrange(60)]]
+    inner, outer = rows(150), rows(120)
+    schema = "path string, id int, a long, b long"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        span = F.col("a"), F.col("b")
+        got = within(spark.createDataFrame(inner, schema), spark.createDataFrame(outer, schema), span, span).select("path", "inner.id", "outer.id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == sorted((p, i, k) for p, i, a, b in inner for q, k, x, y in outer if p == q and x <= a and b <= y)
+    assert within(spark.createDataFrame(inner, schema), spark.createDataFrame([], schema), span, span).count() == 0
+
+
+def test_sorted_passes_keep_their_rows_together_after_joins(spark):
+    """Both sides come from joins by path that adaptive execution turns into broadcasts: their partitions then no longer hold whole paths."""
+    from quarrylight.operators.spans import within
+
+    paths_ = spark.range(3000).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.col("id"))
+    few = paths_.where(F.pmod(F.xxhash64("path"), F.lit(10)) == 0)
+    some = few.groupBy("path").agg(F.max("id").alias("m")).where("m >= 0").select("path")
+    inner = paths_.select("path", F.lit(3).alias("a"), F.lit(5).alias("b")).join(some, "path", "left_semi")
+    outer = paths_.select("path", F.lit(1).alias("a"), F.lit(9).alias("b")).join(some, "path", "left_semi")
+    span = F.col("a"), F.col("b")
+    assert within(inner, outer, span, span).count() == some.count() > 200
