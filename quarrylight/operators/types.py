@@ -86,12 +86,17 @@ def members(calls: DataFrame, methods: DataFrame, above: DataFrame) -> DataFrame
     """(call, target, state, reason) of calls (call, type, name, n): the method of the type itself or of its nearest ancestor.
 
     methods: (method, type, name, n).  Several methods at the least distance are ambiguous.  The ancestors are joined
-    as they are: a type's own methods come as distance 0 beside them.
+    as they are: a type's own methods come as distance 0 beside them.  Where methods have (modifiers, package) and calls a package,
+    private methods are not inherited, and those without a word for it only within their package.
     """
-    have = methods.groupBy(F.col("type").alias("above"), "name", "n").agg(F.min("method").alias("target"), F.count(F.lit(1)).alias("copies"))
-    itself = calls.select("call", "name", "n", F.col("type").alias("above"), F.lit(0).alias("distance"))
-    inherited = calls.join(above.select("type", "above", "distance"), "type").select("call", "name", "n", "above", "distance")
+    seen = "modifiers" in methods.columns
+    reach = F.when(F.array_contains("modifiers", "private"), "OWN").when(F.arrays_overlap("modifiers", F.array(F.lit("public"), F.lit("protected"))), "ALL").otherwise("PACKAGE") if seen else F.lit("ALL")
+    have = methods.groupBy(F.col("type").alias("above"), "name", "n", reach.alias("reach"), (F.col("package") if seen else F.lit(None).cast("string")).alias("home")).agg(F.min("method").alias("target"), F.count(F.lit(1)).alias("copies"))
+    own = calls.select("call", "type", "name", "n", (F.col("package") if seen else F.lit(None).cast("string")).alias("package"))
+    itself = own.select("call", "name", "n", "package", F.col("type").alias("above"), F.lit(0).alias("distance"))
+    inherited = own.join(above.select("type", "above", "distance"), "type").select("call", "name", "n", "package", "above", "distance")
     found = itself.unionByName(inherited).join(have, ["above", "name", "n"])
+    found = found.where((F.col("distance") == 0) | (F.col("reach") == "ALL") | ((F.col("reach") == "PACKAGE") & F.col("home").eqNullSafe(F.col("package"))))
     # how many methods lie at each distance, then the least distance: sums with partial steps, no list of candidates
     each = found.groupBy("call", "distance").agg(F.sum("copies").alias("copies"), F.min("target").alias("target"))
     best = each.groupBy("call").agg(F.min_by(F.struct("copies", "target"), "distance").alias("b"), F.min("distance").alias("distance"))
