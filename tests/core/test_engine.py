@@ -226,10 +226,19 @@ def test_sorted_passes_keep_their_rows_together_after_joins(spark):
     """Both sides come from joins by path that adaptive execution turns into broadcasts: their partitions then no longer hold whole paths."""
     from quarrylight.operators.spans import within
 
-    paths_ = spark.range(3000).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.col("id"))
-    few = paths_.where(F.pmod(F.xxhash64("path"), F.lit(10)) == 0)
-    some = few.groupBy("path").agg(F.max("id").alias("m")).where("m >= 0").select("path")
-    inner = paths_.select("path", F.lit(3).alias("a"), F.lit(5).alias("b")).join(some, "path", "left_semi")
-    outer = paths_.select("path", F.lit(1).alias("a"), F.lit(9).alias("b")).join(some, "path", "left_semi")
-    span = F.col("a"), F.col("b")
-    assert within(inner, outer, span, span).count() == some.count() > 200
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10485760")
+    try:
+        paths_ = spark.range(3000).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.col("id"))
+        few = paths_.where(F.pmod(F.xxhash64("path"), F.lit(10)) == 0)
+        some = few.groupBy("path").agg(F.max("id").alias("m")).where("m >= 0").select("path")
+        inner = paths_.select("path", F.lit(3).alias("a"), F.lit(5).alias("b")).join(some, "path", "left_semi")
+        outer = paths_.select(F.concat(F.lit("p"), (2999 - F.col("id")).cast("string")).alias("path"), F.lit(1).alias("a"), F.lit(9).alias("b")).join(some, "path", "left_semi")
+        span = F.col("a"), F.col("b")
+        met = within(inner, outer, span, span)
+        assert len(met.collect()) == some.count() > 200
+        # the exchange in front of the pass is still there after adaptive execution
+        assert "Exchange hashpartitioning(xxhash64(path" in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
