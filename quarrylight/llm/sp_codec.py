@@ -31,7 +31,7 @@ MATRIX_LENGTH = 64
 #: Windows whose maxima are taken at once.
 WINDOWS = 1024
 #: Encoded cuts that a worker remembers.
-MEMORY = 200_000
+MEMORY = 100_000
 _CUTS = re.compile(r"\n| *[^ \n]+| +")
 _LOW = np.int64(-(10**15))
 
