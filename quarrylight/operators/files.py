@@ -82,8 +82,8 @@ def line_table(files: DataFrame) -> DataFrame:
 
 
 def merge_ranges(ranges: DataFrame, key: str = "path") -> DataFrame:
-    """Overlapping or adjacent (start_line, end_line) ranges of a key become one."""
-    w = Window.partitionBy(key).orderBy("start_line", "end_line")
+    """Overlapping or adjacent (start_line, end_line) ranges of a key become one; open ends (null) come last, as in the SQL."""
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("start_line"), F.asc_nulls_last("end_line"))
     reach = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start_line") <= reach + 1, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return ranges.withColumn("island", island).groupBy(key, "island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("island")

@@ -1,14 +1,15 @@
 """Types as joins: names by precedence, ancestors with bound type variables, inherited members, overrides.
 
 A type expression is the array of its tokens (``List``, ``<``, ``T``, ``>``), so that binding type variables
-replaces tokens.  The ancestors of all types come from rounds that double their reach: two known stretches that
-meet are joined, and the arguments of the upper one are rewritten by those of the lower one.  Every round is
-written, so it costs its own joins; a hierarchy of depth d takes about log2(d) of them.
+replaces tokens.  The ancestors of all types come from rounds that double their reach: the stretches as long as the
+reach are joined with those above them, and the arguments of the upper one are rewritten by those of the lower one.
+Every round writes what it adds; a hierarchy of depth d takes about log2(d) of them, and every pair arises once for
+each of its ways over a type at that distance.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.sources.tables import written
@@ -35,28 +36,34 @@ def ancestors(types: DataFrame, supertypes: DataFrame) -> DataFrame:
     """(type, above, distance, parameters, arguments): every ancestor of a type once, with its type variables and what they are bound to.
 
     types: (type, parameters array<string>); supertypes: (type, above, arguments array<array<string>>).  Of several ways to
-    an ancestor the shortest counts, of equal ones that with the least arguments; a type on a cycle is no ancestor of itself.
+    an ancestor the shortest counts, of equal ones that with the least arguments (of what the stretches that meet there are
+    bound to); a type on a cycle is no ancestor of itself.
     """
-    columns = ["type", "above", "distance", "parameters", "arguments"]
-    own = types.select(F.col("type").alias("above"), "parameters")
-    least = F.min(F.struct("distance", "arguments", "parameters")).alias("w")
+    first = Window.partitionBy("type", "above").orderBy("distance", "arguments", "parameters")
 
     def shortest(rows: DataFrame) -> DataFrame:
-        return rows.where(F.col("type") != F.col("above")).groupBy("type", "above").agg(least).select("type", "above", "w.distance", "w.parameters", "w.arguments")
+        # one sort behind one exchange; a minimum of structs would sort in front of the exchange as well
+        return rows.where(F.col("type") != F.col("above")).withColumn("better", F.lag("distance").over(first)).where(F.col("better").isNull()).drop("better")
 
+    own = types.select(F.col("type").alias("above"), "parameters")
     start = supertypes.join(own, "above").select("type", "above", F.lit(1).alias("distance"), "parameters", "arguments")
-    known, reach = written(shortest(start), "ancestors"), 1
+    known = outer = written(shortest(start), "ancestors")
+    reach = 1
     while True:
-        upper = known.select(F.col("type").alias("above"), F.col("above").alias("top"), F.col("distance").alias("more"), F.col("parameters").alias("top_parameters"), F.col("arguments").alias("top_arguments"))
+        # what lies beyond the reach is met by the stretches of just that length and those above them: each distance arises once
+        lower = outer.where(F.col("distance") == reach)
+        if lower.isEmpty():
+            return known
+        upper = known.join(lower.select(F.col("above").alias("type")).distinct(), "type", "left_semi")
+        upper = upper.select(F.col("type").alias("above"), F.col("above").alias("top"), F.col("distance").alias("more"), F.col("parameters").alias("top_parameters"), F.col("arguments").alias("top_arguments"))
         # no result has the name of a column that is read in the same step: it would be taken for it
-        further = known.join(upper, "above").withColumn("top_arguments", F.transform("top_arguments", lambda e: bound(e, F.col("parameters"), F.col("arguments"))))
+        further = lower.join(upper, "above").withColumn("top_arguments", F.transform("top_arguments", lambda e: bound(e, F.col("parameters"), F.col("arguments"))))
         further = further.select("type", F.col("top").alias("above"), (F.col("distance") + F.col("more")).alias("distance"), F.col("top_parameters").alias("parameters"), F.col("top_arguments").alias("arguments"))
-        grown = written(shortest(known.select(*columns).unionByName(further)), "ancestors")
+        # a pair that is known lies nearer and comes first; only its key and distance are moved
+        nothing = known.select("type", "above", "distance", *(F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("parameters", "arguments")))
+        outer = written(shortest(nothing.unionByName(further)).where(F.col("distance") > reach), "ancestors")
+        known = known.unionByName(outer)
         reach *= 2
-        # every ancestor up to this distance is known; nothing lies further when none is in the outer half
-        if grown.where(F.col("distance") > reach // 2).limit(1).count() == 0:
-            return grown
-        known = grown
 
 
 def overriding(methods: DataFrame, above: DataFrame, lower: DataFrame | None = None) -> DataFrame:

@@ -84,6 +84,23 @@ def test_merge_and_elide(spark):
     assert got == [(1, 3, "SOURCE"), (4, 19, "ELISION"), (20, 30, "SOURCE"), (31, 38, "ELISION"), (39, 40, "SOURCE")]
 
 
+def test_merged_ranges_with_nulls_and_ties_equal_their_sql(spark):
+    import duckdb
+
+    from quarrylight.queries import SQL
+
+    lines_ = [(1, 2, 60.0), (1, 2, None), (1, 2, 16.0), (1, 5, 8.0), (1, 5, 8.0), (1, None, 8.0), (2, 1, None), (2, 1, 40.0), (None, 3, 8.0), (None, 3, 8.0)]
+    con = duckdb.connect()
+    con.execute("set threads = 1")  # with more of them DuckDB sorts equal rows anew for each window, and its result varies
+    con.execute("create table lineitem (l_orderkey bigint, l_linenumber int, l_quantity double)")
+    con.executemany("insert into lineitem values (?, ?, ?)", lines_)
+    theirs = con.execute(f"select path, start_line, end_line from ({SQL['q_merge_ranges']})").fetchall()
+    li = spark.createDataFrame(lines_, "l_orderkey long, l_linenumber int, l_quantity double")
+    start = F.col("l_linenumber") * 4
+    ours = rows(files.merge_ranges(li.select(F.col("l_orderkey").cast("string").alias("path"), start.alias("start_line"), (start + F.floor(F.col("l_quantity") / 8)).cast("int").alias("end_line"))))
+    assert sorted(map(repr, ours)) == sorted(map(repr, theirs))
+
+
 def test_classify_and_publish(spark, tmp_path):
     root = tmp_path / "tree"
     for name, data in {"a.txt": b"hi\n", "sub/b.bin": b"x\0y", "c.bad": b"\xff\0", "d.ptr": trees.LFS_PREFIX.encode() + b"\n", "target/x.txt": b"no", "é.md": "# é\n".encode()}.items():
