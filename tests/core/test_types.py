@@ -185,3 +185,27 @@ def test_calls_reach_the_nearest_ancestor(spark):
     d = {r.symbol_id: f"{r.owner}.{r.name}" for r in extract.facts(p, "declarations").collect()}
     got = {(r.written_target, d.get(r.target_symbol_id), r.unresolved_reason) for r in extract.resolved_calls(p).collect()}
     assert got == {("top", "k.Top.top", None), ("both", "k.Mid.both", None), ("side", None, "AMBIGUOUS_TARGET"), ("none", None, "MISSING_TYPE")}
+
+
+def test_rounds_of_ancestors_write_each_pair_once(spark, monkeypatch):
+    """A chain with a short cut, a type with two ways up and a cycle: rounds add what is new, and distances are the shortest."""
+    up = {i: [i - 1] for i in range(1, 21)} | {30: [12, 13], 31: [30, 2], 40: [41], 41: [42], 42: [40, 5]}
+    kinds = spark.createDataFrame([(str(i), ["A"]) for i in {0, *up}], "type string, parameters array<string>")
+    edges = spark.createDataFrame([(str(i), str(k), [["A"]]) for i, ks in up.items() for k in ks], "type string, above string, arguments array<array<string>>")
+    counts = []
+
+    def counted(df, name, written=types.written):
+        out = written(df, name)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(types, "written", counted)
+    got = {(r["type"], r["above"]): r["distance"] for r in types.ancestors(kinds, edges).collect()}
+    expected = {}
+    for i in up:
+        level, distance = {i}, 0
+        while level := {k for x in level for k in up.get(x, ())} - {i} - {k for t, k in expected if t == i}:
+            distance += 1
+            expected |= {(i, k): distance for k in level}
+    assert got == {(str(i), str(k)): n for (i, k), n in expected.items()}
+    assert sum(counts) == len(got) and len(counts) <= 6  # before, every round wrote all pairs again
