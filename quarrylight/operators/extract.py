@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.operators import types
-from quarrylight.operators.javasource import extract
+from quarrylight.operators.javasource import Extractor, extract
 from quarrylight.sources.tables import written
 
 _SPAN = "struct<start_byte:bigint,end_byte:bigint,start_line:int,end_line:int>"
@@ -22,21 +22,34 @@ PARTS = {
 SCHEMA = "path string, package string, imports array<string>, status string, diagnostics array<struct<code:string,line:int>>, " + ", ".join(f"{k} array<{v}>" for k, v in PARTS.items())
 
 
+#: A task gives its outcomes on after so many files or characters: what it holds does not grow with the table.
+FILES_AT_ONCE, CHARACTERS_AT_ONCE = 256, 1 << 20
+
+
+def parsed_batches(batches: Iterator[pa.RecordBatch], generation: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Outcomes of batches of (path, text), given on as soon as they are many or large."""
+    rows, held = [], 0
+    for batch in batches:
+        for path, text in zip(batch.column("path"), batch.column("text")):
+            e = Extractor(generation, path.as_py(), text.as_py() or "")
+            p = e.run()
+            for c in p.candidates:
+                c["evidence"]["literal_values"] = list(c["evidence"]["literal_values"].items())
+            relations = list({r["relation_id"]: r for r in p.relations}.values())
+            parts = {"declarations": p.declarations, "candidates": p.candidates, "folds": p.folds, "relations": relations}
+            rows.append({"path": e.path, "package": e.package, "imports": [n for n, static in e.imports if not static], "status": p.status, "diagnostics": p.diagnostics, **parts})
+            held += len(e.source)
+            if len(rows) >= FILES_AT_ONCE or held >= CHARACTERS_AT_ONCE:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
 def parse_files(files: DataFrame, generation: str) -> DataFrame:
     """One row per (path, text): its outcome and all facts, nested.  Files are independent, so any partitioning does."""
-    from quarrylight.operators.javasource import Extractor
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, text in zip(batch["path"], batch["text"]):
-                e = Extractor(generation, path, text or "")
-                p = e.run()
-                relations = list({r["relation_id"]: r for r in p.relations}.values())
-                rows.append((path, e.package, [n for n, static in e.imports if not static], p.status, p.diagnostics, p.declarations, p.candidates, p.folds, relations))
-            yield pd.DataFrame(rows, columns=["path", "package", "imports", "status", "diagnostics", *PARTS])
-
-    return files.select("path", "text").mapInPandas(run, SCHEMA)
+    schema = files.sparkSession.createDataFrame([], SCHEMA).toArrow().schema
+    return files.select("path", "text").mapInArrow(lambda batches: parsed_batches(batches, generation, schema), SCHEMA)
 
 
 def facts(parsed: DataFrame, part: str) -> DataFrame:

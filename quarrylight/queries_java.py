@@ -16,9 +16,14 @@ _PACKAGE = "lower(replace(p_brand, '#', ''))"
 _FILE = f"{_PACKAGE} || '/P' || (p_partkey + 1) || '.java'"
 
 
+#: Files that a task parses: rows of ``part`` are few bytes, so partitions made by size would be few and long.
+_PER_TASK = 10_000
+
+
 def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text): a class that extends the one before it, with a field, an annotated method that calls JDBC and a method of its own."""
-    p = L.table(spark, sf_dir, "part")
+    p = L.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    p = p.repartition(max(spark.sparkContext.defaultParallelism, -(-p.count() // _PER_TASK)), "p_partkey")  # a number is kept by adaptive execution
     package, key = F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), (F.col("p_partkey") + 1).cast("string")
     qualified = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
     text = F.concat(
@@ -37,7 +42,7 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = p.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().orderBy("file_path").collect()
     key = spark.sparkContext.applicationId, *map(tuple, version)
     if key not in _PARSED:
-        _PARSED[key] = written(extract.parse_files(java_files(spark, sf_dir).repartition("path"), "g"), "java").inputFiles()[0].rpartition("/")[0]
+        _PARSED[key] = written(extract.parse_files(java_files(spark, sf_dir), "g"), "java").inputFiles()[0].rpartition("/")[0]
     return spark.read.parquet(_PARSED[key])
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quarrylight.operators.javasource import extract
 
 SOURCE = '''package demo.shop;
@@ -67,3 +69,31 @@ class Out { private final KafkaTemplate<String, String> bus; void go(Connection
     p = extract("g", "Out.java", source)
     found = [(r["rule"], r["written_target"].rpartition(".")[2], r["receiver"]) for r in p.relations if r["rule"]]
     assert found == [("spring-kafka-send", "send", "topic=orders"), ("spring-kafka-send", "send", None), ("jdbc-connection-sql", "prepareStatement", "sql=select 1")]
+
+
+def test_outcomes_are_given_on_in_slices(spark, tmp_path):
+    """A worker holds a slice of outcomes, not those of a whole batch; files are dealt over all cores whatever their bytes."""
+    import pyarrow as pa
+
+    from quarrylight.operators import extract
+    from quarrylight.queries_java import java_files
+
+    schema = spark.createDataFrame([], extract.SCHEMA).toArrow().schema
+    paths, asked = [f"p/T{i}.java" for i in range(600)], []
+
+    def batches():
+        for at in range(0, 600, 300):
+            asked.append(at)
+            yield pa.RecordBatch.from_pydict({"path": paths[at : at + 300], "text": [f"class T{i} {{ }}" for i in range(at, at + 300)]})
+
+    out = extract.parsed_batches(batches(), "g", schema)
+    first = next(out)
+    assert first.num_rows == extract.FILES_AT_ONCE and asked == [0]
+    rest = [first, *out]
+    assert [p for b in rest for p in b.column("path").to_pylist()] == paths and all(b.num_rows <= extract.FILES_AT_ONCE for b in rest)
+    large = pa.RecordBatch.from_pydict({"path": paths[:4], "text": ["/*" + "x" * extract.CHARACTERS_AT_ONCE + "*/ class A { }"] * 4})
+    assert [b.num_rows for b in extract.parsed_batches(iter([large]), "g", schema)] == [1] * 4
+    # adaptive execution made one task of them, as they are few bytes
+    spark.range(200).select(F.col("id").alias("p_partkey"), F.lit("Brand#1").alias("p_brand"), F.lit(1).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
+    ids = java_files(spark, str(tmp_path)).select(F.spark_partition_id().alias("k")).distinct()
+    assert ids.count() == spark.sparkContext.defaultParallelism
