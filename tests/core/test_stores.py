@@ -69,6 +69,22 @@ def test_sink_in_a_stream(spark, tmp_path):
     assert sorted((r.operation_id, r.outcome, r.batch) for r in sink.ledger().collect()) == [("a", "APPLIED", 0), ("a", "REPLAYED", 2), ("b", "APPLIED", 0), ("b", "CONFLICT", 2), ("c", "APPLIED", 1), ("d", "APPLIED", 2)]
 
 
+def test_sink_writes_each_text_once(spark, tmp_path, monkeypatch):
+    """Intermediate tables hold no texts; of equal places in a batch the last change counts, and a replay writes nothing."""
+    from quarrylight.streaming import sink as module
+
+    sink, seen, written = DocumentSink(spark, str(tmp_path)), [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: seen.extend(df.columns) or written(df, name))
+    first = spark.createDataFrame([("a", 1, "o", "x", "UPSERT", "one"), ("a", 1, "o", "x", "UPSERT", "one"), ("a", 2, "o", "y", "UPSERT", "kept"), ("b", 2, "o", "x", "UPSERT", "two")], OPS)
+    sink.apply(first, 0)
+    sink.apply(spark.createDataFrame([("c", 0, "o", "x", "UPSERT", "three"), ("c", 9, "p", "x", "REMOVE", None)], OPS), 1)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "documents").rglob("*.parquet")}
+    sink.apply(first, 2)
+    assert {tuple(r) for r in sink.documents().select("owner", "path", "content", "operation_id").collect()} == {("o", "x", "three", "c"), ("o", "y", "kept", "a")}
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "documents").rglob("*.parquet")} == files
+    assert "fingerprint" in seen and "content" not in seen
+
+
 def test_sink_after_a_crash_before_the_ledger(spark, tmp_path, monkeypatch):
     sink = DocumentSink(spark, str(tmp_path))
     rows = lambda *r: spark.createDataFrame(list(r), OPS)
