@@ -97,16 +97,18 @@ def read_pages(files: DataFrame, windows: DataFrame, offsets: DataFrame | None =
     # everything after the first row that does not fit belongs to later pages
     rows = rows.withColumn("stops", F.sum(F.col("over").isNotNull().cast("int")).over(to)).where((F.col("stops") == 0) | ((F.col("stops") == 1) & F.col("over").isNotNull()))
     last = F.max(F.when(F.col("over").isNotNull(), F.struct("over", (F.col("start_byte") + F.octet_length("part")).alias("next"), F.when(F.col("segment") == "ELISION", F.col("first_line")).otherwise(F.col("line")).alias("next_line"))))
-    page = rows.groupBy("path").agg(last.alias("stop"))
-    held = rows.where((F.col("segment") == "ELISION") & F.col("over").isNull() | (F.octet_length("part") > 0))
+    # why it stops and what it holds from the same sorted rows, so that they are made once; without a segment a page is one row
+    whole = Window.partitionBy("path")
+    rows = rows.withColumn("stop", last.over(whole)).withColumn("held", ((F.col("segment") == "ELISION") & F.col("over").isNull()) | (F.octet_length("part") > 0))
+    rows = rows.withColumn("any", F.max("held").over(whole)).where(F.col("held") | ~F.col("any"))
+    of = lambda value: F.when(F.col("any"), value)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part"))), lambda x: x["part"]), "")
-    found = held.groupBy("path", "first_line", "segment").agg(
-        F.min("start_byte").alias("start_byte"), F.max(F.when(F.col("segment") == "ELISION", F.col("end_byte")).otherwise(F.col("start_byte") + F.octet_length("part"))).alias("end_byte"),
-        F.min(F.when(F.col("segment") == "ELISION", F.col("first_line")).otherwise(F.col("line"))).alias("start_line"), F.max("line").alias("end_line"), text.alias("content"),
-        F.bool_or("mid").alias("starts_mid_line"), F.bool_or(F.col("over").isNotNull()).alias("ends_mid_line"))
+    found = rows.groupBy("path", of(F.col("first_line")).alias("first_line"), of(F.col("segment")).alias("segment")).agg(
+        F.max("stop").alias("stop"), F.min(of(F.col("start_byte"))).alias("start_byte"), F.max(of(F.when(F.col("segment") == "ELISION", F.col("end_byte")).otherwise(F.col("start_byte") + F.octet_length("part")))).alias("end_byte"),
+        F.min(of(F.when(F.col("segment") == "ELISION", F.col("first_line")).otherwise(F.col("line")))).alias("start_line"), F.max(of(F.col("line"))).alias("end_line"), text.alias("content"),
+        F.bool_or(of(F.col("mid"))).alias("starts_mid_line"), F.bool_or(of(F.col("over").isNotNull())).alias("ends_mid_line"))
     found = found.withColumn("content", F.when(F.col("segment") == "SOURCE", F.col("content")))
-    out = page.join(found, "path", "left").select("path", *_SEGMENT, F.coalesce("stop.over", F.lit("COMPLETE")).alias("stop_reason"), F.col("stop.next").alias("next_byte"), F.col("stop.next_line").alias("next_line"))
-    return out
+    return found.select("path", *_SEGMENT, F.coalesce("stop.over", F.lit("COMPLETE")).alias("stop_reason"), F.col("stop.next").alias("next_byte"), F.col("stop.next_line").alias("next_line"))
 
 
 def wire_size(content: Column) -> Column:

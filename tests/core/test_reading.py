@@ -136,3 +136,14 @@ def test_views(spark):
     assert dict(seen("SUMMARY")[0])["A.java"] == "INDEX_UNAVAILABLE"
     outcomes, windows = seen("AUTO", statuses, bodies, [(1, 5)])
     assert {o for _, o in outcomes} == {"NOT_REQUESTED"} and ("A.java", "SOURCE", 1, 5) in windows
+
+
+def test_a_page_is_made_from_its_rows_once(spark):
+    """Why pages stop and what they hold come from one pass; before, two joined passes read every line twice."""
+    one = spark.createDataFrame([("a", "x\ny\nz\n"), ("b", "\U0001f600" * 3)], "path string, text string")
+    pages = reading.read_pages(one, reading.windows_of(one), max_lines=2, max_bytes=5)
+    got = sorted((r["path"], r["content"], r["stop_reason"], r["next_byte"], r["next_line"]) for r in pages.collect())
+    assert got == [("a", "x\ny\n", "LINE_BUDGET", 4, 3), ("b", "\U0001f600", "CONTENT_BUDGET", 4, 1)]
+    places = spark.createDataFrame([("a", 4), ("b", 4)], "path string, offset long")
+    more = reading.read_pages(one, reading.windows_of(one), places, max_lines=2, max_bytes=5)
+    assert more._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
