@@ -86,10 +86,11 @@ def _resolved(parsed: DataFrame, own: DataFrame) -> DataFrame:
     wild = F.transform(F.filter("imports", lambda i: F.endswith(i, F.lit(".*"))), lambda i: F.concat(F.replace(i, F.lit("*"), F.lit("")), w))
     choice = lambda rank, names: F.transform(names, lambda n: F.struct(F.lit(rank).alias("rank"), n.alias("qualified")))
     options = F.concat(choice(0, F.array(w)), around, choice(1 << 20, direct), choice((1 << 20) + 1, F.array(package)), choice((1 << 20) + 2, wild))
-    tried = own.select("r", F.explode(options).alias("o")).select("r", "o.*").groupBy("r", "qualified").agg(F.min("rank").alias("rank"))
-    found = tried.join(type_names(parsed), "qualified", "left")
-    best = found.groupBy("r.relation_id").agg(F.min(F.when(F.col("target").isNotNull(), F.col("rank"))).alias("best"))
-    chosen = found.join(best, F.col("r.relation_id") == best["relation_id"]).where(F.col("rank") == F.col("best")).groupBy(F.col("r.relation_id").alias("relation_id")).agg(F.min("target").alias("target"), F.countDistinct("target").alias("names"), F.max("copies").alias("copies"))
+    # only names that are types go on, by the id of what wrote them: the options are read once and carry no facts
+    tried = own.select(F.col("r.relation_id").alias("relation_id"), F.explode(options).alias("o")).select("relation_id", "o.*")
+    found = tried.join(type_names(parsed), "qualified").groupBy("relation_id", "rank").agg(F.min("target").alias("target"), F.max("target").alias("last"), F.max("copies").alias("copies"))
+    best = F.min_by(F.struct("target", F.when(F.col("target") == F.col("last"), 1).otherwise(2).alias("names"), "copies"), "rank").alias("b")
+    chosen = found.groupBy("relation_id").agg(best).select("relation_id", "b.*")
     rows = own.select("r.*").join(chosen, "relation_id", "left")
     sure = (F.col("names") == 1) & (F.col("copies") == 1)
     reason = F.when(sure, None).when(F.col("copies") > 1, "DUPLICATE_SOURCE_TYPE").when(F.col("names") > 1, "AMBIGUOUS_TARGET").otherwise("MISSING_TYPE")
