@@ -4,7 +4,8 @@ A type expression is the array of its tokens (``List``, ``<``, ``T``, ``>``), so
 replaces tokens.  The ancestors of all types come from rounds that double their reach: the stretches as long as the
 reach are joined with those above them, and the arguments of the upper one are rewritten by those of the lower one.
 Every round writes what it adds; a hierarchy of depth d takes about log2(d) of them, and every pair arises once for
-each of its ways over a type at that distance.
+each of its ways over a type at that distance.  Pairs are written in buckets by their lower type, each moved once:
+rounds, overrides and inherited members bring what they look for to them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.sources.tables import written
+from quarrylight.sources.tables import InBuckets, written
 
 TOKENS = r"[\p{L}\p{N}_$.]+|[<>,?&\[\]]"
 PRIMITIVES = ("void", "boolean", "byte", "char", "short", "int", "long", "float", "double")
@@ -32,38 +33,78 @@ def bound(expression: Column, parameters: Column, arguments: Column) -> Column:
     return F.flatten(F.transform(expression, one))
 
 
-def ancestors(types: DataFrame, supertypes: DataFrame) -> DataFrame:
+# lists of tokens as text, in the order of the lists: every token ends with the one, every expression with the other
+_TOKEN_END, _END = "\x01", "\x00"
+TYPES_PER_BUCKET = 20_000
+
+
+def _split(text: Column, end: str) -> Column:
+    parts = F.split(text, end)
+    return F.slice(parts, 1, F.size(parts) - 1)
+
+
+def _packed(expressions: Column) -> Column:
+    one = lambda e: F.concat(F.array_join(F.transform(e, lambda t: F.concat(t, F.lit(_TOKEN_END))), ""), F.lit(_END))
+    return F.array_join(F.transform(expressions, one), "")
+
+
+def _unpacked(text: Column) -> Column:
+    return F.transform(_split(text, _END), lambda e: _split(e, _TOKEN_END))
+
+
+def _bound(text: Column, parameters: Column, arguments: Column) -> Column:
+    """``bound`` for packed expressions, parameters and arguments."""
+    # the lists are taken apart once, not for each token
+    lists = F.array(F.struct(_split(parameters, _TOKEN_END).alias("p"), _split(arguments, _END).alias("a")))
+
+    def one(token: Column, by: Column) -> Column:
+        at = F.array_position(by.p, token).cast("int")
+        return F.when(at > 0, F.coalesce(F.get(by.a, at - 1), F.lit("Object" + _TOKEN_END))).otherwise(F.concat(token, F.lit(_TOKEN_END)))
+
+    whole = lambda by: F.transform(_split(text, _END), lambda e: F.concat(F.array_join(F.transform(_split(e, _TOKEN_END), lambda t: one(t, by)), ""), F.lit(_END)))
+    return F.array_join(F.transform(lists, whole)[0], "")
+
+
+def ancestors(types: DataFrame, supertypes: DataFrame, bind: bool = True) -> DataFrame:
     """(type, above, distance, parameters, arguments): every ancestor of a type once, with its type variables and what they are bound to.
 
     types: (type, parameters array<string>); supertypes: (type, above, arguments array<array<string>>).  Of several ways to
     an ancestor the shortest counts, of equal ones that with the least arguments (of what the stretches that meet there are
-    bound to); a type on a cycle is no ancestor of itself.
+    bound to); a type on a cycle is no ancestor of itself.  Without ``bind`` the pairs and distances alone, which take fewer bytes.
     """
-    first = Window.partitionBy("type", "above").orderBy("distance", "arguments", "parameters")
+    carried = ["parameters", "arguments"] if bind else []
+    first = Window.partitionBy("low", "above").orderBy("distance", *reversed(carried))
 
     def shortest(rows: DataFrame) -> DataFrame:
         # one sort behind one exchange; a minimum of structs would sort in front of the exchange as well
-        return rows.where(F.col("type") != F.col("above")).withColumn("better", F.lag("distance").over(first)).where(F.col("better").isNull()).drop("better")
-
-    own = types.select(F.col("type").alias("above"), "parameters")
-    start = supertypes.join(own, "above").select("type", "above", F.lit(1).alias("distance"), "parameters", "arguments")
-    known = outer = written(shortest(start), "ancestors")
+        return rows.withColumn("better", F.lag("distance").over(first)).where(F.col("better").isNull()).drop("better").withColumnRenamed("low", "type")
+
+    other = F.col("type") != F.col("above")
+    own = types.select(F.col("type").alias("above"), *([F.array_join(F.transform("parameters", lambda t: F.concat(t, F.lit(_TOKEN_END))), "").alias("parameters")] if bind else []))
+    edges = supertypes.where(other).select("type", "above", *([_packed(F.col("arguments")).alias("arguments")] if bind else []))
+    start = edges.join(own, "above").select(F.col("type").alias("low"), "above", F.lit(1).alias("distance"), *carried)
+    n = types.count()
+    # small hierarchies take few tasks, large ones as many as keep a bucket small
+    buckets = max(2, min(int(types.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + n // 5_000), min(n // TYPES_PER_BUCKET, 4_000))
+    dealt = lambda rows: written(InBuckets(rows, "type", buckets), "ancestors")
+    known = outer = dealt(shortest(start.repartition(buckets, "low")))
     reach = 1
     while True:
         # what lies beyond the reach is met by the stretches of just that length and those above them: each distance arises once
         lower = outer.where(F.col("distance") == reach)
         if lower.isEmpty():
-            return known
-        upper = known.join(lower.select(F.col("above").alias("type")).distinct(), "type", "left_semi")
-        upper = upper.select(F.col("type").alias("above"), F.col("above").alias("top"), F.col("distance").alias("more"), F.col("parameters").alias("top_parameters"), F.col("arguments").alias("top_arguments"))
-        # no result has the name of a column that is read in the same step: it would be taken for it
-        further = lower.join(upper, "above").withColumn("top_arguments", F.transform("top_arguments", lambda e: bound(e, F.col("parameters"), F.col("arguments"))))
-        further = further.select("type", F.col("top").alias("above"), (F.col("distance") + F.col("more")).alias("distance"), F.col("top_parameters").alias("parameters"), F.col("top_arguments").alias("arguments"))
-        # a pair that is known lies nearer and comes first; only its key and distance are moved
-        nothing = known.select("type", "above", "distance", *(F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("parameters", "arguments")))
-        outer = written(shortest(nothing.unionByName(further)).where(F.col("distance") > reach), "ancestors")
+            break
+        upper = known.select(F.col("type").alias("middle"), F.col("above").alias("top"), F.col("distance").alias("more"), *(F.col(c).alias(f"top_{c}") for c in carried))
+        lower = lower.select(F.col("type").alias("low"), "above", "distance", *carried)
+        further = lower.repartition(buckets, "above").join(upper, (F.col("above") == F.col("middle")) & (F.col("low") != F.col("top")))
+        values = [F.col("top_parameters").alias("parameters"), _bound(F.col("top_arguments"), F.col("parameters"), F.col("arguments")).alias("arguments")] if bind else []
+        further = further.select("low", F.col("top").alias("above"), (F.col("distance") + F.col("more")).alias("distance"), *values).repartition(buckets, "low")
+        # a pair that is known lies nearer and comes first
+        nothing = known.select(F.col("type").alias("low"), "above", "distance", *(F.lit(None).cast("string").alias(c) for c in carried))
+        outer = dealt(shortest(nothing.unionByName(further)).where(F.col("distance") > reach))
         known = known.unionByName(outer)
         reach *= 2
+    return known.withColumns({"parameters": _split(F.col("parameters"), _TOKEN_END), "arguments": _unpacked(F.col("arguments"))}) if bind else known
 
 
 def overriding(methods: DataFrame, above: DataFrame, lower: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +33,27 @@ def by_key(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
     return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+class InBuckets(NamedTuple):
+    """Rows that lie in ``buckets`` partitions by ``key``, to be written as a bucketed table: joins and windows on ``key`` read it where it lies.
+
+    So do those on a union of such tables, if the key takes a new name in front of them: a filter for its nulls, pushed below the
+    union, would hide from the planner that the tables lie alike.
+    """
+
+    rows: DataFrame
+    key: str
+    buckets: int
+
+
+def written(df: DataFrame | InBuckets, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, whatever becomes of an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    rows = df.rows if isinstance(df, InBuckets) else df
+    spark = rows.sparkSession
+    table = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    if isinstance(df, InBuckets):
+        table = table.replace("-", "_")
+        rows.write.format("parquet").bucketBy(df.buckets, df.key).option("path", path).saveAsTable(table)
+        return spark.table(table)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -209,3 +209,39 @@ def test_rounds_of_ancestors_write_each_pair_once(spark, monkeypatch):
             expected |= {(i, k): distance for k in level}
     assert got == {(str(i), str(k)): n for (i, k), n in expected.items()}
     assert sum(counts) == len(got) and len(counts) <= 6  # before, every round wrote all pairs again
+
+
+@pytest.fixture
+def joined_by_moving(spark):
+    """No table is small enough to be sent to all tasks."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield spark
+    spark.conf.set(name, kept)
+
+
+def exchanges(df):
+    return [line.split("Exchange ")[1] for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange " in line]
+
+
+def tree(spark, n=200):
+    """Type k is below k // 2 and k // 3, which meet again."""
+    kinds = spark.createDataFrame([(str(k), ["A", "B"]) for k in range(1, n)], "type string, parameters array<string>")
+    edges = [(str(k), str(k // d), [["List", "<", "B", ">"], ["A"]]) for k in range(2, n) for d in (2, 3) if k // d]
+    return kinds, spark.createDataFrame(edges, "type string, above string, arguments array<array<string>>")
+
+
+def test_lists_of_tokens_as_text(spark):
+    lists = [[], [[]], [["A"], []], [["List", "<", "A", ">"], ["B"]], None]
+    rows = spark.createDataFrame([(i, e) for i, e in enumerate(lists)], "i int, e array<array<string>>").select("i", types._unpacked(types._packed(F.col("e"))).alias("e"))
+    assert [r.e for r in rows.orderBy("i").collect()] == lists
+
+
+def test_rounds_of_ancestors_move_stretches_and_new_pairs_alone(joined_by_moving, monkeypatch):
+    plans = []
+    real = types.written
+    monkeypatch.setattr(types, "written", lambda df, name: plans.append(exchanges(getattr(df, "rows", df))) or real(df, name))
+    got = types.ancestors(*tree(joined_by_moving))
+    assert got.count() == got.select("type", "above").distinct().count() > 500
+    assert len(plans) > 3 and all(len(p) == 2 and all("REPARTITION_BY_NUM" in x for x in p) for p in plans[1:])  # before, known pairs were moved by each round
