@@ -107,6 +107,11 @@ def ancestors(types: DataFrame, supertypes: DataFrame, bind: bool = True) -> Dat
     return known.withColumns({"parameters": _split(F.col("parameters"), _TOKEN_END), "arguments": _unpacked(F.col("arguments"))}) if bind else known
 
 
+def _same(a: Column | str, b: Column | str) -> Column:
+    """Whether both are equal, for joins: no key, so that rows stay where the keys have put them."""
+    return F.array_contains(F.array(a), F.col(b))
+
+
 def overriding(methods: DataFrame, above: DataFrame, lower: DataFrame | None = None) -> DataFrame:
     """(method, overridden, distance) of methods that override one of an ancestor.
 
@@ -116,15 +121,25 @@ def overriding(methods: DataFrame, above: DataFrame, lower: DataFrame | None = N
     type below the other one.  lower: (head, result_head) of such types, if expressions do not name types as ``above`` does.
     """
     m = methods.where(~F.array_contains("modifiers", "static") & ~F.array_contains("modifiers", "private"))
-    own = m.select("method", "type", "name", "package", F.size("parameters").alias("n"), F.col("parameters").alias("own_parameters"), F.col("returns").alias("own_returns"))
-    other = m.select(F.col("method").alias("overridden"), F.col("type").alias("above"), "name", F.col("package").alias("home"), F.size("parameters").alias("n"), "modifiers", F.col("parameters").alias("takes"), "returns")
-    met = own.join(above, "type").join(other, ["above", "name", "n"])
+    own = m.select("method", F.col("type").alias("own_type"), F.col("name").alias("own_name"), "package", F.size("parameters").alias("own_n"), F.col("parameters").alias("own_parameters"), F.col("returns").alias("own_returns"))
+    other = m.select(F.col("method").alias("overridden"), F.col("type").alias("top"), "name", F.col("package").alias("home"), F.size("parameters").alias("n"), "modifiers", F.col("parameters").alias("takes"), "returns")
+    # names alone go along all pairs to the ancestors; what meets there comes back to its type, and takes arguments and methods there
+    named = m.select(F.col("type").alias("low"), "name", F.size("parameters").alias("n")).distinct()
+    pairs = above.select(F.col("type").alias("below"), F.col("above").alias("top"))
+    hits = named.join(pairs, F.col("low") == F.col("below")).select("low", "top", "name", "n").join(other, ["top", "name", "n"])
+    met = hits.join(above.withColumnRenamed("type", "below"), (F.col("low") == F.col("below")) & _same("top", "above"))
+    met = met.join(own, (F.col("low") == F.col("own_type")) & _same("name", "own_name") & _same("n", "own_n"))
     bind = lambda e: bound(e, F.col("parameters"), F.col("arguments"))
     visible = F.arrays_overlap("modifiers", F.array(F.lit("public"), F.lit("protected"))) | (F.col("home") == F.col("package"))
-    met = met.where(visible & (F.col("own_parameters") == F.transform("takes", bind))).withColumn("bound_returns", bind(F.col("returns"))).drop("returns").withColumnRenamed("bound_returns", "returns")
-    lower = above.select(F.col("type").alias("head"), F.col("above").alias("result_head")) if lower is None else lower
+    met = met.where(visible & _same(F.transform("takes", bind), "own_parameters")).select("method", "overridden", "distance", "own_returns", bind(F.col("returns")).alias("returns"))
+    met = met.withColumns({"head": F.col("own_returns")[0], "result_head": F.col("returns")[0]})
+    if lower is None:
+        # of all pairs, those that are asked for
+        met = written(met, "met")
+        asked = met.select(F.col("head").alias("low"), "result_head").distinct()
+        lower = asked.join(above.select(F.col("type").alias("head"), F.col("above").alias("top")), (F.col("low") == F.col("head")) & _same("result_head", "top"))
     lower = lower.select("head", "result_head", F.lit(True).alias("below"))
-    met = met.withColumns({"head": F.col("own_returns")[0], "result_head": F.col("returns")[0]}).join(lower, ["head", "result_head"], "left")
+    met = met.join(lower, ["head", "result_head"], "left")
     reference = ~F.col("head").isin(*PRIMITIVES) & ~F.col("result_head").isin(*PRIMITIVES)
     fits = (F.col("own_returns") == F.col("returns")) | (reference & ((F.col("result_head") == "Object") | F.col("below").isNotNull()))
     return met.where(fits).select("method", "overridden", "distance")

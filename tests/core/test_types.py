@@ -245,3 +245,22 @@ def test_rounds_of_ancestors_move_stretches_and_new_pairs_alone(joined_by_moving
     got = types.ancestors(*tree(joined_by_moving))
     assert got.count() == got.select("type", "above").distinct().count() > 500
     assert len(plans) > 3 and all(len(p) == 2 and all("REPARTITION_BY_NUM" in x for x in p) for p in plans[1:])  # before, known pairs were moved by each round
+
+
+def test_overrides_bring_names_to_the_pairs(joined_by_moving, monkeypatch):
+    spark = joined_by_moving
+    kinds, edges = tree(spark)
+    above = types.ancestors(kinds, edges)
+    of = lambda k: [["List", "<", "B", ">"]] if k % 2 else [["B"]]
+    rows = [(f"{k}.m{i}", str(k), None if k % 3 else "p", f"m{i}", ["public"] if k % 5 else [], of(k), ["void"] if i else [str(k)]) for k in range(1, 200) for i in range(2)]
+    methods = spark.createDataFrame(rows, "method string, type string, package string, name string, modifiers array<string>, parameters array<array<string>>, returns array<string>")
+    plans = {}
+    real = types.written
+    monkeypatch.setattr(types, "written", lambda df, name: plans.update({name: exchanges(df)}) or real(df, name))
+    got = {tuple(r) for r in types.overriding(methods, above).collect()}
+    pairs = {(r["type"], r["above"]): r for r in above.collect()}
+    put = lambda e, r: [x for t in e for x in (r.arguments[r.parameters.index(t)] if t in r.parameters else [t])]
+    expected = {(a[0], b[0], r.distance) for a in rows for b in rows if a[3] == b[3] and (r := pairs.get((a[1], b[1]))) and (b[4] or a[2] and a[2] == b[2])
+                and a[5] == [put(e, r) for e in b[5]] and (a[6] == b[6] or a[6] != ["void"] != b[6] and (a[6][0], b[6][0]) in pairs)}
+    assert got == expected and len(got) > 20
+    assert len(plans["met"]) == 6  # four of methods and their names, two of what meets; pairs with arguments stay where they lie
