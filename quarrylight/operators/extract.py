@@ -202,7 +202,7 @@ def resolved_calls(parsed: DataFrame) -> DataFrame:
     own = own.join(by_name, F.col("enclosing") == F.col("qualified"), "left").withColumn("type", F.when(plain, F.col("type")).otherwise(F.col("of_receiver")))
     own = own.join(parsed.select("path", "package"), "path")
     methods = _methods(parsed).withColumn("n", F.size("parameters"))
-    found = types.members(own.where(F.col("type").isNotNull()).select(F.col("relation_id").alias("call"), "type", "package", F.col("written_target").alias("name"), F.col("arity").alias("n")), methods, types.ancestors(*hierarchy(parsed)))
+    found = types.members(own.where(F.col("type").isNotNull()).select(F.col("relation_id").alias("call"), "type", "package", F.col("written_target").alias("name"), F.col("arity").alias("n")), methods, types.ancestors(*hierarchy(parsed), bind=False))
     rows = calls.join(found.withColumnRenamed("call", "relation_id"), "relation_id", "left")
     return rows.select("relation_id", "path", "kind", "start_byte", "end_byte", "container_symbol_id", "written_target", F.col("target").alias("target_symbol_id"), F.coalesce("state", F.lit("UNRESOLVED")).alias("resolution_state"), F.when(F.col("state").isNull(), "MISSING_TYPE").otherwise(F.col("reason")).alias("unresolved_reason"))
 

@@ -157,7 +157,7 @@ def members(calls: DataFrame, methods: DataFrame, above: DataFrame) -> DataFrame
     have = methods.groupBy(F.col("type").alias("above"), "name", "n", reach.alias("reach"), (F.col("package") if seen else F.lit(None).cast("string")).alias("home")).agg(F.min("method").alias("target"), F.count(F.lit(1)).alias("copies"))
     own = calls.select("call", "type", "name", "n", (F.col("package") if seen else F.lit(None).cast("string")).alias("package"))
     itself = own.select("call", "name", "n", "package", F.col("type").alias("above"), F.lit(0).alias("distance"))
-    inherited = own.join(above.select("type", "above", "distance"), "type").select("call", "name", "n", "package", "above", "distance")
+    inherited = own.join(above.select(F.col("type").alias("below"), "above", "distance"), F.col("type") == F.col("below")).select("call", "name", "n", "package", "above", "distance")
     found = itself.unionByName(inherited).join(have, ["above", "name", "n"])
     found = found.where((F.col("distance") == 0) | (F.col("reach") == "ALL") | ((F.col("reach") == "PACKAGE") & F.col("home").eqNullSafe(F.col("package"))))
     # how many methods lie at each distance, then the least distance: sums with partial steps, no list of candidates

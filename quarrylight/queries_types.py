@@ -151,4 +151,4 @@ def _(s, d):
     t = kinds.select("type", F.col("type").alias("call"), F.concat(F.lit("m"), (F.substring("type", 2, 20).cast("long") % 5).cast("string")).alias("name"), F.lit(1).alias("n"))
     have = methods.select("method", "type", "name", F.lit(1).alias("n"))
     twice = have.where(F.ascii(F.right("type", F.lit(1))) % 10 == 7).withColumn("method", F.concat("method", F.lit("2")))
-    return types.members(t, have.unionByName(twice), types.ancestors(kinds, edges))
+    return types.members(t, have.unionByName(twice), types.ancestors(kinds, edges, bind=False))

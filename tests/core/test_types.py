@@ -264,3 +264,15 @@ def test_overrides_bring_names_to_the_pairs(joined_by_moving, monkeypatch):
                 and a[5] == [put(e, r) for e in b[5]] and (a[6] == b[6] or a[6] != ["void"] != b[6] and (a[6][0], b[6][0]) in pairs)}
     assert got == expected and len(got) > 20
     assert len(plans["met"]) == 6  # four of methods and their names, two of what meets; pairs with arguments stay where they lie
+
+
+def test_members_move_no_arguments(joined_by_moving):
+    spark = joined_by_moving
+    above = types.ancestors(*tree(spark), bind=False)
+    assert above.columns == ["type", "above", "distance"]
+    assert {tuple(r) for r in above.collect()} == {tuple(r) for r in types.ancestors(*tree(spark)).select("type", "above", "distance").collect()}
+    calls = spark.createDataFrame([(f"c{k}", str(k), "f", 0) for k in range(1, 200)], "call string, type string, name string, n int")
+    methods = spark.createDataFrame([("2.f", "2", "f", 0), ("3.f", "3", "f", 0)], "method string, type string, name string, n int")
+    got = types.members(calls, methods, above)
+    found = got.where("state = 'STATIC_RESOLVED'").count()
+    assert 0 < found < 199
